@@ -41,7 +41,7 @@ def _select_error(field: Field, t: Column) -> Column:
 def _multi_error(field: Field, t: Column) -> Column:
     listed = F.lit(options_text(field))
     bad = F.filter(text.string_array(t), lambda x: ~x.isin(list(field.options or ())))
-    not_strings = ~t.rlike(r'\A\[(?:"(?:[^"\\]|\\.)*"(?:,\s*"(?:[^"\\]|\\.)*")*)?\]\z')
+    not_strings = ~t.rlike(text.STRING_LIST)
     return F.when(
         not_strings, F.concat(F.lit("expected a list of strings from "), listed)
     ).when(F.size(bad) > 0, F.concat(text.shown_list(bad), F.lit(" not in "), listed))
@@ -90,7 +90,7 @@ def field_error(field: Field, t: Column) -> Column:
     return F.when(is_empty(t, field.type), on_empty).otherwise(type_error(field, t))
 
 
-def _collect(parts: list[Column]) -> Column:
+def collect(parts: list[Column]) -> Column:
     if not parts:
         return F.array().cast(ERRORS_TYPE)
     return F.array_compact(F.array(*parts)).cast(ERRORS_TYPE)
@@ -100,9 +100,14 @@ def error_entry(key: str, reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.struct(F.lit(key).alias("column"), reason.alias("reason")))
 
 
+def one_error(key: str, reason: Column) -> Column:
+    """An error list for a single rule."""
+    return collect([error_entry(key, reason)])
+
+
 def row_errors(cells: Cells, contract: Contract) -> Column:
     """Every (column, reason) of a row, in contract order."""
-    return _collect([error_entry(f.key, field_error(f, cells(f.key))) for f in contract.active])
+    return collect([error_entry(f.key, field_error(f, cells(f.key))) for f in contract.active])
 
 
 def first_error(cells: Cells, contract: Contract) -> Column:
@@ -166,4 +171,4 @@ def document_errors(data: Column, contract: Contract) -> Column:
         F.array_sort(F.array_except(F.map_keys(data), F.array(*[F.lit(k) for k in contract.active_keys]))),
         lambda k: F.struct(k.alias("column"), F.lit("not in the contract").alias("reason")),
     )
-    return F.concat(_collect(parts), extra.cast(ERRORS_TYPE))
+    return F.concat(collect(parts), extra.cast(ERRORS_TYPE))

@@ -22,9 +22,13 @@ _JSON_SPACE = (
     r"(?:[ \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     r"|\\[tnrf]|\\u000b|\\u001[c-f])"
 )
-_BLANK = rf'\A"{_JSON_SPACE}*"\z'
+# Possessive loops: they never backtrack, so long texts cannot exhaust the stack.
+_BLANK = rf'\A"{_JSON_SPACE}*+"\z'
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+STRING_LIST = rf"\A\[(?:{STRING}(?:,{STRING})*+)?\]\z"
 NUMBER = r"\A-?[0-9]"
-_COMMON_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+_COMMON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+_SPECIAL = '["\\\\\\x00-\\x1f]'
 _RARE_CONTROL = "[\\x00-\\x07\\x0b\\x0e-\\x1f]"
 
 
@@ -38,14 +42,21 @@ def _swap(c: Column, old: str, new: str) -> Column:
 
 
 def quote(c: Column) -> Column:
-    """A string column as JSON string text; NULL stays NULL."""
-    text = _swap(_swap(c, "\\", "\\\\"), '"', '\\"')
+    """A string column as JSON string text; NULL stays NULL.
+
+    Most texts need no escape and pass after one scan; rare control characters
+    are escaped one character at a time.
+    """
+    common = c
     for raw, escaped in _COMMON_ESCAPES.items():
-        text = _swap(text, raw, escaped)
-    rare = text
-    for code in (*range(0x08), 0x0B, *range(0x0E, 0x20)):
-        rare = _swap(rare, chr(code), f"\\u{code:04x}")
-    return F.concat(F.lit('"'), F.when(c.rlike(_RARE_CONTROL), rare).otherwise(text), F.lit('"'))
+        common = _swap(common, raw, escaped)
+    table = {chr(i): f"\\u{i:04x}" for i in range(0x20)} | _COMMON_ESCAPES
+    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    each = F.transform(
+        F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)
+    )
+    escaped = F.when(c.rlike(_RARE_CONTROL), F.array_join(each, "")).otherwise(common)
+    return F.concat(F.lit('"'), F.when(c.rlike(_SPECIAL), escaped).otherwise(c), F.lit('"'))
 
 
 def quoted_literal(text: str) -> str:
@@ -186,7 +197,7 @@ def loosely_differ(a: Column, b: Column) -> Column:
 
 def stored_size(t: Column) -> Column:
     """UTF-8 bytes of the value written with ``", "`` and ``": "`` separators."""
-    bare = F.regexp_replace(t, r'"(?:[^"\\]|\\.)*"', "")
+    bare = F.regexp_replace(t, STRING, "")
     return F.octet_length(t) + F.length(bare) - F.length(F.translate(bare, ",:", ""))
 
 

@@ -40,7 +40,7 @@ def infer_types(flat: DataFrame) -> DataFrame:
     t = F.col("value")
     string = text.unquote(t)
     some = t != "null"
-    string_list = t.rlike(r'\A\[(?:"(?:[^"\\]|\\.)*"(?:,"(?:[^"\\]|\\.)*")*)?\]\z')
+    string_list = t.rlike(text.STRING_LIST)
 
     def every(condition: Column) -> Column:
         return F.coalesce(F.bool_and(F.when(some, condition)), F.lit(False))

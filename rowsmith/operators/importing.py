@@ -29,12 +29,13 @@ ROW_COLUMNS = {
     "deleted_by": "string",
 }
 Cell = Callable[[str], Column]
+CELL = "cell:"
 
 
 def map_rows(
     src: DataFrame, mapping: dict[str, str], contract: Contract, cell: Cell, structured: bool = False, typed: Cell | None = None
 ) -> DataFrame:
-    """Add ``cells`` (one JSON text per mapped key) and ``failures``.
+    """Add one ``cell:<key>`` column of JSON text per mapped key, and ``failures``.
 
     ``cell`` reads a source column: a raw string, or with ``structured`` a JSON
     text. ``typed`` is what json columns read when it differs (YAML).
@@ -46,7 +47,7 @@ def map_rows(
             raise ValueError(f"mapping: '{key}' is not a schema column")
         if targets.count(key) > 1:
             raise ValueError(f"mapping: several source columns map to '{key}'")
-    values, failures = [], []
+    values, failures = {}, []
     for source, key in mapping.items():
         type_ = contract.field(key).type
         if structured:
@@ -54,18 +55,26 @@ def map_rows(
             value, failure = coerce.typed_cell(read(source), type_)
         else:
             value, failure = coerce.text_cell(cell(source), type_)
-        values.append(value.alias(key))
-        failures.append(checks.error_entry(key, failure))
-    return src.withColumn("cells", F.struct(*values)).withColumn("failures", checks._collect(failures))
+        values[CELL + key] = value
+        if type_ in ("json", "date") or structured:
+            failures.append(checks.error_entry(key, failure))
+    return src.withColumns({**values, "failures": checks.collect(failures)})
 
 
-def mapped_cells(contract: Contract, mapped: DataFrame, column: str = "cells") -> canon.Cells:
-    present = set(mapped.schema[column].dataType.names)
+def mapped_keys(mapped: DataFrame) -> list[str]:
+    return [c[len(CELL):] for c in mapped.columns if c.startswith(CELL)]
+
+
+def mapped_cells(mapped: DataFrame) -> canon.Cells:
+    """Read cells of a mapped table; a key that was not mapped is absent.
+
+    Cells are plain columns, not fields of a struct: the optimizer would copy a
+    struct field's whole coercion into every rule that reads it.
+    """
+    present = set(mapped_keys(mapped))
 
     def cell(key: str) -> Column:
-        if key not in present:
-            return F.lit(None).cast("string")
-        return F.col(column).getField(key)
+        return F.col(f"`{CELL}{key}`") if key in present else F.lit(None).cast("string")
 
     return cell
 
@@ -79,8 +88,8 @@ def apply_fixes(mapped: DataFrame, fixes: DataFrame, contract: Contract) -> Data
     one = fixes.groupBy("row_idx", "key").agg(F.max(F.coalesce("value", F.lit("null"))).alias("value"))
     per_row = one.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_fix"))
     joined = mapped.join(per_row, "row_idx", "left")
-    cell = mapped_cells(contract, mapped)
-    values, failures = [], []
+    cell = mapped_cells(mapped)
+    values, failures = {}, []
     for f in contract.fields:
         fix = F.col("_fix").getItem(f.key)
         if f.type == "date":
@@ -89,13 +98,11 @@ def apply_fixes(mapped: DataFrame, fixes: DataFrame, contract: Contract) -> Data
             failures.append(checks.error_entry(f.key, failure))
         else:
             fixed = fix
-        values.append(F.when(fix.isNotNull(), fixed).otherwise(cell(f.key)).alias(f.key))
+        values[CELL + f.key] = F.when(fix.isNotNull(), fixed).otherwise(cell(f.key))
     kept = F.when(
         F.col("_fix").isNull(), F.col("failures")
     ).otherwise(F.filter("failures", lambda e: ~F.map_contains_key(F.col("_fix"), e["column"])))
-    return joined.withColumn("cells", F.struct(*values)).withColumn(
-        "failures", F.concat(kept, checks._collect(failures))
-    ).drop("_fix")
+    return joined.withColumns({**values, "failures": F.concat(kept, checks.collect(failures))}).drop("_fix")
 
 
 def claims(rows: DataFrame, claim: str, existing: DataFrame | None) -> DataFrame:
@@ -122,7 +129,7 @@ def check_rows(
     Skipped and problem rows claim no key; rows with other errors do. A repeated
     key is reported against its first row and not also as existing.
     """
-    cell = mapped_cells(contract, mapped)
+    cell = mapped_cells(mapped)
     has_problem = F.col("problem").isNotNull() if "problem" in mapped.columns else F.lit(False)
     rows = mapped
     if skip is not None:
@@ -155,7 +162,7 @@ def check_rows(
     )
     found = F.concat(F.col("failures"), rule_errors)
     if key is not None:
-        found = F.concat(found, checks._collect([checks.error_entry(key.key, key_error)]))
+        found = F.concat(found, checks.collect([checks.error_entry(key.key, key_error)]))
     if "problem" in mapped.columns:
         whole = F.array(F.struct(F.lit("").alias("column"), F.col("problem").alias("reason")))
         found = F.when(has_problem, whole.cast(checks.ERRORS_TYPE)).otherwise(found)
@@ -165,13 +172,22 @@ def check_rows(
     return rows.withColumn("outcome", outcome).drop("_skip", "_claim", "first_row", "claimants", "taken")
 
 
-def error_report(checked: DataFrame) -> DataFrame:
-    """One line per (row, column, reason)."""
-    return checked.filter(F.size("errors") > 0).select("row_idx", F.explode("errors").alias("_e")).select(
-        "row_idx", "_e.column", "_e.reason"
+def report(df: DataFrame, *keys: str, errors: Column | str = "errors") -> DataFrame:
+    """One line per (row, column, reason).
+
+    The outer explode keeps the test for errors above it: as a plain filter it
+    would be pushed below and compute every rule a second time.
+    """
+    source = F.col(errors) if isinstance(errors, str) else errors
+    return df.select(*keys, F.explode_outer(source).alias("_e")).filter(F.col("_e").isNotNull()).select(
+        *keys, "_e.column", "_e.reason"
     )
 
 
+def error_report(checked: DataFrame) -> DataFrame:
+    return report(checked, "row_idx")
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(created, errored) rows of one checked table."""
     return checked.filter(F.col("outcome") == "created"), checked.filter(F.col("outcome") == "errored")
@@ -188,9 +204,9 @@ def accounting(checked: DataFrame) -> DataFrame:
     )
 
 
-def data_of(checked: DataFrame, contract: Contract) -> Column:
-    cell = mapped_cells(contract, checked)
-    return canon.as_map({n: cell(n) for n in checked.schema["cells"].dataType.names})
+def data_of(checked: DataFrame) -> Column:
+    cell = mapped_cells(checked)
+    return canon.as_map({k: cell(k) for k in mapped_keys(checked)})
 
 
 def row_id(dataset: str, started: Column, position: Column) -> Column:
@@ -224,9 +240,9 @@ def new_rows(
 def created_rows(checked: DataFrame, contract: Contract, dataset: str, user: str, started: Column) -> DataFrame:
     created, _ = split(checked)
     key = contract.key_field
-    cell = mapped_cells(contract, checked)
+    cell = mapped_cells(checked)
     row_key = F.lit(None).cast("string") if key is None else text.unquote(cell(key.key))
-    return new_rows(created, data_of(checked, contract), row_key, dataset, user, started)
+    return new_rows(created, data_of(checked), row_key, dataset, user, started)
 
 
 def commit_import(

@@ -143,7 +143,7 @@ def judge_patches(
     )
     start = current.select("id", "rev", broken.alias("broken"))
     own = canon.cells_of("data")
-    bad = checks._collect(
+    bad = checks.collect(
         [
             checks.error_entry(f.key, F.when(F.map_contains_key("data", f.key), checks.field_error(f, own(f.key))))
             for f in contract.active

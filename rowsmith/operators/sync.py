@@ -38,7 +38,7 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
         raise ValueError("dataset has no key column; mark one in the schema first")
     wanted = [k for k in contract.active_keys if paths is None or k in paths]
     mapped = map_rows(source, {k: k for k in wanted}, contract, lambda k: F.col("rec").getItem(k), structured=True)
-    cell = mapped_cells(contract, mapped)
+    cell = mapped_cells(mapped)
     value = text.unquote(cell(key.key))
     cleared = F.array_compact(F.array(*[F.when(F.col("rec").getItem(k) == "null", F.lit(k)) for k in wanted]))
     usable = F.col("problem").isNull() & (text.strip(value) != "")
@@ -93,7 +93,7 @@ def plan_sync(
         .join(gone.withColumn("_gone", F.lit(True)), "_join", "left")
     )
 
-    cell = mapped_cells(contract, joined)
+    cell = mapped_cells(joined)
     keys = contract.active_keys
     server = F.col("server_data")
     exists = F.col("server_rev").isNotNull()

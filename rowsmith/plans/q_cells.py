@@ -35,7 +35,7 @@ BOOLEAN = (
     f"CASE WHEN lower({trim('flagged')}) IN ('true','1','yes') THEN 'true' "
     f"WHEN lower({trim('flagged')}) IN ('false','0','no') THEN 'false' ELSE to_json(flagged)::VARCHAR END"
 )
-ITEMS = f"list_filter(list_transform(regexp_split_to_array(tags, '[,;]'), x -> trim(x, '{WS}')), x -> x <> '')"
+ITEMS = f"list_filter(list_transform(regexp_split_to_array(tags, '[,;]'), lambda x: trim(x, '{WS}')), lambda x: x <> '')"
 MULTI = f"to_json({ITEMS})::VARCHAR"
 SELECT = f"to_json({trim('kind')})::VARCHAR"
 IS_DATE = f"(regexp_full_match({trim('as_of')}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast({trim('as_of')} AS DATE) IS NOT NULL)"
@@ -61,8 +61,8 @@ REASONS = {
     "flagged": ("flagged_reason", "CASE WHEN left(c_flagged, 1) = '\"' THEN 'expected a boolean, got str' END"),
     "tags": (
         "tags_reason",
-        "CASE WHEN c_tags IS NOT NULL AND len(list_filter(items, x -> x NOT IN ('a', 'b'))) > 0 THEN "
-        "concat('[', array_to_string(list_transform(list_filter(items, x -> x NOT IN ('a', 'b')), x -> concat('''', x, '''')), ', '), "
+        "CASE WHEN c_tags IS NOT NULL AND len(list_filter(items, lambda x: x NOT IN ('a', 'b'))) > 0 THEN "
+        "concat('[', array_to_string(list_transform(list_filter(items, lambda x: x NOT IN ('a', 'b')), lambda x: concat('''', x, '''')), ', '), "
         "'] not in [''a'', ''b'']') END",
     ),
     "as_of": (
@@ -91,8 +91,8 @@ def reasons(spark, d, key: str) -> DataFrame:
     """The rule errors of one column over every mapped row."""
     mapped = mapped_dirty(spark, d)
     field = inputs.DIRTY_CONTRACT.field(key)
-    cell = importing.mapped_cells(inputs.DIRTY_CONTRACT, mapped)(key)
-    return mapped.select("row_idx", checks.field_error(field, cell).alias("reason")).filter("reason IS NOT NULL")
+    reason = checks.field_error(field, importing.mapped_cells(mapped)(key))
+    return importing.report(mapped, "row_idx", errors=checks.one_error(key, reason)).select("row_idx", "reason")
 
 
 # --- Projections and coercion ------------------------------------------
@@ -104,11 +104,11 @@ def reasons(spark, d, key: str) -> DataFrame:
       CASE WHEN c_as_of IS NOT NULL THEN concat('"as_of":', c_as_of) END, concat('"blob":', c_blob),
       CASE WHEN c_flagged IS NOT NULL THEN concat('"flagged":', c_flagged) END, concat('"kind":', c_kind),
       concat('"name":', c_name), CASE WHEN c_score IS NOT NULL THEN concat('"score":', c_score) END,
-      CASE WHEN c_tags IS NOT NULL THEN concat('"tags":', c_tags) END], x -> x IS NOT NULL), ','), '}}') AS data, f_as_of AS failure FROM m""",
+      CASE WHEN c_tags IS NOT NULL THEN concat('"tags":', c_tags) END], lambda x: x IS NOT NULL), ','), '}}') AS data, f_as_of AS failure FROM m""",
 )
 def apply_mapping(spark, d):
     mapped = mapped_dirty(spark, d)
-    cell = importing.mapped_cells(inputs.DIRTY_CONTRACT, mapped)
+    cell = importing.mapped_cells(mapped)
     return mapped.select(
         "row_idx",
         canon.object_text(cell, inputs.DIRTY_CONTRACT.active_keys).alias("data"),
@@ -180,7 +180,7 @@ def coerce_typed(spark, d):
 @query("p12_empty_absent", f"WITH {D} SELECT row_idx, {blank('score')} AS no_score, {blank('tags')} AS no_tags FROM d")
 def empty_absent(spark, d):
     mapped = mapped_dirty(spark, d)
-    return mapped.select("row_idx", F.col("cells.score").isNull().alias("no_score"), F.col("cells.tags").isNull().alias("no_tags"))
+    return mapped.select("row_idx", F.col("`cell:score`").isNull().alias("no_score"), F.col("`cell:tags`").isNull().alias("no_tags"))
 
 
 N = f"n AS ({plain(inputs.NESTED)})"
@@ -277,7 +277,7 @@ def merge(spark, d):
 )
 def fix_overlay(spark, d):
     fixed = importing.apply_fixes(mapped_dirty(spark, d), load(spark, d, inputs.FIXES), inputs.DIRTY_CONTRACT)
-    return fixed.select("row_idx", F.col("cells.as_of").alias("as_of"), F.get("failures", F.lit(0))["reason"].alias("failure"))
+    return fixed.select("row_idx", F.col("`cell:as_of`").alias("as_of"), F.get("failures", F.lit(0))["reason"].alias("failure"))
 
 
 # --- Validation ---------------------------------------------------------
@@ -310,7 +310,8 @@ def required(spark, d):
 )
 def is_text(spark, d):
     field = Field("v", "text")
-    return load(spark, d, inputs.TYPED).select("row_idx", checks.type_error(field, F.col("v")).alias("reason")).filter("reason IS NOT NULL")
+    errors = checks.one_error("v", checks.type_error(field, F.col("v")))
+    return importing.report(load(spark, d, inputs.TYPED), "row_idx", errors=errors).select("row_idx", "reason")
 
 
 @query("v04_number", reason_sql("score"))
@@ -335,7 +336,7 @@ def multi_options(spark, d):
 
 @query(
     "v08_json_cell_size",
-    f"""WITH {RD} SELECT id, CAST(strlen(to_json([body])::VARCHAR) AS BIGINT) + 10 + strlen(source) AS bytes FROM r""",
+    f"""WITH {RD} SELECT id, CAST(strlen(to_json([body])::VARCHAR) AS BIGINT) + 11 + strlen(source) AS bytes FROM r""",
 )
 def json_size(spark, d):
     rows = inputs.review_rows(spark, d)
@@ -354,7 +355,8 @@ SCHEMA = '{"type":"object","properties":{"k":{"type":"integer","maximum":50}},"r
 def json_schema(spark, d):
     field = Field("blob", "json", json_schema=SCHEMA)
     events = inputs.table(spark, d, "events")
-    return events.select("event_id", checks.type_error(field, F.col("props")).alias("reason")).filter("reason IS NOT NULL")
+    errors = checks.one_error("blob", checks.type_error(field, F.col("props")))
+    return importing.report(events, "event_id", errors=errors).select("event_id", "reason")
 
 
 @query("v10_date", reason_sql("as_of") + " AND f_as_of IS NULL AND c_as_of IS NOT NULL")
@@ -366,7 +368,8 @@ def is_date(spark, d):
 def key_trimmed(spark, d):
     field = Field("kind", "text", required=True, is_key=True)
     src = dirty(spark, d)
-    return src.select("row_idx", checks.type_error(field, text.quote(F.col("kind"))).alias("reason")).filter("reason IS NOT NULL")
+    errors = checks.one_error("kind", checks.type_error(field, text.quote(F.col("kind"))))
+    return importing.report(src, "row_idx", errors=errors).select("row_idx", "reason")
 
 
 _ALL = " UNION ALL ".join(
@@ -385,16 +388,15 @@ def archived_unchecked(spark, d):
 
     fields = [replace(f, archived=True) if f.key == "kind" else f for f in inputs.DIRTY_CONTRACT.fields if f.key != "score"]
     mapped = mapped_dirty(spark, d)
-    cell = importing.mapped_cells(inputs.DIRTY_CONTRACT, mapped)
-    found = mapped.select("row_idx", F.explode(checks.row_errors(cell, Contract(tuple(fields)))).alias("_e"))
-    return found.select("row_idx", "_e.column", "_e.reason")
+    cell = importing.mapped_cells(mapped)
+    return importing.report(mapped, "row_idx", errors=checks.row_errors(cell, Contract(tuple(fields))))
 
 
 _LIST = "concat_ws('|', " + ", ".join(f"CASE WHEN {r[1]} IS NOT NULL THEN concat('{k}: ', {r[1]}) END" for k, r in REASONS.items()) + ")"
 
 
 def _with_failures(mapped: DataFrame) -> DataFrame:
-    cell = importing.mapped_cells(inputs.DIRTY_CONTRACT, mapped)
+    cell = importing.mapped_cells(mapped)
     failed = F.transform("failures", lambda e: e["column"])
     rules = F.filter(checks.row_errors(cell, inputs.DIRTY_CONTRACT), lambda e: ~F.array_contains(failed, e["column"]))
     return mapped.withColumn("errors", F.concat(rules, "failures"))

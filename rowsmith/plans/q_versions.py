@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions import canon, checks
-from rowsmith.operators import catalog, versions
+from rowsmith.operators import catalog, importing, versions
 from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.registry import query
@@ -230,8 +230,7 @@ def snapshot_document(spark, d):
 
     narrow = Contract(tuple(f for f in inputs.REVIEW_CONTRACT.fields if f.key != "source"))
     snap = review_snapshot(spark, d, True)
-    found = snap.select("id", F.explode(checks.document_errors(F.col("data"), narrow)).alias("_e"))
-    return found.select("id", "_e.column", "_e.reason")
+    return importing.report(snap, "id", errors=checks.document_errors(F.col("data"), narrow))
 
 
 # --- Versions and datasets ----------------------------------------------

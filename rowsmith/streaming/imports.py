@@ -21,12 +21,12 @@ def check_stream(lines: DataFrame, contract: Contract) -> DataFrame:
     mapped = map_rows(flat, mapping, contract, lambda k: F.col("rec").getItem(k), structured=True)
     failed = F.transform("failures", lambda e: e["column"])
     rules = F.filter(
-        checks.row_errors(mapped_cells(contract, mapped), contract), lambda e: ~F.array_contains(failed, e["column"])
+        checks.row_errors(mapped_cells(mapped), contract), lambda e: ~F.array_contains(failed, e["column"])
     )
     problem = F.regexp_replace("problem", r"\Aline 0: ", "")
     whole = F.array(F.struct(F.lit("").alias("column"), problem.alias("reason"))).cast(checks.ERRORS_TYPE)
     errors = F.when(F.col("problem").isNotNull(), whole).otherwise(F.concat("failures", rules))
-    return mapped.select("line", data_of(mapped, contract).alias("data"), errors.alias("errors"))
+    return mapped.select("line", data_of(mapped).alias("data"), errors.alias("errors"))
 
 
 def start_import(
