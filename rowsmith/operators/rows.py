@@ -112,6 +112,18 @@ def key_conflicts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     return hit.filter(F.col("id").isNull() | (F.col("id") != F.col("other_id"))).select("id", "row_key", "other_id")
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Every live row whose key value other live rows share: ``(row_key, id, n)``.
+
+    One line per row, so a value shared by any number of rows is never gathered.
+    """
+    from rowsmith.plans.skew import attach_by_key
+
+    keyed = live(rows).filter(F.col("row_key").isNotNull()).select("row_key", "id")
+    shared = keyed.groupBy("row_key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    return attach_by_key(keyed, shared, "row_key", "n", F.col("id"), "inner")
+
+
 def create_rows(
     rows: DataFrame, new: DataFrame, contract: Contract, dataset: str, user: str, started: Column
 ) -> tuple[DataFrame, DataFrame]:
