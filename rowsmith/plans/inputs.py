@@ -164,7 +164,7 @@ SELECT concat('cust-', c_custkey) AS dataset, lower(c_name) AS name, c_mktsegmen
 """
 USERS = "SELECT concat('u', n_nationkey) AS id, concat(lower(n_name), '@example.org') AS email FROM {nation}"
 HEADERS = """
-SELECT concat('file-', l_orderkey) AS file, l_linenumber AS pos,
+SELECT concat('file-', l_orderkey) AS file, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos,
        CASE l_partkey % 6 WHEN 0 THEN ' Name ' WHEN 1 THEN 'NAME' WHEN 2 THEN 'Score' WHEN 3 THEN 'as_of'
             WHEN 4 THEN 'Old' ELSE concat('col', l_partkey % 50) END AS source
 FROM {lineitem}

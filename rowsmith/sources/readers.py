@@ -70,7 +70,7 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     An empty file holds no records. One task reads one file, as a document must
     be parsed whole; large data belongs in JSON Lines.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", BOM_AT_START, "").alias("doc")
     )
     blank = F.col("doc").rlike(r"\A\s*\z")
