@@ -112,11 +112,10 @@ def row_errors(cells: Cells, contract: Contract) -> Column:
 
 def first_error(cells: Cells, contract: Contract) -> Column:
     """The one-row write message: the first error only."""
-    first = F.get(row_errors(cells, contract), F.lit(0))
-    return F.when(
-        first.isNotNull(),
-        F.concat(F.lit("column '"), first["column"], F.lit("': "), first["reason"]),
+    messages = F.transform(
+        row_errors(cells, contract), lambda e: F.concat(F.lit("column '"), e["column"], F.lit("': "), e["reason"])
     )
+    return F.get(messages, F.lit(0))
 
 
 def missing_required(cells: Cells, contract: Contract) -> Column:

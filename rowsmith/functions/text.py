@@ -50,10 +50,9 @@ def quote(c: Column) -> Column:
     common = c
     for raw, escaped in _COMMON_ESCAPES.items():
         common = _swap(common, raw, escaped)
-    table = {chr(i): f"\\u{i:04x}" for i in range(0x20)} | _COMMON_ESCAPES
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     each = F.transform(
-        F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)
+        F.regexp_extract_all(common, F.lit("(?s)."), F.lit(0)),
+        lambda ch: F.when(ch.rlike(_RARE_CONTROL), F.concat(F.lit("\\u00"), F.lower(F.hex(ch)))).otherwise(ch),
     )
     escaped = F.when(c.rlike(_RARE_CONTROL), F.array_join(each, "")).otherwise(common)
     return F.concat(F.lit('"'), F.when(c.rlike(_SPECIAL), escaped).otherwise(c), F.lit('"'))

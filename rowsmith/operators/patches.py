@@ -47,7 +47,7 @@ def _block_transitions(steps: Column) -> Column:
         def entry(clean: int) -> Column:
             state = (step["expected"] * 2 + clean).cast("bigint")
             accepted, after = _next_state(state, step)
-            leaves = F.coalesce(known.getItem(after), after)
+            leaves = F.coalesce(known[after], after)
             return F.when(accepted, F.struct(state.alias("key"), leaves.alias("value")))
 
         added = F.array_compact(F.array(entry(0), entry(1)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowsmith.contract import TEXT_TYPES, Contract
 from rowsmith.functions import canon, checks, text
 from rowsmith.operators.importing import new_rows
+from rowsmith.plans import durable
 
 EDITS_SCHEMA = "row_id string, field string, old_value string, new_value string, user_id string, at timestamp"
 
@@ -130,14 +131,15 @@ def create_rows(
     """(new rows table, rejected) for ``new(row_idx, data)``.
 
     A row is refused for its first rule error, or for a key that a live row or an
-    earlier new row holds.
+    earlier new row holds. Rule results are written once: the claims, the accepted
+    and the rejected rows all read them.
     """
     from rowsmith.operators.importing import claims
     from rowsmith.plans.skew import attach_by_key
 
     key = contract.key_field
     error = checks.first_error(canon.cells_of("data"), contract)
-    checked = new.withColumn("reason", error)
+    checked = durable.written(new.withColumn("reason", error), "new-rows")
     row_key = F.lit(None).cast("string")
     if key is not None:
         row_key = text.unquote(F.col("data").getItem(key.key))
