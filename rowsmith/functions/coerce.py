@@ -28,12 +28,12 @@ def is_date(c: Column) -> Column:
     return F.coalesce(shaped.try_cast("date").isNotNull() & ~c.startswith("0000"), F.lit(False))
 
 
-def to_number(c: Column) -> Column:
-    return F.coalesce(text.number_text(text.strip(c)), text.quote(c))
+def to_number(c: Column, trimmed: Column | None = None) -> Column:
+    return F.coalesce(text.number_text(text.strip(c) if trimmed is None else trimmed), text.quote(c))
 
 
-def to_boolean(c: Column) -> Column:
-    word = F.lower(text.strip(c))
+def to_boolean(c: Column, trimmed: Column | None = None) -> Column:
+    word = F.lower(text.strip(c) if trimmed is None else trimmed)
     return F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false").otherwise(text.quote(c))
 
 
@@ -41,26 +41,26 @@ def multi_items(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[,;]"), text.strip), lambda x: x != "")
 
 
-def to_multi(c: Column) -> Column:
+def to_multi(c: Column, trimmed: Column | None = None) -> Column:
     return text.array_text(multi_items(c))
 
 
-def to_select(c: Column) -> Column:
-    return text.quote(text.strip(c))
+def to_select(c: Column, trimmed: Column | None = None) -> Column:
+    return text.quote(text.strip(c) if trimmed is None else trimmed)
 
 
-def as_is(c: Column) -> Column:
+def as_is(c: Column, trimmed: Column | None = None) -> Column:
     return text.quote(c)
 
 
-def to_date_text(c: Column) -> Column:
-    trimmed = text.strip(c)
+def to_date_text(c: Column, trimmed: Column | None = None) -> Column:
+    trimmed = text.strip(c) if trimmed is None else trimmed
     return text.quote(F.when(is_date(trimmed), trimmed).otherwise(c))
 
 
-def date_text_failure(c: Column) -> Column:
-    trimmed = text.strip(c)
-    timed = ~is_date(trimmed) & trimmed.rlike(HAS_TIME)
+def date_text_failure(c: Column, trimmed: Column | None = None) -> Column:
+    trimmed = text.strip(c) if trimmed is None else trimmed
+    timed = trimmed.rlike(HAS_TIME)
     return F.when(timed, F.concat(text.shown(trimmed), F.lit(" has a time component")))
 
 
@@ -73,59 +73,69 @@ _FROM_TEXT = {
 }
 
 
-def coerce_text(c: Column, type_: str) -> Column:
+def coerce_text(c: Column, type_: str, trimmed: Column | None = None) -> Column:
     """A raw text cell for a column of ``type_``."""
-    return _FROM_TEXT.get(type_, as_is)(c)
+    return _FROM_TEXT.get(type_, as_is)(c, trimmed)
 
 
-def text_cell(c: Column, type_: str) -> tuple[Column, Column]:
+def text_cell(c: Column, type_: str, trimmed: Column | None = None) -> tuple[Column, Column]:
     """(value, failure) of a raw cell; a whitespace-only cell is absent."""
-    cell = F.when(text.strip(c) != "", c)
-    failure = date_text_failure(cell) if type_ == "date" else F.lit(None).cast("string")
-    value = coerce_text(cell, type_)
-    return (F.when(failure.isNull(), value) if type_ == "date" else value), failure
+    trimmed = text.strip(c) if trimmed is None else trimmed
+    present = trimmed != ""
+    if type_ != "date":
+        return F.when(present, coerce_text(c, type_, trimmed)), F.lit(None).cast("string")
+    failure = date_text_failure(c, trimmed)
+    timed = F.coalesce(trimmed.rlike(HAS_TIME), F.lit(False))
+    return F.when(present & ~timed, coerce_text(c, type_, trimmed)), failure
 
 
-def typed_failure(t: Column, type_: str) -> Column:
+def typed_failure(t: Column, type_: str, string: Column | None = None, trimmed: Column | None = None) -> Column:
     """Why a JSON value may not enter a column of ``type_``; NULL when it may."""
     if type_ == "json":
         return F.when(
-            t.startswith(NOT_JSON_MARK), F.concat(F.substring(t, F.lit(2), F.length(t)), F.lit(" is not representable in JSON"))
+            t.startswith(NOT_JSON_MARK),
+            F.concat(F.substring(t, F.lit(2), F.length(t)), F.lit(" is not representable in JSON")),
         )
-    container = t.startswith("{") if type_ == "multi_select" else t.startswith("{") | t.startswith("[")
+    container = t.startswith("{") if type_ == "multi_select" else t.rlike(r"\A[\[{]")
     if type_ != "date":
         return F.when(container, NEEDS_JSON)
-    plain = ~text.is_string(t)
+    string = text.unquote(t) if string is None else string
+    number = F.concat(text.shown_value(t), F.lit(" is a number, not a date (write YYYY-MM-DD)"))
     return (
         F.when(container, NEEDS_JSON)
-        .when(plain & (t != "null"), F.concat(text.shown_value(t), F.lit(" is a number, not a date (write YYYY-MM-DD)")))
-        .otherwise(date_text_failure(text.unquote(t)))
+        .when(text.is_string(t), date_text_failure(string, trimmed))
+        .when(t != "null", number)
     )
 
 
-def coerce_typed(t: Column, type_: str) -> Column:
-    """A JSON value for a column of ``type_``; null is absent."""
-    t = F.when(t != "null", t)
-    if type_ == "json":
-        return F.when(~t.startswith(NOT_JSON_MARK), t)
-    other = t
+def _typed_other(t: Column, type_: str) -> Column:
+    """A bool, number or list for a column of ``type_``."""
     if type_ in TEXT_TYPES or type_ == "select":
-        other = F.concat(F.lit('"'), t, F.lit('"'))
-    elif type_ == "boolean":
-        zero_one = text.loose(t)
-        other = (
-            F.when(t.isin("true", "false"), t)
-            .when(zero_one == "1", "true")
-            .when(zero_one == "0", "false")
-            .otherwise(t)
-        )
-    if type_ in TEXT_TYPES:
-        from_string = t
-    else:
-        from_string = coerce_text(text.unquote(t), type_)
-    return F.when(typed_failure(t, type_).isNull(), F.when(text.is_string(t), from_string).otherwise(other))
+        return F.concat(F.lit('"'), t, F.lit('"'))
+    if type_ == "boolean":
+        one, zero = r"\A(?:true|1|1\.0)\z", r"\A(?:false|-?0|-?0\.0)\z"
+        return F.when(t.rlike(one), "true").when(t.rlike(zero), "false").otherwise(t)
+    return t
 
 
-def typed_cell(t: Column, type_: str) -> tuple[Column, Column]:
-    failure = typed_failure(F.when(t != "null", t), type_)
-    return coerce_typed(t, type_), failure
+def coerce_typed(t: Column, type_: str, string: Column | None = None, trimmed: Column | None = None) -> Column:
+    """A JSON value for a column of ``type_``; null is absent.
+
+    ``string`` and ``trimmed`` are the unquoted text of ``t`` and its trimmed form
+    where the caller has them as columns.
+    """
+    if type_ == "json":
+        return F.when((t != "null") & ~t.startswith(NOT_JSON_MARK), t)
+    string = text.unquote(t) if string is None else string
+    from_string = t if type_ in TEXT_TYPES else coerce_text(string, type_, trimmed)
+    if type_ == "date":
+        shown = text.strip(string) if trimmed is None else trimmed
+        return F.when(text.is_string(t) & ~shown.rlike(HAS_TIME), from_string)
+    refused = t.startswith("{") if type_ == "multi_select" else t.rlike(r"\A[\[{]")
+    return F.when(text.is_string(t), from_string).when((t != "null") & ~refused, _typed_other(t, type_))
+
+
+def typed_cell(
+    t: Column, type_: str, string: Column | None = None, trimmed: Column | None = None
+) -> tuple[Column, Column]:
+    return coerce_typed(t, type_, string, trimmed), typed_failure(t, type_, string, trimmed)

@@ -131,42 +131,42 @@ def shown_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, shown), ", "), F.lit("]"))
 
 
-def float_text(x: Column) -> Column:
-    """A double as JSON text: plain digits from 1e-4 up to 1e16, else ``1e+16`` form."""
-    text = x.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    parts = F.split(F.ltrim(text, F.lit("-")), "E")
-    mantissa = F.get(parts, F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once, for rare branches that read it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _respell_exponent(shown: Column) -> Column:
+    """``1.5E7`` as plain digits from 1e-4 up to 1e16, else as ``1.5e+17``."""
+    sign = F.when(shown.startswith("-"), "-").otherwise("")
+    parts = F.split(F.ltrim(shown, F.lit("-")), "E")
+    mantissa = F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", "")
     power = F.get(parts, F.lit(1)).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    wide = F.rpad(digits, power + 1, "0")
-    fraction = F.substring(wide, power + 2, F.length(wide))
-    large = F.concat(
-        F.substring(wide, F.lit(1), power + 1),
-        F.lit("."),
-        F.when(fraction == "", "0").otherwise(fraction),
-    )
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    wide = F.rpad(digits, F.greatest(power + 2, F.length(digits)), "0")
+    large = F.concat(F.substring(wide, F.lit(1), power + 1), F.lit("."), F.substring(wide, power + 2, F.length(wide)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"),
+    exponent = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0")
+    scientific = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), exponent)
+    return F.concat(
+        sign, F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
     )
-    exponent = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
-    return F.when(power.isNull(), text).otherwise(F.concat(sign, exponent))
+
+
+def float_text(x: Column) -> Column:
+    """A double as JSON text: plain digits from 1e-4 up to 1e16, else ``1e+16`` form."""
+    shown = x.cast("string")
+    return F.when(shown.contains("E"), let(shown, _respell_exponent)).otherwise(shown)
 
 
 def number_text(token: Column) -> Column:
     """Canonical JSON text of a decimal token; NULL when it is not a finite number."""
-    whole = token.rlike(r"\A[+-]?[0-9]+\z")
-    digits = F.regexp_replace(token, r"\A([+-]?)0+(?=[0-9])", "$1")
-    digits = F.ltrim(digits, F.lit("+"))
-    real = token.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
-    value = F.expr("double('Infinity')")
-    number = F.when(real, token).try_cast("double")
-    return F.when(whole, F.when(digits == "-0", "0").otherwise(digits)).when(
-        real & (F.abs(number) < value), float_text(number)
-    )
+    whole = F.regexp_replace(F.ltrim(token, F.lit("+")), r"\A(-?)0+(?=[0-9])", "$1")
+    real = F.when(token.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), token).try_cast("double")
+    finite = F.when(F.abs(real) < float("inf"), real)
+    return F.when(
+        token.rlike(r"\A[+-]?[0-9]+\z"), F.when(token.rlike(r"\A-0+\z"), "0").otherwise(whole)
+    ).otherwise(float_text(finite))
 
 
 def string_array(t: Column) -> Column:

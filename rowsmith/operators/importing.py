@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.contract import Contract
+from rowsmith.contract import TEXT_TYPES, Contract
 from rowsmith.functions import canon, checks, coerce, text
 from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key
@@ -47,18 +47,30 @@ def map_rows(
             raise ValueError(f"mapping: '{key}' is not a schema column")
         if targets.count(key) > 1:
             raise ValueError(f"mapping: several source columns map to '{key}'")
-    values, failures = {}, []
+    raw, strings, trims, values, failures = {}, {}, {}, {}, []
     for source, key in mapping.items():
         type_ = contract.field(key).type
-        if structured:
-            read = typed if typed is not None and type_ == "json" else cell
-            value, failure = coerce.typed_cell(read(source), type_)
+        c, s, t = (F.col(f"`{mark}:{key}`") for mark in ("raw", "string", "trim"))
+        from_json = structured and type_ == "json"
+        raw[f"raw:{key}"] = typed(source) if from_json and typed is not None else cell(source)
+        if structured and type_ != "json" and type_ not in TEXT_TYPES:
+            strings[f"string:{key}"] = text.unquote(c)
+            trims[f"trim:{key}"] = text.strip(s)
+            value, failure = coerce.typed_cell(c, type_, s, t)
+        elif structured:
+            value, failure = coerce.typed_cell(c, type_)
         else:
-            value, failure = coerce.text_cell(cell(source), type_)
+            trims[f"trim:{key}"] = text.strip(c)
+            value, failure = coerce.text_cell(c, type_, t)
         values[CELL + key] = value
-        if type_ in ("json", "date") or structured:
+        if type_ == "date" or structured:
             failures.append(checks.error_entry(key, failure))
-    return src.withColumns({**values, "failures": checks.collect(failures)})
+    # One projection per step: each later step reads the earlier one's columns
+    # instead of repeating its expressions.
+    staged = src
+    for step in (raw, strings, trims, {**values, "failures": checks.collect(failures)}):
+        staged = staged.withColumns(step) if step else staged
+    return staged.drop(*raw, *strings, *trims)
 
 
 def mapped_keys(mapped: DataFrame) -> list[str]:
@@ -140,9 +152,8 @@ def check_rows(
     key = contract.key_field
     key_error = F.lit(None).cast("string")
     if key is not None:
-        value = text.unquote(cell(key.key))
-        usable = ~F.col("_skip") & ~has_problem & (text.strip(value) != "")
-        rows = rows.withColumn("_claim", F.when(usable, value))
+        usable = ~F.col("_skip") & ~has_problem & (text.strip(F.col("_key")) != "")
+        rows = rows.withColumn("_key", text.unquote(cell(key.key))).withColumn("_claim", F.when(usable, F.col("_key")))
         facts = claims(rows, "_claim", existing).filter((F.col("claimants") > 1) | F.col("taken"))
         rows = attach_by_key(rows, facts, "_claim", "claimants", F.col("row_idx"))
         key_error = F.when(
@@ -169,7 +180,7 @@ def check_rows(
     none = F.array().cast(checks.ERRORS_TYPE)
     rows = rows.withColumn("errors", F.when(F.col("_skip"), none).otherwise(found))
     outcome = F.when(F.col("_skip"), "skipped").when(F.size("errors") > 0, "errored").otherwise("created")
-    return rows.withColumn("outcome", outcome).drop("_skip", "_claim", "first_row", "claimants", "taken")
+    return rows.withColumn("outcome", outcome).drop("_skip", "_key", "_claim", "first_row", "claimants", "taken")
 
 
 def report(df: DataFrame, *keys: str, errors: Column | str = "errors") -> DataFrame:

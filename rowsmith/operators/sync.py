@@ -39,10 +39,10 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
     wanted = [k for k in contract.active_keys if paths is None or k in paths]
     mapped = map_rows(source, {k: k for k in wanted}, contract, lambda k: F.col("rec").getItem(k), structured=True)
     cell = mapped_cells(mapped)
-    value = text.unquote(cell(key.key))
     cleared = F.array_compact(F.array(*[F.when(F.col("rec").getItem(k) == "null", F.lit(k)) for k in wanted]))
-    usable = F.col("problem").isNull() & (text.strip(value) != "")
-    keyed = mapped.withColumn("row_key", F.when(usable, value)).withColumn("cleared", cleared)
+    usable = F.col("problem").isNull() & (text.strip(F.col("_key")) != "")
+    named = mapped.withColumns({"_key": text.unquote(cell(key.key)), "cleared": cleared})
+    keyed = named.withColumn("row_key", F.when(usable, F.col("_key"))).drop("_key")
     first = claims(keyed, "row_key", None).filter(F.col("claimants") > 1)
     joined = attach_by_key(keyed, first, "row_key", "claimants", F.col("row_idx"))
     reason = (
@@ -93,39 +93,38 @@ def plan_sync(
         .join(gone.withColumn("_gone", F.lit(True)), "_join", "left")
     )
 
-    cell = mapped_cells(joined)
     keys = contract.active_keys
+    sent_cell = mapped_cells(joined)
     server = F.col("server_data")
     exists = F.col("server_rev").isNotNull()
+    staged = joined.withColumns(
+        {f"old:{k}": canon.absent(server[k]) for k in keys}
+        | {f"sent:{k}": F.coalesce(sent_cell(k), F.when(F.array_contains("cleared", k), "null")) for k in keys}
+        | {"_sent_hash": canon.row_hash(sent_cell, keys)}
+    )
+    old, sent = (lambda k: F.col(f"`old:{k}`")), (lambda k: F.col(f"`sent:{k}`"))
+    staged = staged.withColumns({f"new:{k}": canon.absent(F.coalesce(sent(k), old(k))) for k in keys})
 
     def merged(k: str) -> Column:
-        kept = F.when(F.array_contains("cleared", k), F.lit(None).cast("string")).otherwise(server.getItem(k))
-        return F.coalesce(cell(k), kept)
-
-    differing = []
-    for k in sorted(keys):
-        before, after = canon.absent(server.getItem(k)), canon.absent(merged(k))
-        touched = cell(k).isNotNull() | F.array_contains("cleared", k)
-        differing.append(
-            F.when(
-                touched & ~before.eqNullSafe(after),
-                F.struct(F.lit(k).alias("field"), before.alias("before"), after.alias("after")),
-            )
+        return F.col(f"`new:{k}`")
+
+    differing = [
+        F.when(
+            sent(k).isNotNull() & ~old(k).eqNullSafe(merged(k)),
+            F.struct(F.lit(k).alias("field"), old(k).alias("before"), merged(k).alias("after")),
         )
+        for k in sorted(keys)
+    ]
     fields = F.array_compact(F.array(*differing)).cast(FIELDS_TYPE)
-    sent = canon.as_map({k: cell(k) for k in keys})
-    data = F.when(~exists, sent).otherwise(
-        F.map_filter(
-            canon.merge_patch(server, sent),
-            lambda k, _: ~F.array_contains("cleared", k) | F.map_contains_key(sent, k),
-        )
-    )
-    rule_errors = checks.row_errors(merged, contract)
-    untouched = F.coalesce(F.col("your_base") == canon.row_hash(cell, keys), F.lit(False))
+    # Fields the contract no longer has stay as they are.
+    retired = F.map_filter(server, lambda k, _: ~k.isin(keys))
+    current_fields = canon.as_map({k: merged(k) for k in keys})
+    data = F.when(exists, F.map_concat(retired, current_fields)).otherwise(current_fields)
+    untouched = F.coalesce(F.col("your_base") == F.col("_sent_hash"), F.lit(False))
     same_rev = F.coalesce(F.col("your_rev") == F.col("server_rev"), F.lit(False))
     skip_deleted = F.lit(not force) & ~exists & F.col("your_rev").isNotNull() & F.col("_gone").isNotNull()
 
-    planned = joined.withColumn("fields", fields).withColumn("_rules", rule_errors)
+    planned = staged.withColumns({"fields": fields, "_rules": checks.row_errors(merged, contract)})
     op = (
         F.when(F.col("reason").isNotNull(), "error")
         .when(skip_deleted, "deleted")
