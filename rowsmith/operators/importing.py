@@ -140,7 +140,14 @@ def check_rows(
 
     Skipped and problem rows claim no key; rows with other errors do. A repeated
     key is reported against its first row and not also as existing.
+
+    With a key column the rows are read twice, so they are written once first: the
+    claim pass then scans two narrow columns, and only keys that are repeated or
+    taken come back to the rows - by broadcast when that set is measured to be
+    small, else by a salted join. Rows without trouble are never shuffled.
     """
+    if contract.key_field is not None:
+        mapped = durable.written(mapped, "mapped")
     cell = mapped_cells(mapped)
     has_problem = F.col("problem").isNotNull() if "problem" in mapped.columns else F.lit(False)
     rows = mapped
@@ -155,6 +162,7 @@ def check_rows(
         usable = ~F.col("_skip") & ~has_problem & (text.strip(F.col("_key")) != "")
         rows = rows.withColumn("_key", text.unquote(cell(key.key))).withColumn("_claim", F.when(usable, F.col("_key")))
         facts = claims(rows, "_claim", existing).filter((F.col("claimants") > 1) | F.col("taken"))
+        facts = durable.written(facts, "claims")
         rows = attach_by_key(rows, facts, "_claim", "claimants", F.col("row_idx"))
         key_error = F.when(
             F.col("row_idx") > F.col("first_row"),

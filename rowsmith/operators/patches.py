@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, text
 from rowsmith.operators.rows import live
+from rowsmith.plans import durable
 from rowsmith.plans.skew import previous_in_group
 
 BLOCK = 512  # arrival numbers per block: bounds every fold
@@ -106,6 +107,7 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK) ->
         .select("id", block.alias("block"), step.alias("step"))
         .groupBy("id", "block").agg(F.array_sort(F.collect_list("step")).alias("steps"))
     )
+    blocks = durable.written(blocks, "patch-blocks")
     first_state = (F.col("rev").cast("bigint") * 2 + F.col("clean").cast("bigint")).alias("start")
     counts = blocks.groupBy("id").agg(F.count("*").alias("n_blocks"))
     begun = counts.join(start.select("id", first_state), "id")
@@ -133,7 +135,8 @@ def judge_patches(
     invalid, unknown_user or key_taken.
 
     ``patches(id, seq, expected_rev, data, status, set_assignee, assignee)``; ``seq``
-    is the arrival number. A key claimed by another live row is refused.
+    is the arrival number. A key claimed by another live row is refused. The
+    result is a written table, as rows, edits and reports all read it.
     """
     current = live(rows).select("id", "rev", F.col("data").alias("row_data"))
     cells = canon.cells_of("row_data")
@@ -175,7 +178,10 @@ def judge_patches(
         .withColumn("has_data", has_data)
         .withColumn("covers", F.coalesce(covers, F.lit(False)))
     )
-    states = start.select("id", "rev", (F.size("broken") == 0).cast("int").alias("clean"))
+    ready = durable.written(ready, "patches")
+    states = ready.groupBy("id").agg(
+        F.first("rev", ignorenulls=True).alias("rev"), F.first(F.size("broken") == 0, ignorenulls=True).cast("int").alias("clean")
+    ).filter(F.col("rev").isNotNull())
     done = accept_patches(ready, states, width)
     outcome = (
         F.when(F.col("rev").isNull(), "not_found")
@@ -186,7 +192,8 @@ def judge_patches(
         .when(~F.col("key_free"), "key_taken")
         .otherwise("conflict")
     )
-    return done.withColumn("outcome", outcome).drop("broken", "known_user", "key_free", "ok", "covers")
+    judged = done.withColumn("outcome", outcome).drop("broken", "known_user", "key_free", "ok", "covers")
+    return durable.written(judged, "judged")
 
 
 def accepted_fields(judged: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rowsmith.functions import canon, checks, text
 from rowsmith.operators.importing import claims, map_rows, mapped_cells, new_rows
 from rowsmith.operators.records import unknown_paths
 from rowsmith.operators.rows import live
+from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key
 
 FIELDS_TYPE = "array<struct<field:string,before:string,after:string>>"
@@ -32,6 +33,7 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
 
     Adds ``row_key``, ``cells``, ``cleared`` (explicit nulls), ``failures`` and
     ``reason``: a problem record, a missing key, or a key an earlier record has.
+    Records are written once, as claims are found in a first pass over them.
     """
     key = contract.key_field
     if key is None:
@@ -42,8 +44,8 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
     cleared = F.array_compact(F.array(*[F.when(F.col("rec").getItem(k) == "null", F.lit(k)) for k in wanted]))
     usable = F.col("problem").isNull() & (text.strip(F.col("_key")) != "")
     named = mapped.withColumns({"_key": text.unquote(cell(key.key)), "cleared": cleared})
-    keyed = named.withColumn("row_key", F.when(usable, F.col("_key"))).drop("_key")
-    first = claims(keyed, "row_key", None).filter(F.col("claimants") > 1)
+    keyed = durable.written(named.withColumn("row_key", F.when(usable, F.col("_key"))).drop("_key"), "records")
+    first = durable.written(claims(keyed, "row_key", None).filter(F.col("claimants") > 1), "claims")
     joined = attach_by_key(keyed, first, "row_key", "claimants", F.col("row_idx"))
     reason = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
