@@ -20,6 +20,8 @@ DATE_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 HAS_TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]"
 NEEDS_JSON = "map this to a json column"
 NOT_JSON_MARK = "!"
+# Types whose coercion reads the trimmed cell; long texts are never trimmed.
+TRIMMED_TYPES = ("select", "multi_select", "number", "boolean", "date")
 
 
 def is_date(c: Column) -> Column:
@@ -80,6 +82,8 @@ def coerce_text(c: Column, type_: str, trimmed: Column | None = None) -> Column:
 
 def text_cell(c: Column, type_: str, trimmed: Column | None = None) -> tuple[Column, Column]:
     """(value, failure) of a raw cell; a whitespace-only cell is absent."""
+    if type_ not in TRIMMED_TYPES:
+        return F.when(text.is_present(c), as_is(c)), F.lit(None).cast("string")
     trimmed = text.strip(c) if trimmed is None else trimmed
     present = trimmed != ""
     if type_ != "date":

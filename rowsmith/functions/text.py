@@ -22,13 +22,13 @@ _JSON_SPACE = (
     r"(?:[ \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     r"|\\[tnrf]|\\u000b|\\u001[c-f])"
 )
+_VISIBLE = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Possessive loops: they never backtrack, so long texts cannot exhaust the stack.
 _BLANK = rf'\A"{_JSON_SPACE}*+"\z'
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 STRING_LIST = rf"\A\[(?:{STRING}(?:,{STRING})*+)?\]\z"
 NUMBER = r"\A-?[0-9]"
 _COMMON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-_SPECIAL = '["\\\\\\x00-\\x1f]'
 _RARE_CONTROL = "[\\x00-\\x07\\x0b\\x0e-\\x1f]"
 
 
@@ -37,6 +37,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def is_present(c: Column) -> Column:
+    """Holds more than whitespace: stops at the first such character."""
+    return c.rlike(_VISIBLE)
+
+
 def _swap(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
@@ -44,8 +49,8 @@ def _swap(c: Column, old: str, new: str) -> Column:
 def quote(c: Column) -> Column:
     """A string column as JSON string text; NULL stays NULL.
 
-    Most texts need no escape and pass after one scan; rare control characters
-    are escaped one character at a time.
+    The engine's own writer does it in one pass. It spells rare control characters
+    with capital hex digits, so only texts that hold one are escaped piecewise.
     """
     common = c
     for raw, escaped in _COMMON_ESCAPES.items():
@@ -54,8 +59,8 @@ def quote(c: Column) -> Column:
         F.regexp_extract_all(common, F.lit("(?s)."), F.lit(0)),
         lambda ch: F.when(ch.rlike(_RARE_CONTROL), F.concat(F.lit("\\u00"), F.lower(F.hex(ch)))).otherwise(ch),
     )
-    escaped = F.when(c.rlike(_RARE_CONTROL), F.array_join(each, "")).otherwise(common)
-    return F.concat(F.lit('"'), F.when(c.rlike(_SPECIAL), escaped).otherwise(c), F.lit('"'))
+    piecewise = F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"'))
+    return F.when(c.rlike(_RARE_CONTROL), piecewise).otherwise(F.to_json(c.cast("variant")))
 
 
 def quoted_literal(text: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.contract import TEXT_TYPES, Contract
+from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, coerce, text
 from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key
@@ -53,15 +53,17 @@ def map_rows(
         c, s, t = (F.col(f"`{mark}:{key}`") for mark in ("raw", "string", "trim"))
         from_json = structured and type_ == "json"
         raw[f"raw:{key}"] = typed(source) if from_json and typed is not None else cell(source)
-        if structured and type_ != "json" and type_ not in TEXT_TYPES:
+        if structured and type_ in coerce.TRIMMED_TYPES:
             strings[f"string:{key}"] = text.unquote(c)
             trims[f"trim:{key}"] = text.strip(s)
             value, failure = coerce.typed_cell(c, type_, s, t)
         elif structured:
             value, failure = coerce.typed_cell(c, type_)
-        else:
+        elif type_ in coerce.TRIMMED_TYPES:
             trims[f"trim:{key}"] = text.strip(c)
             value, failure = coerce.text_cell(c, type_, t)
+        else:
+            value, failure = coerce.text_cell(c, type_)
         values[CELL + key] = value
         if type_ == "date" or structured:
             failures.append(checks.error_entry(key, failure))

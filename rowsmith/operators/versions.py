@@ -127,7 +127,9 @@ def cut_version(
     from rowsmith.sources import snapshots
 
     spark = rows.sparkSession
-    chosen = in_snapshot_order(snapshot(rows, contract, include_unapproved))
+    # Rows are put in order first: range boundaries are sampled from a first pass,
+    # which then does not have to build the lines.
+    chosen = snapshot(in_snapshot_order(selection(rows, include_unapproved)), contract, include_unapproved)
     if selection(rows, include_unapproved).isEmpty():
         raise ValueError("no rows match the selection; a version cannot be empty")
     snapshots.write_snapshot(chosen, root, name, version)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract, Field
 from rowsmith.functions import canon, text
+from rowsmith.sources.tables import read_table
 
 REVIEW = """
 SELECT concat('doc-', d.doc_id) AS id, d.text AS body, d.lang AS lang, d.source AS source, d.n_chars AS n_chars,
@@ -214,13 +215,17 @@ def plain(sql: str) -> str:
     return _TABLE.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Inputs that carry many cells per row through coercion and rules.
+HEAVY = (REVIEW, DIRTY, V1, V2)
+
+
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", spread)
 
 
 def load(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     names = set(_TABLE.findall(sql))
-    return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
+    return spark.sql(sql, **{n: table(spark, folder, n, sql in HEAVY and n != "labels") for n in names})
 
 
 def _at(seq: Column) -> Column:

@@ -1,0 +1,19 @@
+"""Parquet tables as inputs of CPU-heavy work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table; with ``spread`` a scan with fewer splits than cores is spread.
+
+    A large table has far more splits than cores and is read as it is. Only a table
+    stored in few row groups pays one round-robin shuffle, so that the rules run
+    over it use every core.
+    """
+    scan = spark.read.parquet(path)
+    if not spread:
+        return scan
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions import coerce, text
 
-STRINGS = ["a", "", 'q"x\\y', "n\nt\tr\rb\bf\f", "\x01\x1f\x0b\x00z\x7f", "é😀\u2028", "\\u001F\x1f", "mix\x02\"\\\n", "  x "]
+STRINGS = ["a", "", 'q"x\\y', "n\nt\tr\rb\bf\f", "\x01\x1f\x0b\x00z\x7f", "é😀\u2028", "\\u001F\x1f", "mix\x02\"\\\n", "  x ", "a/b </s>", "\x7f\u2029", "x" * 5000]
 
 
 def test_quote_and_unquote_match_json(spark):
@@ -23,6 +23,12 @@ def test_strip_removes_unicode_whitespace(spark):
     assert [r.t for r in got] == [s.strip() for s in raw]
 
 
+def test_is_present_agrees_with_strip(spark):
+    raw = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(s,) for s in raw], "s string").select("s", text.is_present(F.col("s")).alias("p")).collect()
+    assert [r.s for r in rows if r.p != (r.s.strip() != "")] == []
+
+
 def test_blank_reads_escaped_whitespace(spark):
     raw = ["", " ", "\n\t\u3000\x1c", "x", "\\n", " a"]
     rows = spark.createDataFrame([(s,) for s in raw], "s string").select(text.is_blank(text.quote(F.col("s"))).alias("b")).collect()
