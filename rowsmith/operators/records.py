@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.functions import records
+from rowsmith.contract import Contract
+from rowsmith.functions import records, text
 from rowsmith.plans.skew import attach_by_key
 from rowsmith.sources.yaml_files import Refused, locate
 
@@ -178,6 +180,56 @@ def flatten_records(recs: DataFrame, leaves: Iterable[str] = ()) -> DataFrame:
     )
 
 
+def known_cells(recs: DataFrame, contract: Contract) -> DataFrame:
+    """Add ``json:<key>`` per active column: the canonical text at its path.
+
+    The contract names every path, so a line is parsed once in the engine and each
+    path is read from it. Lines whose keys could collide with dotted paths, and
+    contracts with unusual key characters, go through ``flatten_records`` instead;
+    both give the same texts and problems. Only a list of other things than strings
+    is spelled loosely outside json columns, where it is refused in any case.
+    """
+    keys = contract.active_keys
+    flat = recs if "problem" in recs.columns else recs.withColumn("problem", F.lit(None).cast("string"))
+    native = all(re.fullmatch(records.PLAIN_KEY, k) for k in keys)
+    odd = F.coalesce(F.col("line").rlike(records.ODD_LINE), F.lit(False)) if native else F.lit(True)
+    readable = F.col("problem").isNull()
+    flat = flat.withColumn("_odd", readable & odd)
+    flat = flat.withColumn("_flat", records.flatten_udf(contract.json_keys)(F.when(F.col("_odd"), F.col("line"))))
+    slow_problem = F.when(F.col("_odd"), F.col("_flat.problem"))
+    slow = F.map_from_arrays("_flat.paths", "_flat.texts")
+    flat = flat.withColumns(
+        {
+            "problem": F.coalesce("problem", slow_problem),
+            "_rec": F.when(F.col("_odd"), slow),
+            "_v": F.try_parse_json(F.when(readable & ~F.col("_odd"), F.col("line"))),
+        }
+    )
+    whole = [k for k in keys if not any(k.startswith(j + ".") for j in contract.json_keys)]
+    at = {k: F.col(f"`at:{k}`") for k in whole}
+    kind = {k: F.col(f"`kind:{k}`") for k in whole}
+    flat = flat.withColumns({f"at:{k}": F.try_variant_get("_v", records.variant_path(k), "variant") for k in whole})
+    flat = flat.withColumns({f"kind:{k}": F.schema_of_variant(at[k]) for k in whole})
+    cells = {}
+    for k in keys:
+        found = F.col("_rec")[k]
+        if native and k in whole:
+            nested = F.to_json(at[k])
+            if k in contract.json_keys:
+                raw = F.get_json_object("line", "$" + "".join(f"['{p}']" for p in k.split(".")))
+                nested = text.canonical_nested(F.when(kind[k].rlike(r"\A(ARRAY|OBJECT)"), raw))
+            else:
+                nested = F.when(kind[k].startswith("ARRAY") | (kind[k] == "OBJECT<>"), nested)
+            found = F.coalesce(found, records.scalar_text(at[k], kind[k]), nested)
+        cells[f"json:{k}"] = F.when(F.col("problem").isNull(), found)
+    flat = flat.withColumns(cells)
+    return flat.drop("_odd", "_flat", "_rec", "_v", *[f"{p}:{k}" for k in whole for p in ("at", "kind")])
+
+
+def known_cell(key: str) -> Column:
+    return F.col(f"`json:{key}`")
+
+
 def discover_paths(flat: DataFrame) -> DataFrame:
     """Distinct paths in first-seen order: ``(path, first_row, position)``."""
     seen = flat.select("row_idx", F.posexplode("paths").alias("pos", "path"))
@@ -194,7 +246,5 @@ def unknown_paths(flat: DataFrame, active_keys: Iterable[str]) -> DataFrame:
 
 def usable_keys(flat: DataFrame, key: str) -> DataFrame:
     """The key values of a file that can name rows: non-empty strings."""
-    from rowsmith.functions import text
-
     value = text.unquote(F.col("rec").getItem(key))
     return flat.filter(value != "").select("row_idx", value.alias("row_key"))

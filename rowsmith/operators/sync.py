@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, text
 from rowsmith.operators.importing import claims, map_rows, mapped_cells, new_rows
-from rowsmith.operators.records import unknown_paths
+from rowsmith.operators.records import known_cell, unknown_paths
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key
@@ -31,6 +31,8 @@ class SyncResult:
 def read_records(source: DataFrame, contract: Contract, paths: list[str] | None = None) -> DataFrame:
     """``source(row_idx, rec, problem)`` to keyed records.
 
+    A source read with ``records.known_cells`` needs no ``rec``.
+
     Adds ``row_key``, ``cells``, ``cleared`` (explicit nulls), ``failures`` and
     ``reason``: a problem record, a missing key, or a key an earlier record has.
     Records are written once, as claims are found in a first pass over them.
@@ -39,9 +41,10 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
     if key is None:
         raise ValueError("dataset has no key column; mark one in the schema first")
     wanted = [k for k in contract.active_keys if paths is None or k in paths]
-    mapped = map_rows(source, {k: k for k in wanted}, contract, lambda k: F.col("rec").getItem(k), structured=True)
+    sent = (lambda k: F.col("rec")[k]) if "rec" in source.columns else known_cell
+    mapped = map_rows(source, {k: k for k in wanted}, contract, sent, structured=True)
     cell = mapped_cells(mapped)
-    cleared = F.array_compact(F.array(*[F.when(F.col("rec").getItem(k) == "null", F.lit(k)) for k in wanted]))
+    cleared = F.array_compact(F.array(*[F.when(sent(k) == "null", F.lit(k)) for k in wanted]))
     usable = F.col("problem").isNull() & (text.strip(F.col("_key")) != "")
     named = mapped.withColumns({"_key": text.unquote(cell(key.key)), "cleared": cleared})
     keyed = durable.written(named.withColumn("row_key", F.when(usable, F.col("_key"))).drop("_key"), "records")

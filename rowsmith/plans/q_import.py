@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsmith.contract import Contract, Field
 from rowsmith.functions import canon, text
 from rowsmith.operators import importing, versions
+from rowsmith.operators.records import known_cell, known_cells
 from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.q_cells import MAPPED, REASONS, D, dirty, mapped_dirty
+from rowsmith.plans.q_sources import _KIND
 from rowsmith.plans.q_versions import REVIEW_LINE, TREE, R
 from rowsmith.plans.registry import query
+from rowsmith.sources import readers
+
+LINE_CONTRACT = Contract.of(
+    Field("id", "text", "Id", required=True, is_key=True), Field("props", "json", "Props", required=True)
+)
 
 _EXISTS = f"x AS ({plain(inputs.EXISTING)})"
 # Rows that claim a key, the first claimant per key, then the key errors.
@@ -119,6 +127,25 @@ def rows_after_import(spark, d):
     return table.select("row_key", "status", "rev", canon.object_text(canon.cells_of("data"), keys).alias("data"))
 
 
+_LINES = f"""b AS ({plain(inputs.BAD)}), k AS (SELECT row_idx, line, {_KIND} AS problem FROM b)"""
+
+
+@query(
+    "m06_import_jsonl",
+    f"""WITH {_LINES} SELECT row_idx, CASE WHEN problem IS NULL AND line LIKE '%"props"%' THEN 'created' ELSE 'errored' END AS outcome,
+     CASE WHEN problem = 'invalid JSON' THEN concat('line ', row_idx, ': invalid JSON') WHEN problem IS NOT NULL THEN problem WHEN line NOT LIKE '%"props"%' THEN 'required' END AS reason,
+     CASE WHEN problem IS NULL AND line LIKE '%"props"%' THEN (line->'$.props')::VARCHAR END AS props FROM k""",
+)
+def import_jsonl(spark, d):
+    """JSON Lines records read, mapped and checked inside the engine."""
+    lines = load(spark, d, inputs.BAD)
+    read = known_cells(readers.check_lines(lines, F.col("line"), F.col("row_idx")), LINE_CONTRACT)
+    mapped = importing.map_rows(read, {"id": "id", "props": "props"}, LINE_CONTRACT, known_cell, structured=True)
+    checked = importing.check_rows(mapped, LINE_CONTRACT)
+    kept = F.when(F.col("outcome") == "created", F.replace(F.col("`cell:props`"), F.lit(" "), F.lit("")))
+    return checked.select("row_idx", "outcome", F.get("errors", F.lit(0))["reason"].alias("reason"), kept.alias("props"))
+
+
 # --- Flagship: import, validate, split, cut, diff ------------------------
 
 

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.contract import Contract, Field
 from rowsmith.plans import inputs
 from rowsmith.plans.inputs import load, plain
+from rowsmith.plans.q_import import LINE_CONTRACT
 from rowsmith.plans.q_sources import _KIND, BAD, _files
 from rowsmith.plans.q_versions import R, folder_for
 from rowsmith.plans.registry import query
 from rowsmith.streaming import imports, patches
 
-EVENT_CONTRACT = Contract.of(Field("id", "text", "Id", required=True, is_key=True), Field("props", "json", "Props", required=True))
-
-
 @query(
     "t01_stream_import",
     f"""WITH {BAD}, k AS (SELECT line, CASE WHEN {_KIND} IS NOT NULL THEN '' WHEN line NOT LIKE '%"props"%' THEN 'props' END AS "column",
@@ -26,7 +23,7 @@ def stream_import(spark: SparkSession, d: str) -> DataFrame:
     """Valid rows have no reason; quarantined lines name theirs."""
     source = _files(load(spark, d, inputs.BAD), folder_for(spark, "stream-in"))
     good, bad, state = (folder_for(spark, n) for n in ("stream-good", "stream-bad", "stream-state"))
-    imports.start_import(spark, f"{source}/*", EVENT_CONTRACT, good, bad, state).awaitTermination()
+    imports.start_import(spark, f"{source}/*", LINE_CONTRACT, good, bad, state).awaitTermination()
     none = F.lit(None).cast("string")
     valid = spark.read.parquet(good).select("line", none.alias("column"), none.alias("reason"))
     return valid.unionByName(spark.read.parquet(bad).select("line", "column", "reason"))

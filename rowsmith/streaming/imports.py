@@ -9,16 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from rowsmith.contract import Contract
 from rowsmith.functions import checks, records, text
 from rowsmith.operators.importing import data_of, map_rows, mapped_cells
-from rowsmith.operators.records import flatten_records
+from rowsmith.operators.records import known_cell, known_cells
 
 
 def check_stream(lines: DataFrame, contract: Contract) -> DataFrame:
     """``lines(line)`` to ``(line, data, errors)``; stateless, so it runs on any stream."""
     kept = lines.filter(text.strip(F.col("line")) != "")
     marked = kept.withColumn("problem", records.line_problem(F.col("line"), F.lit(0)))
-    flat = flatten_records(marked, contract.json_keys)
     mapping = {k: k for k in contract.active_keys}
-    mapped = map_rows(flat, mapping, contract, lambda k: F.col("rec").getItem(k), structured=True)
+    mapped = map_rows(known_cells(marked, contract), mapping, contract, known_cell, structured=True)
     failed = F.transform("failures", lambda e: e["column"])
     rules = F.filter(
         checks.row_errors(mapped_cells(mapped), contract), lambda e: ~F.array_contains(failed, e["column"])

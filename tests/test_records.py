@@ -204,3 +204,44 @@ def test_draft_contract(spark):
     assert contract.key_field.key == "id" and contract.field("tags").options == ("x", "y")
     assert contract.field("meta.deep-label_x").label == "Deep label x"
     assert warnings == ["note: only nulls seen - check type"]
+
+
+def test_known_cells_equal_flattened_cells(spark):
+    from rowsmith.contract import Contract, Field
+
+    contract = Contract.of(
+        Field("a"), Field("b.c", "number"), Field("b.d.e"), Field("j", "json"), Field("k.j", "json"), Field("t", "multi_select", options=("x",)), Field("gone.x"),
+    )
+    contract = Contract(contract.fields + (Field("gone", "json", archived=True),))
+    rng = random.Random(7)
+    leaves = [1, 1.0, 1.5, -0.0, 1e22, 12345678901234567890, 0.1, 1e-7, True, None, "x", "", "é\n\"q\"", "a.b", "\x1f", [], ["x", "y"], [1.0, {"z": 1, "a": None}], {}, {"q": 1.0}]
+
+    def some():
+        return rng.choice(leaves)
+
+    lines = []
+    for _ in range(400):
+        r = {}
+        for name in ("a", "j", "t", "u", "gone"):
+            if rng.random() < 0.7:
+                r[name] = some()
+        if rng.random() < 0.8:
+            r["b"] = rng.choice([{"c": some(), "d": {"e": some()}}, {"d": some()}, some()])
+        if rng.random() < 0.5:
+            r["k"] = {"j": some()}
+        if rng.random() < 0.2:
+            r[rng.choice(["b.c", "b.d.e", "k.j", "a..b", ""])] = some()
+        lines.append(json.dumps(r, ensure_ascii=rng.random() < 0.3))
+    lines += ["[1]", '{"a":1', '{"a":1,"a":2}', '{"a":1} x', '{"b":{"c":1,"c":2}}', '{"a": 1.50, "b": {"c": 1E3}, "j": [1.50, 1e3]}']
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "row_idx bigint, line string")
+    flat = {r.row_idx: r for r in ops.flatten_records(df, contract.json_keys).collect()}
+    checked = readers.check_lines(df, F.col("line"), F.col("row_idx"))
+    for r in ops.known_cells(checked, contract).collect():
+        want = flat[r.row_idx]
+        assert (r.problem or "").split(": ")[-1] == (want.problem or "").split(": ")[-1], r.line
+        for k in contract.active_keys:
+            got, exact = r[f"json:{k}"], (want.rec or {}).get(k)
+            if k not in contract.json_keys and (exact or "").startswith("[1.0"):
+                assert got.startswith("[1")  # refused by every such column whatever it holds
+            else:
+                assert got == exact, (r.line, k)

@@ -30,6 +30,24 @@ def source(spark, records):
     return ops.flatten_records(spark.createDataFrame(lines, "row_idx bigint, line string"), CONTRACT.json_keys)
 
 
+def native_source(spark, records):
+    from rowsmith.sources import readers
+
+    lines = [(i, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records, 1)]
+    df = spark.createDataFrame(lines, "row_idx bigint, line string")
+    return ops.known_cells(readers.check_lines(df, F.col("line"), F.col("row_idx")), CONTRACT)
+
+
+def test_native_reader_gives_the_same_plan(spark):
+    rows, state = base(spark)
+    records = changed(BASE, "a", expected={"answer": None, "score": 1.0}, meta={"z": 1, "a": [1.50]}) + [{"id": "n"}, "[1]", {"id": "a"}]
+    plans = []
+    for read in (source, native_source):
+        plan = sync.plan_sync(read(spark, records), rows, state, CONTRACT)
+        plans.append(sorted(str((r.row_idx, r.row_key, r.op, r.fields, r.errors, r.data)) for r in plan.collect()))
+    assert plans[0] == plans[1]
+
+
 def empty_state(spark):
     return spark.createDataFrame([], "row_key string, rev int, base_hash string")
 
