@@ -225,7 +225,8 @@ def apply_patches(rows: DataFrame, judged: DataFrame, contract: Contract, user:
     last = took.groupBy("id", "field").agg(F.max_by(F.struct(F.col("new_value").alias("v")), "seq").alias("_last"))
     pairs = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "_last"))).alias("_set"))
     bumps = judged.filter(F.col("outcome") == "accepted").groupBy("id").agg(F.count("*").cast("int").alias("_bumps"))
-    joined = rows.join(bumps.join(pairs, "id", "left"), "id", "left")
+    updates = durable.written(bumps.join(pairs, "id", "left"), "patch-updates")
+    joined = rows.join(updates, "id", "left")
     fields = F.map_filter("_set", lambda k, _: k.startswith("data."))
     fields = F.transform_keys(fields, lambda k, _: F.substring(k, F.lit(6), F.length(k)))
     fields = F.transform_values(fields, lambda _, v: v["v"])

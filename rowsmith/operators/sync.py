@@ -200,8 +200,13 @@ def is_blocked(plan: DataFrame) -> bool:
 
 
 def updated_rows(plan: DataFrame, rows: DataFrame, user: str, at: Column) -> DataFrame:
-    """The rows table after the plan's updates; an approved row goes back to review."""
+    """The rows table after the plan's updates; an approved row goes back to review.
+
+    The updates are written first: their measured size decides whether the rows
+    table has to be shuffled at all.
+    """
     updates = plan.filter(F.col("op") == "update").select(F.col("row_id").alias("id"), F.col("data").alias("_data"))
+    updates = durable.written(updates, "updates")
     joined = rows.join(updates, "id", "left")
     hit = F.col("_data").isNotNull()
     out = {

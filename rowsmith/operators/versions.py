@@ -11,6 +11,7 @@ from rowsmith.contract import Contract
 from rowsmith.functions import canon
 from rowsmith.operators.contracts import diff_contract
 from rowsmith.operators.rows import live
+from rowsmith.plans import durable
 
 LEAVES_PER_BUCKET = 4_096  # bounds every hash group, at any row count
 EXACT_MAX_ROWS = 100_000
@@ -27,11 +28,16 @@ def selection(rows: DataFrame, include_unapproved: bool = False) -> DataFrame:
 
 
 def snapshot(rows: DataFrame, contract: Contract, include_unapproved: bool = False) -> DataFrame:
-    """``(id, status, data, created_at, line)`` with only active contract fields."""
+    """``(id, status, data, created_at, line, leaf)`` with only active contract fields.
+
+    ``leaf`` is the sha256 of the line. Stored beside it, it lets hashing and
+    diffing read two narrow columns instead of whole rows.
+    """
     keys = contract.active_keys
     chosen = selection(rows, include_unapproved)
     line = canon.canonical_line(canon.cells_of("data"), keys, F.col("id"), F.col("status"))
-    return chosen.select("id", "status", canon.prune(F.col("data"), keys).alias("data"), "created_at", line.alias("line"))
+    lined = chosen.select("id", "status", canon.prune(F.col("data"), keys).alias("data"), "created_at", line.alias("line"))
+    return lined.withColumn("leaf", F.sha2("line", 256))
 
 
 def in_snapshot_order(snap: DataFrame) -> DataFrame:
@@ -48,16 +54,18 @@ def _bucket(leaf: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(leaf, 1, 12), 16, 10).cast("bigint"), F.lit(buckets))
 
 
-def tree_hash(snap: DataFrame, buckets: int, by: tuple[str, ...] = ()) -> DataFrame:
+def tree_hash(snap: DataFrame, buckets: int, by: tuple[str, ...] = (), stored: bool = False) -> DataFrame:
     """``(content_hash, row_count)`` of a snapshot, or of each ``by`` group.
 
     Leaf = sha256 of a line; its first digits choose the bucket, which spreads
     evenly whatever the data. A bucket hashes its leaves in (created_at, id)
     order, and buckets are combined ``LEAVES_PER_BUCKET`` at a time up to one
     root, so no task ever holds more than one bucket. The result does not depend
-    on partitioning.
+    on partitioning. Leaves are computed from the lines unless ``stored`` says to
+    trust the snapshot's own ``leaf`` column.
     """
-    leaves = snap.select(*by, "created_at", "id", F.sha2("line", 256).alias("h"))
+    leaf = F.col("leaf") if stored else F.sha2("line", 256)
+    leaves = snap.select(*by, "created_at", "id", leaf.alias("h"))
     level = leaves.groupBy(*by, _bucket(F.col("h"), buckets).alias("b")).agg(
         F.array_sort(F.collect_list(F.struct("created_at", "id", "h"))).alias("_l"), F.count("*").alias("n")
     )
@@ -89,7 +97,7 @@ def exact_hash(snap: DataFrame, max_rows: int = EXACT_MAX_ROWS) -> str:
 def content_hash(snap: DataFrame, row_count: int, mode: str = "tree") -> str:
     if mode == "exact":
         return exact_hash(snap)
-    return tree_hash(snap, buckets_for(row_count)).first().content_hash
+    return tree_hash(snap, buckets_for(row_count), stored="leaf" in snap.columns).first().content_hash
 
 
 def next_versions(datasets: DataFrame, versions: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def cut_version(
 
 
 def verify(spark: SparkSession, root: str, name: str, version: int) -> tuple[bool, str]:
-    """Recompute a stored version's hash and compare it to the manifest."""
+    """Recompute a stored version's hash from its lines and compare it to the manifest."""
     from rowsmith.sources import snapshots
 
     manifest = snapshots.read_manifest(spark, root, name, version).first()
@@ -206,6 +214,20 @@ def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     ).filter(F.col("change").isNotNull())
 
 
+def diff_stored(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``diff_rows`` of two stored snapshots, reading whole rows only where they differ.
+
+    Ids and leaf hashes of both versions are joined first. Versions mostly agree,
+    so the ids left over are few: both sides are then filtered by them (broadcast
+    when measured small) and only those rows are compared field by field.
+    """
+    left = a.select("id", F.col("leaf").alias("_x"))
+    right = b.select("id", F.col("leaf").alias("_y"))
+    differing = left.join(right, "id", "full_outer").filter(~F.col("_x").eqNullSafe(F.col("_y"))).select("id")
+    differing = durable.written(differing, "differing")
+    return diff_rows(a.join(differing, "id", "left_semi"), b.join(differing, "id", "left_semi"))
+
+
 def field_changes(diff: DataFrame) -> DataFrame:
     """``(id, field, old, new)`` of modified rows, fields by name."""
     return diff.filter(F.col("change") == "modified").select("id", F.explode("changes").alias("_c")).select(

@@ -179,6 +179,21 @@ def diff_versions(spark, d):
     return diff.select("id", "change", "old_status", "new_status", F.size("changes").cast("bigint").alias("n_changes"))
 
 
+_DIFF_IDS = f"""WITH {AB} SELECT coalesce(a.id, b.id) AS id,
+    CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'modified' END AS change
+    FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR {_MODIFIED}"""
+
+
+@query("m15_diff_stored", _DIFF_IDS)
+def diff_stored(spark, d):
+    """Two versions as stored: whole rows are read only where the leaves differ."""
+    root = folder_for(spark, "diff")
+    for number, snap in enumerate(_pair(spark, d), start=1):
+        snapshots.write_snapshot(snap, root, "orders", number)
+    a, b = (snapshots.read_snapshot(spark, root, "orders", n) for n in (1, 2))
+    return versions.diff_stored(a, b).select("id", "change")
+
+
 @query("j07_match_rows", f"WITH {AB} SELECT coalesce(a.id, b.id) AS id, a.status AS old_status, b.status AS new_status FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status <> b.status")
 def match_rows(spark, d):
     a, b = _pair(spark, d)

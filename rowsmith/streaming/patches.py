@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,20 +14,18 @@ STATE_SCHEMA = "rev int"
 
 
 def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rev = state.get[0] if state.exists else None
-    waiting = sorted(
-        (tuple(r) for b in batches for r in b[["seq", "expected_rev", "status", "start_rev"]].itertuples(index=False)),
-        key=lambda r: r[0],
-    )
-    out = []
-    for seq, expected, status, start in waiting:
-        rev = int(start) if rev is None else rev
-        accepted = expected == rev
-        rev += accepted
-        out.append((key[0], seq, expected, status, bool(accepted), rev))
-    if rev is not None:
-        state.update((rev,))
-    yield pd.DataFrame(out, columns=["id", "seq", "expected_rev", "status", "accepted", "rev"])
+    patches = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    rev = int(state.get[0] if state.exists else patches["start_rev"].iloc[0])
+    accepted = np.zeros(len(patches), dtype=bool)
+    after = np.empty(len(patches), dtype=np.int64)
+    for i, expected in enumerate(patches["expected_rev"].to_numpy()):
+        if expected == rev:
+            accepted[i] = True
+            rev += 1
+        after[i] = rev
+    state.update((rev,))
+    out = patches.assign(id=key[0], accepted=accepted, rev=after)
+    yield out[["id", "seq", "expected_rev", "status", "accepted", "rev"]]
 
 
 def accept_stream(patches: DataFrame) -> DataFrame:
