@@ -432,7 +432,7 @@ def target_syntax(spark, d):
 @query("w02_file_order", f"WITH {D} SELECT name, 1704067200000000 + row_idx AS created_micros FROM d")
 def file_order(spark, d):
     """created_at is the start plus the row number in microseconds: no window."""
-    started = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    started = F.timestamp_micros(F.lit(1_704_067_200_000_000))
     made = importing.new_rows(dirty(spark, d), F.create_map().cast("map<string,string>"), F.col("name"), "events", "u1", started)
     return made.select(F.col("row_key").alias("name"), F.unix_micros("created_at").alias("created_micros"))
 

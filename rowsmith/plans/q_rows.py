@@ -181,10 +181,10 @@ def row_history(spark, d):
     return rows.history(rows.live(review(spark, d)), load(spark, d, inputs.COMMENTS)).select("row_id", "event_id", "user_id", "body")
 
 
-@query("l07_comments_by_time", f"WITH c AS ({plain(inputs.COMMENTS)}) SELECT row_id, event_id, epoch_us(c.at) AS at_micros FROM c")
+@query("l07_comments_by_time", f"WITH c AS ({plain(inputs.COMMENTS)}) SELECT row_id, event_id, strftime(c.at, '%Y-%m-%d %H:%M:%S') AS at FROM c")
 def comments_by_time(spark, d):
     comments = load(spark, d, inputs.COMMENTS)
-    return comments.orderBy("at", "event_id").select("row_id", "event_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_micros"))
+    return comments.orderBy("at", "event_id").select("row_id", "event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 # --- Patches ------------------------------------------------------------
