@@ -164,7 +164,6 @@ def check_rows(
         usable = ~F.col("_skip") & ~has_problem & (text.strip(F.col("_key")) != "")
         rows = rows.withColumn("_key", text.unquote(cell(key.key))).withColumn("_claim", F.when(usable, F.col("_key")))
         facts = claims(rows, "_claim", existing).filter((F.col("claimants") > 1) | F.col("taken"))
-        facts = durable.written(facts, "claims")
         rows = attach_by_key(rows, facts, "_claim", "claimants", F.col("row_idx"))
         key_error = F.when(
             F.col("row_idx") > F.col("first_row"),

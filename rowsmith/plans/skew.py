@@ -5,14 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64  # at most this many keys are broadcast and salted
+from rowsmith.plans import durable
+
+HOT_KEYS = 64  # at most this many keys are salted
 SALTS = 256  # tasks that share one hot key
+BROADCAST_ROWS = 200_000  # facts up to this count ...
+BROADCAST_KEY_BYTES = 16 * 1024 * 1024  # ... and this many bytes of keys are broadcast
+
+
+def is_small(facts: DataFrame, key: str) -> bool:
+    """Measured, not estimated: the facts are few and their keys short."""
+    size = facts.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("b")
+    ).first()
+    return size.n <= BROADCAST_ROWS and size.b <= BROADCAST_KEY_BYTES
 
 
 def attach_by_key(
     rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left"
 ) -> DataFrame:
-    """Join ``facts`` (one row per key, ``weight`` = rows of that key) onto ``rows``.
+    """Join ``facts`` (one short row per key, ``weight`` = rows of that key) onto ``rows``.
+
+    The facts are written first and measured. A small set is broadcast, and the
+    rows are not shuffled at all. A larger one is joined by key with its heaviest
+    keys salted, which holds when one key has any share of the rows.
+    """
+    facts = durable.written(facts, "facts")
+    if is_small(facts, key):
+        return rows.join(F.broadcast(facts), key, how)
+    return attach_salted(rows, facts, key, weight, spread, how)
+
+
+def attach_salted(
+    rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left"
+) -> DataFrame:
+    """The join of ``attach_by_key`` for facts of any size.
 
     The heaviest keys are found among the facts themselves (top ``HOT_KEYS`` by
     weight, so what is broadcast is bounded) and are salted: their rows go to
@@ -27,27 +54,14 @@ def attach_by_key(
         .limit(HOT_KEYS)
         .select("_hot")
     )
-    salted_rows = (
-        rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))
-            ).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("_hot")
-    )
-    salted_facts = (
-        facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    is_hot = F.col("_hot").isNotNull()
+    salted_rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0))
     )
-    return salted_rows.join(salted_facts, [key, "_salt"], how).drop("_salt")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_facts = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies))
+    return salted_rows.drop("_hot").join(salted_facts.drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
 def previous_in_group(

@@ -9,7 +9,7 @@ from rowsmith.contract import Contract, Field
 from rowsmith.functions import checks
 from rowsmith.operators import contracts, patches, rows
 from rowsmith.operators.importing import ROW_COLUMNS
-from rowsmith.plans.skew import attach_by_key, previous_in_group
+from rowsmith.plans.skew import attach_by_key, attach_salted, previous_in_group
 
 CONTRACT = Contract.of(Field("id", required=True, is_key=True), Field("q", required=True), Field("n", "number"))
 SCHEMA = ", ".join(f"{k} {v}" for k, v in ROW_COLUMNS.items())
@@ -144,11 +144,29 @@ def test_attach_by_key_keeps_every_row(spark):
         "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 100)).alias("k")
     )
     facts = df.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
-    joined = attach_by_key(df, facts, "k", "n", F.col("id"))
-    assert joined.count() == 20_000
-    assert joined.filter("k = 'hot'").select("n").distinct().collect()[0].n == facts.filter("k = 'hot'").first().n
-    assert joined.filter("k IS NULL AND n IS NOT NULL").count() == 0
-    assert attach_by_key(df, facts, "k", "n", F.col("id"), "inner").count() == df.filter("k IS NOT NULL").count()
+    for attach in (attach_by_key, attach_salted):
+        joined = attach(df, facts, "k", "n", F.col("id"))
+        assert joined.count() == 20_000
+        assert joined.filter("k = 'hot'").select("n").distinct().collect()[0].n == facts.filter("k = 'hot'").first().n
+        assert joined.filter("k IS NULL AND n IS NOT NULL").count() == 0
+        assert attach(df, facts, "k", "n", F.col("id"), "inner").count() == df.filter("k IS NOT NULL").count()
+
+
+def test_salting_spreads_a_hot_key(spark):
+    df = spark.range(4_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    facts = df.groupBy("k").agg(F.count("*").alias("n"))
+    salted = attach_salted(df, facts.filter("n > 1"), "k", "n", F.col("id"))
+    assert salted.filter("n IS NOT NULL").count() == df.filter("k = 'hot'").count()
+
+
+def test_large_fact_sets_are_not_broadcast(spark, monkeypatch):
+    from rowsmith.plans import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    df = spark.range(300).select("id", F.concat(F.lit("k"), F.col("id") % 100).alias("k"))
+    facts = df.groupBy("k").agg(F.count("*").alias("n"))
+    assert not skew.is_small(facts, "k")
+    assert attach_by_key(df, facts, "k", "n", F.col("id")).filter("n = 3").count() == 300
 
 
 @pytest.mark.parametrize("width", [1, 4, 1000])
