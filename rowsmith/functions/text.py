@@ -185,12 +185,19 @@ def array_text(items: Column) -> Column:
 
 
 def loose(t: Column) -> Column:
-    """A text that is equal for loosely equal values: 1, 1.0 and true are the same."""
+    """A text that is equal for loosely equal values: 1, 1.0 and true are the same.
+
+    Inside containers 1 and 1.0 are the same, too.
+    """
+    whole = F.regexp_replace(F.regexp_replace(t, r"\.0\z", ""), r"\A-0\z", "0")
     return (
-        F.when(t == "true", "1")
+        F.when(is_string(t), t)
+        .when(t == "true", "1")
         .when(t == "false", "0")
         .when(t == "null", F.lit(None).cast("string"))
-        .when(t.rlike(r"\A-?[0-9]+\.0\z"), F.regexp_replace(F.regexp_replace(t, r"\.0\z", ""), r"\A-0\z", "0"))
+        .when(t.rlike(r"\A[\[{]"), F.coalesce(F.to_json(F.try_parse_json(t)), t))
+        .when(t.rlike(r"\A-?[0-9]+\.0\z"), whole)
+        .when(t.rlike(r"\A-?[0-9.]+e\+[0-9]+\z"), F.coalesce(t.try_cast("decimal(38,0)").cast("string"), t))
         .otherwise(t)
     )
 

@@ -262,7 +262,7 @@ def patch_edits(rows: DataFrame, judged: DataFrame, user: str, at: Column) -> Da
     initial = (
         F.when(F.col("field") == "status", text.quote(F.col("_s")))
         .when(F.col("field") == "assignee", text.quote(F.col("_u")))
-        .otherwise(F.col("_data").getItem(name))
+        .otherwise(F.col("_data")[name])
     )
     old = F.when(F.col("_before").isNotNull(), F.col("_before.v")).otherwise(initial)
     changes = joined.withColumn("_old", old).filter(text.loosely_differ(canon.absent(F.col("_old")), canon.absent(F.col("new_value"))))

@@ -6,10 +6,7 @@ the record's JSON text; ``operators.records`` flattens it.
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions import records, text
@@ -19,6 +16,15 @@ BOM = "\ufeff"
 BOM_AT_START = "\\A\ufeff"
 
 
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    """Cells as written: no type guesses, no trimming, no null words."""
+    options = {
+        "multiLine": multi_line, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE",
+    }
+    return spark.read.options(**options)
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[list[str], DataFrame]:
     """(header, rows) of CSV files that share one header.
 
@@ -27,23 +33,12 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[l
     header cannot rename them. ``multi_line=False`` keeps huge files splittable
     when no cell holds a newline. A fully blank line is not a row.
     """
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    header = next(csv.reader(io.StringIO(first[0][0].lstrip(BOM).rstrip("\r"))), []) if first else []
+    first = _csv(spark, multi_line).csv(path).limit(1).collect()
+    header = [cell or "" for cell in first[0]] if first else []
+    if header:
+        header[0] = header[0].lstrip(BOM)
     schema = ", ".join(f"_c{i} string" for i in range(len(header))) or "_c0 string"
-    scan = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("quote", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("nullValue", "\u0000")
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    scan = _csv(spark, multi_line).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
     cells = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(len(header))]
     return header, with_row_idx(scan.select(*cells, *file_columns()))
 

@@ -105,6 +105,13 @@ def test_csv_cells_stay_raw(spark, tmp_path):
     assert got == [(1, " 1 ", "", "two\nlines"), (2, "short", "", ""), (3, "x", "y", "z")]
 
 
+def test_csv_odd_headers(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('\ufeffid,"two\nlines",,a.b\n1,2,3,4\n', encoding="utf-8")
+    header, rows = readers.read_csv(spark, str(tmp_path))
+    assert header == ["id", "two\nlines", "", "a.b"]
+    assert [tuple(r) for r in rows.select("row_idx", "_c0", "_c1", "_c2", "_c3").collect()] == [(1, "1", "2", "3", "4")]
+
+
 def write_docs(tmp_path, docs):
     for name, body in docs.items():
         (tmp_path / name).write_text(body, encoding="utf-8")

@@ -67,7 +67,9 @@ def test_stored_size_uses_default_separators(spark):
 
 
 def test_loose_equality(spark):
-    pairs = [("1", "1.0", False), ("1", "true", False), ("0", "false", False), ("1", '"1"', True), ("null", None, False), ("2.50", "2.5", True)]
+    pairs = [("1", "1.0", False), ("1", "true", False), ("0", "false", False), ("1", '"1"', True), ("null", None, False), ("2.50", "2.5", True),
+             ("1e+16", "10000000000000000", False), ("1e-20", "0", True), ('{"a":[1.0]}', '{"a":[1]}', False), ('{"a":"1.0"}', '{"a":"1"}', True),
+             ('"true"', "true", True), ("-0.0", "0", False)]
     rows = spark.createDataFrame(pairs, "a string, b string, d boolean").select("d", text.loosely_differ(F.col("a"), F.col("b")).alias("x")).collect()
     assert [r.x for r in rows] == [r.d for r in rows]
 
