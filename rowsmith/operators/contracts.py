@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import OPTION_TYPES, Contract, Field
 from rowsmith.functions import coerce, text
+from rowsmith.plans import durable
 
 # Fixed values.
 LONG_TEXT_CHARS = 200
@@ -334,6 +335,7 @@ def key_problems(rows: DataFrame, key: str) -> DataFrame:
 
 def list_problems(problems: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
     """The first ``limit`` problems by id, and one row counting the rest."""
+    problems = durable.written(problems, "problems")
     listed = problems.orderBy("id", "reason").limit(limit)
     more = problems.agg((F.count("*") - limit).alias("_more")).filter(F.col("_more") > 0)
     return listed.unionByName(

@@ -90,38 +90,48 @@ def _split_with_repeats(records_key: str | None):
     return split
 
 
+ENTRIES_TYPE = "array<struct<row_idx:bigint,line:string,problem:string,check:boolean>>"
+
+
 def locate_records(docs: DataFrame, records_key: str | None = None) -> DataFrame:
-    """``(file, row_idx, line, problem)`` of every record; row 0 is a whole-file problem."""
+    """``(file, row_idx, line, problem)`` of every record; row 0 is a whole-file problem.
+
+    One pass over the documents: each becomes its list of entries, exploded once.
+    Only documents the engine cannot parse (a repeated key somewhere) are split in
+    Python.
+    """
+
+    def entry(idx: Column, line: Column, problem: Column, check: bool) -> Column:
+        return F.struct(
+            idx.cast("bigint").alias("row_idx"), line.alias("line"), problem.alias("problem"), F.lit(check).alias("check")
+        )
+
+    none = F.lit(None).cast("string")
     parsed = F.try_parse_json("doc").isNotNull()
-    located = record_list(docs.filter(parsed), records_key)
+    split = _split_with_repeats(records_key)(F.when(~F.col("_parsed"), F.col("doc")))
+    located = record_list(docs.withColumn("_given", F.col("problem")).withColumn("_parsed", parsed), records_key)
+    located = located.withColumn("_split", split)
     raw = F.when(F.col("_list"), F.col("doc")).otherwise(
         F.try_element_at(F.from_json("doc", "map<string,string>"), F.col("chosen"))
     )
-    good = located.filter(F.col("problem").isNull())
-    items = good.select("file", F.posexplode(F.from_json(raw, "array<string>")).alias("_pos", "line"))
-    clean = items.select(
-        "file",
-        (F.col("_pos") + 1).cast("bigint").alias("row_idx"),
-        "line",
-        records.line_problem(F.col("line"), F.col("_pos") + 1).alias("problem"),
-    )
-    whole = located.filter(F.col("problem").isNotNull()).select(
-        "file", F.lit(0).cast("bigint").alias("row_idx"), F.lit(None).cast("string").alias("line"), "problem"
-    )
-    broken = docs.filter(~parsed).withColumn("_p", _split_with_repeats(records_key)(F.col("doc")))
-    failed = broken.filter(F.col("_p.problem").isNotNull()).select(
-        "file",
-        F.lit(0).cast("bigint").alias("row_idx"),
-        F.lit(None).cast("string").alias("line"),
-        F.coalesce("problem", "_p.problem").alias("problem"),
+    clean = F.transform(F.from_json(raw, "array<string>"), lambda x, i: entry(i + 1, x, none, True))
+    repaired = F.transform(
+        F.arrays_zip("_split.items", "_split.item_problems"),
+        lambda x, i: entry(i + 1, x["items"], x["item_problems"], False),
     )
-    repaired = broken.filter(F.col("_p.problem").isNull()).select(
-        "file", F.posexplode(F.arrays_zip("_p.items", "_p.item_problems")).alias("_pos", "_r")
-    ).select(
-        "file", (F.col("_pos") + 1).cast("bigint").alias("row_idx"), F.col("_r.items").alias("line"),
-        F.col("_r.item_problems").alias("problem"),
+
+    def whole(problem: Column) -> Column:
+        return F.array(entry(F.lit(0), none, problem, False)).cast(ENTRIES_TYPE)
+
+    entries = (
+        F.when(~F.col("_parsed") & F.col("_split.problem").isNotNull(), whole(F.coalesce("_given", "_split.problem")))
+        .when(~F.col("_parsed"), repaired.cast(ENTRIES_TYPE))
+        .when(F.col("problem").isNotNull(), whole(F.col("problem")))
+        .otherwise(clean.cast(ENTRIES_TYPE))
     )
-    return clean.unionByName(whole).unionByName(failed).unionByName(repaired)
+    rows = located.select("file", F.explode(entries).alias("_e")).select("file", "_e.*")
+    checked = records.line_problem(F.when(F.col("check"), F.col("line")), F.col("row_idx"))
+    return rows.select("file", "row_idx", "line", F.when(F.col("check"), checked).otherwise(F.col("problem")).alias("problem"))
 
 
 def is_export_line(line: Column) -> Column:
