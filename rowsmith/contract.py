@@ -7,7 +7,6 @@ compile it into column expressions; row data never passes through it.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,13 +123,3 @@ class Contract:
             },
             ensure_ascii=False,
         )
-
-
-def fields_of(items: Iterable[dict]) -> Contract:
-    """A contract from plain dictionaries, in list order."""
-    return Contract.of(
-        *(
-            Field(**{**item, "options": tuple(item["options"]) if item.get("options") else None})
-            for item in items
-        )
-    )

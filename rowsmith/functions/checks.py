@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import TEXT_TYPES, Contract, Field
 from rowsmith.functions import coerce, jsonrules, text
-from rowsmith.functions.canon import Cells, absent
+from rowsmith.functions.canon import Cells
 
 # Fixed value: the largest JSON cell, in bytes.
 JSON_CELL_MAX_BYTES = 262_144

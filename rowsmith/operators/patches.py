@@ -275,10 +275,3 @@ def patch_edits(rows: DataFrame, judged: DataFrame, user: str, at: Column) -> Da
         F.lit(user).alias("user_id"),
         at.alias("at"),
     )
-
-
-def single_patch_outcome(rows: DataFrame, patches: DataFrame) -> DataFrame:
-    """Batches with one patch per row: acceptance is a plain join on the row id."""
-    return patches.join(live(rows).select("id", "rev"), "id", "left").withColumn(
-        "accepted", F.coalesce(F.col("expected_rev") == F.col("rev"), F.lit(False))
-    )

@@ -131,6 +131,20 @@ def test_edits_between_states(spark):
     assert [(r.old_value, r.new_value) for r in strict] == [("1", "1.0")]
 
 
+def test_audit_log_only_grows(spark, tmp_path):
+    from rowsmith.sources.snapshots import append_edits
+
+    before = table(spark, [("a", {"id": '"a"'}, "draft", 1, False)])
+    after = table(spark, [("a", {"id": '"a"'}, "approved", 2, False)])
+    path = str(tmp_path / "edits")
+    for old, new in ((before, after), (after, before)):
+        append_edits(rows.edits_of(old, new, "u", at()), path)
+    log = spark.read.parquet(path).collect()
+    assert sorted((r.field, r.old_value, r.new_value) for r in log) == [
+        ("status", '"approved"', '"draft"'), ("status", '"draft"', '"approved"'),
+    ]
+
+
 def test_text_search_escapes_nothing(spark):
     t = table(spark, [("a", {"id": '"a"', "q": '"50% off"'}, "draft", 1, False), ("b", {"id": '"b"', "q": '"Half_off"'}, "draft", 1, False)])
     assert [r.id for r in rows.text_search(t, CONTRACT, "HALF_").collect()] == ["b"]

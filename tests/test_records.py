@@ -252,3 +252,13 @@ def test_known_cells_equal_flattened_cells(spark):
                 assert got.startswith("[1")  # refused by every such column whatever it holds
             else:
                 assert got == exact, (r.line, k)
+
+
+def test_contract_round_trips_through_its_table(spark):
+    from rowsmith.contract import Contract, Field
+
+    contract = Contract.of(Field("id", required=True, is_key=True, label="Id"), Field("s", "select", options=("a", "b")))
+    assert Contract.from_columns(contract.to_columns(spark, "d"), "d") == contract
+    assert [c["key"] for c in json.loads(contract.snapshot_json())["columns"]] == ["id", "s"]
+    with pytest.raises(ValueError):
+        Field("x", "datetime")
