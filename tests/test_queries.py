@@ -7,9 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, normal
+from rowsmith.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +21,9 @@ def engine():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     got = normal([tuple(r) for r in df.collect()], df.columns)
     result = engine.execute(ORACLES[name])
     names = [d[0] for d in result.description]
