@@ -1,24 +1,52 @@
-"""From raw documents to training shards, stage by stage."""
+"""From raw documents to training shards: every stage works on what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsmith.llm import decontaminate
+from rowsmith.llm import decontaminate, minhash, mixing, sharding, toxicity
 from rowsmith.llm.common import table
+from rowsmith.plans import durable
 
 
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier of weakly supervised labels does not call toxic."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.survivors(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark_decontamination", clean)]
-ORACLE_SQL = None
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: every document once, those of small sources again."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot."""
+    return sharding.into_shards(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed_sources),
+    ("sharding", shards),
+]
+ORACLE_SQL = None  # the first stage is a fitted model, the second a randomised search
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = durable.written(stage(spark, docs, sf_dir), name)
     return docs

@@ -155,13 +155,12 @@ def decontaminated(
     separators inside the run. Clean documents and all other columns stay as they are.
     """
     found = contamination(docs, items, n, rate, id, text, item_id).filter("contaminated")
-    found = durable.written(found.select("id", "key", "spans").dropDuplicates(["id", "key"]), "contaminated")
+    found = found.select(F.struct("id", "key").alias("_row"), F.col("spans").alias("spans_"))
+    found = durable.written(found.dropDuplicates(["_row"]), "contaminated")
     named = docs.withColumn("_row", F.struct(col(id).alias("id"), text_key(col(text)).alias("key")))
-    same = F.col("_row.id").eqNullSafe(F.col("id_")) & (F.col("_row.key") == F.col("key_"))
-    found = found.select(F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("spans").alias("spans_"))
     if remove == "documents":
-        return named.join(found, same, "left_anti").drop("_row")
-    joined = named.join(found, same, "left")
+        return named.join(found, "_row", "left_anti").drop("_row")
+    joined = named.join(found, "_row", "left")
     token = F.regexp_extract_all(col(text), F.lit(WORD_ANY_CASE), F.lit(0))
     gaps = F.split(col(text), WORD_ANY_CASE)  # one more than there are words
     hit = lambda i: F.exists("spans_", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))

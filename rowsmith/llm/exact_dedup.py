@@ -105,7 +105,7 @@ def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", naming:
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = duplicates(docs, id, text).filter("kept").select(col(id).alias("_id"), F.col("text_sha256").alias("_sha"))
-    named = docs.withColumn("_key", F.struct(col(id).alias("id"), sha256_hex(normalised(col(text))).alias("sha")))
-    same = F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.sha") == F.col("_sha"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = duplicates(docs, id, text).filter("kept")
+    kept = kept.select(F.struct(col(id).alias("id"), F.col("text_sha256").alias("sha")).alias("_row")).distinct()
+    named = docs.withColumn("_row", F.struct(col(id).alias("id"), sha256_hex(normalised(col(text))).alias("sha")))
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import chat, decontaminate, exact_dedup
+from rowsmith.llm import chat, decontaminate, exact_dedup, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity
 from rowsmith.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,79 @@ def op8(spark, d):
 def op9(spark, d):
     """The copy that stays of every group of documents with equal texts."""
     return exact_dedup.duplicates(table(spark, d, "documents"))
+
+
+# --- 1, 3, 10: models; SQL cannot express them -------------------------------
+
+
+@query("op1_quality_classifier")
+def op1(spark, d):
+    """Quality of every document by gated attention over its passages."""
+    found = quality.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op3_toxicity")
+def op3(spark, d):
+    """Toxicity of every document by a linear classifier of weakly supervised labels."""
+    found = toxicity.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op10_language_id")
+def op10(spark, d):
+    """The language of every document, and how many spans of one language it has."""
+    docs = table(spark, d, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+# --- 4, 5: mixing and sharding ------------------------------------------------
+
+
+@query("op4_mixing")
+def op4(spark, d):
+    """Every copy of every document in the mix of sources, in the order of ``progress``."""
+    mix = mixing.mixed(table(spark, d, "documents"))
+    return mix.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "epoch", "block", "progress")
+
+
+@query("op5_sharding")
+def op5(spark, d):
+    """Shard and slot of every document after the two passes; counts differ by one at most."""
+    out = sharding.into_shards(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        sharding.record_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# --- 7: suffix-array dedup -----------------------------------------------------
+
+
+@query("op7_suffix_dedup")
+def op7(spark, d):
+    """What is left of every document without repeated strings of 400 bytes."""
+    found = suffix_dedup.repeats(table(spark, d, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
+# --- 6: near dedup --------------------------------------------------------------
+
+
+@query("op6_minhash_near_dedup")
+def op6(spark, d):
+    """The group of near copies of every document, and the one that stays."""
+    found = minhash.groups(table(spark, d, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
