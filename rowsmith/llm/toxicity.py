@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look for words and word beginnings: some from a short list of insults, the
-rest mined from labelled rows. A generative model with a hidden label estimates how
+rest mined from labelled rows. Pattern voters look at how often and how densely a text is
+hit; those of a stray hit speak for a clean text. A generative model with a hidden label estimates how
 often each voter fires in toxic and in clean documents (so its accuracy) by EM over the
 votes of all documents, and how far voters repeat each other within a class. The
 posterior labels of that model then train a linear classifier, which scores every text.
@@ -35,10 +36,15 @@ INSULTS = (
     "idiota estúpido imbécil basura asqueroso idioten dumm arschloch abschaum widerlich ordure connard stupide débile"
 ).split()
 SAMPLE = 3_000  # labelled documents read per class
-VOTERS = 192  # mined voters at most
-PREFIXES = (4, 5, 6)  # bytes of a word's beginning that a mined voter may look for
-MIN_RATIO = 8.0  # a mined voter fires so many times as often in toxic documents
+VOTERS = 384  # mined voters at most
+PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's beginning that a mined voter may look for
+MIN_RATIO = 12.0  # a mined voter fires so many times as often in toxic documents ...
+MIN_SHARE = 0.015  # ... and in this share of them: words of a few copied texts are no voters
+# Pattern voters: one for each range of hits and of the share of words hit.
+HITS = (1, 2, 3, 5)
+RATES = (0.0, 0.0025, 0.005, 0.01, 0.02)
 EM_ROUNDS = 8
+DEPENDENT = 0.5  # voters whose firing correlates so much within the toxic class repeat each other
 SEED_TOXIC, SEED_CLEAN = 0.05, 0.0005  # firing rates of a listed insult before any document is seen
 
 
@@ -66,18 +72,31 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class LabelModel:
-    """Voters with their firing rates per class, their shares of weight, and the prior."""
+    """Voters with their firing rates per class, their shares of weight, and the prior.
+
+    ``patterns`` are the hashes of the lexicon voters, in order; the pattern voters follow.
+    """
 
     def __init__(self, patterns: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float):
-        order = np.argsort(patterns)
-        self.patterns = patterns[order]
-        self.toxic, self.clean = toxic[order], clean[order]
-        self.share = np.ones(len(patterns))  # of a voter's weight that others do not repeat
-        self.silent = np.array([0.5, 0.99])  # no vote at all: toxic, clean
+        self.patterns = patterns
+        self.toxic, self.clean = toxic, clean
+        self.known = np.stack([toxic, clean])  # the rates that labels or the list say
+        self.share = np.ones(len(toxic))  # of a voter's weight that others do not repeat
+        fires = np.stack([toxic, clean])[:, len(patterns) : len(patterns) + len(HITS)].sum(axis=1)
+        self.silent = 1 - np.clip(fires, 1e-3, 1 - 1e-3)  # no vote at all: toxic, clean
         self.prior = prior
 
+    @property
+    def voters(self) -> int:
+        return len(self.toxic)
+
     def odds(self) -> np.ndarray:
-        return self.share * np.log(self.toxic / self.clean)
+        """What a vote adds to the log odds. That any word fires at all is said by the voters
+        of hits; a word, and a share of words hit, only count given that."""
+        any_fires = 1 - self.silent
+        given = np.full(self.voters, np.log(any_fires[0] / any_fires[1]))
+        given[len(self.patterns) : len(self.patterns) + len(HITS)] = 0.0
+        return self.share * (np.log(self.toxic / self.clean) - given)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Of being toxic, from the voters that fire; all silent is a vote of its own."""
@@ -96,7 +115,7 @@ def mine(sample: DataFrame, counts: dict[int, int]) -> LabelModel:
         rows = sample.select("text", "label").mapInArrow(_count_patterns, "pattern long, toxic long, clean long")
         rows = rows.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         a, b = (F.col("toxic") + 0.5) / (seen[1] + 1), (F.col("clean") + 0.5) / (seen[0] + 1)
-        least = max(3, seen[1] // 200)
+        least = max(3, MIN_SHARE * seen[1])
         rows = rows.filter((F.col("toxic") >= least) & (a >= F.lit(MIN_RATIO) * b))
         found = rows.orderBy((b - a).asc(), "pattern").limit(VOTERS).collect()
     rates = {h: (SEED_TOXIC, SEED_CLEAN) for h in listed}
@@ -104,9 +123,17 @@ def mine(sample: DataFrame, counts: dict[int, int]) -> LabelModel:
         rates[r["pattern"] % 2**64] = ((r["toxic"] + 0.5) / (seen[1] + 1), (r["clean"] + 0.5) / (seen[0] + 1))
     known = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (known + 10)
-    patterns = np.array(list(rates), dtype=np.uint64)
-    values = np.array(list(rates.values()))
-    return LabelModel(patterns, values[:, 0], values[:, 1], prior)
+    patterns = np.array(sorted(rates), dtype=np.uint64)
+    values = np.array([rates[int(h)] for h in patterns])
+    # The pattern voters' rates, from the same labelled sample.
+    more = np.stack([np.full(len(HITS) + len(RATES), p) for p in (0.2, 0.002)])
+    if seen[0] and seen[1]:
+        kind = "id int, votes binary, hits long, words long"
+        rows = sample.select(F.col("label").alias("id"), "text").mapInArrow(_voting(patterns), kind).select("id", "votes").toArrow()
+        votes = _unpacked(rows.column("votes").combine_chunks(), len(patterns) + more.shape[1])[:, len(patterns) :]
+        label = rows.column("id").to_numpy()
+        more = np.stack([(votes[label == k].sum(axis=0) + 0.5) / (seen[k] + 1) for k in (1, 0)])
+    return LabelModel(patterns, np.concatenate([values[:, 0], more[0]]), np.concatenate([values[:, 1], more[1]]), prior)
 
 
 def _voting(patterns: np.ndarray):
@@ -128,7 +155,9 @@ def _voting(patterns: np.ndarray):
                     fired[row[at], place[true]] = True
                     hit[at] = True
                 hits = np.bincount(row[hit], minlength=hi - lo)
-                packed = np.packbits(fired, axis=1)
+                rate = hits / np.maximum(np.diff(words.first), 1)
+                ranges = [_in_range(hits, HITS), _in_range(rate, RATES) & (hits > 0)[:, None]]
+                packed = np.packbits(np.concatenate([fired, *ranges], axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(lo, hi - lo),
@@ -142,6 +171,12 @@ def _voting(patterns: np.ndarray):
     return run
 
 
+def _in_range(values: np.ndarray, starts: tuple) -> np.ndarray:
+    """One column for each range from a start to the next; the last one has no end."""
+    ends = (*starts[1:], np.inf)
+    return np.stack([(values >= a) & (values < b) for a, b in zip(starts, ends, strict=True)], axis=1)
+
+
 def _unpacked(column: pa.Array, voters: int) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     width = (voters + 7) // 8
@@ -150,7 +185,7 @@ def _unpacked(column: pa.Array, voters: int) -> np.ndarray:
 
 def _expected(model: LabelModel, pairs: bool):
     """Sums over vote patterns under the posterior: per voter, or per pair of voters."""
-    v = len(model.patterns)
+    v = model.voters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = v * v if pairs else v + 2
@@ -174,7 +209,7 @@ def _expected(model: LabelModel, pairs: bool):
 
 
 def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
-    size = len(model.patterns) ** 2 if pairs else len(model.patterns) + 2
+    size = model.voters**2 if pairs else model.voters + 2
     rows = patterns.mapInArrow(_expected(model, pairs), "k long, toxic double, clean double")
     out = np.zeros((2, size))
     for r in rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
@@ -185,23 +220,26 @@ def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
 def fit_labels(model: LabelModel, votes: DataFrame, rounds: int = EM_ROUNDS) -> LabelModel:
     """EM over the distinct vote patterns of all documents, then the overlap of voters."""
     patterns = durable.written(votes.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
-    v = len(model.patterns)
-    for step in range(rounds):
+    v, words = model.voters, len(model.patterns)
+    # Overlap of voters within the toxic class: correlation of firing, given the label.
+    both = _sums(patterns, model, pairs=True)[0].reshape(v, v)
+    both = both / max(_sums(patterns, model, pairs=False)[0, -1], 1e-9)
+    rate = np.diag(both)
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+    overlap = np.clip((both - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
+    overlap[overlap < DEPENDENT] = 0.0  # weaker ties come from languages and topics that voters share
+    np.fill_diagonal(overlap, 1.0)
+    model.share = 1 / overlap.sum(axis=1)
+    for _ in range(rounds):
         sums = _sums(patterns, model, pairs=False)
         weight = sums[:, -1:] + 1e-9
-        # The rates before count as ten documents a class, so a voter that never fires keeps its own.
-        before = np.stack([model.toxic, model.clean])
-        model.toxic, model.clean = (sums[:, :v] + 10 * before) / (weight + 10)
-        model.toxic = np.maximum(model.toxic, model.clean)  # a voter speaks for one class
-        model.silent = (sums[:, v] + 10 * model.silent) / (weight[:, 0] + 10)
-        model.prior = float(np.clip(sums[0, -1] / max(sums[:, -1].sum(), 1e-9), 1e-3, 0.5)) if sums.any() else model.prior
-        if step == 0:  # overlap of voters within the toxic class: correlation of firing, given the label
-            both = _sums(patterns, model, pairs=True)[0].reshape(v, v) / weight[0]
-            rate = np.diag(both)
-            spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
-            overlap = np.clip((both - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
-            np.fill_diagonal(overlap, 1.0)
-            model.share = 1 / overlap.sum(axis=1)
+        # What labels say about a voter counts as much as what all votes do, so EM stays with the labels' classes.
+        model.toxic, model.clean = (model.known + sums[:, :v] / weight) / 2
+        model.toxic[:words] = np.maximum(model.toxic, model.clean)[:words]  # a word never speaks for a clean text
+        fires = np.stack([model.toxic, model.clean])[:, words : words + len(HITS)].sum(axis=1)
+        model.silent = 1 - np.clip(fires, 1e-3, 1 - 1e-3)
+        if sums.any():
+            model.prior = float(np.clip(sums[0, -1] / sums[:, -1].sum(), 1e-3, 0.5))
     return model
 
 
@@ -229,8 +267,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 class Classifier:
     """The fitted voters and the weights of the linear classifier."""
 
-    def __init__(self, patterns: np.ndarray, weights: np.ndarray):
-        self.patterns, self.weights = patterns, weights
+    def __init__(self, patterns: np.ndarray, voters: int, weights: np.ndarray):
+        self.patterns, self.voters, self.weights = patterns, voters, weights
 
     def score(self, votes: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
         logit = _features(votes, hits, words) @ self.weights[:-1] + self.weights[-1]
@@ -240,7 +278,7 @@ class Classifier:
 def _scoring(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = _unpacked(batch.column("votes"), len(model.patterns))
+            votes = _unpacked(batch.column("votes"), model.voters)
             counts = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("hits", "words")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(votes, *counts))], names=["id", "score"])
 
@@ -258,7 +296,7 @@ def _keeping(model: Classifier, text: str, threshold: float):
             only = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], names=["id", "text"])
             score = []
             for part in vote([only]):
-                votes = _unpacked(part.column("votes"), len(model.patterns))
+                votes = _unpacked(part.column("votes"), model.voters)
                 counts = [part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("hits", "words")]
                 score.append(model.score(votes, *counts))
             yield batch.filter(pa.array(np.concatenate(score) < threshold))
@@ -281,12 +319,12 @@ def fit(
     some = votes.filter(~held_out(F.col("id"))).withColumn("_h", F.xxhash64("id", "votes", "words"))
     few = some.filter("hits > 0").orderBy("_h").limit(SAMPLE).unionByName(some.filter("hits = 0").orderBy("_h").limit(SAMPLE))
     few = few.select("votes", "hits", "words").toArrow()
-    w = np.zeros(len(model.patterns) + 5)
+    w = np.zeros(model.voters + 5)
     if few.num_rows:
-        x = _unpacked(few.column("votes").combine_chunks(), len(model.patterns))
+        x = _unpacked(few.column("votes").combine_chunks(), model.voters)
         hits, words = (few.column(c).to_numpy().astype(float) for c in ("hits", "words"))
         w = fit_linear(_features(x, hits, words), model.posterior(x > 0), np.ones(len(x)))
-    return Classifier(model.patterns, w), votes
+    return Classifier(model.patterns, model.voters, w), votes
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text") -> DataFrame:
