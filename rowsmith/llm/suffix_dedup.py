@@ -14,8 +14,9 @@ the same text or another. Only suffixes that can be repeated are sorted:
 3. A bucket sorts the suffixes by multikey quicksort, eight bytes a key, and likewise the
    reversed bytes before the anchors. Both orders with their common-prefix lengths tell
    which windows are equal, byte by byte.
-4. Suffixes that share a piece with a bucket's first or last one may have equals across the
-   boundary: a 128-bit print of each distinct window of them is compared between buckets.
+4. Suffixes that share their leading bytes with a bucket's first or last one may have equals
+   across the boundary: a 128-bit print of each distinct window of them is compared between
+   buckets.
 
 Copies of a whole text are counted first; one stands for all. Windows that a task sees in
 equal surroundings are settled there and go on once.
@@ -42,6 +43,7 @@ from rowsmith.plans import durable
 
 LENGTH = 400  # bytes of a repeated string
 KGRAM = 101  # bytes of an anchor's piece
+LEAD = 32  # leading bytes that splitters see; sampled splitters stay small however long a window is
 BUCKET_BYTES = 12 << 20  # of suffix rows that a task sorts
 _BYTE = np.random.default_rng(400).integers(0, 2**64, (2, 256), dtype=np.uint64)  # two prints of a byte
 
@@ -271,10 +273,12 @@ def _compare(length: int, kgram: int):
         # Rows that share a whole piece with another one; others cannot be repeated here.
         twin = common >= kgram
         twin |= np.append(twin[1:], False)
-        edge_run = np.cumsum(common < kgram)
-        at_edge = (edge_run == edge_run[0]) | (edge_run == edge_run[-1])
+        edge_run = np.cumsum(common < min(LEAD, kgram))
+        at_edge = np.zeros(n, dtype=bool)
+        at_edge[order] = (edge_run == edge_run[0]) | (edge_run == edge_run[-1])
         busy = np.zeros(n, dtype=bool)
-        busy[order] = twin | at_edge
+        busy[order] = twin
+        busy |= at_edge
         for x in range(reach + 1):
             rows = np.flatnonzero(busy & (least <= x) & (x <= most))
             if not len(rows):
@@ -288,8 +292,7 @@ def _compare(length: int, kgram: int):
             same[1:] = pair[by][1:] == pair[by][:-1]
             twice = same | np.append(same[1:], False)
             repeated[rows[by[twice]], x] = True
-            edge = (run_of[rows[by]] == runs[0]) | (run_of[rows[by]] == runs[-1])
-            one = np.flatnonzero(edge & ~same)  # one row of each distinct window
+            one = np.flatnonzero(at_edge[rows[by]] & ~same)  # one row of each distinct window
             open_rows.append(rows[by[one]])
             open_x.append(np.full(len(one), x))
             open_kind.append(np.where(twice[one], KNOWN, OPEN))
@@ -350,8 +353,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id: str =
     texts = durable.written(texts, "anchors")
     zipped = F.arrays_zip("a.piece", "a.place", "a.least", "a.most")
     each = texts.select("key", F.explode(zipped).alias("z")).select("key", "z.*")
+    # Both sides are tables, so that adaptive execution can split a piece that most texts share.
     shared = each.groupBy("piece").agg(F.count("*").alias("n")).filter("n > 1").select("piece")
-    again = each.join(shared, "piece", "left_semi")
+    again = durable.written(each.join(durable.written(shared, "shared"), "piece", "left_semi"), "again")
     again = again.groupBy("key").agg(F.collect_list(F.struct("place", "least", "most")).alias("anchors"))
     again = durable.written(again, "repeated")
     rows = again.agg(F.sum(F.size("anchors"))).first()[0] or 0
@@ -360,7 +364,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, id: str =
     candidates = durable.written(once.join(again, "key"), "candidates")
     suffixes = candidates.mapInArrow(_suffix_rows(length), _SUFFIX)
     buckets = max(1, -(-rows * (length + length - kgram) // BUCKET_BYTES))
-    suffixes = suffixes.repartitionByRange(buckets, "lead", "key", "place")
+    token = F.substring("lead", 1, min(LEAD, kgram))
+    suffixes = suffixes.repartitionByRange(buckets, token, "key", "place")
     compared = durable.written(suffixes.mapInArrow(_compare(length, kgram), _FOUND), "found")
 
     spans = compared.filter(F.col("kind") == SPAN).select("key", "start", "end")
