@@ -183,23 +183,18 @@ def _unpacked(column: pa.Array, voters: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, width), axis=1, count=voters).astype(np.float64)
 
 
-def _expected(model: LabelModel, pairs: bool):
-    """Sums over vote patterns under the posterior: per voter, or per pair of voters."""
+def _expected(model: LabelModel):
+    """Per voter, for all silent and for all votes: sums over vote patterns under the posterior."""
     v = model.voters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = v * v if pairs else v + 2
-        sums = np.zeros((2, size))
+        sums = np.zeros((2, v + 2))
         for batch in batches:
-            votes = _unpacked(batch.column("votes"), v)
-            n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            votes, n = _unpacked(batch.column("votes"), v), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
             post = model.posterior(votes > 0)
+            none = ~votes.any(axis=1)
             for k, w in enumerate((post * n, (1 - post) * n)):
-                if pairs:
-                    sums[k] += (votes.T @ (votes * w[:, None])).ravel()
-                else:
-                    none = ~votes.any(axis=1)
-                    sums[k] += np.concatenate([votes.T @ w, [w[none].sum(), w.sum()]])
+                sums[k] += np.concatenate([votes.T @ w, [w[none].sum(), w.sum()]])
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["k", "toxic", "clean"]
@@ -208,22 +203,48 @@ def _expected(model: LabelModel, pairs: bool):
     return run
 
 
-def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
-    size = model.voters**2 if pairs else model.voters + 2
-    rows = patterns.mapInArrow(_expected(model, pairs), "k long, toxic double, clean double")
-    out = np.zeros((2, size))
+def _together(model: LabelModel):
+    """Per voter, one row: in how many toxic documents it fires together with each voter."""
+    v = model.voters
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((v, v))
+        for batch in batches:
+            votes, n = _unpacked(batch.column("votes"), v), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            sums += votes.T @ (votes * (model.posterior(votes > 0) * n)[:, None])
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([sums[k].tobytes() for k in some], pa.binary())], names=["k", "sums"])
+
+    return run
+
+
+def _add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = sum(np.frombuffer(raw, np.float64) for batch in batches for raw in batch.column("sums").to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["k", "sums"])
+
+
+def _sums(patterns: DataFrame, model: LabelModel) -> np.ndarray:
+    rows = patterns.mapInArrow(_expected(model), "k long, toxic double, clean double")
+    out = np.zeros((2, model.voters + 2))
     for r in rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
         out[:, r["k"]] = r["toxic"], r["clean"]
     return out
 
 
+def _pair_sums(patterns: DataFrame, model: LabelModel) -> np.ndarray:
+    schema = "k long, sums binary"
+    out = np.zeros((model.voters, model.voters))
+    for r in patterns.mapInArrow(_together(model), schema).groupBy("k").applyInArrow(_add_up, schema).collect():
+        out[r["k"]] = np.frombuffer(r["sums"], np.float64)
+    return out
+
+
 def fit_labels(model: LabelModel, votes: DataFrame, rounds: int = EM_ROUNDS) -> LabelModel:
     """EM over the distinct vote patterns of all documents, then the overlap of voters."""
     patterns = durable.written(votes.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     v, words = model.voters, len(model.patterns)
     # Overlap of voters within the toxic class: correlation of firing, given the label.
-    both = _sums(patterns, model, pairs=True)[0].reshape(v, v)
-    both = both / max(_sums(patterns, model, pairs=False)[0, -1], 1e-9)
+    both = _pair_sums(patterns, model) / max(_sums(patterns, model)[0, -1], 1e-9)
     rate = np.diag(both)
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
     overlap = np.clip((both - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
@@ -231,7 +252,7 @@ def fit_labels(model: LabelModel, votes: DataFrame, rounds: int = EM_ROUNDS) ->
     np.fill_diagonal(overlap, 1.0)
     model.share = 1 / overlap.sum(axis=1)
     for _ in range(rounds):
-        sums = _sums(patterns, model, pairs=False)
+        sums = _sums(patterns, model)
         weight = sums[:, -1:] + 1e-9
         # What labels say about a voter counts as much as what all votes do, so EM stays with the labels' classes.
         model.toxic, model.clean = (model.known + sums[:, :v] / weight) / 2
