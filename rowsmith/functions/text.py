@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -212,20 +211,33 @@ def stored_size(t: Column) -> Column:
     return F.octet_length(t) + F.length(bare) - F.length(F.translate(bare, ",:", ""))
 
 
-def _canonical_json() -> Callable[[Column], Column]:
-    import json
-
-    @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False),
-            na_action="ignore",
-        )
-
-    return canonical
+# A string, a number, or what stands between them.
+_TOKEN = rf'{STRING}|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|-'
+_HELD = "\\u0001f"  # marks a number held back from the engine's parser, which would respell it
 
 
 def canonical_nested(t: Column) -> Column:
-    """Sorted-key compact text of JSON text; only containers cross into Python."""
+    """Sorted-key compact text of a list or object text; other texts stay.
+
+    The engine's parser sorts the keys. Floats and integers of 19 or more digits go
+    through it as marked strings, as it would shorten them; control characters of
+    strings are spelled as ``quote`` does.
+    """
     nested = t.startswith("{") | t.startswith("[")
-    return F.when(nested, _canonical_json()(F.when(nested, t))).otherwise(t)
+
+    def tokens(c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+
+    def held(x: Column) -> Column:
+        number = F.when(x.rlike("[.eE]"), float_text(x.try_cast("double"))).otherwise(x)
+        respelled = x.rlike(r"\A-?[0-9]") & (x.rlike("[.eE]") | (F.length(x) > 18))
+        return F.when(respelled, F.concat(F.lit(f'"{_HELD}'), number, F.lit('"'))).otherwise(x)
+
+    def spelled(x: Column) -> Column:
+        return F.when(x.startswith('"') & x.contains("\\u00"), quote(unquote(x))).otherwise(x)
+
+    inside = F.when(t.rlike("[.eE]|[0-9]{19}"), F.array_join(F.transform(tokens(t), held), "")).otherwise(t)
+    ordered = F.to_json(F.try_parse_json(inside))
+    back = F.regexp_replace(ordered, r'"\\u0001f([^"]*+)"', "$1")
+    exact = F.when(back.contains("\\u00"), F.array_join(F.transform(tokens(back), spelled), "")).otherwise(back)
+    return F.when(nested, exact).otherwise(t)

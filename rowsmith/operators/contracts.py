@@ -15,7 +15,6 @@ NULLS_ONLY = "only nulls seen - check type"
 MAX_LISTED = 20
 VERSION_FIELDS = ("type", "options", "required", "label")
 PUSH_FIELDS = ("label", "type", "options", "required", "is_key", "json_schema")
-MAX_DRAFT_OPTIONS = 10_000
 OPTION_SEPARATOR = "\u001f"
 
 
@@ -108,17 +107,16 @@ def key_candidates(flat: DataFrame) -> DataFrame:
 def draft_contract(flat: DataFrame, key: str | None = None) -> tuple[Contract, list[str]]:
     """A contract for the records, in first-seen order, and warnings.
 
-    Paths, types and options are metadata of one file's columns; a path with more
-    than ``MAX_DRAFT_OPTIONS`` options is refused rather than cut.
+    Columns and options become driver-side metadata here, whatever their number;
+    where they may grow with the data, use the rows of ``infer_types`` and
+    ``infer_options`` instead. The records are written once and read by each step.
     """
     from rowsmith.operators.records import discover_paths
 
+    flat = durable.written(flat.select("row_idx", "rec", "paths"), "flat")
     order = [r.path for r in discover_paths(flat).collect()]
     types = {r.path: r for r in infer_types(flat).collect()}
     usable = {r.path for r in key_candidates(flat).filter("usable").select("path").collect()}
-    wide = infer_options(flat).groupBy("path").count().filter(F.col("count") > MAX_DRAFT_OPTIONS).collect()
-    if wide:
-        raise ValueError(f"'{wide[0].path}' has {wide[0]['count']} options; declare it as json instead")
     options: dict[str, list[str]] = {}
     for r in infer_options(flat).orderBy("path", "option").collect():
         options.setdefault(r.path, []).append(r.option)

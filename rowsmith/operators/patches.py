@@ -1,35 +1,34 @@
 """Revision-checked patches, applied in arrival order, with an audit log.
 
 A patch is accepted when its expected rev is the rev the previous accepted patch
-of that row left. The patches of one row form a chain, yet a row may have any
-share of them, so the chain is cut into blocks of arrival numbers:
+of that row left, the merged row keeps the contract, its new key is free at that moment
+and its assignee exists. The patches of one row form a chain. A row with few patches is
+folded at once; the chain of a row with many is cut into blocks of arrival numbers:
 
-1. every block folds its patches backwards into "entering state -> leaving state";
-2. rows with several blocks chain those block results, one small row per block;
-3. every block folds forward from its entering state and marks accepted patches.
+1. every block says which state it turns each state it knows into;
+2. neighbouring blocks are composed, level by level, up to the whole chain, and the states
+   that enter each block come back down: joins on (row, node, state), a level at a time;
+3. every block folds forward from its entering state and marks its patches.
 
-Steps 1 and 3 are bounded folds inside the JVM and run in parallel also within
-one row. A state is ``2 * rev + clean``; a row that breaks the contract is not
-clean until an accepted patch covers all its broken fields.
+Steps 1 and 3 are bounded folds inside the JVM. A state is ``2 * rev + clean``; a row
+that breaks the contract is not clean until an accepted patch covers all its broken fields.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, text
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
-from rowsmith.plans.skew import previous_in_group
+from rowsmith.plans.skew import attach_by_key, previous_in_group
 
-BLOCK = 512  # arrival numbers per block: bounds every fold
-WALK_SCHEMA = "id string, block bigint, entering bigint"
+BLOCK = 64  # arrival numbers per block of a long chain
+AT_ONCE = 4_096  # patches of a row that are folded at once
 STEP = "struct<seq:bigint,expected:bigint,ok:boolean,has_data:boolean,covers:boolean>"
+SEEN = "array<struct<seq:bigint,accepted:boolean,rev:bigint,clean:bigint>>"
 
 
 def _next_state(state: Column, step: Column) -> tuple[Column, Column]:
@@ -41,60 +40,68 @@ def _next_state(state: Column, step: Column) -> tuple[Column, Column]:
     return accepted, F.when(accepted, after).otherwise(state)
 
 
-def _block_transitions(steps: Column) -> Column:
-    """Entering state to leaving state of a block; states not named pass unchanged."""
-
-    def back(known: Column, step: Column) -> Column:
-        def entry(clean: int) -> Column:
-            state = (step["expected"] * 2 + clean).cast("bigint")
-            accepted, after = _next_state(state, step)
-            leaves = F.coalesce(known[after], after)
-            return F.when(accepted, F.struct(state.alias("key"), leaves.alias("value")))
-
-        added = F.array_compact(F.array(entry(0), entry(1)))
-        kept = F.filter(
-            F.map_entries(known), lambda e: ~F.exists(added, lambda a: a["key"] == e["key"])
-        )
-        return F.map_from_entries(F.concat(kept, added))
-
-    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))
-    return F.aggregate(F.reverse(steps), empty, back)
+def _leaving(steps: Column, entering: Column) -> Column:
+    return F.aggregate(steps, entering, lambda state, step: _next_state(state, step)[1])
 
 
-def _accepted_in(steps: Column, entering: Column) -> Column:
-    """The arrival numbers accepted in a block entered with ``entering``."""
-    start = F.struct(entering.alias("state"), F.array().cast("array<bigint>").alias("taken"))
+def _seen_in(steps: Column, entering: Column) -> Column:
+    """Each patch of a block with whether it is accepted and the state it met."""
+    start = F.struct(entering.alias("state"), F.array().cast(SEEN).alias("seen"))
 
     def forward(acc: Column, step: Column) -> Column:
         accepted, after = _next_state(acc["state"], step)
-        taken = F.when(accepted, F.array_append(acc["taken"], step["seq"])).otherwise(acc["taken"])
-        return F.struct(after.alias("state"), taken.alias("taken"))
-
-    return F.aggregate(steps, start, forward, lambda acc: acc["taken"])
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain block results in (row, block) order, holding one state at a time."""
-    current, state = None, 0
-    for batch in batches:
-        entering = []
-        for id_, start, keys, values in zip(batch["id"], batch["start"], batch["keys"], batch["values"], strict=True):
-            if id_ != current:
-                current, state = id_, int(start)
-            entering.append(state)
-            for key, value in zip(keys, values, strict=True):
-                if key == state:
-                    state = int(value)
-                    break
-        yield pd.DataFrame({"id": batch["id"], "block": batch["block"], "entering": entering})
+        rev, clean = F.floor(acc["state"] / 2).cast("bigint"), F.pmod(acc["state"], F.lit(2)).cast("bigint")
+        one = F.struct(step["seq"].alias("seq"), accepted.alias("accepted"), rev.alias("rev"), clean.alias("clean"))
+        return F.struct(after.alias("state"), F.concat(acc["seen"], F.array(one)).cast(SEEN).alias("seen"))
+
+    return F.aggregate(steps, start, forward, lambda acc: acc["seen"])
+
+
+def _moves(blocks: DataFrame) -> DataFrame:
+    """``(id, node, frm, to)``: the states that a block changes."""
+    both = F.flatten(F.transform("steps", lambda s: F.array(s["expected"] * 2, s["expected"] * 2 + 1)))
+    pairs = F.transform(F.array_distinct(both), lambda x: F.struct(x.alias("frm"), _leaving(F.col("steps"), x).alias("to")))
+    rows = blocks.select("id", F.col("block").alias("node"), F.explode_outer(pairs).alias("p"))
+    return rows.select("id", "node", "p.frm", "p.to").filter(F.col("frm") != F.col("to"))
+
+
+def _entering(blocks: DataFrame, start: DataFrame) -> DataFrame:
+    """``(id, block, entering)`` of every block of long chains."""
+    levels = [durable.written(_moves(blocks), "moves")]
+    top = blocks.agg(F.max("block")).first()[0] or 0
+    parent, odd = F.floor(F.col("node") / 2).cast("bigint"), F.pmod(F.col("node"), F.lit(2)) == 1
+    while top > 0:
+        moves = levels[-1]
+        left = moves.filter(~odd).select("id", parent.alias("node"), "frm", F.col("to").alias("mid"))
+        right = moves.filter(odd).select("id", parent.alias("node"), F.col("frm").alias("mid"), "to")
+        through = left.join(right, ["id", "node", "mid"], "left").select("id", "node", "frm", F.coalesce("to", "mid").alias("to"))
+        past = right.withColumnRenamed("mid", "frm").join(left.select("id", "node", "frm"), ["id", "node", "frm"], "left_anti")
+        levels.append(durable.written(through.unionByName(past.select("id", "node", "frm", "to")), "moves"))
+        top //= 2
+    # Down again: the left child gets what enters the parent, the right one what leaves the left.
+    states = start.select("id", F.lit(0).cast("bigint").alias("node"), F.col("start").alias("entering"))
+    there = blocks.select("id", F.col("block").alias("node")).distinct()
+    for depth in range(len(levels) - 2, -1, -1):
+        needed = there.select("id", F.floor(F.col("node") / F.lit(1 << depth)).cast("bigint").alias("node")).distinct()
+        children = states.select("id", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"), "entering")
+        children = children.join(needed, ["id", "node"], "left_semi")
+        before = levels[depth].select("id", (F.col("node") + 1).alias("node"), F.col("frm").alias("entering"), "to").filter(
+            F.pmod(F.col("node"), F.lit(2)) == 1
+        )
+        states = children.join(before, ["id", "node", "entering"], "left").select(
+            "id", "node", F.coalesce("to", "entering").alias("entering")
+        )
+        states = durable.written(states, "entering")
+    return states.withColumnRenamed("node", "block")
 
 
-def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK) -> DataFrame:
-    """Add ``accepted`` to ``patches(id, seq, expected_rev, ok, has_data, covers)``.
+def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK, at_once: int = AT_ONCE) -> DataFrame:
+    """Add ``accepted``, and ``met_rev`` and ``met_clean`` (the state met), to
+    ``patches(id, seq, expected_rev, ok, has_data, covers)``.
 
-    ``start(id, rev, clean)`` is the state of each row; ``(id, seq)`` is unique.
+    ``start(id, rev, clean)`` is the state of each row; ``(id, seq)`` is unique. Patches
+    without an expected rev or of no known row meet nothing.
     """
-    block = F.floor(F.col("seq") / F.lit(width)).cast("bigint")
     step = F.struct(
         F.col("seq").cast("bigint").alias("seq"),
         F.col("expected_rev").cast("bigint").alias("expected"),
@@ -102,43 +109,76 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK) ->
         F.col("has_data").alias("has_data"),
         F.col("covers").alias("covers"),
     ).cast(STEP)
-    blocks = (
-        patches.filter(F.col("expected_rev").isNotNull())
-        .select("id", block.alias("block"), step.alias("step"))
-        .groupBy("id", "block").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    state = (F.col("rev").cast("bigint") * 2 + F.col("clean").cast("bigint")).alias("start")
+    steps = patches.filter(F.col("expected_rev").isNotNull()).select("id", "seq", step.alias("step"))
+    steps = durable.written(steps, "steps")
+    counts = steps.groupBy("id").agg(F.count("*").alias("n")).join(start.select("id", state), "id")
+    counts = durable.written(counts, "chains")
+    chain = F.array_sort(F.collect_list("step")).alias("steps")
+    few = counts.filter(F.col("n") <= at_once).select("id", "start")
+    seen = steps.join(few, "id").groupBy("id", "start").agg(chain).select("id", _seen_in(F.col("steps"), F.col("start")).alias("_s"))
+    many = counts.filter(F.col("n") > at_once).select("id", "start")
+    if not many.isEmpty():
+        long = steps.join(F.broadcast(many.select("id")) if many.count() <= 100_000 else many.select("id"), "id")
+        low = long.agg(F.min("seq")).first()[0]
+        block = F.floor((F.col("seq") - low) / F.lit(width)).cast("bigint").alias("block")
+        blocks = durable.written(long.groupBy("id", block).agg(chain), "blocks")
+        placed = blocks.join(_entering(blocks, many), ["id", "block"])
+        seen = seen.unionByName(placed.select("id", _seen_in(F.col("steps"), F.col("entering")).alias("_s")))
+    met = seen.select("id", F.explode("_s").alias("_m")).select(
+        "id", "_m.seq", F.col("_m.accepted").alias("_yes"), F.col("_m.rev").alias("met_rev"), F.col("_m.clean").alias("met_clean")
     )
-    blocks = durable.written(blocks, "patch-blocks")
-    first_state = (F.col("rev").cast("bigint") * 2 + F.col("clean").cast("bigint")).alias("start")
-    counts = blocks.groupBy("id").agg(F.count("*").alias("n_blocks"))
-    begun = counts.join(start.select("id", first_state), "id")
-    single = begun.filter(F.col("n_blocks") == 1).select("id", F.lit(None).cast("bigint").alias("block"), F.col("start").alias("entering"))
-    several = begun.filter(F.col("n_blocks") > 1).select("id", "start")
-    moves = blocks.join(several, "id").select("id", "block", "start", _block_transitions(F.col("steps")).alias("_t"))
-    walked = (
-        moves.select("id", "block", "start", F.map_keys("_t").alias("keys"), F.map_values("_t").alias("values"))
-        .repartition("id")
-        .sortWithinPartitions("id", "block")
-        .mapInPandas(_walk, WALK_SCHEMA)
+    joined = patches.join(met, ["id", "seq"], "left")
+    return joined.withColumn("accepted", F.coalesce("_yes", F.lit(False))).drop("_yes")
+
+
+def _known_users(patches: DataFrame, users: DataFrame) -> DataFrame:
+    """Add ``known_user``; patches that set no assignee are not shuffled."""
+    asked = patches.filter("set_assignee").groupBy("assignee").agg(F.count("*").alias("_n"))
+    known = asked.join(users.select(F.col("id").alias("assignee")).distinct(), "assignee").withColumn("_known", F.lit(True))
+    joined = attach_by_key(patches, known, "assignee", "_n", F.col("seq"))
+    fine = ~F.col("set_assignee") | F.col("assignee").isNull() | F.col("_known").isNotNull()
+    return joined.withColumn("known_user", fine).drop("_known", "_n")
+
+
+def _keys_taken(claims: DataFrame, holders: DataFrame) -> DataFrame:
+    """``(id, seq)`` of claims of a key that another row holds at that moment.
+
+    ``claims(id, seq, wanted, accepted)`` take a key when accepted and give back the one
+    their row held; ``holders(id, key)`` held theirs from the start. What a key's holder is
+    at a claim is the last thing that happened to the key before it.
+    """
+    first = holders.select("id", F.col("key").alias("wanted"), F.lit(-1).cast("bigint").alias("seq"), F.lit(True).alias("accepted"))
+    takes = claims.filter("accepted").select("id", "wanted", "seq", "accepted").unionByName(first.select("id", "wanted", "seq", "accepted"))
+    own = Window.partitionBy("id").orderBy("seq")
+    released = takes.withColumn("_old", F.lag("wanted").over(own)).filter("_old is not null and _old <> wanted")
+    none = F.lit(None).cast("string")
+    events = takes.select(F.col("wanted").alias("key"), "seq", F.lit(1).alias("order"), F.struct(F.col("id").alias("by")).alias("holder"))
+    events = events.unionByName(
+        released.select(F.col("_old").alias("key"), "seq", F.lit(0).alias("order"), F.struct(none.alias("by")).alias("holder"))
     )
-    only = blocks.join(single.drop("block"), "id").select("id", "steps", "entering")
-    many = blocks.join(walked, ["id", "block"]).select("id", "steps", "entering")
-    taken = only.unionByName(many).select("id", F.explode(_accepted_in(F.col("steps"), F.col("entering"))).alias("seq"))
-    return patches.join(taken.withColumn("_yes", F.lit(True)), ["id", "seq"], "left").withColumn(
-        "accepted", F.col("_yes").isNotNull()
-    ).drop("_yes")
+    asked = claims.select(F.col("wanted").alias("key"), "seq", F.lit(-1).alias("order"), F.lit(None).cast("struct<by:string>").alias("holder"), "id")
+    line = events.withColumn("id", none).unionByName(asked)
+    before = Window.partitionBy("key").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, -1)
+    held = line.withColumn("_held", F.last("holder", ignorenulls=True).over(before)).filter("id is not null")
+    return held.filter((F.col("_held.by").isNotNull()) & (F.col("_held.by") != F.col("id"))).select("id", "seq")
 
 
 def judge_patches(
-    rows: DataFrame, patches: DataFrame, contract: Contract, users: DataFrame | None = None, width: int = BLOCK
+    rows: DataFrame, patches: DataFrame, contract: Contract, users: DataFrame | None = None, width: int = BLOCK,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
-    """Every patch with its ``outcome``: accepted, conflict, rev_required, not_found,
-    invalid, unknown_user or key_taken.
+    """Every patch with its ``outcome``: accepted, not_found, rev_required, conflict,
+    invalid, key_taken or unknown_user, the first that applies; ``met_rev`` is the rev met.
 
     ``patches(id, seq, expected_rev, data, status, set_assignee, assignee)``; ``seq``
-    is the arrival number. A key claimed by another live row is refused. The
-    result is a written table, as rows, edits and reports all read it.
+    is the arrival number, unique in the batch. Keys change hands within a batch: a claim
+    meets whoever holds the key at its turn. Which claims are accepted and which keys are
+    held depend on each other, so they are settled in rounds; a round makes at least the
+    earliest open claim final, and one or two rounds are the rule. The result is a written
+    table, as rows, edits and reports all read it.
     """
-    current = live(rows).select("id", "rev", F.col("data").alias("row_data"))
+    current = live(rows).select("id", "rev", F.col("data").alias("row_data"), "row_key")
     cells = canon.cells_of("row_data")
     broken = F.filter(
         F.array(*[F.when(checks.field_error(f, cells(f.key)).isNotNull(), F.lit(f.key)) for f in contract.active]),
@@ -152,47 +192,51 @@ def judge_patches(
             for f in contract.active
         ]
     )
-    joined = patches.join(start, "id", "left")
+    judged = patches.join(start, "id", "left")
     has_data = F.col("data").isNotNull()
     bad = F.when(has_data, bad).otherwise(F.array().cast(checks.ERRORS_TYPE))
-    judged = joined.withColumn("errors", bad).withColumn("known_user", F.lit(True)).withColumn("key_free", F.lit(True))
+    judged = judged.withColumns({"errors": bad, "has_data": has_data, "known_user": F.lit(True)})
     if users is not None:
-        known = users.select(F.col("id").alias("assignee")).distinct().withColumn("_known", F.lit(True))
-        judged = judged.join(known, "assignee", "left").withColumn(
-            "known_user", ~F.col("set_assignee") | F.col("assignee").isNull() | F.col("_known").isNotNull()
-        ).drop("_known")
+        judged = _known_users(judged, users)
+    covers = F.size(F.array_except(F.col("broken"), F.map_keys("data"))) == 0
+    judged = judged.withColumn("covers", F.coalesce(covers, F.lit(False)))
+    wanted = F.lit(None).cast("string")
     if contract.key_field is not None:
         wanted = text.unquote(F.col("data").getItem(contract.key_field.key))
-        holders = live(rows).filter(F.col("row_key").isNotNull()).select(
-            F.col("row_key").alias("_wanted"), F.col("id").alias("_holder")
-        )
-        judged = (
-            judged.withColumn("_wanted", wanted)
-            .join(holders, "_wanted", "left")
-            .withColumn("key_free", F.col("_holder").isNull() | (F.col("_holder") == F.col("id")))
-            .drop("_wanted", "_holder")
-        )
-    covers = F.size(F.array_except(F.col("broken"), F.map_keys("data"))) == 0
-    ready = (
-        judged.withColumn("ok", (F.size("errors") == 0) & F.col("known_user") & F.col("key_free"))
-        .withColumn("has_data", has_data)
-        .withColumn("covers", F.coalesce(covers, F.lit(False)))
-    )
-    ready = durable.written(ready, "patches")
+    ready = durable.written(judged.withColumn("wanted", wanted), "patches")
     states = ready.groupBy("id").agg(
         F.first("rev", ignorenulls=True).alias("rev"), F.first(F.size("broken") == 0, ignorenulls=True).cast("int").alias("clean")
     ).filter(F.col("rev").isNotNull())
-    done = accept_patches(ready, states, width)
+    states = durable.written(states, "states")
+    claims = ready.filter(F.col("wanted").isNotNull()).select("id", "seq", "wanted")
+    holders = current.filter(F.col("row_key").isNotNull()).select("id", F.col("row_key").alias("key"))
+    wanted_keys = claims.select(F.col("wanted").alias("key")).distinct()
+    concerned = holders.join(wanted_keys, "key", "left_semi").unionByName(holders.join(claims.select("id").distinct(), "id", "left_semi"))
+    concerned = durable.written(concerned.distinct(), "holders")
+    taken = durable.written(claims.select("id", "seq").limit(0), "taken")
+    while True:
+        sound = ready.join(taken.withColumn("_taken", F.lit(True)), ["id", "seq"], "left")
+        sound = sound.withColumn("key_free", F.col("_taken").isNull()).drop("_taken")
+        sound = sound.withColumn("ok", (F.size("errors") == 0) & F.col("known_user") & F.col("key_free"))
+        done = durable.written(accept_patches(sound, states, width, at_once), "accepted")
+        if contract.key_field is None:
+            break
+        claimed = done.filter(F.col("wanted").isNotNull()).select("id", "seq", "wanted", "accepted")
+        again = durable.written(_keys_taken(claimed, concerned), "taken")
+        if again.exceptAll(taken).isEmpty() and taken.exceptAll(again).isEmpty():
+            break
+        taken = again
+    breaks = (F.size("errors") > 0) | (F.col("has_data") & (F.col("met_clean") == 0) & ~F.col("covers"))
     outcome = (
         F.when(F.col("rev").isNull(), "not_found")
         .when(F.col("expected_rev").isNull(), "rev_required")
         .when(F.col("accepted"), "accepted")
-        .when(~F.col("known_user"), "unknown_user")
-        .when(F.size("errors") > 0, "invalid")
+        .when(F.col("met_rev") != F.col("expected_rev"), "conflict")
+        .when(breaks, "invalid")
         .when(~F.col("key_free"), "key_taken")
-        .otherwise("conflict")
+        .otherwise("unknown_user")
     )
-    judged = done.withColumn("outcome", outcome).drop("broken", "known_user", "key_free", "ok", "covers")
+    judged = done.withColumn("outcome", outcome).drop("broken", "known_user", "key_free", "ok", "covers", "wanted", "met_clean")
     return durable.written(judged, "judged")
 
 

@@ -5,21 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.contract import Contract
+from rowsmith.contract import Contract, Field
 from rowsmith.functions import records, text
+from rowsmith.plans.fence import fenced
 from rowsmith.plans.skew import attach_by_key
-from rowsmith.sources.yaml_files import Refused, locate
 
 CANNOT_TELL = "can't tell which key holds the records — choose a records_key"
-PARTS_TYPE = "struct<problem:string,chosen:string,items:array<string>,item_problems:array<string>>"
-
-
-def _kind_is(v: Column, name: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(name), F.lit(False))
 
 
 def record_list(docs: DataFrame, records_key: str | None = None) -> DataFrame:
@@ -28,117 +22,76 @@ def record_list(docs: DataFrame, records_key: str | None = None) -> DataFrame:
     Adds ``chosen`` (NULL for a top-level list), ``candidates`` (keys holding a
     list), ``ignored`` (the other keys) and ``problem``.
     """
-    v = F.try_parse_json("doc")
-    members = F.when(_kind_is(v, "OBJECT"), v.try_cast("map<string,variant>"))
-    keys = F.json_object_keys("doc")
-    lists = F.filter(keys, lambda k: _kind_is(F.try_element_at(F.col("_m"), k), "ARRAY"))
+    shapes = F.col("_shapes")
+    keys = F.json_object_keys("_outline")
+    lists = F.filter(keys, lambda k: records.is_list(F.try_element_at(shapes, k)))
     objects = F.filter(
         F.col("candidates"),
-        lambda k: F.forall(
-            F.try_element_at(F.col("_m"), k).try_cast("array<variant>"), lambda x: _kind_is(x, "OBJECT")
-        ),
+        lambda k: F.forall(records.items(F.try_element_at(shapes, k)), records.is_object),
     )
     if records_key is not None:
         chosen = F.when(F.array_contains("candidates", records_key), F.lit(records_key))
         missing = F.lit(f"records_key '{records_key}' is not a list in this file")
     else:
-        export = _kind_is(F.try_element_at(F.col("_m"), F.lit("manifest")), "OBJECT") & F.array_contains(
-            "candidates", "rows"
-        )
+        export = records.is_object(F.try_element_at(shapes, F.lit("manifest"))) & F.array_contains("candidates", "rows")
         chosen = F.when(export, F.lit("rows")).when(F.size("_objects") == 1, F.get("_objects", F.lit(0)))
         found = F.concat(F.lit(" (lists found: "), F.array_join("candidates", ", "), F.lit(")"))
         missing = F.concat(F.lit(CANNOT_TELL), F.when(F.size("candidates") > 0, found).otherwise(""))
+    readable = F.when(F.col("problem").isNull(), F.col("doc"))
     located = (
-        docs.withColumn("_m", members)
-        .withColumn("_list", _kind_is(v, "ARRAY"))
-        .withColumn("_null", _kind_is(v, "VOID"))
-        .withColumn("candidates", F.when(F.col("_m").isNotNull(), lists))
+        docs.withColumn("_outline", records.outline(readable))
+        .withColumn("_shapes", F.when(records.is_object(F.col("_outline")), records.members(F.col("_outline"))))
+        .withColumn("_list", records.is_list(F.col("_outline")))
+        .withColumn("candidates", F.when(shapes.isNotNull(), lists))
         .withColumn("_objects", objects)
-        .withColumn("chosen", F.when(F.col("_m").isNotNull(), chosen))
+        .withColumn("chosen", F.when(shapes.isNotNull(), chosen))
         .withColumn("ignored", F.when(F.col("chosen").isNotNull(), F.filter(keys, lambda k: k != F.col("chosen"))))
     )
+    is_null = F.coalesce(F.col("_outline").rlike(r"\A\s*+null\s*+\z"), F.lit(False))
     problem = (
-        F.when(F.col("_list") | F.col("_null"), F.lit(None).cast("string"))
-        .when(F.col("_m").isNull(), "expected a list of records, or an object containing one")
+        F.when(F.col("_list") | is_null | F.col("problem").isNotNull(), F.lit(None).cast("string"))
+        .when(shapes.isNull(), "expected a list of records, or an object containing one")
         .when(F.col("chosen").isNull(), missing)
     )
-    return located.withColumn("problem", F.coalesce(F.col("problem"), problem)).drop("_m", "_null", "_objects")
-
-
-def _split_with_repeats(records_key: str | None):
-    """Documents with a repeated key at some depth: split them, flag the records."""
-
-    @F.pandas_udf(PARTS_TYPE)
-    def split(docs: pd.Series) -> pd.DataFrame:
-        out = []
-        for doc in docs:
-            try:
-                value = None if doc is None else records.load(doc)
-                items = [] if value is None else locate(value, records_key)
-                chosen = None if isinstance(value, list) or value is None else next(
-                    k for k, v in value.items() if v is items
-                )
-                flagged = [records.first_repeated(i) if isinstance(i, dict) else None for i in items]
-                out.append((
-                    None, chosen, [records.dump(i) for i in items],
-                    [None if f is None else f"duplicate key '{f}'" for f in flagged],
-                ))
-            except (Refused, ValueError) as bad:
-                out.append((str(bad) if isinstance(bad, Refused) else "invalid JSON", None, [], []))
-        return pd.DataFrame(out, columns=["problem", "chosen", "items", "item_problems"])
-
-    return split
+    return located.withColumn("problem", F.coalesce(F.col("problem"), problem)).drop("_objects")
 
 
-ENTRIES_TYPE = "array<struct<row_idx:bigint,line:string,problem:string,check:boolean>>"
+ENTRIES_TYPE = "array<struct<row_idx:bigint,line:string,problem:string>>"
 
 
 def locate_records(docs: DataFrame, records_key: str | None = None) -> DataFrame:
     """``(file, row_idx, line, problem)`` of every record; row 0 is a whole-file problem.
 
     One pass over the documents: each becomes its list of entries, exploded once.
-    Only documents the engine cannot parse (a repeated key somewhere) are split in
-    Python.
+    Whether an item is an object is told by its outline, so a string that holds JSON,
+    a number or a null is reported and never read as a record.
     """
+    located = record_list(docs, records_key)
+    raw = F.when(F.col("_list"), F.col("doc")).otherwise(F.try_element_at(records.members(F.col("doc")), F.col("chosen")))
+    shape = F.when(F.col("_list"), F.col("_outline")).otherwise(F.try_element_at(F.col("_shapes"), F.col("chosen")))
 
-    def entry(idx: Column, line: Column, problem: Column, check: bool) -> Column:
-        return F.struct(
-            idx.cast("bigint").alias("row_idx"), line.alias("line"), problem.alias("problem"), F.lit(check).alias("check")
-        )
-
-    none = F.lit(None).cast("string")
-    parsed = F.try_parse_json("doc").isNotNull()
-    split = _split_with_repeats(records_key)(F.when(~F.col("_parsed"), F.col("doc")))
-    located = record_list(docs.withColumn("_given", F.col("problem")).withColumn("_parsed", parsed), records_key)
-    located = located.withColumn("_split", split)
-    raw = F.when(F.col("_list"), F.col("doc")).otherwise(
-        F.try_element_at(F.from_json("doc", "map<string,string>"), F.col("chosen"))
-    )
-    clean = F.transform(F.from_json(raw, "array<string>"), lambda x, i: entry(i + 1, x, none, True))
-    repaired = F.transform(
-        F.arrays_zip("_split.items", "_split.item_problems"),
-        lambda x, i: entry(i + 1, x["items"], x["item_problems"], False),
-    )
+    def entry(idx: Column, line: Column, problem: Column) -> Column:
+        return F.struct(idx.cast("bigint").alias("row_idx"), line.alias("line"), problem.alias("problem"))
 
-    def whole(problem: Column) -> Column:
-        return F.array(entry(F.lit(0), none, problem, False)).cast(ENTRIES_TYPE)
+    def item(x: Column, i: Column) -> Column:
+        line = F.when(x["raw"].isNull(), "null").when(x["shape"] == "", text.quote(x["raw"])).otherwise(x["raw"])
+        return entry(i + 1, line, F.when(~records.is_object(x["shape"]), "record is not an object"))
 
-    entries = (
-        F.when(~F.col("_parsed") & F.col("_split.problem").isNotNull(), whole(F.coalesce("_given", "_split.problem")))
-        .when(~F.col("_parsed"), repaired.cast(ENTRIES_TYPE))
-        .when(F.col("problem").isNotNull(), whole(F.col("problem")))
-        .otherwise(clean.cast(ENTRIES_TYPE))
-    )
-    rows = located.select("file", F.explode(entries).alias("_e")).select("file", "_e.*")
-    checked = records.line_problem(F.when(F.col("check"), F.col("line")), F.col("row_idx"))
-    return rows.select("file", "row_idx", "line", F.when(F.col("check"), checked).otherwise(F.col("problem")).alias("problem"))
+    both = F.arrays_zip(records.items(raw).alias("raw"), records.items(shape).alias("shape"))
+    found = F.transform(both, item).cast(ENTRIES_TYPE)
+    whole = F.array(entry(F.lit(0), F.lit(None).cast("string"), F.col("problem"))).cast(ENTRIES_TYPE)
+    entries = F.when(F.col("problem").isNotNull(), whole).otherwise(found)
+    rows = located.select("file", F.explode_outer(entries).alias("_e")).filter(F.col("_e").isNotNull()).select("file", "_e.*")
+    checked = records.line_problem(F.when(F.col("row_idx") > 0, F.col("line")), F.col("row_idx"))
+    return rows.select("file", "row_idx", "line", F.coalesce("problem", checked).alias("problem"))
 
 
 def is_export_line(line: Column) -> Column:
     """Exactly the keys id, status and data, with data an object."""
-    keys = F.array_sort(F.array_distinct(F.json_object_keys(line)))
-    inner = F.get_json_object(line, "$.data").startswith("{")
-    return F.coalesce((keys == F.array(*[F.lit(k) for k in records.LINE_KEYS])) & inner, F.lit(False))
+    shapes = records.outline(line)
+    keys = F.json_object_keys(shapes)
+    exact = F.coalesce(F.array_sort(keys) == F.array(*[F.lit(k) for k in records.LINE_KEYS]), F.lit(False))
+    return F.when(exact, records.is_object(F.try_element_at(records.members(shapes), F.lit("data")))).otherwise(F.lit(False))
 
 
 def export_files(recs: DataFrame) -> DataFrame:
@@ -157,83 +110,109 @@ def unwrap_lines(recs: DataFrame) -> DataFrame:
     """
     flagged = export_files(recs).filter("all_lines")
     joined = attach_by_key(recs, flagged, "file", "records", F.col("row_idx"))
-    unwrap = F.col("all_lines") & F.coalesce(~F.col("problem").contains("invalid JSON"), F.lit(True))
-    data = F.get_json_object("line", "$.data")
-    line = F.when(unwrap, data).otherwise(F.col("line"))
-    return (
-        joined.withColumn("line", line)
-        .withColumn(
-            "problem",
-            F.when(unwrap, records.line_problem(F.col("line"), F.col("row_idx"))).otherwise(F.col("problem")),
-        )
-        .drop("records", "all_lines")
-    )
+    unwrap = F.coalesce(F.col("all_lines"), F.lit(False)) & F.coalesce(~F.col("problem").contains("invalid JSON"), F.lit(True))
+    data = F.when(unwrap, F.try_element_at(records.members(F.col("line")), F.lit("data")))
+    rows = joined.withColumn("_unwrap", unwrap).withColumn("line", F.coalesce(data, "line"))
+    checked = records.line_problem(F.when(F.col("_unwrap"), F.col("line")), F.col("row_idx"))
+    problem = F.when(F.col("_unwrap"), checked).otherwise(F.col("problem"))
+    return rows.withColumn("problem", problem).drop("records", "all_lines", "_unwrap")
+
+
+def read_records(docs: DataFrame, records_key: str | None = None) -> DataFrame:
+    """Documents to numbered records: located, unwrapped when they are export lines, checked.
+
+    Gives ``(file, row_idx, line, problem)``; a problem record keeps its text and number.
+    """
+    return unwrap_lines(locate_records(docs, records_key))
 
 
 def flatten_records(recs: DataFrame, leaves: Iterable[str] = ()) -> DataFrame:
     """Add ``rec`` (dotted path to canonical text) and ``paths`` in source order.
 
     ``leaves`` are the json columns, whose objects stay whole. A path that appears
-    twice or has an empty segment makes the record a problem.
+    twice or has an empty segment makes the record a problem. Without a ``problem``
+    column the lines are checked first.
     """
-    readable = F.when(F.col("problem").isNull(), F.col("line")) if "problem" in recs.columns else F.col("line")
-    flat = recs.withColumn("_flat", records.flatten_udf(leaves)(readable))
-    known = F.col("problem") if "problem" in recs.columns else F.lit(None).cast("string")
-    problem = F.coalesce(known, F.col("_flat.problem"))
-    return (
-        flat.withColumn("problem", problem)
-        .withColumn(
-            "rec", F.when(F.col("problem").isNull(), F.map_from_arrays("_flat.paths", "_flat.texts"))
-        )
-        .withColumn("paths", F.when(F.col("problem").isNull(), F.col("_flat.paths")))
-        .drop("_flat")
-    )
+    if "problem" not in recs.columns:
+        checked = records.line_problem(F.col("line"), F.lit(0))
+        recs = recs.withColumn("problem", F.regexp_replace(checked, r"\Aline 0: ", ""))
+    # One projection per step, so that no step repeats the one before.
+    readable = F.when(F.col("problem").isNull(), F.col("line"))
+    flat = recs.withColumn("_nodes", F.when(readable.isNotNull(), records.nodes(readable, leaves)))
+    flat = flat.withColumn("problem", F.coalesce("problem", records.nodes_problem(F.col("_nodes"))))
+    flat = flat.withColumn("paths", F.when(F.col("problem").isNull(), F.transform("_nodes", lambda e: e["path"])))
+    texts = F.when(F.col("problem").isNull(), records.node_texts(F.col("_nodes")))
+    return fenced(flat.withColumn("rec", F.map_from_arrays("paths", texts)).drop("_nodes"), ["problem", "paths", "rec"])
 
 
 def known_cells(recs: DataFrame, contract: Contract) -> DataFrame:
-    """Add ``json:<key>`` per active column: the canonical text at its path.
+    """Add ``json:<key>`` per active column, the canonical text at its path, and ``unknown``.
 
-    The contract names every path, so a line is parsed once in the engine and each
-    path is read from it. Lines whose keys could collide with dotted paths, and
-    contracts with unusual key characters, go through ``flatten_records`` instead;
-    both give the same texts and problems. Only a list of other things than strings
-    is spelled loosely outside json columns, where it is refused in any case.
+    The contract names every path, so an ordinary line is taken apart once per object
+    above a known path. Lines with a key that a dotted path could be taken for, and
+    contracts with unusual key characters, are flattened instead; both give the same
+    texts and problems. ``unknown`` lists the paths of a record that are no active column,
+    NULL when there are none.
     """
     keys = contract.active_keys
     flat = recs if "problem" in recs.columns else recs.withColumn("problem", F.lit(None).cast("string"))
-    native = all(re.fullmatch(records.PLAIN_KEY, k) for k in keys)
-    odd = F.coalesce(F.col("line").rlike(records.ODD_LINE), F.lit(False)) if native else F.lit(True)
-    readable = F.col("problem").isNull()
-    flat = flat.withColumn("_odd", readable & odd)
-    flat = flat.withColumn("_flat", records.flatten_udf(contract.json_keys)(F.when(F.col("_odd"), F.col("line"))))
-    slow_problem = F.when(F.col("_odd"), F.col("_flat.problem"))
-    slow = F.map_from_arrays("_flat.paths", "_flat.texts")
-    flat = flat.withColumns(
-        {
-            "problem": F.coalesce("problem", slow_problem),
-            "_rec": F.when(F.col("_odd"), slow),
-            "_v": F.try_parse_json(F.when(readable & ~F.col("_odd"), F.col("line"))),
-        }
-    )
-    whole = [k for k in keys if not any(k.startswith(j + ".") for j in contract.json_keys)]
-    at = {k: F.col(f"`at:{k}`") for k in whole}
-    kind = {k: F.col(f"`kind:{k}`") for k in whole}
-    flat = flat.withColumns({f"at:{k}": F.try_variant_get("_v", records.variant_path(k), "variant") for k in whole})
-    flat = flat.withColumns({f"kind:{k}": F.schema_of_variant(at[k]) for k in whole})
-    cells = {}
+    plain_keys = all(re.fullmatch(records.PLAIN_KEY, k) for k in keys)
+    readable = F.col("problem").isNull() & F.col("line").isNotNull()
+    flat = flat.withColumn("_odd", readable & (records.has_odd_keys(F.col("line")) if plain_keys else F.lit(True)))
+    odd_line = F.when(F.col("_odd"), F.col("line"))
+    flat = flat.withColumn("_nodes", F.when(F.col("_odd"), records.nodes(odd_line, contract.json_keys)))
+    flat = flat.withColumn("problem", F.coalesce("problem", records.nodes_problem(F.col("_nodes"))))
+    paths = F.transform("_nodes", lambda e: e["path"])
+    flattened = F.when(F.col("_odd") & F.col("problem").isNull(), F.map_from_arrays(paths, records.node_texts(F.col("_nodes"))))
+    plain = F.when(readable & ~F.col("_odd"), F.col("line"))
+    flat = flat.withColumns({"_rec": flattened, "_raw:": plain, "_outline:": records.outline(plain)})
+
+    def parent(path: str) -> str:
+        return path.rpartition(".")[0]
+
+    def name(path: str) -> Column:
+        return F.lit(path.rpartition(".")[2])
+
+    whole = [k for k in keys if not any(k.startswith(j + ".") for j in contract.json_keys)] if plain_keys else []
+    above = {".".join(k.split(".")[:i]) for k in whole for i in range(len(k.split(".")))}
+    above = sorted(above, key=lambda p: (p.count(".") + bool(p), p))  # outer objects first
+    for path in above:
+        raw, shape = F.col(f"`_raw:{path}`"), F.col(f"`_outline:{path}`")
+        is_object = records.is_object(shape)
+        flat = flat.withColumns(
+            {f"_raws:{path}": F.when(is_object, records.members(raw)), f"_shapes:{path}": F.when(is_object, records.members(shape))}
+        )
+        raws, shapes = F.col(f"`_raws:{path}`"), F.col(f"`_shapes:{path}`")
+        inner = [p for p in above if p and parent(p) == path]
+        flat = flat.withColumns(
+            {f"_raw:{p}": F.try_element_at(raws, name(p)) for p in inner}
+            | {f"_outline:{p}": F.try_element_at(shapes, name(p)) for p in inner}
+        )
+    # A record with a path that is not a key of the contract is flattened for the names alone.
+    cells, strange = {}, F.lit(False)
+    for path in above:
+        children = {p.rpartition(".")[2] for p in (*above, *whole) if p and parent(p) == path}
+        extra = F.array_except(F.map_keys(F.col(f"`_raws:{path}`")), F.array(*[F.lit(c) for c in sorted(children)]))
+        scalar = ~records.opens(F.col(f"`_outline:{path}`")) & F.col(f"`_outline:{path}`").isNotNull()
+        strange = strange | F.coalesce(F.size(extra) > 0, F.lit(False)) | (scalar if path else F.lit(False))
     for k in keys:
         found = F.col("_rec")[k]
-        if native and k in whole:
-            nested = F.to_json(at[k])
-            if k in contract.json_keys:
-                raw = F.get_json_object("line", "$" + "".join(f"['{p}']" for p in k.split(".")))
-                nested = text.canonical_nested(F.when(kind[k].rlike(r"\A(ARRAY|OBJECT)"), raw))
-            else:
-                nested = F.when(kind[k].startswith("ARRAY") | (kind[k] == "OBJECT<>"), nested)
-            found = F.coalesce(found, records.scalar_text(at[k], kind[k]), nested)
+        if k in whole:
+            raws, shapes = F.col(f"`_raws:{parent(k)}`"), F.col(f"`_shapes:{parent(k)}`")
+            raw, shape = F.try_element_at(raws, name(k)), F.try_element_at(shapes, name(k))
+            there = F.coalesce(F.map_contains_key(raws, name(k)), F.lit(False))
+            if k not in contract.json_keys:  # an object with members is a level, not a cell
+                there = there & ~records.opens(shape)
+                strange = strange | F.coalesce(records.opens(shape), F.lit(False))
+            found = F.coalesce(found, F.when(there, records.value_text(raw, shape)))
         cells[f"json:{k}"] = F.when(F.col("problem").isNull(), found)
-    flat = flat.withColumns(cells)
-    return flat.drop("_odd", "_flat", "_rec", "_v", *[f"{p}:{k}" for k in whole for p in ("at", "kind")])
+    named = F.when(F.col("_odd"), paths).when(
+        readable & strange, F.transform(records.nodes(F.when(strange, plain), contract.json_keys), lambda e: e["path"])
+    )
+    cells["unknown"] = F.when(F.col("problem").isNull(), F.filter(named, lambda p: ~p.isin(keys)))
+    made = [f"{mark}:{p}" for p in above for mark in ("_raw", "_outline", "_raws", "_shapes")]
+    done = flat.withColumns(cells).drop("_odd", "_nodes", "_rec", "_raw:", "_outline:", *made)
+    return fenced(done, ["problem", *cells])
 
 
 def known_cell(key: str) -> Column:
@@ -254,7 +233,10 @@ def unknown_paths(flat: DataFrame, active_keys: Iterable[str]) -> DataFrame:
     return discover_paths(flat).filter(~F.col("path").isin(list(active_keys)))
 
 
-def usable_keys(flat: DataFrame, key: str) -> DataFrame:
-    """The key values of a file that can name rows: non-empty strings."""
-    value = text.unquote(F.col("rec").getItem(key))
-    return flat.filter(value != "").select("row_idx", value.alias("row_key"))
+def usable_keys(recs: DataFrame, key: str) -> DataFrame:
+    """The key values of a file that can name rows: non-empty strings.
+
+    Only the key's own path is read of each record.
+    """
+    value = text.unquote(known_cell(key))
+    return known_cells(recs, Contract.of(Field(key))).filter(value != "").select("row_idx", value.alias("row_key"))

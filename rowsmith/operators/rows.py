@@ -9,6 +9,7 @@ from rowsmith.contract import TEXT_TYPES, Contract
 from rowsmith.functions import canon, checks, text
 from rowsmith.operators.importing import new_rows
 from rowsmith.plans import durable
+from rowsmith.plans.skew import attach_by_key
 
 EDITS_SCHEMA = "row_id string, field string, old_value string, new_value string, user_id string, at timestamp"
 
@@ -84,7 +85,10 @@ def listing(rows: DataFrame) -> DataFrame:
 
 
 def typed_view(rows: DataFrame, contract: Contract) -> DataFrame:
-    """The wide typed form for analytics."""
+    """The wide typed form for analytics: ``row_id``, ``row_status``, then a struct ``data`` of the columns.
+
+    In a struct of its own a column may be called anything a contract allows, also ``id``.
+    """
     types = {"number": "double", "boolean": "boolean"}
     out = []
     for f in contract.active:
@@ -100,7 +104,7 @@ def typed_view(rows: DataFrame, contract: Contract) -> DataFrame:
         else:
             value = text.unquote(t)
         out.append(value.alias(f.key))
-    return rows.select("id", "status", *out)
+    return rows.select(F.col("id").alias("row_id"), F.col("status").alias("row_status"), F.struct(*out).alias("data"))
 
 
 def key_conflicts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -118,8 +122,6 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
     One line per row, so a value shared by any number of rows is never gathered.
     """
-    from rowsmith.plans.skew import attach_by_key
-
     keyed = live(rows).filter(F.col("row_key").isNotNull()).select("row_key", "id")
     shared = keyed.groupBy("row_key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     return attach_by_key(keyed, shared, "row_key", "n", F.col("id"), "inner")
@@ -134,9 +136,7 @@ def create_rows(
     earlier new row holds. Rule results are written once: the claims, the accepted
     and the rejected rows all read them.
     """
-    from rowsmith.operators.importing import claims
-    from rowsmith.plans.skew import attach_by_key
-
+    from rowsmith.operators.importing import claims, is_later
     key = contract.key_field
     error = checks.first_error(canon.cells_of("data"), contract)
     checked = durable.written(new.withColumn("reason", error), "new-rows")
@@ -146,11 +146,11 @@ def create_rows(
         checked = checked.withColumn("_claim", F.when(F.col("reason").isNull(), row_key))
         facts = claims(checked, "_claim", live(rows)).filter((F.col("claimants") > 1) | F.col("taken"))
         checked = attach_by_key(checked, facts, "_claim", "claimants", F.col("row_idx"))
-        used = F.col("taken") | (F.col("row_idx") > F.col("first_row"))
+        used = F.col("taken") | is_later(checked)
         checked = checked.withColumn(
             "reason",
             F.coalesce(F.col("reason"), F.when(used, F.concat(F.lit("key '"), F.col("_claim"), F.lit("' already exists")))),
-        ).drop("_claim", "first_row", "claimants", "taken")
+        ).drop("_claim", "first_at", "claimants", "taken")
     good = checked.filter(F.col("reason").isNull())
     made = new_rows(good, F.col("data"), row_key, dataset, user, started)
     return rows.unionByName(made), checked.filter(F.col("reason").isNotNull()).select("row_idx", "reason")
@@ -193,20 +193,24 @@ def edits_of(before: DataFrame, after: DataFrame, user: str, at: Column, strict:
 
 
 def soft_delete(rows: DataFrame, requests: DataFrame, user: str, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new rows table, outcome, edits) for ``requests(id, expected_rev)``.
+    """(new rows table, outcome, edits) for ``requests(id, seq, expected_rev)``, ``seq`` the arrival.
 
-    A request is deleted, a conflict (stale rev), rev_required or not_found. The
-    first request per row counts, as the row is gone for the rest.
+    Every request gets an outcome: the first with the right rev deletes the row, those
+    before it are conflicts (or rev_required), those after it find no row. Which one
+    that is comes from a map-side minimum, so a row may have any number of requests.
     """
-    one = requests.groupBy("id").agg(F.min("expected_rev").alias("expected_rev"))
     current = live(rows).select("id", F.col("rev").alias("server_rev"))
-    outcome = one.join(current, "id", "left").withColumn(
+    asked = requests.join(current, "id", "left")
+    hits = F.when(F.col("expected_rev") == F.col("server_rev"), F.col("seq"))
+    first = asked.groupBy("id").agg(F.min(hits).alias("_first"), F.count("*").alias("_n")).filter("_first is not null")
+    outcome = attach_by_key(asked, first, "id", "_n", F.col("seq")).withColumn(
         "outcome",
-        F.when(F.col("server_rev").isNull(), "not_found")
+        F.when(F.col("server_rev").isNull() | (F.col("seq") > F.col("_first")), "not_found")
         .when(F.col("expected_rev").isNull(), "rev_required")
-        .when(F.col("expected_rev") != F.col("server_rev"), "conflict")
-        .otherwise("deleted"),
-    )
+        .when(F.col("seq") == F.col("_first"), "deleted")
+        .otherwise("conflict"),
+    ).drop("_first", "_n")
+    outcome = durable.written(outcome, "deletions")
     gone = outcome.filter(F.col("outcome") == "deleted").select("id")
     return mark_deleted(rows, gone, user, at), outcome, deletion_edits(gone, user, at)
 

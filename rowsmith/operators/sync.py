@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, text
-from rowsmith.operators.importing import claims, map_rows, mapped_cells, new_rows
-from rowsmith.operators.records import known_cell, unknown_paths
+from rowsmith.operators.importing import also_at, claims, fixed_time, is_later, map_rows, mapped_cells, new_rows, place
+from rowsmith.operators.records import known_cell
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key
 
 FIELDS_TYPE = "array<struct<field:string,before:string,after:string>>"
-UNKNOWN_COLUMN = "no column with this key (fix the path, or use --ignore-unknown)"
+UNKNOWN_COLUMN = "the contract has no column with this path (correct it, or pass ignore_unknown)"
+IGNORED = "ignored: the contract has no column with this path"
 NEVER_PULLED = "exists in the dataset; pull the rows first or use force"
 
 
@@ -46,7 +47,7 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
     cell = mapped_cells(mapped)
     cleared = F.array_compact(F.array(*[F.when(sent(k) == "null", F.lit(k)) for k in wanted]))
     usable = F.col("problem").isNull() & (text.strip(F.col("_key")) != "")
-    named = mapped.withColumns({"_key": text.unquote(cell(key.key)), "cleared": cleared})
+    named = mapped.withColumns({"_key": text.unquote(cell(key.key)), "cleared": cleared, "unknown": _unknown_of(source, contract)})
     keyed = durable.written(named.withColumn("row_key", F.when(usable, F.col("_key"))).drop("_key"), "records")
     first = claims(keyed, "row_key", None).filter(F.col("claimants") > 1)
     joined = attach_by_key(keyed, first, "row_key", "claimants", F.col("row_idx"))
@@ -54,11 +55,19 @@ def read_records(source: DataFrame, contract: Contract, paths: list[str] | None
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("row_key").isNull(), "missing key value")
         .when(
-            F.col("row_idx") > F.col("first_row"),
-            F.concat(F.lit("duplicate key in file (also row "), F.col("first_row").cast("string"), F.lit(")")),
+            is_later(joined),
+            F.concat(F.lit("duplicate key in file ("), also_at(joined), F.lit(")")),
         )
     )
-    return joined.withColumn("reason", reason).drop("first_row", "claimants", "taken")
+    return joined.withColumn("reason", reason).drop("first_at", "claimants", "taken")
+
+
+def _unknown_of(source: DataFrame, contract: Contract) -> Column:
+    """The paths of a record that the contract does not know, in source order."""
+    if "unknown" in source.columns:
+        return F.coalesce("unknown", F.array().cast("array<string>"))
+    there = F.col("paths") if "paths" in source.columns else F.map_keys("rec")
+    return F.coalesce(F.filter(there, lambda p: ~p.isin(contract.active_keys)), F.array().cast("array<string>"))
 
 
 def plan_sync(
@@ -68,9 +77,13 @@ def plan_sync(
     contract: Contract,
     force: bool = False,
     paths: list[str] | None = None,
+    ignore_unknown: bool = False,
 ) -> DataFrame:
     """One row per file record with its ``op``.
 
+    A path of the file that the contract does not know is an error of every record that
+    has it, and so blocks the sync; with ``ignore_unknown`` it is listed in ``ignored``.
+
     ``op`` is create, update, unchanged, server_newer, conflict, deleted (pulled,
     then deleted on the server) or error. ``fields`` lists what differs and
     ``errors`` what blocks the sync. Live rows, pull state and deleted keys meet
@@ -79,7 +92,8 @@ def plan_sync(
     records = read_records(source, contract, paths)
     # Refused records match nothing: a throw-away key each keeps them spread.
     own = F.when(F.col("reason").isNull(), F.col("row_key"))
-    records = records.withColumn("_join", F.coalesce(own, F.concat(F.lit("\u0000"), F.col("row_idx").cast("string"))))
+    spot = F.concat_ws("|", *[F.col(c).cast("string") for c in place(records)])
+    records = records.withColumn("_join", F.coalesce(own, F.concat(F.lit("\u0000"), spot)))
     keyed = F.col("row_key").isNotNull()
     current = live(rows).filter(keyed).select(
         F.col("row_key").alias("_join"),
@@ -123,15 +137,17 @@ def plan_sync(
     fields = F.array_compact(F.array(*differing)).cast(FIELDS_TYPE)
     # Fields the contract no longer has stay as they are.
     retired = F.map_filter(server, lambda k, _: ~k.isin(keys))
-    current_fields = canon.as_map({k: merged(k) for k in keys})
+    # A field the file does not mention stays as it is stored, an explicit null included.
+    current_fields = canon.as_map({k: F.coalesce(merged(k), F.when(sent(k).isNull(), server[k])) for k in keys})
     data = F.when(exists, F.map_concat(retired, current_fields)).otherwise(current_fields)
     untouched = F.coalesce(F.col("your_base") == F.col("_sent_hash"), F.lit(False))
     same_rev = F.coalesce(F.col("your_rev") == F.col("server_rev"), F.lit(False))
     skip_deleted = F.lit(not force) & ~exists & F.col("your_rev").isNotNull() & F.col("_gone").isNotNull()
 
     planned = staged.withColumns({"fields": fields, "_rules": checks.row_errors(merged, contract)})
+    strange = (F.size("unknown") > 0) & F.lit(not ignore_unknown)
     op = (
-        F.when(F.col("reason").isNotNull(), "error")
+        F.when(F.col("reason").isNotNull() | strange, "error")
         .when(skip_deleted, "deleted")
         .when(~exists, F.when(F.size("_rules") > 0, "error").otherwise("create"))
         .when(untouched, F.when(same_rev, "unchanged").otherwise("server_newer"))
@@ -148,8 +164,13 @@ def plan_sync(
         F.col("reason").alias("reason"),
     )
     no_fields, no_errors = F.array().cast(FIELDS_TYPE), F.array().cast(checks.ERRORS_TYPE)
+    paths_unknown = F.transform("unknown", lambda p: F.struct(p.alias("column"), F.lit(UNKNOWN_COLUMN).alias("reason")))
     errors = F.when(refused, F.array(entry).cast(checks.ERRORS_TYPE)).otherwise(
-        F.concat(F.col("failures"), F.when(F.col("op") == "error", F.col("_rules")).otherwise(no_errors))
+        F.concat(
+            F.col("failures"),
+            F.when(strange, paths_unknown.cast(checks.ERRORS_TYPE)).otherwise(no_errors),
+            F.when((F.col("op") == "error") & ~strange, F.col("_rules")).otherwise(no_errors),
+        )
     )
     never_pulled = F.when((F.col("op") == "conflict") & F.col("your_rev").isNull(), NEVER_PULLED)
 
@@ -157,7 +178,7 @@ def plan_sync(
         return F.when(~refused, c)
 
     return planned.select(
-        "row_idx",
+        *place(planned),
         "row_key",
         "op",
         F.when(shown, F.col("fields")).otherwise(no_fields).alias("fields"),
@@ -165,14 +186,16 @@ def plan_sync(
         F.coalesce(F.col("reason"), never_pulled).alias("reason"),
         *[unless_refused(F.col(c)).alias(c) for c in ("row_id", "server_rev", "your_rev", "server_status")],
         F.when(F.col("op").isin("create", "update"), data).when(F.col("op") == "unchanged", server).alias("data"),
+        F.when(F.lit(ignore_unknown) & ~refused, F.col("unknown")).otherwise(F.array().cast("array<string>")).alias("ignored"),
     )
 
 
-def unknown_path_errors(source: DataFrame, contract: Contract) -> DataFrame:
-    """Header paths the contract does not know, as blocking errors."""
-    return unknown_paths(source.filter(F.col("problem").isNull()), contract.active_keys).select(
-        F.col("path").alias("column"), F.lit(UNKNOWN_COLUMN).alias("reason")
-    )
+def unknown_path_report(plan: DataFrame) -> DataFrame:
+    """``(path, reason, records)``: unknown paths that block the sync, or that it ignores."""
+    blocking = plan.select(F.explode("errors").alias("e")).filter(F.col("e.reason") == UNKNOWN_COLUMN)
+    blocking = blocking.select(F.col("e.column").alias("path"), F.lit(UNKNOWN_COLUMN).alias("reason"))
+    ignored = plan.select(F.explode("ignored").alias("path")).select("path", F.lit(IGNORED).alias("reason"))
+    return blocking.unionByName(ignored).groupBy("path", "reason").agg(F.count("*").alias("records"))
 
 
 def not_in_file(plan: DataFrame, rows: DataFrame) -> DataFrame:
@@ -256,6 +279,7 @@ def apply_sync(
     Pass a plan written with ``plans.durable`` so the gate and the write see the
     same plan.
     """
+    at = fixed_time(rows.sparkSession, at)
     log = plan_edits(plan, user, at)
     state = refreshed_state(plan, contract)
     if dry_run or is_blocked(plan):

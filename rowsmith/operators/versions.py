@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +11,7 @@ from rowsmith.operators.contracts import diff_contract
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
 
-LEAVES_PER_BUCKET = 4_096  # bounds every hash group, at any row count
-EXACT_MAX_ROWS = 100_000
+PREFIXES = (6, 4, 2, 0)  # hex digits of a leaf that name its node, level by level: the same tree at every size
 VERSIONS_SCHEMA = (
     "dataset string, version int, content_hash string, row_count bigint, schema_snapshot string, "
     "notes string, created_by string, created_at timestamp"
@@ -45,59 +42,34 @@ def in_snapshot_order(snap: DataFrame) -> DataFrame:
     return snap.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id")
 
 
-def buckets_for(row_count: int) -> int:
-    """Power of two that keeps about ``LEAVES_PER_BUCKET`` leaves per bucket."""
-    return 1 << max(0, math.ceil(math.log2(max(1, row_count / LEAVES_PER_BUCKET))))
-
-
-def _bucket(leaf: Column, buckets: int) -> Column:
-    return F.pmod(F.conv(F.substring(leaf, 1, 12), 16, 10).cast("bigint"), F.lit(buckets))
-
-
-def tree_hash(snap: DataFrame, buckets: int, by: tuple[str, ...] = (), stored: bool = False) -> DataFrame:
+def tree_hash(snap: DataFrame, by: tuple[str, ...] = (), stored: bool = False) -> DataFrame:
     """``(content_hash, row_count)`` of a snapshot, or of each ``by`` group.
 
-    Leaf = sha256 of a line; its first digits choose the bucket, which spreads
-    evenly whatever the data. A bucket hashes its leaves in (created_at, id)
-    order, and buckets are combined ``LEAVES_PER_BUCKET`` at a time up to one
-    root, so no task ever holds more than one bucket. The result does not depend
-    on partitioning. Leaves are computed from the lines unless ``stored`` says to
-    trust the snapshot's own ``leaf`` column.
+    Leaf = sha256 of a line; its first digits name its node, which spreads leaves
+    evenly whatever the data. A node of the lowest level hashes its leaves in
+    (created_at, id) order, a higher one the names and hashes of its at most 256
+    children, so no task holds more than one node. The tree depends on the leaves
+    alone: not on partitioning, on the number of rows or on other groups. Leaves are
+    computed from the lines unless ``stored`` says to trust the ``leaf`` column.
     """
     leaf = F.col("leaf") if stored else F.sha2("line", 256)
     leaves = snap.select(*by, "created_at", "id", leaf.alias("h"))
-    level = leaves.groupBy(*by, _bucket(F.col("h"), buckets).alias("b")).agg(
+    level = leaves.groupBy(*by, F.substring("h", 1, PREFIXES[0]).alias("node")).agg(
         F.array_sort(F.collect_list(F.struct("created_at", "id", "h"))).alias("_l"), F.count("*").alias("n")
     )
-    level = level.select(*by, "b", F.sha2(F.array_join(F.col("_l.h"), ""), 256).alias("h"), "n")
-    width = buckets
-    while True:
-        width = math.ceil(width / LEAVES_PER_BUCKET)
-        level = level.groupBy(*by, F.floor(F.col("b") / LEAVES_PER_BUCKET).alias("b")).agg(
-            F.array_sort(F.collect_list(F.struct("b", "h"))).alias("_l"), F.sum("n").alias("n")
-        ).select(*by, "b", F.sha2(F.array_join(F.col("_l.h"), ""), 256).alias("h"), "n")
-        if width <= 1:
-            break
+    level = level.select(*by, "node", F.sha2(F.array_join(F.col("_l.h"), ""), 256).alias("h"), "n")
+    for digits in PREFIXES[1:]:
+        child = F.struct("node", F.concat("node", "h").alias("named"))
+        level = level.groupBy(*by, F.substring("node", 1, digits).alias("parent")).agg(
+            F.array_sort(F.collect_list(child)).alias("_l"), F.sum("n").alias("n")
+        )
+        level = level.select(*by, F.col("parent").alias("node"), F.sha2(F.array_join(F.col("_l.named"), ""), 256).alias("h"), "n")
     root = F.concat(F.lit(canon.HASH_PREFIX), F.col("h")).alias("content_hash")
     return level.select(*by, root, F.col("n").alias("row_count"))
 
 
-def exact_hash(snap: DataFrame, max_rows: int = EXACT_MAX_ROWS) -> str:
-    """sha256 over all lines in order: one sequential digest, for small versions.
-
-    Refuses more than ``max_rows`` rows; larger versions use ``tree_hash``.
-    """
-    if snap.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"exact hash is limited to {max_rows} rows; use the tree hash")
-    ordered = snap.agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "line"))).alias("_l"))
-    body = F.concat_ws("", F.transform("_l", lambda x: F.concat(x["line"], F.lit("\n"))))
-    return ordered.select(F.concat(F.lit(canon.HASH_PREFIX), F.sha2(body, 256)).alias("h")).first().h
-
-
-def content_hash(snap: DataFrame, row_count: int, mode: str = "tree") -> str:
-    if mode == "exact":
-        return exact_hash(snap)
-    return tree_hash(snap, buckets_for(row_count), stored="leaf" in snap.columns).first().content_hash
+def content_hash(snap: DataFrame) -> str:
+    return tree_hash(snap, stored="leaf" in snap.columns).first().content_hash
 
 
 def next_versions(datasets: DataFrame, versions: DataFrame) -> DataFrame:
@@ -124,13 +96,14 @@ def cut_version(
     created_by: str,
     notes: str = "",
     include_unapproved: bool = False,
-    mode: str = "tree",
     created_at: str | None = None,
 ) -> DataFrame:
     """Write one immutable version and return its manifest row.
 
     The snapshot is written first; count and hash are then read back from what
-    was written, so the manifest describes exactly the stored rows.
+    was written, so the manifest describes exactly the stored rows. An empty
+    selection is found by that count and never gets a manifest, which is what
+    makes a version exist.
     """
     from rowsmith.sources import snapshots
 
@@ -138,20 +111,17 @@ def cut_version(
     # Rows are put in order first: range boundaries are sampled from a first pass,
     # which then does not have to build the lines.
     chosen = snapshot(in_snapshot_order(selection(rows, include_unapproved)), contract, include_unapproved)
-    if selection(rows, include_unapproved).isEmpty():
-        raise ValueError("no rows match the selection; a version cannot be empty")
     snapshots.write_snapshot(chosen, root, name, version)
     stored = snapshots.read_snapshot(spark, root, name, version)
-    count = stored.count()
-    digest = content_hash(stored, count, mode)
+    found = tree_hash(stored, stored=True).first()
+    if found is None:
+        raise ValueError("no rows match the selection; a version cannot be empty")
     when = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
     manifest = spark.range(1).select(
         F.lit(name).alias("dataset"),
         F.lit(version).alias("version"),
-        F.lit(digest).alias("content_hash"),
-        F.lit(count).cast("bigint").alias("row_count"),
-        F.lit(mode).alias("hash_mode"),
-        F.lit(buckets_for(count)).alias("hash_buckets"),
+        F.lit(found.content_hash).alias("content_hash"),
+        F.lit(found.row_count).cast("bigint").alias("row_count"),
         F.lit(contract.snapshot_json()).alias("schema_snapshot"),
         F.lit(notes).alias("notes"),
         F.lit(created_by).alias("created_by"),
@@ -167,9 +137,7 @@ def verify(spark: SparkSession, root: str, name: str, version: int) -> tuple[boo
 
     manifest = snapshots.read_manifest(spark, root, name, version).first()
     stored = snapshots.read_snapshot(spark, root, name, version)
-    actual = (
-        exact_hash(stored) if manifest.hash_mode == "exact" else tree_hash(stored, manifest.hash_buckets).first().content_hash
-    )
+    actual = tree_hash(stored).first().content_hash
     return actual == manifest.content_hash, actual
 
 
@@ -185,13 +153,14 @@ def check_pins(pins: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(id, change, old_status, new_status, changes)`` between two snapshots.
+    """``(id, change, old_status, new_status, changes, data, created_at)`` between two snapshots.
 
     One full outer join on the id; field changes come from a map zip inside the
     joined row, so nothing is exploded or shuffled twice.
     """
-    old = a.select("id", F.struct("status", "data").alias("_a"))
-    new = b.select("id", F.struct("status", "data").alias("_b"))
+    at = lambda df: F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
+    old = a.select("id", F.struct("status", "data", at(a).alias("created_at")).alias("_a"))
+    new = b.select("id", F.struct("status", "data", at(b).alias("created_at")).alias("_b"))
     both = old.join(new, "id", "full_outer")
     status_moved = F.col("_a.status") != F.col("_b.status")
     changes = F.when(
@@ -211,9 +180,19 @@ def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
         F.col("_b.status").alias("new_status"),
         "changes",
         F.coalesce("_b.data", "_a.data").alias("data"),
+        F.coalesce("_b.created_at", "_a.created_at").alias("created_at"),
     ).filter(F.col("change").isNotNull())
 
 
+def in_diff_order(diff: DataFrame) -> DataFrame:
+    """Added rows, then removed ones, each in snapshot order, then modified ones by id.
+
+    A range sort: it is spread over tasks, and each holds a piece of the order.
+    """
+    rank = F.when(F.col("change") == "added", 0).when(F.col("change") == "removed", 1).otherwise(2)
+    return diff.orderBy(rank, F.when(F.col("change") != "modified", F.col("created_at")), "id")
+
+
 def diff_stored(a: DataFrame, b: DataFrame) -> DataFrame:
     """``diff_rows`` of two stored snapshots, reading whole rows only where they differ.
 
@@ -256,12 +235,11 @@ def diff_versions(
 
 
 def export_line(snap: DataFrame, contract: Contract, shape: str = "flat") -> DataFrame:
-    """Canonical export lines; ``nested`` re-nests dotted keys."""
+    """Export lines: the stored ``line`` of a snapshot as it is, or ``nested`` with dotted keys re-nested."""
+    if shape == "flat" and "line" in snap.columns:
+        return snap.select("created_at", "id", "line")
     cells = canon.cells_of("data")
-    if shape == "flat":
-        body = canon.object_text(cells, contract.active_keys)
-    else:
-        body = canon.nested_text(cells, contract.active_keys)
+    body = canon.object_text(cells, contract.active_keys) if shape == "flat" else canon.nested_text(cells, contract.active_keys)
     return snap.select("created_at", "id", canon.line_text(body, F.col("id"), F.col("status")).alias("line"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract, Field
 from rowsmith.functions import canon, text
-from rowsmith.sources.tables import read_table
 
 REVIEW = """
 SELECT concat('doc-', d.doc_id) AS id, d.text AS body, d.lang AS lang, d.source AS source, d.n_chars AS n_chars,
@@ -108,17 +107,35 @@ SELECT event_id + 1 AS row_idx,
             ELSE concat('{{"a":{{"b":', event_id, ',"c":{{}}}},"d.e":"', event_type, '"}}') END AS line
 FROM {events}
 """
+# Patches of every document: one each, and many of those that events name. ``k`` numbers a
+# document's patches; every fourth is stale, some break the contract, the third mends the
+# language. ``passes`` is what a reader of the rules expects, and the revs follow from it.
 PATCHES = """
-SELECT concat('doc-', doc_id) AS id, 1 AS seq, 1 + doc_id % 3 AS expected_rev, 'approved' AS status
-FROM {documents} WHERE doc_id % 3 = 0
-UNION ALL
-SELECT concat('doc-', doc_id), 2, CASE WHEN doc_id % 2 = 0 THEN 2 + doc_id % 3 ELSE 1 + doc_id % 3 END, 'draft'
-FROM {documents} WHERE doc_id % 6 < 4 AND doc_id % 3 = 0
+SELECT *, CASE WHEN k % 4 = 0 THEN 0
+               ELSE 1 + doc_id % 3 + coalesce(sum(CAST(passes AS INT)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+          END AS expected_rev
+FROM (SELECT n.doc_id, concat('doc-', n.doc_id) AS id, n.seq, n.k,
+             CASE WHEN k <> 3 AND k % 6 <> 5 AND k % 5 <> 1 THEN CASE WHEN seq % 2 = 0 THEN 'approved' ELSE 'draft' END END AS status,
+             k % 7 = 2 AS set_assignee, CASE WHEN k % 7 = 2 AND k % 3 <> 0 THEN concat('u', k % 9) END AS assignee,
+             CASE WHEN k = 3 THEN 'en' END AS lang, CASE WHEN k <> 3 AND k % 6 <> 5 AND k % 5 = 1 THEN concat('p', k) END AS source,
+             k <> 3 AND k % 6 = 5 AS breaks, d.doc_id IS NOT NULL AND n.doc_id % 29 <> 0 AS known,
+             d.doc_id IS NOT NULL AND n.doc_id % 29 <> 0 AND k % 4 <> 0 AND
+             CASE WHEN k = 3 THEN trim(d.text) <> '' WHEN k % 6 = 5 THEN false
+                  WHEN k % 5 = 1 THEN trim(d.text) <> '' AND (d.lang IN ('en', 'de', 'fr') OR k > 3) ELSE true END AS passes
+      FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k
+            FROM (SELECT user_id AS doc_id, event_id AS seq FROM {events}
+                  UNION ALL SELECT doc_id, 1000000000 + doc_id FROM {documents}) u) n
+      LEFT JOIN {documents} d ON n.doc_id = d.doc_id) t
+"""
+STREAM = """
+SELECT concat('doc-', doc_id) AS id, doc_id, seq, k, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 + doc_id % 3 + k - 1 - (k - 1 - (k - 1) % 4) / 4 END AS expected_rev,
+       CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'draft' END AS status
+FROM (SELECT user_id AS doc_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) n
 """
 DOCS = """
 SELECT concat('file-', o_orderkey) AS file,
        CASE o_orderkey % 6
-            WHEN 0 THEN concat('[{{"k":', o_orderkey, '}},{{"k":2}}]')
+            WHEN 0 THEN concat('[{{"k":', o_orderkey, '}},"{{oops",null,7,{{"k":2}}]')
             WHEN 1 THEN concat('{{"manifest":{{"n":1}},"other":[{{"z":1}}],"rows":[{{"k":', o_orderkey, '}}]}}')
             WHEN 2 THEN concat('{{"meta":1,"items":[{{"k":', o_orderkey, '}},{{"k":3}}],"names":["x"]}}')
             WHEN 3 THEN concat('{{"a":[{{"k":', o_orderkey, '}}],"b":[{{"k":2}}]}}')
@@ -215,17 +232,13 @@ def plain(sql: str) -> str:
     return _TABLE.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")
 
 
-# Inputs that carry many cells per row through coercion and rules.
-HEAVY = (REVIEW, DIRTY, V1, V2)
-
-
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", spread)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def load(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     names = set(_TABLE.findall(sql))
-    return spark.sql(sql, **{n: table(spark, folder, n, sql in HEAVY and n != "labels") for n in names})
+    return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
 
 
 def _at(seq: Column) -> Column:
@@ -319,12 +332,20 @@ def columns_table(df: DataFrame) -> DataFrame:
 
 
 def patch_table(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, PATCHES).select(
+    patches = load(spark, folder, PATCHES)
+    data = canon.as_map(
+        {
+            "lang": text.quote(F.col("lang")),
+            "n_chars": F.when(F.col("breaks"), '"many"'),
+            "source": text.quote(F.col("source")),
+        }
+    )
+    return patches.select(
         "id",
         F.col("seq").cast("bigint").alias("seq"),
         F.col("expected_rev").cast("int").alias("expected_rev"),
-        F.lit(None).cast("map<string,string>").alias("data"),
+        F.when(F.size(data) > 0, data).alias("data"),
         "status",
-        F.lit(False).alias("set_assignee"),
-        F.lit(None).cast("string").alias("assignee"),
+        "set_assignee",
+        "assignee",
     )

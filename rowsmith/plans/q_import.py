@@ -13,7 +13,7 @@ from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.q_cells import MAPPED, REASONS, D, dirty, mapped_dirty
 from rowsmith.plans.q_sources import _KIND
-from rowsmith.plans.q_versions import REVIEW_LINE, TREE, R
+from rowsmith.plans.q_versions import R
 from rowsmith.plans.registry import query
 from rowsmith.sources import readers
 
@@ -146,46 +146,140 @@ def import_jsonl(spark, d):
     return checked.select("row_idx", "outcome", F.get("errors", F.lit(0))["reason"].alias("reason"), kept.alias("props"))
 
 
-# --- Flagship: import, validate, split, cut, diff ------------------------
+# --- Import of a folder ---------------------------------------------------
 
+PER_IMPORTED_FILE = 700
+_FOLDER = f"""e AS (SELECT event_id // {PER_IMPORTED_FILE} AS block, 1 + event_id % {PER_IMPORTED_FILE} AS row_idx, concat('k-', event_id % 3000) AS key,
+  event_id % 100 = 13 AS skipped, event_id % 90 = 5 AS fixed FROM events),
+ c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY concat('block=', block), row_idx) AS nth FROM e WHERE NOT skipped),
+ lf AS (SELECT block, max(row_idx) AS last FROM c WHERE nth = 1 GROUP BY block),
+ off AS (SELECT block, coalesce(sum(last) OVER (ORDER BY concat('block=', block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lf)"""
 
-def _review_source(spark, d) -> DataFrame:
-    df = load(spark, d, inputs.REVIEW)
-    return df.select((F.col("created_seq") + 1).alias("row_idx"), "id", "body", "lang", "source", F.col("n_chars").cast("string").alias("n_chars"), "status", "deleted")
 
-
-def flagship_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Import documents, keep valid rows, cut all of them and the approved ones."""
-    contract = inputs.REVIEW_CONTRACT
-    source = _review_source(spark, d)
-    mapped = importing.map_rows(source, {k: k for k in contract.active_keys}, contract, F.col)
-    checked = durable.written(importing.check_rows(mapped, contract), "flagship")
-    created, _ = importing.split(checked.filter(~F.col("deleted")))
-    data = importing.data_of(created)
-    rows = created.select(
-        text.unquote(F.col("`cell:id`")).alias("id"), data.alias("data"), "status",
-        F.timestamp_micros("row_idx").alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"),
+@query(
+    "m06_import_folder",
+    f"""WITH {_FOLDER} SELECT e.block, e.row_idx, CASE WHEN e.skipped THEN 'skipped' WHEN c.nth = 1 THEN 'created' ELSE 'errored' END AS outcome,
+     CASE WHEN c.nth = 1 THEN CAST(off.o + e.row_idx AS BIGINT) END AS position, CASE WHEN c.nth = 1 THEN 1 END AS ids,
+     CASE WHEN e.fixed THEN '"fixed"' ELSE '"as sent"' END AS note
+     FROM e LEFT JOIN c ON e.block = c.block AND e.row_idx = c.row_idx LEFT JOIN off ON e.block = off.block""",
+)
+def import_folder(spark, d):
+    """Files whose rows are numbered from 1 each and repeat keys of one another."""
+    from rowsmith.plans.q_sources import _block_of
+    from rowsmith.plans.q_versions import folder_for
+
+    contract = Contract.of(Field("key", "text", required=True, is_key=True), Field("note", "text"))
+    events = load(spark, d, "SELECT event_id FROM {events}")
+    n, per = F.col("event_id"), PER_IMPORTED_FILE
+    line = F.concat(F.lit('{"key":"k-'), n % 3000, F.lit('","note":"as sent"}'))
+    path = folder_for(spark, "import")
+    placed = events.select(F.floor(n / per).alias("block"), n.alias("at"), line.alias("line")).repartition("block").sortWithinPartitions("block", "at")
+    placed.select("block", "line").write.partitionBy("block").text(path)
+    read = known_cells(readers.read_jsonl(spark, path), contract)
+    mapped = importing.map_rows(read, {"key": "key", "note": "note"}, contract, known_cell, structured=True)
+    event = _block_of() * per + F.col("row_idx") - 1
+    lines = readers.read_jsonl(spark, path).select("file", "row_idx")
+    skip = lines.filter(event % 100 == 13)
+    fixes = lines.filter(event % 90 == 5).withColumns({"key": F.lit("note"), "value": F.lit('"fixed"')})
+    checked = durable.written(importing.check_rows(importing.apply_fixes(mapped, fixes, contract), contract, skip=skip), "folder")
+    started = F.lit("2024-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in importing.ROW_COLUMNS.items()))
+    table, _, _ = importing.commit_import(checked, contract, empty, "events", "u1", started)
+    made = table.groupBy("row_key").agg(
+        (F.unix_micros(F.max("created_at")) - F.unix_micros(started)).alias("position"), F.count_distinct("id").cast("int").alias("ids")
+    )
+    key = text.unquote(F.col("`cell:key`"))
+    rows = checked.select(_block_of().alias("block"), "row_idx", "outcome", key.alias("row_key"), F.col("`cell:note`").alias("note"))
+    joined = rows.join(made, "row_key", "left")
+    new = F.col("outcome") == "created"
+    return joined.select(
+        "block", "row_idx", "outcome", F.when(new, F.col("position")).alias("position"), F.when(new, F.col("ids")).alias("ids"), "note"
     )
-    return versions.snapshot(rows, contract, True), versions.snapshot(rows, contract, False)
 
 
-_VALID = f"WITH {R}, v AS (SELECT * FROM r WHERE NOT deleted AND trim(body) <> '' AND lang IN ('en', 'de', 'fr'))"
+# --- Preview ----------------------------------------------------------------
+
+
+def _previewed(spark, d):
+    source = dirty(spark, d).drop("blob").withColumnRenamed("name", "Name ")
+    return importing.preview(source, ["Name ", "kind", "score", "flagged", "tags", "as_of", "unmapped"], inputs.DIRTY_CONTRACT, lambda c: F.col(f"`{c}`"), existing=existing(spark, d))
+
+
+@query("m07_preview_sample", f"""WITH {D}, {MAPPED}, {_NO_SKIP}, er AS ({_rules('true')}) SELECT m.row_idx, CASE WHEN m.row_idx IN (SELECT row_idx FROM er) THEN 'errored' ELSE 'created' END AS outcome,
+ concat('{{', array_to_string(list_filter([CASE WHEN c_as_of IS NOT NULL THEN concat('"as_of":', c_as_of) END, CASE WHEN c_flagged IS NOT NULL THEN concat('"flagged":', c_flagged) END, concat('"kind":', c_kind),
+  concat('"name":', c_name), CASE WHEN c_score IS NOT NULL THEN concat('"score":', c_score) END, CASE WHEN c_tags IS NOT NULL THEN concat('"tags":', c_tags) END], lambda x: x IS NOT NULL), ','), '}}') AS cells
+ FROM m ORDER BY m.row_idx LIMIT 20""")
+def preview_typed(spark, d):
+    """The first rows as the import would store them."""
+    return _previewed(spark, d).sample.select("row_idx", "outcome", "cells")
+
+
+@query("m07_preview_counts", f"""WITH {D}, {MAPPED}, {_NO_SKIP}, er AS ({_rules('true')}), q AS (SELECT count(*) AS total, count(*) FILTER (row_idx IN (SELECT row_idx FROM er)) AS errored FROM m)
+ SELECT total, total - errored AS created, CAST(0 AS BIGINT) AS skipped, errored, (SELECT count(*) FROM er) AS errors, 'as_of=as_of,flagged=flagged,kind=kind,name=Name ,score=score,tags=tags' AS mapping FROM q""")
+def preview_counts(spark, d):
+    found = _previewed(spark, d)
+    pairs = F.array_sort(F.collect_list(F.concat("key", F.lit("="), "source")))
+    mapping = found.mapping.agg(F.array_join(pairs, ",").alias("mapping")).scalar()
+    return found.counts.select("*", mapping.alias("mapping"))
+
+
+# --- Flagship: import from files, cut two versions, diff them as stored ---
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of an import from files, with the status that reviewers gave them."""
+    from rowsmith.plans.q_versions import folder_for
+
+    contract = inputs.REVIEW_CONTRACT
+    review = load(spark, d, inputs.REVIEW)
+    names = ["id", "body", "lang", "source", "n_chars"]
+    line = F.to_json(F.struct(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) if n != "n_chars" else F.col(n) for n in names]))
+    path = folder_for(spark, "flagship")
+    review.filter(~F.col("deleted")).select(line.alias("line")).write.text(path)
+    read = known_cells(readers.read_jsonl(spark, path), contract)
+    mapped = importing.map_rows(read, {k: k for k in contract.active_keys}, contract, known_cell, structured=True)
+    empty = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in importing.ROW_COLUMNS.items()))
+    started = F.lit("2024-06-01").cast("timestamp")
+    table, _, _ = importing.commit_import(importing.check_rows(mapped, contract), contract, empty, "docs", "u1", started)
+    given = review.select(F.col("id").alias("row_key"), F.col("status").alias("_given"))
+    return table.join(given, "row_key").withColumn("status", F.col("_given")).select(*table.columns)
+
+
+def flagship_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(version 1, version 2, manifests): all rows, then the approved ones after more were approved."""
+    from rowsmith.plans.q_versions import folder_for
+    from rowsmith.sources import snapshots
+
+    contract, root = inputs.REVIEW_CONTRACT, folder_for(spark, "flagship-versions")
+    rows = durable.written(_reviewed(spark, d), "flagship-rows")
+    more = (F.col("status") == "draft") & (F.col("data")["n_chars"].cast("long") % 2 == 0)
+    later = rows.withColumn("status", F.when(more, "approved").otherwise(F.col("status")))
+    first = versions.cut_version(rows, contract, "docs", root, 1, "u1", include_unapproved=True)
+    second = versions.cut_version(later, contract, "docs", root, 2, "u1")
+    a, b = (snapshots.read_snapshot(spark, root, "docs", n) for n in (1, 2))
+    return a, b, first.unionByName(second)
+
+
+_VALID = f"""WITH {R}, v AS (SELECT id, body, lang, source, n_chars, status, CASE WHEN status = 'draft' AND n_chars % 2 = 0 THEN 'approved' ELSE status END AS later
+ FROM r WHERE NOT deleted AND trim(body) <> '' AND lang IN ('en', 'de', 'fr'))"""
 
 
 @query(
     "flagship_import_cut_diff",
-    f"""{_VALID}, a AS (SELECT id, status, {REVIEW_LINE} AS line FROM v), b AS (SELECT * FROM a WHERE status = 'approved')
-    SELECT a.id, sha256(a.line) AS line_hash, CASE WHEN b.id IS NULL THEN 'removed' ELSE 'kept' END AS change FROM a LEFT JOIN b ON a.id = b.id""",
+    f"""{_VALID} SELECT id, CASE WHEN later <> 'approved' THEN 'removed' ELSE 'modified' END AS change, status AS old_status,
+     CASE WHEN later = 'approved' THEN later END AS new_status FROM v WHERE later <> 'approved' OR later <> status""",
 )
 def flagship(spark, d):
-    full, approved = flagship_versions(spark, d)
-    diff = versions.diff_rows(full, approved).select("id", "change")
-    return full.select("id", F.sha2("line", 256).alias("line_hash")).join(diff, "id", "left").select(
-        "id", "line_hash", F.coalesce("change", F.lit("kept")).alias("change")
-    )
-
-
-@query("flagship_version_hash", f"{_VALID}, lines AS (SELECT {REVIEW_LINE} AS line, created_seq, id FROM v WHERE status = 'approved'), {TREE} SELECT content_hash, CAST(n.n AS BIGINT) AS row_count FROM root, n")
-def flagship_hash(spark, d):
-    approved = durable.written(flagship_versions(spark, d)[1], "flagship-version")
-    return versions.tree_hash(approved, versions.buckets_for(approved.count()))
+    a, b, _ = flagship_versions(spark, d)
+    diff = versions.in_diff_order(versions.diff_stored(a, b))
+    return diff.select(text.unquote(F.col("data")["id"]).alias("id"), "change", "old_status", "new_status")
+
+
+@query("flagship_version_rows", f"{_VALID} SELECT 1 AS version, count(*) AS row_count, true AS matches FROM v UNION ALL SELECT 2, count(*) FILTER (later = 'approved'), true FROM v")
+def flagship_rows(spark, d):
+    """Row counts of both manifests, and whether the stored lines still give their hashes."""
+    a, b, manifests = flagship_versions(spark, d)
+    hashes = versions.tree_hash(a).withColumn("version", F.lit(1)).unionByName(versions.tree_hash(b).withColumn("version", F.lit(2)))
+    found = hashes.select("version", F.col("content_hash").alias("_now"))
+    joined = manifests.select("version", "row_count", "content_hash").join(found, "version")
+    return joined.select("version", "row_count", (F.col("content_hash") == F.col("_now")).alias("matches"))

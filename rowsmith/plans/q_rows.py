@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsmith.contract import Contract, Field
 from rowsmith.functions import canon, text
 from rowsmith.operators import catalog, patches, rows
 from rowsmith.plans import inputs
@@ -85,11 +86,31 @@ def listing(spark, d):
     return rows.listing(review(spark, d)).select("id", "rev", F.unix_micros("created_at").alias("created_micros"))
 
 
-@query("typed_view", f"WITH {R} SELECT id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM r")
+@query("typed_view", "SELECT concat('ev-', event_id) AS id, event_type AS kind, CAST(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS DOUBLE) AS score, event_id % 3 = 0 AS flagged, CAST(len(CASE WHEN event_id % 2 = 0 THEN ['a', 'b'] ELSE ['a'] END) AS BIGINT) AS tags, CAST(ts AS DATE)::VARCHAR AS as_of, props::JSON IS NOT NULL AS has_blob, concat('line', chr(10), event_id) AS note FROM events")
 def typed_view(spark, d):
-    wide = rows.typed_view(review(spark, d).drop("id").withColumn("id", F.lit("x")), inputs.REVIEW_CONTRACT)
-    return wide.toDF("row_id", "status", "id", "body", "lang", "source", "n_chars").select(
-        "id", "lang", F.col("n_chars").cast("bigint").alias("n_chars")
+    """Rows with a column of each type, one of them called id, seen as typed columns."""
+    contract = Contract.of(
+        Field("id", "text"), Field("kind", "select"), Field("score", "number"), Field("flagged", "boolean"),
+        Field("tags", "multi_select"), Field("as_of", "date"), Field("blob", "json"), Field("note", "long_text"),
+    )
+    events = load(spark, d, "SELECT event_id, event_type, value, ts, props FROM {events}")
+    number = F.col("event_id")
+    data = canon.as_map(
+        {
+            "id": text.quote(F.concat(F.lit("ev-"), number)),
+            "kind": text.quote(F.col("event_type")),
+            "score": text.number_text(F.col("value").cast("decimal(18,2)").cast("string")),
+            "flagged": (number % 3 == 0).cast("string"),
+            "tags": F.when(number % 2 == 0, '["a","b"]').otherwise('["a"]'),
+            "as_of": text.quote(F.col("ts").cast("date").cast("string")),
+            "blob": F.col("props"),
+            "note": text.quote(F.concat(F.lit("line\n"), number)),
+        }
+    )
+    wide = rows.typed_view(events.select(number.cast("string").alias("id"), F.lit("draft").alias("status"), data.alias("data")), contract)
+    return wide.select("data.*").select(
+        "id", "kind", "score", "flagged", F.size("tags").cast("bigint").alias("tags"), F.col("as_of").cast("string").alias("as_of"),
+        F.col("blob").isNotNull().alias("has_blob"), "note",
     )
 
 
@@ -132,22 +153,29 @@ def create_rows(spark, d):
     )
 
 
-_REQ = """SELECT concat('doc-', doc_id) AS id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 9 ELSE 1 + doc_id % 3 END AS expected_rev
- FROM {documents} WHERE doc_id % 2 = 0 UNION ALL SELECT concat('gone-', doc_id), 1 FROM {documents} WHERE doc_id % 50 = 0"""
-_DELETED = f"""q AS ({plain(_REQ)}), o AS (SELECT q.id, CASE WHEN l.id IS NULL THEN 'not_found' WHEN q.expected_rev IS NULL THEN 'rev_required'
- WHEN q.expected_rev <> l.rev THEN 'conflict' ELSE 'deleted' END AS outcome FROM q LEFT JOIN l ON q.id = l.id)"""
+# Every document is asked for twice or three times, in an order that the rev does not follow.
+_REQ = """SELECT concat('doc-', doc_id) AS id, 3 * doc_id + 1 AS seq, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 9 ELSE 1 + doc_id % 3 END AS expected_rev FROM {documents}
+ UNION ALL SELECT concat('doc-', doc_id), 3 * doc_id + 2, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 + doc_id % 3 END FROM {documents}
+ UNION ALL SELECT concat('doc-', doc_id), 3 * doc_id, 2 FROM {documents} WHERE doc_id % 3 = 1 AND doc_id % 2 = 0
+ UNION ALL SELECT concat('gone-', doc_id), 3 * doc_id, 1 FROM {documents} WHERE doc_id % 50 = 0"""
+_DELETED = f"""q AS ({plain(_REQ)}), h AS (SELECT q.id, min(q.seq) AS hit FROM q JOIN l ON q.id = l.id WHERE q.expected_rev = l.rev GROUP BY q.id),
+ o AS (SELECT q.id, q.seq, CASE WHEN l.id IS NULL OR q.seq > h.hit THEN 'not_found' WHEN q.expected_rev IS NULL THEN 'rev_required'
+  WHEN q.seq = h.hit THEN 'deleted' ELSE 'conflict' END AS outcome FROM q LEFT JOIN l ON q.id = l.id LEFT JOIN h ON q.id = h.id)"""
 
 
 def _soft_deleted(spark, d):
     return rows.soft_delete(review(spark, d), load(spark, d, _REQ), "u9", at())
 
 
-@query("m04_soft_delete", f"WITH {LIVE}, {_DELETED} SELECT r.id, r.rev + CASE WHEN o.outcome = 'deleted' THEN 1 ELSE 0 END AS rev, r.deleted OR coalesce(o.outcome = 'deleted', false) AS deleted, o.outcome FROM r LEFT JOIN o ON r.id = o.id")
+@query("m04_soft_delete", f"WITH {LIVE}, {_DELETED} SELECT r.id, r.rev + coalesce(h.n, 0) AS rev, r.deleted OR h.n IS NOT NULL AS deleted FROM r LEFT JOIN (SELECT id, 1 AS n FROM o WHERE outcome = 'deleted') h ON r.id = h.id")
 def soft_delete(spark, d):
-    table, outcome, _ = _soft_deleted(spark, d)
-    return table.join(outcome.select("id", "outcome"), "id", "left").select(
-        "id", F.col("rev").cast("bigint").alias("rev"), F.col("deleted_at").isNotNull().alias("deleted"), "outcome"
-    )
+    table, _, _ = _soft_deleted(spark, d)
+    return table.select("id", F.col("rev").cast("bigint").alias("rev"), F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("m04_soft_delete_outcomes", f"WITH {LIVE}, {_DELETED} SELECT id, seq, outcome FROM o")
+def soft_delete_outcomes(spark, d):
+    return _soft_deleted(spark, d)[1].select("id", F.col("seq").cast("bigint").alias("seq"), "outcome")
 
 
 @query("m04_soft_delete_edits", f"WITH {LIVE}, {_DELETED} SELECT id AS row_id, 'deleted' AS field, 'false' AS old_value, 'true' AS new_value FROM o WHERE outcome = 'deleted'")
@@ -189,35 +217,53 @@ def comments_by_time(spark, d):
 
 # --- Patches ------------------------------------------------------------
 
-_PATCH = f"""p AS ({plain(inputs.PATCHES)}), j AS (SELECT p.*, l.rev, l.status AS row_status, l.id IS NOT NULL AS known FROM p LEFT JOIN l ON p.id = l.id),
- one AS (SELECT *, expected_rev = rev AS ok1 FROM j WHERE seq = 1),
- two AS (SELECT j.*, j.expected_rev = j.rev + CASE WHEN one.ok1 THEN 1 ELSE 0 END AS ok2, one.ok1 FROM j LEFT JOIN one ON j.id = one.id WHERE j.seq = 2),
- o AS (SELECT id, seq, status, row_status, known, coalesce(ok1, false) AS accepted FROM one UNION ALL SELECT id, seq, status, row_status, known, coalesce(ok2, false) FROM two)"""
+_PATCH = f"p AS ({plain(inputs.PATCHES)})"
+# The last value per document of a field that accepted patches set.
+_LAST = """a AS (SELECT id, count(*) AS n, max_by(status, seq) FILTER (status IS NOT NULL) AS status, max_by(source, seq) FILTER (source IS NOT NULL) AS source,
+ max_by(lang, seq) FILTER (lang IS NOT NULL) AS lang, max_by(coalesce(assignee, ''), seq) FILTER (set_assignee) AS assignee FROM p WHERE passes GROUP BY id)"""
 
 
 def judged(spark, d) -> DataFrame:
     return patches.judge_patches(review(spark, d), inputs.patch_table(spark, d), inputs.REVIEW_CONTRACT)
 
 
-@query("w04_sequential_revs", f"WITH {LIVE}, {_PATCH} SELECT id, seq, CASE WHEN NOT known THEN 'not_found' WHEN accepted THEN 'accepted' ELSE 'conflict' END AS outcome FROM o WHERE id NOT IN (SELECT id FROM l WHERE trim(body) = '')")
+@query("w04_sequential_revs", f"WITH {_PATCH} SELECT id, seq, CASE WHEN NOT known THEN 'not_found' WHEN passes THEN 'accepted' WHEN k % 4 = 0 THEN 'conflict' ELSE 'invalid' END AS outcome FROM p")
 def sequential_revs(spark, d):
     return judged(spark, d).select("id", "seq", "outcome")
 
 
 @query(
     "m02_apply_patches",
-    f"""WITH {LIVE}, {_PATCH}, a AS (SELECT id, count(*) AS n, max_by(status, seq) AS status FROM o WHERE accepted GROUP BY id)
-    SELECT r.id, coalesce(a.status, r.status) AS status, r.rev + coalesce(a.n, 0) AS rev FROM r LEFT JOIN a ON r.id = a.id""",
+    f"""WITH {R}, {_PATCH}, {_LAST}
+    SELECT r.id, coalesce(a.status, r.status) AS status, r.rev + coalesce(a.n, 0) AS rev, coalesce(a.source, r.source) AS source,
+     coalesce(a.lang, r.lang) AS lang, CASE WHEN a.assignee IS NULL THEN r.assignee WHEN a.assignee <> '' THEN a.assignee END AS assignee
+    FROM r LEFT JOIN a ON r.id = a.id""",
 )
 def apply_patches(spark, d):
     after = patches.apply_patches(review(spark, d), judged(spark, d), inputs.REVIEW_CONTRACT, "u9", at())
-    return after.select("id", "status", F.col("rev").cast("bigint").alias("rev"))
+    return after.select(
+        "id", "status", F.col("rev").cast("bigint").alias("rev"),
+        text.unquote(F.col("data")["source"]).alias("source"), text.unquote(F.col("data")["lang"]).alias("lang"), "assignee",
+    )
+
+
+def _audit(field: str, value: str, stored: str, where: str) -> str:
+    return f"""SELECT id AS row_id, seq, '{field}' AS field, to_json(before)::VARCHAR AS old_value, to_json(value)::VARCHAR AS new_value FROM (
+     SELECT p.id, p.seq, {value} AS value, CASE WHEN lag(p.seq) OVER w IS NULL THEN r.{stored} ELSE lag({value}) OVER w END AS before
+     FROM p JOIN r ON p.id = r.id WHERE p.passes AND {where} WINDOW w AS (PARTITION BY p.id ORDER BY p.seq)) WHERE value IS DISTINCT FROM before"""
 
 
 @query(
     "m03_audit_rows",
-    f"""WITH {LIVE}, {_PATCH}, x AS (SELECT id, seq, status, coalesce(lag(status) OVER (PARTITION BY id ORDER BY seq), row_status) AS before FROM o WHERE accepted)
-    SELECT id AS row_id, seq, 'status' AS field, concat('"', before, '"') AS old_value, concat('"', status, '"') AS new_value FROM x WHERE before <> status""",
+    f"WITH {R}, {_PATCH} "
+    + " UNION ALL ".join(
+        [
+            _audit("status", "p.status", "status", "p.status IS NOT NULL"),
+            _audit("assignee", "p.assignee", "assignee", "p.set_assignee"),
+            _audit("source", "p.source", "source", "p.source IS NOT NULL"),
+            _audit("lang", "p.lang", "lang", "p.lang IS NOT NULL"),
+        ]
+    ),
 )
 def audit_rows(spark, d):
     log = patches.patch_edits(review(spark, d), judged(spark, d), "u9", at())
@@ -226,10 +272,9 @@ def audit_rows(spark, d):
 
 @query(
     "m02_data_patches",
-    f"""WITH {LIVE}, p AS (SELECT concat('doc-', doc_id) AS id, doc_id % 4 AS k FROM documents),
-    j AS (SELECT l.id, k, l.lang FROM p JOIN l ON p.id = l.id WHERE trim(l.body) <> ''),
-    o AS (SELECT id, CASE WHEN k = 1 THEN 'invalid' WHEN lang NOT IN ('en', 'de', 'fr') AND k <> 0 THEN 'conflict' ELSE 'accepted' END AS outcome FROM j)
-    SELECT id, outcome FROM o""",
+    f"""WITH {R}, p AS (SELECT concat('doc-', doc_id) AS id, doc_id % 4 AS k FROM documents),
+    j AS (SELECT p.id, k, r.lang, r.body, r.id IS NULL OR r.deleted AS gone FROM p LEFT JOIN r ON p.id = r.id)
+    SELECT id, CASE WHEN gone THEN 'not_found' WHEN k = 1 OR trim(body) = '' OR lang NOT IN ('en', 'de', 'fr') AND k <> 0 THEN 'invalid' ELSE 'accepted' END AS outcome FROM j""",
 )
 def data_patches(spark, d):
     """Patches of single fields: the merged row must satisfy the whole contract."""
@@ -243,12 +288,39 @@ def data_patches(spark, d):
         }
     )
     batch = asked.select(
-        "id", F.lit(1).cast("bigint").alias("seq"), F.col("expected_rev").cast("int").alias("expected_rev"), data.alias("data"),
+        "id", F.col("doc_id").cast("bigint").alias("seq"), F.col("expected_rev").cast("int").alias("expected_rev"), data.alias("data"),
+        F.lit(None).cast("string").alias("status"), F.lit(False).alias("set_assignee"), F.lit(None).cast("string").alias("assignee"),
+    )
+    return patches.judge_patches(review(spark, d), batch, inputs.REVIEW_CONTRACT).select("id", "outcome")
+
+
+_CLAIMS = """SELECT concat('doc-', doc_id) AS id, doc_id AS seq, 1 + doc_id % 3 AS expected_rev, lang, text,
+ CASE WHEN doc_id % 5 = 0 THEN concat('new-', doc_id - doc_id % 20) WHEN doc_id % 5 = 1 THEN concat('doc-', doc_id) ELSE concat('doc-', doc_id + 1) END AS key FROM {documents}"""
+
+
+@query(
+    "m02_key_patches",
+    f"""WITH RECURSIVE {R}, c AS ({plain(_CLAIMS)}), o AS (SELECT c.id, seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) AS nth,
+     r.id IS NULL OR r.deleted AS gone, trim(c.text) = '' OR c.lang NOT IN ('en', 'de', 'fr') AS bad FROM c LEFT JOIN r ON c.id = r.id),
+    live AS (SELECT id FROM r WHERE NOT deleted),
+    fine AS (SELECT key, min(seq) AS first FROM o WHERE NOT gone AND NOT bad AND key LIKE 'new-%' GROUP BY key)
+    SELECT o.id, CASE WHEN gone THEN 'not_found' WHEN bad THEN 'invalid' WHEN o.key = o.id THEN 'accepted'
+     WHEN o.key LIKE 'new-%' THEN CASE WHEN seq = first THEN 'accepted' ELSE 'key_taken' END
+     WHEN o.key IN (SELECT id FROM live) THEN 'key_taken' ELSE 'accepted' END AS outcome
+    FROM o LEFT JOIN fine ON o.key = fine.key""",
+)
+def key_patches(spark, d):
+    """Every document asks for another key: a new one that four ask for, its own, or its neighbour's.
+
+    A neighbour gives its key up later at the earliest, so it is taken unless nobody lives there.
+    """
+    asked = load(spark, d, _CLAIMS)
+    batch = asked.select(
+        "id", F.col("seq").cast("bigint").alias("seq"), F.col("expected_rev").cast("int").alias("expected_rev"),
+        canon.as_map({"id": text.quote(F.col("key"))}).alias("data"),
         F.lit(None).cast("string").alias("status"), F.lit(False).alias("set_assignee"), F.lit(None).cast("string").alias("assignee"),
     )
-    found = patches.judge_patches(review(spark, d), batch, inputs.REVIEW_CONTRACT)
-    body = rows.live(review(spark, d)).filter(F.length(text.strip(text.unquote(F.col("data")["body"]))) > 0)
-    return found.join(body.select("id"), "id", "left_semi").select("id", "outcome")
+    return patches.judge_patches(review(spark, d), batch, inputs.REVIEW_CONTRACT).select("id", "outcome")
 
 
 @query("j18_forget_deleted_keys", f"WITH p AS ({plain(inputs.PULLED)}), s AS ({plain(inputs.SERVER)}) SELECT row_key, rev FROM p WHERE row_key NOT IN (SELECT row_key FROM s WHERE deleted)")

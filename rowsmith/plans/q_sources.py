@@ -13,7 +13,7 @@ from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.q_cells import N, nested_flat
 from rowsmith.plans.q_versions import folder_for
 from rowsmith.plans.registry import query
-from rowsmith.sources import readers, yaml_files
+from rowsmith.sources import readers
 
 BAD = f"b AS ({plain(inputs.BAD)})"
 _KIND = (
@@ -77,34 +77,27 @@ def json_documents(spark, d):
     )
 
 
-@query("s04_yaml_corpus", _DOC_ROWS + "line->'$.id'::VARCHAR AS id, concat('\"', (line->'$.expected'->>'$.turns'), '\"') AS plain, (line->'$.expected'->>'$.turns')::VARCHAR AS typed FROM n")
-def yaml_corpus(spark, d):
-    path = folder_for(spark, "yaml")
-    _documents(spark, d).repartition("block").write.partitionBy("block").text(path)
-    rows = yaml_files.read_yaml_dir(spark, f"{path}/*/*.txt")
-    return rows.select(
-        _block_of().alias("block"), "row_idx", F.col("rec")["id"].alias("id"),
-        F.col("rec")["expected.turns"].alias("plain"), F.col("typed")["expected.turns"].alias("typed"),
-    )
-
-
 @query(
     "s05_locate_records",
     """SELECT concat('file-', o_orderkey) AS file, CASE o_orderkey % 6 WHEN 1 THEN 'rows' WHEN 2 THEN 'items' END AS chosen,
      CASE o_orderkey % 6 WHEN 1 THEN 'manifest,other' WHEN 2 THEN 'meta,names' END AS ignored,
      CASE o_orderkey % 6 WHEN 3 THEN 'can''t tell which key holds the records — choose a records_key (lists found: a, b)'
        WHEN 4 THEN 'can''t tell which key holds the records — choose a records_key' WHEN 5 THEN 'expected a list of records, or an object containing one' END AS problem,
-     CASE o_orderkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_records FROM orders""",
+     CASE o_orderkey % 6 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_records, CASE o_orderkey % 6 WHEN 0 THEN 3 ELSE 0 END AS n_refused FROM orders""",
 )
 def locate(spark, d):
     docs = load(spark, d, inputs.DOCS).withColumn("problem", F.lit(None).cast("string"))
     located = record_ops.record_list(docs).select("file", "chosen", F.array_join("ignored", ",").alias("ignored"), "problem")
-    counts = record_ops.locate_records(docs).groupBy("file").agg(F.count_if(F.col("row_idx") > 0).cast("int").alias("n_records"))
-    return located.join(counts, "file").select("file", "chosen", "ignored", "problem", "n_records")
+    counts = record_ops.locate_records(docs).groupBy("file").agg(
+        F.count_if(F.col("row_idx") > 0).cast("int").alias("n_records"),
+        F.count_if(F.col("problem") == "record is not an object").cast("int").alias("n_refused"),
+    )
+    return located.join(counts, "file").select("file", "chosen", "ignored", "problem", "n_records", "n_refused")
 
 
 _EXPORTED = """SELECT concat('f', event_id // 200) AS file, 1 + event_id % 200 AS row_idx,
- CASE WHEN (event_id // 200) % 3 <> 0 AND event_id % 200 = 7 THEN concat('{{"id":"e-', event_id, '","x":1}}')
+ CASE WHEN (event_id // 200) % 3 = 1 AND event_id % 200 = 7 THEN concat('{{"id":"e-', event_id, '","x":1}}')
+ WHEN (event_id // 200) % 3 = 2 AND event_id % 200 = 7 THEN concat('{{"id":"e-', event_id, '","status":"draft","data":"{{oops"}}')
  ELSE concat('{{"id":"e-', event_id, '","status":"draft","data":', props, '}}') END AS line, props FROM {events}"""
 
 
@@ -226,7 +219,7 @@ def label(spark, d):
 
 @query("f10_usable_keys", f"WITH {BAD} SELECT row_idx, line->>'$.id' AS row_key FROM b WHERE {_KIND} IS NULL")
 def usable_keys(spark, d):
-    return record_ops.usable_keys(record_ops.flatten_records(_checked_bad(spark, d)), "id")
+    return record_ops.usable_keys(_checked_bad(spark, d), "id")
 
 
 @query("u02_unknown_paths", f"WITH {N}, m AS (SELECT min(row_idx) AS r FROM n) SELECT u.path FROM m, (VALUES ('roles'), ('note')) AS u(path) WHERE m.r > 0")

@@ -23,7 +23,7 @@ def stream_import(spark: SparkSession, d: str) -> DataFrame:
     """Valid rows have no reason; quarantined lines name theirs."""
     source = _files(load(spark, d, inputs.BAD), folder_for(spark, "stream-in"))
     good, bad, state = (folder_for(spark, n) for n in ("stream-good", "stream-bad", "stream-state"))
-    imports.start_import(spark, f"{source}/*", LINE_CONTRACT, good, bad, state).awaitTermination()
+    imports.start_import(spark, f"{source}/*", LINE_CONTRACT, good, bad, state, {"availableNow": True}).awaitTermination()
     none = F.lit(None).cast("string")
     valid = spark.read.parquet(good).select("line", none.alias("column"), none.alias("reason"))
     return valid.unionByName(spark.read.parquet(bad).select("line", "column", "reason"))
@@ -31,17 +31,18 @@ def stream_import(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "t02_stream_patches",
-    f"""WITH {R}, p AS ({plain(inputs.PATCHES)}), j AS (SELECT p.*, r.rev FROM p JOIN r ON p.id = r.id),
-    one AS (SELECT id, seq, expected_rev = rev AS ok FROM j WHERE seq = 1),
-    two AS (SELECT j.id, j.seq, j.expected_rev = j.rev + CASE WHEN one.ok THEN 1 ELSE 0 END AS ok FROM j JOIN one ON j.id = one.id WHERE j.seq = 2)
-    SELECT id, CAST(seq AS BIGINT) AS seq, ok AS accepted FROM one UNION ALL SELECT id, CAST(seq AS BIGINT), ok FROM two""",
+    f"""WITH {R}, p AS ({plain(inputs.STREAM)}) SELECT p.id, CAST(p.seq AS BIGINT) AS seq, r.id IS NOT NULL AND NOT r.deleted AND p.k % 4 <> 0 AS accepted FROM p LEFT JOIN r ON p.id = r.id""",
 )
 def stream_patches(spark: SparkSession, d: str) -> DataFrame:
-    source, sink, state = (folder_for(spark, n) for n in ("patch-in", "patch-out", "patch-state"))
-    rows = inputs.review_rows(spark, d).select("id", F.col("rev").alias("start_rev"))
-    batch = inputs.patch_table(spark, d).select("id", "seq", "expected_rev", "status").join(rows, "id")
-    batch.write.parquet(source)
-    stream = spark.readStream.schema(batch.schema).parquet(source)
-    job = patches.accept_stream(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
-    job.trigger(availableNow=True).start().awaitTermination()
+    """Patches that arrive in several files, each a micro-batch, with the revs kept in between."""
+    source, sink, state, progress = (folder_for(spark, n) for n in ("patch-in", "patch-out", "patch-state", "patch-progress"))
+    batch = load(spark, d, inputs.STREAM).select(
+        "id", F.col("seq").cast("bigint").alias("seq"), F.col("expected_rev").cast("int").alias("expected_rev"), "status"
+    )
+    middle = batch.agg(F.max("seq")).first()[0] // 2
+    batch.filter(F.col("seq") <= middle).coalesce(1).write.parquet(source)
+    batch.filter(F.col("seq") > middle).coalesce(1).write.mode("append").parquet(source)
+    rows = inputs.review_rows(spark, d).filter(F.col("deleted_at").isNull()).select("id", "rev")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    patches.start_patches(stream, rows, sink, state, progress, {"availableNow": True}).awaitTermination()
     return spark.read.parquet(sink).select("id", "seq", "accepted")

@@ -118,6 +118,44 @@ def sync_blocked(spark, d):
     return result.rows.select("row_key", F.col("rev").cast("bigint").alias("rev"), "status")
 
 
+def _strange(spark: SparkSession, d: str) -> DataFrame:
+    """The edited extract with a path the contract does not know in every 13th record."""
+    records = inputs.file_records(spark, d)
+    extra = F.when(F.col("row_idx") % 13 == 0, F.create_map(F.lit("extra.note"), F.lit('"x"'))).otherwise(F.create_map().cast("map<string,string>"))
+    return records.withColumn("rec", F.map_concat("rec", extra))
+
+
+def _strange_plan(spark, d, ignore: bool) -> DataFrame:
+    planned = sync.plan_sync(
+        _strange(spark, d), inputs.server_rows(spark, d), inputs.pulled_state(spark, d), inputs.SYNC_CONTRACT, True, ignore_unknown=ignore
+    )
+    return durable.written(planned, "strange")
+
+
+_AT = "2024-06-01"
+
+
+@query("m11_sync_unknown", f"WITH {FORCED} SELECT row_key, rev, status, (SELECT count(*) FROM f WHERE row_idx % 13 = 0) AS n_unknown FROM s")
+def sync_unknown(spark, d):
+    """Unknown paths block even a forced sync: nothing is written."""
+    written = _strange_plan(spark, d, ignore=False)
+    result = sync.apply_sync(written, inputs.server_rows(spark, d), inputs.SYNC_CONTRACT, "customers", "u1", F.lit(_AT).cast("timestamp"))
+    found = sync.unknown_path_report(written).filter(F.col("reason") == sync.UNKNOWN_COLUMN)
+    number = found.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).scalar()
+    return result.rows.select("row_key", F.col("rev").cast("bigint").alias("rev"), "status", number.alias("n_unknown"))
+
+
+@query("m11_sync_ignored", f"WITH {FORCED}, {_AFTER} SELECT row_key, deleted, rev, status, {_LINE} AS data FROM after")
+def sync_ignored(spark, d):
+    """The same file with unknown paths ignored is written as if they were not there."""
+    written = _strange_plan(spark, d, ignore=True)
+    result = sync.apply_sync(written, inputs.server_rows(spark, d), inputs.SYNC_CONTRACT, "customers", "u1", F.lit(_AT).cast("timestamp"))
+    return result.rows.select(
+        "row_key", F.col("deleted_at").isNotNull().alias("deleted"), F.col("rev").cast("bigint").alias("rev"), "status",
+        canon.object_text(canon.cells_of("data"), inputs.SYNC_CONTRACT.active_keys).alias("data"),
+    )
+
+
 @query(
     "m11_sync_edits",
     f"""WITH {FORCED} SELECT concat('row-', row_key) AS row_id, 'segment' AS field, to_json(s_segment)::VARCHAR AS old_value, to_json(m_segment)::VARCHAR AS new_value FROM o WHERE op = 'update'

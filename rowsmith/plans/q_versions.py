@@ -26,10 +26,11 @@ ORDER_DATA = (
 ORDER_LINE = f"""concat('{{"data":', {ORDER_DATA}, ',"id":', to_json(id), ',"status":', to_json(status), '}}')"""
 TREE = """
  leaf AS (SELECT sha256(line) AS h, created_seq, id FROM lines),
- n AS (SELECT count(*) AS n, CAST(pow(2, greatest(0, ceil(log2(greatest(1, count(*) / 4096.0))))) AS BIGINT) AS b FROM lines),
- bucket AS (SELECT ('0x' || substr(h, 1, 12))::BIGINT % n.b AS b, sha256(string_agg(h, '' ORDER BY created_seq, id)) AS h
-            FROM leaf, n GROUP BY 1),
- root AS (SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS content_hash FROM bucket)
+ n AS (SELECT count(*) AS n FROM lines),
+ t6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY created_seq, id)) AS h FROM leaf GROUP BY 1),
+ t4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM t6 GROUP BY 1),
+ t2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM t4 GROUP BY 1),
+ root AS (SELECT 'sha256:' || sha256(string_agg(p || h, '' ORDER BY p)) AS content_hash FROM t2)
 """
 
 
@@ -77,7 +78,7 @@ def row_hash(spark, d):
 )
 def content_hash(spark, d):
     snap = durable.written(review_snapshot(spark, d), "snapshot")
-    return versions.tree_hash(snap, versions.buckets_for(snap.count()))
+    return versions.tree_hash(snap)
 
 
 @query("l04_snapshot_order", f"WITH {R} SELECT id, CAST(created_seq AS BIGINT) AS created_micros FROM r WHERE NOT deleted AND status = 'approved'")
@@ -221,10 +222,14 @@ def field_changes(spark, d):
     return versions.field_changes(versions.diff_rows(*_pair(spark, d)))
 
 
-@query("l05_diff_order", f"WITH {AB}, f AS ({_FIELDS}) SELECT id, string_agg(field, ',' ORDER BY field) AS fields FROM f GROUP BY id")
+@query(
+    "l05_diff_order",
+    f"""WITH {AB}, f AS ({_FIELDS}), g AS (SELECT id, string_agg(field, ',' ORDER BY field) AS fields FROM f GROUP BY id), i AS ({_DIFF_IDS.replace("WITH " + AB, "")})
+    SELECT i.change, i.id, CASE WHEN i.change = 'modified' THEN coalesce(g.fields, '') END AS fields FROM i LEFT JOIN g ON i.id = g.id""",
+)
 def diff_order(spark, d):
-    diff = versions.diff_rows(*_pair(spark, d)).filter((F.col("change") == "modified") & (F.size("changes") > 0))
-    return diff.select("id", F.array_join("changes.field", ",").alias("fields")).orderBy("id")
+    diff = versions.in_diff_order(versions.diff_rows(*_pair(spark, d)))
+    return diff.select("change", "id", F.array_join("changes.field", ",").alias("fields"))
 
 
 @query("u06_field_union", f"""WITH {AB} SELECT a.id, CASE WHEN a.total IS NULL AND b.total IS NULL THEN 'as_of,priority' ELSE 'as_of,priority,total' END AS fields
@@ -314,34 +319,40 @@ def datasets_by_feature(spark, d):
     return catalog.datasets_by(_datasets(spark, d), feature="BUILDING")
 
 
-_PINS = f"""WITH lines AS (SELECT concat('cust-', o_custkey) AS dataset, o_orderkey AS created_seq, concat('ord-', o_orderkey) AS id,
-  concat('{{"id":"ord-', o_orderkey, '"}}') AS line FROM orders),
- leaf AS (SELECT dataset, sha256(line) AS h, created_seq, id FROM lines),
- n AS (SELECT CAST(pow(2, greatest(0, ceil(log2(greatest(1, count(*) / 4096.0))))) AS BIGINT) AS b FROM lines),
- bucket AS (SELECT dataset, ('0x' || substr(h, 1, 12))::BIGINT % n.b AS b, sha256(string_agg(h, '' ORDER BY created_seq, id)) AS h
-            FROM leaf, n GROUP BY 1, 2),
- root AS (SELECT dataset, 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS h FROM bucket GROUP BY 1)
-SELECT concat('cust-', c_custkey) AS dataset, 1 AS version,
- CASE WHEN root.h IS NULL THEN 'not_found' WHEN c_custkey % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS outcome, root.h AS actual_hash
-FROM customer LEFT JOIN root ON root.dataset = concat('cust-', c_custkey)"""
+def _pin_tree(name: str, lines: str) -> str:
+    """The grouped tree of ``lines`` as ``name(dataset, h)``."""
+    return f"""{name}l AS (SELECT dataset, sha256(line) AS h, created_seq, id FROM {lines}),
+ {name}6 AS (SELECT dataset, substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY created_seq, id)) AS h FROM {name}l GROUP BY 1, 2),
+ {name}4 AS (SELECT dataset, substr(p, 1, 4) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}6 GROUP BY 1, 2),
+ {name}2 AS (SELECT dataset, substr(p, 1, 2) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}4 GROUP BY 1, 2),
+ {name} AS (SELECT dataset, 'sha256:' || sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}2 GROUP BY 1)"""
+
+
+_PIN_LINES = """SELECT concat('cust-', o_custkey) AS dataset, o_orderkey AS created_seq, concat('ord-', o_orderkey) AS id,
+  concat('{{"id":"ord-', o_orderkey, '","status":"', {status}, '"}}') AS line FROM orders WHERE {where}"""
+_PINS = f"""WITH old AS ({_PIN_LINES.format(status="o_orderstatus", where="true")}),
+ new AS ({_PIN_LINES.format(status="CASE WHEN o_orderkey % 50 = 3 THEN 'X' ELSE o_orderstatus END", where="o_custkey % 7 <> 2")}),
+ {_pin_tree("pin", "old")}, {_pin_tree("now", "new")}
+SELECT pin.dataset, 1 AS version,
+ CASE WHEN now.h IS NULL THEN 'not_found' WHEN now.h = pin.h THEN 'ok' ELSE 'mismatch' END AS outcome, now.h AS actual_hash
+FROM pin LEFT JOIN now ON now.dataset = pin.dataset"""
 
 
 @query("j16_check_pins", _PINS)
 def check_pins(spark, d):
-    """Pins of every dataset against hashes recomputed from its rows, all at once."""
+    """Pins stored by an earlier cut of every dataset; then orders change and datasets go."""
+
+    def hashes(orders: DataFrame) -> DataFrame:
+        snap = orders.select(
+            F.concat(F.lit("cust-"), F.col("o_custkey")).alias("dataset"),
+            F.timestamp_micros("o_orderkey").alias("created_at"),
+            F.concat(F.lit("ord-"), F.col("o_orderkey")).alias("id"),
+            F.concat(F.lit('{"id":"ord-'), F.col("o_orderkey"), F.lit('","status":"'), F.col("o_orderstatus"), F.lit('"}')).alias("line"),
+        )
+        return versions.tree_hash(snap, ("dataset",)).withColumn("version", F.lit(1))
+
     orders = inputs.table(spark, d, "orders")
-    snap = orders.select(
-        F.concat(F.lit("cust-"), F.col("o_custkey")).alias("dataset"),
-        F.timestamp_micros("o_orderkey").alias("created_at"),
-        F.concat(F.lit("ord-"), F.col("o_orderkey")).alias("id"),
-        F.concat(F.lit('{"id":"ord-'), F.col("o_orderkey"), F.lit('"}')).alias("line"),
-    )
-    hashes = versions.tree_hash(snap, versions.buckets_for(orders.count()), ("dataset",)).withColumn("version", F.lit(1))
-    customers = inputs.table(spark, d, "customer").select(
-        F.concat(F.lit("cust-"), F.col("c_custkey")).alias("dataset"), "c_custkey", F.lit(1).alias("version")
-    )
-    pinned = F.when(F.col("c_custkey") % 5 == 0, "stale").otherwise(F.coalesce("content_hash", F.lit("unknown")))
-    pins = customers.join(hashes.select("dataset", "content_hash"), "dataset", "left").select(
-        "dataset", "version", pinned.alias("content_hash")
-    )
-    return versions.check_pins(pins, hashes).select("dataset", "version", "outcome", "actual_hash")
+    pins = durable.written(hashes(orders).select("dataset", "version", "content_hash"), "pins")
+    status = F.when(F.col("o_orderkey") % 50 == 3, "X").otherwise(F.col("o_orderstatus"))
+    later = orders.filter(F.col("o_custkey") % 7 != 2).withColumn("o_orderstatus", status)
+    return versions.check_pins(pins, hashes(later)).select("dataset", "version", "outcome", "actual_hash")

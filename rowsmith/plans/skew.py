@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from rowsmith.plans import durable
 
-HOT_KEYS = 64  # at most this many keys are salted
-SALTS = 256  # tasks that share one hot key
+ROWS_PER_TASK = 100_000  # rows of one key that stay together
 BROADCAST_ROWS = 200_000  # facts up to this count ...
-BROADCAST_KEY_BYTES = 16 * 1024 * 1024  # ... and this many bytes of keys are broadcast
+BROADCAST_BYTES = 16 * 1024 * 1024  # ... and this many bytes, all columns counted, are broadcast
 
 
-def is_small(facts: DataFrame, key: str) -> bool:
-    """Measured, not estimated: the facts are few and their keys short."""
-    size = facts.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("b")
-    ).first()
-    return size.n <= BROADCAST_ROWS and size.b <= BROADCAST_KEY_BYTES
+def is_small(facts: DataFrame) -> bool:
+    """Measured over whole rows, not estimated; costs one job over a written table."""
+    bytes_ = F.octet_length(F.to_json(F.struct(*facts.columns)))
+    size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("b")).first()
+    return size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES
 
 
 def attach_by_key(
@@ -27,41 +25,41 @@ def attach_by_key(
     """Join ``facts`` (one short row per key, ``weight`` = rows of that key) onto ``rows``.
 
     The facts are written first and measured. A small set is broadcast, and the
-    rows are not shuffled at all. A larger one is joined by key with its heaviest
+    rows are not shuffled at all. A larger one is joined by key with its heavy
     keys salted, which holds when one key has any share of the rows.
     """
     facts = durable.written(facts, "facts")
-    if is_small(facts, key):
+    if is_small(facts):
         return rows.join(F.broadcast(facts), key, how)
     return attach_salted(rows, facts, key, weight, spread, how)
 
 
 def attach_salted(
-    rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left"
+    rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left", per_task: int | None = None
 ) -> DataFrame:
     """The join of ``attach_by_key`` for facts of any size.
 
-    The heaviest keys are found among the facts themselves (top ``HOT_KEYS`` by
-    weight, so what is broadcast is bounded) and are salted: their rows go to
-    ``SALTS`` tasks by ``spread`` and their single fact is repeated once per salt.
-    All other keys join plainly. Rows without a key are spread too, as they would
-    otherwise share one task. No row is dropped or capped.
+    Every key with more than ``per_task`` rows is salted: its rows go to as many
+    tasks as its weight asks for, and its single fact is repeated once per task.
+    There are at most (rows / per_task) such keys, and they are broadcast only when
+    measured to be small; past that adaptive execution splits the join. Rows without
+    a key meet no fact and are not shuffled. No row is dropped or capped.
     """
-    hot = (
-        facts.filter(F.col(weight) > 1)
-        .select(F.col(key).alias("_hot"), F.col(weight).alias("_w"))
-        .orderBy(F.desc("_w"), F.col("_hot"))
-        .limit(HOT_KEYS)
-        .select("_hot")
-    )
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    is_hot = F.col("_hot").isNotNull()
-    salted_rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_facts = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies))
-    return salted_rows.drop("_hot").join(salted_facts.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    per_task = per_task or ROWS_PER_TASK
+    copies = F.ceil(F.col(weight) / F.lit(per_task)).cast("int")
+    heavy = facts.filter(F.col(weight) > per_task).select(F.col(key).alias("_hot"), copies.alias("_copies"))
+    heavy = durable.written(heavy, "heavy")
+    present = rows.filter(F.col(key).isNotNull())
+    if is_small(heavy):
+        salt = F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")
+        salted = present.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt)
+        each = F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))
+        joined = salted.drop("_hot", "_copies").join(facts.withColumn("_salt", each), [key, "_salt"], how).drop("_salt")
+    else:
+        joined = present.join(facts, key, how)
+    if how != "left":
+        return joined
+    return joined.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def previous_in_group(

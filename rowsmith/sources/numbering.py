@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowsmith.plans import durable
+
 MAX_BROADCAST_SPLITS = 200_000  # about 20 MB of (file, start, offset) rows
-SPLITS_PER_PARTITION = 32  # maxPartitionBytes / openCostInBytes at their defaults
 _IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -22,8 +23,10 @@ def file_columns() -> list[Column]:
     ]
 
 
-def _join_offsets(scan: DataFrame, rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    if scan.rdd.getNumPartitions() * SPLITS_PER_PARTITION <= MAX_BROADCAST_SPLITS:
+def _join_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The offsets are written and counted: a scan of few splits takes them by broadcast."""
+    offsets = durable.written(offsets, "splits")
+    if offsets.count() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     return rows.join(offsets, ["file", "_start"])
 
@@ -53,7 +56,7 @@ def with_row_idx(scan: DataFrame, keep: Column | None = None, line_number: str |
     )
     rows = scan.filter(kept).withColumn("_kept_at", F.monotonically_increasing_id())
     position = F.col("_kept_at").bitwiseAND(F.lit(_IN_PARTITION)) - F.col("_k_packed")
-    numbered = _join_offsets(scan, rows, offsets).withColumn("row_idx", F.col("_k_before") + position + 1)
+    numbered = _join_offsets(rows, offsets).withColumn("row_idx", F.col("_k_before") + position + 1)
     if line_number:
         numbered = numbered.withColumn(line_number, F.col("_n_before") + F.col("_at") - F.col("_lo") + 1)
     return numbered.drop("_start", "_at", "_lo", "_n_before", "_k_before", "_k_packed", "_kept_at")

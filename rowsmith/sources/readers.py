@@ -1,4 +1,4 @@
-"""File scans: CSV, JSON Lines, whole JSON documents, YAML.
+"""File scans: CSV, JSON Lines, whole JSON documents.
 
 Structured readers return ``(file, row_idx, line, problem)`` where ``line`` is
 the record's JSON text; ``operators.records`` flattens it.
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions import records, text
+from rowsmith.plans import durable
 from rowsmith.sources.numbering import file_columns, with_row_idx
 
 BOM = "\ufeff"
@@ -25,22 +26,36 @@ def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     return spark.read.options(**options)
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[list[str], DataFrame]:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[list[str], DataFrame]:
     """(header, rows) of CSV files that share one header.
 
     Cells are raw strings: short rows are padded with ``""`` and surplus cells
     dropped. Columns are named ``_c0 ...`` by position, so a repeated or odd
-    header cannot rename them. ``multi_line=False`` keeps huge files splittable
-    when no cell holds a newline. A fully blank line is not a row.
+    header cannot rename them. Files are split among tasks; ``multi_line=True`` reads
+    cells that hold line ends, one task per file. A fully blank line is not a row.
+
+    A file whose header is another one is not read by position: each of its rows is a
+    ``problem`` row, so that no cell lands in a wrong column.
     """
-    first = _csv(spark, multi_line).csv(path).limit(1).collect()
+    scan = _csv(spark, multi_line).csv(path)
+    width = len(scan.columns)
+    first = scan.limit(1).collect()
     header = [cell or "" for cell in first[0]] if first else []
     if header:
         header[0] = header[0].lstrip(BOM)
-    schema = ", ".join(f"_c{i} string" for i in range(len(header))) or "_c0 string"
-    scan = _csv(spark, multi_line).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    schema = ", ".join(f"_c{i} string" for i in range(max(width, 1)))
+    # Headers are the first rows of their files; the reader leaves them in, so that they can be compared.
+    lines = _csv(spark, multi_line).schema(schema).option("header", False).csv(path)
     cells = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(len(header))]
-    return header, with_row_idx(scan.select(*cells, *file_columns()))
+    numbered = with_row_idx(lines.select(*cells, *file_columns()))
+    as_read = F.concat_ws("\u001f", F.regexp_replace("_c0", BOM_AT_START, ""), *[F.col(f"_c{i}") for i in range(1, len(header))])
+    heads = numbered.filter(F.col("row_idx") == 1).select("file", as_read.alias("_head"))
+    other = heads.filter(F.col("_head") != "\u001f".join(header)).select(
+        "file", F.concat(F.lit("the header differs from the first file's: "), F.replace("_head", F.lit("\u001f"), F.lit(","))).alias("problem")
+    )
+    rows = numbered.filter(F.col("row_idx") > 1).withColumn("row_idx", F.col("row_idx") - 1)
+    other = durable.written(other, "headers")
+    return header, rows.join(other, "file", "left")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -69,14 +84,15 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", BOM_AT_START, "").alias("doc")
     )
     blank = F.col("doc").rlike(r"\A\s*\z")
-    clean = records.is_one_value(F.col("doc"))
-    parsed = F.try_parse_json("doc")
-    repeated = F.when(parsed.isNull(), records.top_level_duplicate(F.col("doc")))
-    several = F.size(F.try_parse_json(F.concat(F.lit("["), F.regexp_replace("doc", r"\}\s*\{", "},{"), F.lit("]"))).try_cast("array<variant>")) > 1
+    repeated = records.top_level_duplicate(F.col("doc"))
+    joined = F.concat(F.lit("["), F.regexp_replace("doc", r"\}\s*+\{", "},{"), F.lit("]"))
+    several = F.size(F.try_parse_json(joined).try_cast("array<variant>")) > 1
     return docs.filter(~blank).withColumn(
         "problem",
-        F.when(clean, F.lit(None).cast("string"))
-        .when(repeated.isNotNull(), F.concat(F.lit("duplicate top-level key '"), repeated, F.lit("'")))
+        F.when(
+            records.is_one_value(F.col("doc")),
+            F.when(repeated.isNotNull(), F.concat(F.lit("duplicate top-level key '"), repeated, F.lit("'"))),
+        )
         .when(several, "this looks like JSON Lines (one object per line) — save it as .jsonl")
         .otherwise("invalid JSON"),
     )

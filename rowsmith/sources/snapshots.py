@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SNAPSHOT_SCHEMA = "id string, status string, data map<string,string>, created_at timestamp, line string, leaf string"
 MANIFEST_SCHEMA = (
-    "dataset string, version int, content_hash string, row_count bigint, hash_mode string, hash_buckets int, "
+    "dataset string, version int, content_hash string, row_count bigint, "
     "schema_snapshot string, notes string, created_by string, created_at timestamp"
 )
 

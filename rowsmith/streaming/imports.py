@@ -10,10 +10,12 @@ from rowsmith.contract import Contract
 from rowsmith.functions import checks, records, text
 from rowsmith.operators.importing import data_of, map_rows, mapped_cells
 from rowsmith.operators.records import known_cell, known_cells
+from rowsmith.plans import durable
+from rowsmith.sources.numbering import with_row_idx
 
 
 def check_stream(lines: DataFrame, contract: Contract) -> DataFrame:
-    """``lines(line)`` to ``(line, data, errors)``; stateless, so it runs on any stream."""
+    """``lines(line, ...)`` to ``(..., line, data, errors)``; stateless, so it runs on any stream."""
     kept = lines.filter(text.strip(F.col("line")) != "")
     marked = kept.withColumn("problem", records.line_problem(F.col("line"), F.lit(0)))
     mapping = {k: k for k in contract.active_keys}
@@ -25,33 +27,30 @@ def check_stream(lines: DataFrame, contract: Contract) -> DataFrame:
     problem = F.regexp_replace("problem", r"\Aline 0: ", "")
     whole = F.array(F.struct(F.lit("").alias("column"), problem.alias("reason"))).cast(checks.ERRORS_TYPE)
     errors = F.when(F.col("problem").isNotNull(), whole).otherwise(F.concat("failures", rules))
-    return mapped.select("line", data_of(mapped).alias("data"), errors.alias("errors"))
+    return mapped.select(*lines.columns, data_of(mapped).alias("data"), errors.alias("errors"))
 
 
 def start_import(
-    spark: SparkSession, folder: str, contract: Contract, good: str, quarantine: str, checkpoint: str
+    spark: SparkSession, folder: str, contract: Contract, good: str, quarantine: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Valid rows and quarantined lines in two Parquet tables.
 
-    Each micro-batch is one sub-folder per table, overwritten when a batch is
-    retried, so both tables hold every line exactly once.
+    Each micro-batch is one sub-folder per table, overwritten when a batch is retried, so
+    both tables hold every line exactly once. Both keep the file a line came from, and the
+    quarantine its number among the lines of that file. ``trigger`` is what
+    ``DataStreamWriter.trigger`` takes; by default the import runs on.
     """
-    lines = spark.readStream.text(folder).select(F.col("value").alias("line"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.readStream.text(folder).select(F.col("value").alias("line"), *place)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            valid = batch.filter(F.size("errors") == 0).select("line", "data")
-            valid.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-            bad = batch.filter(F.size("errors") > 0).select("line", F.explode("errors").alias("_e"))
-            bad.select("line", "_e.column", "_e.reason").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    checked = check_stream(lines, contract)
-    return (
-        checked.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        # Numbers come from counts per file split, so the lines are written once first.
+        numbered = with_row_idx(durable.written(batch.withColumn("_at", F.monotonically_increasing_id()), "stream"), line_number="line_number").drop("row_idx")
+        checked = durable.written(check_stream(numbered, contract), "checked")
+        valid = checked.filter(F.size("errors") == 0).select("file", "line_number", "line", "data")
+        valid.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+        bad = checked.filter(F.size("errors") > 0).select("file", "line_number", "line", F.explode("errors").alias("_e"))
+        bad.select("file", "line_number", "line", "_e.column", "_e.reason").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

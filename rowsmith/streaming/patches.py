@@ -1,40 +1,54 @@
-"""Patch stream with optimistic locking: the state of a row id is its current rev."""
+"""Patch stream with optimistic locking: each micro-batch is judged like any batch of patches.
+
+The revs that accepted patches left are kept in a state table, one folder per micro-batch,
+which a retried batch overwrites. A row may have any share of a batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from rowsmith.operators.patches import accept_patches
+from rowsmith.plans import durable
 
-OUTCOME_SCHEMA = "id string, seq bigint, expected_rev int, status string, accepted boolean, rev int"
-STATE_SCHEMA = "rev int"
+STATE_SCHEMA = "id string, rev bigint, batch bigint"
 
 
-def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    patches = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    rev = int(state.get[0] if state.exists else patches["start_rev"].iloc[0])
-    accepted = np.zeros(len(patches), dtype=bool)
-    after = np.empty(len(patches), dtype=np.int64)
-    for i, expected in enumerate(patches["expected_rev"].to_numpy()):
-        if expected == rev:
-            accepted[i] = True
-            rev += 1
-        after[i] = rev
-    state.update((rev,))
-    out = patches.assign(id=key[0], accepted=accepted, rev=after)
-    yield out[["id", "seq", "expected_rev", "status", "accepted", "rev"]]
+def _revs_before(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
+    """The last rev each row was left at by an earlier micro-batch."""
+    try:
+        kept = spark.read.schema(STATE_SCHEMA).parquet(state).filter(F.col("batch") < batch_id)
+    except AnalysisException:  # nothing is written yet
+        kept = spark.createDataFrame([], STATE_SCHEMA)
+    return kept.groupBy("id").agg(F.max_by("rev", "batch").alias("kept_rev"))
 
 
-def accept_stream(patches: DataFrame) -> DataFrame:
-    """``patches(id, seq, expected_rev, status, start_rev)`` to accepted or conflict.
+def start_patches(
+    patches: DataFrame, rows: DataFrame, sink: str, state: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Judge a stream ``patches(id, seq, expected_rev, status)`` against ``rows(id, rev)``.
 
-    ``start_rev`` is the rev of the row when its first patch arrives; afterwards
-    the kept state decides. One micro-batch's patches of a row are its group;
-    bound them with the source's per-trigger limit.
+    Writes ``(id, seq, expected_rev, status, accepted, rev)`` per micro-batch, ``rev`` as
+    the patch left it. ``trigger`` is what ``DataStreamWriter.trigger`` takes; by default
+    the stream runs on.
     """
-    return patches.groupBy("id").applyInPandasWithState(
-        _accept, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = rows.select("id", F.col("rev").cast("bigint").alias("rev"))
+        asked = durable.written(batch, "patch-batch")
+        states = asked.select("id").distinct().join(known, "id").join(_revs_before(spark, state, batch_id), "id", "left")
+        states = states.select("id", F.coalesce("kept_rev", "rev").alias("rev"), F.lit(1).alias("clean"))
+        flags = {"ok": F.lit(True), "has_data": F.lit(False), "covers": F.lit(True)}
+        done = accept_patches(asked.withColumns(flags), durable.written(states, "patch-states"))
+        rev = F.col("met_rev") + F.col("accepted").cast("int")
+        done = done.select("id", "seq", "expected_rev", "status", "accepted", rev.alias("rev"))
+        done.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        left = done.filter("accepted").groupBy("id").agg(F.max("rev").alias("rev"))
+        left.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    writer = patches.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -52,7 +52,7 @@ def test_acceptance_matches_brute_force(spark, width):
     start = {i: rev for i, _, _, rev, _ in items}
     batch = [patch(i, s, rng.choice([None, *range(1, 12)]) if i != "hot" else rng.randrange(1, 60), status="approved") for s, i in enumerate(ids)]
     want = brute(dict(start), batch)
-    judged = patches.judge_patches(table(spark, items), spark.createDataFrame(batch, PATCH), CONTRACT, width=width)
+    judged = patches.judge_patches(table(spark, items), spark.createDataFrame(batch, PATCH), CONTRACT, width=width, at_once=12)
     got = {(r.id, r.seq) for r in judged.filter("outcome = 'accepted'").collect()}
     assert got == set(want)
     after = patches.apply_patches(table(spark, items), judged, CONTRACT, "u", at())
@@ -71,11 +71,59 @@ def test_unclean_rows_need_a_covering_patch(spark):
     for width in (2, 512):
         judged = patches.judge_patches(table(spark, items), spark.createDataFrame(batch, PATCH), CONTRACT, width=width)
         got = {r.seq: r.outcome for r in judged.collect()}
-        assert got == {1: "conflict", 2: "accepted", 3: "accepted", 4: "invalid", 5: "accepted"}
+        assert got == {1: "invalid", 2: "accepted", 3: "accepted", 4: "invalid", 5: "accepted"}
         row = patches.apply_patches(table(spark, items), judged, CONTRACT, "u", at()).first()
         assert (row.rev, row.status, row.data) == (4, "approved", {"id": '"a"', "n": "6", "q": '"ok"'})
 
 
+def keyed_by_hand(items, batch):
+    """Outcomes one patch at a time, with keys that change hands."""
+    state = {i: {"rev": rev, "key": data["id"].strip('"')} for i, data, _, rev, gone in items if not gone}
+    out = {}
+    for id_, seq, expected, data, *_ in sorted(batch, key=lambda p: p[1]):
+        row = state.get(id_)
+        if row is None:
+            out[seq] = "not_found"
+        elif expected != row["rev"]:
+            out[seq] = "conflict"
+        elif data["id"] == '""':
+            out[seq] = "invalid"
+        elif any(r["key"] == data["id"].strip('"') for i, r in state.items() if i != id_):
+            out[seq] = "key_taken"
+        else:
+            out[seq] = "accepted"
+            row["rev"], row["key"] = row["rev"] + 1, data["id"].strip('"')
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keys_change_hands_within_a_batch(spark, seed):
+    rng = random.Random(seed)
+    items = [(f"r{i}", {"id": f'"k{i}"', "q": '"x"'}, "draft", 1, i == 5) for i in range(12)]
+    revs = {f"r{i}": 1 for i in range(12)}
+    batch = []
+    for seq in range(60):
+        i = f"r{rng.randrange(12)}"
+        batch.append(patch(i, seq, revs[i] if rng.random() < 0.8 else 1, {"id": rng.choice([f'"k{rng.randrange(14)}"', '""'] if seq % 9 == 0 else [f'"k{rng.randrange(14)}"'])}))
+        if keyed_by_hand(items, batch)[seq] == "accepted":
+            revs[i] += 1
+    judged = patches.judge_patches(table(spark, items), spark.createDataFrame(batch, PATCH), CONTRACT)
+    assert {r.seq: r.outcome for r in judged.collect()} == keyed_by_hand(items, batch)
+    after = patches.apply_patches(table(spark, items), judged, CONTRACT, "u", at()).filter("deleted_at is null")
+    keys = [r.row_key for r in after.collect()]
+    assert len(set(keys)) == len(keys)
+
+
+def test_every_delete_request_gets_an_outcome(spark):
+    items = [("a", {"id": '"a"'}, "draft", 3, False), ("b", {"id": '"b"'}, "draft", 1, True)]
+    asked = [("a", 1, 2), ("a", 2, None), ("a", 3, 3), ("a", 4, 3), ("b", 5, 1), ("c", 6, 1)]
+    after, outcome, log = rows.soft_delete(table(spark, items), spark.createDataFrame(asked, "id string, seq long, expected_rev int"), "u", at())
+    assert {r.seq: r.outcome for r in outcome.collect()} == {
+        1: "conflict", 2: "rev_required", 3: "deleted", 4: "not_found", 5: "not_found", 6: "not_found",
+    }
+    assert log.count() == 1 and after.filter("deleted_at is null").count() == 0
+
+
 def test_outcomes_and_audit(spark):
     items = [
         ("a", {"id": '"a"', "q": '"x"', "n": "1"}, "draft", 1, False),
@@ -173,13 +221,23 @@ def test_salting_spreads_a_hot_key(spark):
     assert salted.filter("n IS NOT NULL").count() == df.filter("k = 'hot'").count()
 
 
+def test_two_hundred_heavy_keys(spark):
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 200)).alias("k"))
+    facts = df.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    joined = attach_salted(df, facts, "k", "n", F.col("id"), per_task=50)
+    assert joined.count() == 60_000 and joined.select("id").distinct().count() == 60_000
+    want = {r.k: r.n for r in facts.collect()}
+    assert joined.filter("k IS NOT NULL").groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("c")).filter("n <> c").count() == 0
+    assert len(want) == 200 and joined.filter("k IS NULL AND n IS NOT NULL").count() == 0
+
+
 def test_large_fact_sets_are_not_broadcast(spark, monkeypatch):
     from rowsmith.plans import skew
 
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
     df = spark.range(300).select("id", F.concat(F.lit("k"), F.col("id") % 100).alias("k"))
     facts = df.groupBy("k").agg(F.count("*").alias("n"))
-    assert not skew.is_small(facts, "k")
+    assert not skew.is_small(facts)
     assert attach_by_key(df, facts, "k", "n", F.col("id")).filter("n = 3").count() == 300
 
 

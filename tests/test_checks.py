@@ -10,13 +10,13 @@ from rowsmith.functions import canon, checks, jsonrules
 from rowsmith.operators import importing
 from rowsmith.operators import records as ops
 
-SIMPLE = Contract.of(
-    Field("name"), Field("count", "number"), Field("flag", "boolean"), Field("tags", "multi_select", options=("a", "b")), Field("blob", "json"),
-    Field("pick", "select", options=("x", "5")), Field("day", "date"),
+ORDER = Contract.of(
+    Field("code"), Field("total", "number"), Field("paid", "boolean"), Field("labels", "multi_select", options=("new", "big")),
+    Field("extra", "json"), Field("grade", "select", options=("A", "7")), Field("due", "date"),
 )
 
 
-def imported(spark, records, contract=SIMPLE, **kw):
+def imported(spark, records, contract=ORDER, **kw):
     lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records, 1)], "row_idx bigint, line string")
     flat = ops.flatten_records(lines, contract.json_keys)
     mapping = {k: k for k in contract.active_keys}
@@ -24,36 +24,40 @@ def imported(spark, records, contract=SIMPLE, **kw):
     return importing.check_rows(mapped, contract, **kw)
 
 
-def test_typed_values(spark):
-    checked = imported(
-        spark,
-        [
-            {"name": 5, "count": "7", "flag": 1, "tags": ["a"], "blob": "text", "pick": 5},
-            {"name": True, "flag": 0.0, "blob": {"b": 1.0, "a": None}},
-            {"name": ["x"]},
-            {"count": {}},
-            {"flag": 2, "tags": "a;b", "day": " 2024-02-03 "},
-            {"day": 20240203},
-            {"day": "2024-02-03T00:00:00"},
-            {"day": "soon", "count": "many", "pick": "y", "tags": ["a", "c", "it's"]},
-        ],
-    )
+# (column, source value, stored text, reason): one record each.
+TYPED = [
+    ("code", 12, "12", None),
+    ("code", 1.50, "1.5", None),
+    ("code", False, "false", None),
+    ("code", [[0]], None, "map this to a json column"),
+    ("total", " 3.0 ", 3.0, None),
+    ("total", "-1e2", -100.0, None),
+    ("total", "lots", "lots", "expected a number, got str"),
+    ("total", [1], None, "map this to a json column"),
+    ("paid", "YES", True, None),
+    ("paid", 0, False, None),
+    ("paid", 3, 3, "expected a boolean, got int"),
+    ("labels", "new, big", ["new", "big"], None),
+    ("labels", ["big", "old"], ["big", "old"], "['old'] not in ['new', 'big']"),
+    ("extra", [2, {"b": 1.0, "a": None}], [2, {"a": None, "b": 1.0}], None),
+    ("extra", "plain", "plain", None),
+    ("grade", 7, "7", None),
+    ("grade", "B", "B", "'B' is not one of ['A', '7']"),
+    ("due", "\t2024-12-31\n", "2024-12-31", None),
+    ("due", "31.12.2024", "31.12.2024", "expected a date as YYYY-MM-DD, got '31.12.2024'"),
+    ("due", "2024-12-31 10:00", None, "'2024-12-31 10:00' has a time component"),
+    ("due", 2024, None, "2024 is a number, not a date (write YYYY-MM-DD)"),
+]
+
+
+def test_typed_cells(spark):
+    checked = imported(spark, [{column: value} for column, value, _, _ in TYPED])
     data = {r.row_idx: r.data for r in checked.select("row_idx", importing.data_of(checked).alias("data")).collect()}
-    assert data[1] == {"name": '"5"', "count": "7", "flag": "true", "tags": '["a"]', "blob": '"text"', "pick": '"5"'}
-    assert data[2] == {"name": '"true"', "flag": "false", "blob": '{"a":null,"b":1.0}'}
-    errors = {(r.row_idx, r.column): r.reason for r in importing.error_report(checked).collect()}
-    assert errors == {
-        (3, "name"): "map this to a json column",
-        (4, "count"): "map this to a json column",
-        (5, "flag"): "expected a boolean, got int",
-        (6, "day"): "20240203 is a number, not a date (write YYYY-MM-DD)",
-        (7, "day"): "'2024-02-03T00:00:00' has a time component",
-        (8, "day"): "expected a date as YYYY-MM-DD, got 'soon'",
-        (8, "count"): "expected a number, got str",
-        (8, "pick"): "'y' is not one of ['x', '5']",
-        (8, "tags"): "['c', \"it's\"] not in ['a', 'b']",
-    }
-    assert data[5]["tags"] == '["a","b"]' and data[5]["day"] == '"2024-02-03"'
+    errors = {r.row_idx: (r.column, r.reason) for r in importing.error_report(checked).collect()}
+    for i, (column, value, stored, reason) in enumerate(TYPED, 1):
+        assert errors.get(i) == (None if reason is None else (column, reason)), value
+        if stored is not None:
+            assert data[i] == {column: json.dumps(stored, separators=(",", ":"))}, value
 
 
 KEYED = Contract.of(Field("id", required=True, is_key=True), Field("n", "number", required=True))

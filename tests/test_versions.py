@@ -19,41 +19,52 @@ def rows(spark, n=50, bump=0):
     return table(spark, items)
 
 
-def test_exact_hash_is_sha256_of_the_lines(spark):
+def brute_tree(leaves):
+    """The tree by hand: leaves in row order, then names and hashes of children."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    level = {}
+    for h in leaves:
+        level.setdefault(h[:6], []).append(h)
+    level = {k: sha("".join(v)) for k, v in level.items()}
+    for digits in (4, 2, 0):
+        nodes = {}
+        for k in sorted(level):
+            nodes.setdefault(k[:digits], []).append(k + level[k])
+        level = {k: sha("".join(v)) for k, v in nodes.items()}
+    return "sha256:" + level[""]
+
+
+def test_tree_hash_against_brute_force(spark):
     snap = versions.snapshot(rows(spark), CONTRACT)
     lines = [
-        f'{{"data":{{"input":"text {i}","score":{i}}},"id":"r{i:03d}","status":"approved"}}\n' for i in range(50) if i % 3 and i != 7
+        f'{{"data":{{"input":"text {i}","score":{i}}},"id":"r{i:03d}","status":"approved"}}' for i in range(50) if i % 3 and i != 7
     ]
-    assert versions.exact_hash(snap) == "sha256:" + hashlib.sha256("".join(lines).encode()).hexdigest()
-    with pytest.raises(ValueError):
-        versions.exact_hash(snap, max_rows=3)
+    assert versions.content_hash(snap) == brute_tree([hashlib.sha256(line.encode()).hexdigest() for line in lines])
 
 
-@pytest.mark.parametrize("buckets", [1, 8, 10_000])
-def test_tree_hash_ignores_partitioning(spark, buckets):
+def test_tree_hash_ignores_partitioning(spark):
     snap = versions.snapshot(rows(spark), CONTRACT, include_unapproved=True)
-    hashes = {versions.tree_hash(snap.repartition(n), buckets).first().content_hash for n in (1, 5, 13)}
+    hashes = {versions.tree_hash(snap.repartition(n)).first().content_hash for n in (1, 5, 13)}
     assert len(hashes) == 1
     other = versions.snapshot(rows(spark, bump=1), CONTRACT, include_unapproved=True)
-    assert versions.tree_hash(other, buckets).first().content_hash not in hashes
+    assert versions.tree_hash(other).first().content_hash not in hashes
 
 
 def test_grouped_hash_equals_separate_hashes(spark):
     snap = versions.snapshot(rows(spark), CONTRACT, True).withColumn("g", F.substring("id", 4, 1))
-    grouped = {r.g: r.content_hash for r in versions.tree_hash(snap, 8, ("g",)).collect()}
+    grouped = {r.g: r.content_hash for r in versions.tree_hash(snap, ("g",)).collect()}
     for g, digest in grouped.items():
-        assert versions.tree_hash(snap.filter(F.col("g") == g), 8).first().content_hash == digest
+        assert versions.tree_hash(snap.filter(F.col("g") == g)).first().content_hash == digest
 
 
-@pytest.mark.parametrize("mode", ["exact", "tree"])
-def test_cut_verify_and_immutability(spark, tmp_path, mode):
+def test_cut_verify_and_immutability(spark, tmp_path):
     root = str(tmp_path)
-    manifest = versions.cut_version(rows(spark), CONTRACT, "d", root, 1, "u@x", mode=mode).first()
+    manifest = versions.cut_version(rows(spark), CONTRACT, "d", root, 1, "u@x").first()
     assert manifest.row_count == 32 and versions.verify(spark, root, "d", 1)[0]
-    again = versions.cut_version(rows(spark).repartition(7), CONTRACT, "d", root, 2, "u@x", mode=mode).first()
+    again = versions.cut_version(rows(spark).repartition(7), CONTRACT, "d", root, 2, "u@x").first()
     assert again.content_hash == manifest.content_hash
     with pytest.raises(AnalysisException):
-        versions.cut_version(rows(spark), CONTRACT, "d", root, 1, "u@x", mode=mode)
+        versions.cut_version(rows(spark), CONTRACT, "d", root, 1, "u@x")
     with pytest.raises(ValueError):
         versions.cut_version(rows(spark).filter("id = 'none'"), CONTRACT, "d", root, 3, "u@x")
     changed = snapshots.read_snapshot(spark, root, "d", 1).limit(10)
