@@ -249,6 +249,8 @@ def fit_labels(model: LabelModel, votes: DataFrame, rounds: int = EM_ROUNDS) ->
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
     overlap = np.clip((both - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
     overlap[overlap < DEPENDENT] = 0.0  # weaker ties come from languages and topics that voters share
+    hits = slice(words, words + len(HITS))
+    overlap[:, hits] = overlap[hits, :] = 0.0  # that any word fires is counted once, by these voters
     np.fill_diagonal(overlap, 1.0)
     model.share = 1 / overlap.sum(axis=1)
     for _ in range(rounds):
