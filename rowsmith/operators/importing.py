@@ -40,7 +40,7 @@ def map_rows(
     """Add one ``cell:<key>`` column of JSON text per mapped key, and ``failures``.
 
     ``cell`` reads a source column: a raw string, or with ``structured`` a JSON
-    text. ``typed`` is what json columns read when it differs (YAML).
+    text. ``typed`` is what json columns read when it differs.
     """
     known = {f.key for f in contract.fields}
     targets = list(mapping.values())

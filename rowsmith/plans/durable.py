@@ -27,9 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables this process has written, once their results are stored; returns how many."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table: later plans read it and lost executors cost nothing."""
+    """``df`` as a Parquet table: later plans read it and lost executors cost nothing.
+
+    Tables stay until ``clean``, as plans that read them may not have run yet.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowsmith/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

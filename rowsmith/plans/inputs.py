@@ -49,6 +49,8 @@ SELECT concat('ord-', o_orderkey) AS id, {_V_STATUS} AS status, o_orderpriority
        CAST(CAST(o_orderdate AS DATE) AS STRING) AS as_of, o_orderkey AS created_seq
 FROM {{orders}} WHERE o_orderkey % 23 <> 5
 """
+# Every order, for what does not compare two versions.
+V0 = V1.replace(" WHERE o_orderkey % 23 <> 5", "")
 V2 = f"""
 SELECT concat('ord-', o_orderkey) AS id,
        CASE WHEN o_orderkey % 19 = 0 THEN 'approved' ELSE {_V_STATUS} END AS status,
@@ -177,6 +179,8 @@ SELECT DISTINCT concat('cust-', o_custkey) AS dataset, CAST(1 + o_orderkey % 5 A
        concat('u', (o_custkey + o_orderkey % 5) % 30) AS created_by
 FROM {orders} WHERE o_custkey % 3 <> 0
 """
+# Versions of every dataset; VERSIONS leaves some datasets without one.
+ALL_VERSIONS = VERSIONS.replace(" WHERE o_custkey % 3 <> 0", "")
 DATASETS = """
 SELECT concat('cust-', c_custkey) AS dataset, lower(c_name) AS name, c_mktsegment AS feature_id FROM {customer}
 """

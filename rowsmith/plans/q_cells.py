@@ -344,6 +344,17 @@ def json_size(spark, d):
     return rows.select("id", text.stored_size(cell).cast("bigint").alias("bytes"))
 
 
+_CELL_LENGTH = "CASE WHEN event_id % 500 = 0 THEN 262138 + event_id % 6 ELSE event_id % 7 END"
+
+
+@query("v08_json_cell_limit", f"SELECT event_id, CASE WHEN {_CELL_LENGTH} + 4 > 262144 THEN concat('value is ', {_CELL_LENGTH} + 4, ' bytes; the limit is 262144') END AS reason FROM events")
+def json_limit(spark, d):
+    """Cells around the size limit, checked by the rule of a json column."""
+    sized = load(spark, d, f"SELECT event_id, CAST({_CELL_LENGTH} AS INT) AS n FROM {{events}}")
+    cell = F.concat(F.lit('["'), F.repeat(F.lit("x"), F.col("n")), F.lit('"]'))
+    return sized.select("event_id", checks.field_error(Field("j", "json"), cell).alias("reason"))
+
+
 SCHEMA = '{"type":"object","properties":{"k":{"type":"integer","maximum":50}},"required":["k"],"additionalProperties":false}'
 
 

@@ -103,30 +103,30 @@ def snapshot_read(spark, d):
     return stored.select("id", "status", canon.object_text(canon.cells_of("data"), keys).alias("data"))
 
 
-@query("s14_export_jsonl", f"WITH v AS ({plain(inputs.V1)}) SELECT {ORDER_LINE} AS line FROM v")
+@query("s14_export_jsonl", f"WITH v AS ({plain(inputs.V0)}) SELECT {ORDER_LINE} AS line FROM v")
 def export_flat(spark, d):
     path = folder_for(spark, "export")
-    lines = versions.export_line(order_snapshot(spark, d, inputs.V1), inputs.ORDER_CONTRACT)
+    lines = versions.export_line(order_snapshot(spark, d, inputs.V0), inputs.ORDER_CONTRACT)
     snapshots.export_jsonl(lines, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("s16_export_json", f"WITH v AS ({plain(inputs.V2)}) SELECT {ORDER_LINE} AS line, CAST(1 AS BIGINT) AS manifests FROM v")
+@query("s16_export_json", f"WITH v AS ({plain(inputs.V0)}) SELECT {ORDER_LINE} AS line, CAST(1 AS BIGINT) AS manifests FROM v")
 def export_json(spark, d):
     path = folder_for(spark, "json")
-    snap = order_snapshot(spark, d, inputs.V2)
+    snap = order_snapshot(spark, d, inputs.V0)
     manifest = snap.agg(F.count("*").alias("row_count")).withColumn("dataset", F.lit("orders"))
     snapshots.export_json(versions.export_line(snap, inputs.ORDER_CONTRACT), manifest, path)
     manifests = spark.read.json(f"{path}/manifest").count()
     return spark.read.text(f"{path}/rows").select(F.col("value").alias("line"), F.lit(manifests).alias("manifests"))
 
 
-_CUT = f"WITH v AS ({plain(inputs.V1)}), lines AS (SELECT {ORDER_LINE} AS line, created_seq, id FROM v), {TREE} "
+_CUT = f"WITH v AS ({plain(inputs.V0)}), lines AS (SELECT {ORDER_LINE} AS line, created_seq, id FROM v), {TREE} "
 
 
 def _cut(spark, d, notes=""):
     root = folder_for(spark, "cut")
-    rows = inputs.order_rows(spark, d, inputs.V1)
+    rows = inputs.order_rows(spark, d, inputs.V0)
     manifest = versions.cut_version(rows, inputs.ORDER_CONTRACT, "orders", root, 1, "u1", notes, include_unapproved=True)
     return root, manifest
 
@@ -256,6 +256,7 @@ def snapshot_document(spark, d):
 # --- Versions and datasets ----------------------------------------------
 
 VER = f"v AS ({plain(inputs.VERSIONS)})"
+EACH = f"v AS ({plain(inputs.ALL_VERSIONS)})"
 DS = f"d AS ({plain(inputs.DATASETS)})"
 USR = f"u AS ({plain(inputs.USERS)})"
 
@@ -264,6 +265,10 @@ def _versions(spark, d):
     return load(spark, d, inputs.VERSIONS)
 
 
+def _all_versions(spark, d):
+    return load(spark, d, inputs.ALL_VERSIONS)
+
+
 def _datasets(spark, d):
     return load(spark, d, inputs.DATASETS)
 
@@ -277,24 +282,24 @@ def next_version(spark, d):
     return versions.next_versions(_datasets(spark, d), _versions(spark, d))
 
 
-@query("g03_versions_per_dataset", f"WITH {VER} SELECT dataset, count(*) AS n_versions FROM v GROUP BY dataset")
+@query("g03_versions_per_dataset", f"WITH {EACH} SELECT dataset, count(*) AS n_versions FROM v GROUP BY dataset")
 def versions_per_dataset(spark, d):
-    return catalog.versions_per_dataset(_versions(spark, d))
+    return catalog.versions_per_dataset(_all_versions(spark, d))
 
 
-@query("w03_latest_version", f"WITH {VER} SELECT dataset, version, created_by FROM v QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY version DESC) = 1")
+@query("w03_latest_version", f"WITH {EACH} SELECT dataset, version, created_by FROM v QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY version DESC) = 1")
 def latest_version(spark, d):
-    return versions.latest_versions(_versions(spark, d))
+    return versions.latest_versions(_all_versions(spark, d))
 
 
-@query("l03_versions_newest_first", f"WITH {VER}, {USR} SELECT dataset, version, created_by FROM v")
+@query("l03_versions_newest_first", f"WITH {EACH}, {USR} SELECT dataset, version, created_by FROM v")
 def versions_newest_first(spark, d):
-    return _versions(spark, d).orderBy("dataset", F.desc("version"))
+    return _all_versions(spark, d).orderBy("dataset", F.desc("version"))
 
 
-@query("j10_versions_with_creator", f"WITH {VER}, {USR} SELECT v.dataset, v.version, v.created_by, u.email AS creator_email FROM v LEFT JOIN u ON v.created_by = u.id")
+@query("j10_versions_with_creator", f"WITH {EACH}, {USR} SELECT v.dataset, v.version, v.created_by, u.email AS creator_email FROM v LEFT JOIN u ON v.created_by = u.id")
 def versions_with_creator(spark, d):
-    return catalog.versions_with_creator(_versions(spark, d), _users(spark, d))
+    return catalog.versions_with_creator(_all_versions(spark, d), _users(spark, d))
 
 
 @query("j13_datasets_with_latest", f"WITH {VER}, {DS} SELECT d.dataset, d.name, d.feature_id, max(v.version) AS latest_version FROM d LEFT JOIN v ON d.dataset = v.dataset GROUP BY ALL")
