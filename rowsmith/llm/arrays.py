@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 

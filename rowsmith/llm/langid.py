@@ -30,6 +30,7 @@ from rowsmith.llm.training import scoring_input
 SAMPLE = 400  # training documents read per language
 BUCKETS = 1 << 14  # of hashed trigrams
 SWITCH = 6.0  # penalty of a switch, in nats
+STEP_BYTES = 1 << 20  # text of a part; more texts a step make Viterbi's steps cheaper
 RARE_SCRIPT = 0.005  # share of a language's words below which a script is not its own
 NO_LANGUAGE = "und"
 
@@ -208,7 +209,7 @@ def _labelling(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for lo, hi in parts(offsets):
+            for lo, hi in parts(offsets, STEP_BYTES):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 m, row = hi - lo, words.text_of()
                 plain = np.concatenate([[0], np.cumsum(_IS_ASCII_LETTER[words.data])])[words.offsets]
