@@ -93,6 +93,49 @@ def test_claims_skips_fixes_and_accounting(spark):
     assert importing.accounting(checked).first().asDict() == {"total": 9, "created": 1, "skipped": 1, "errored": 7, "errors": 7}
 
 
+def test_rows_of_several_files(spark):
+    """Numbers repeat from file to file; claims, skips, fixes, ids and times tell the rows apart."""
+    rows = [("f1", 1, "a", "1"), ("f1", 2, "b", "1"), ("f1", 3, "s", "1"), ("f2", 1, "a", "1"), ("f2", 2, "c", "x"), ("f2", 3, "d", "1"), ("f10", 1, "b", "1")]
+    df = spark.createDataFrame(rows, "file string, row_idx bigint, id string, n string")
+    mapped = importing.map_rows(df, {"id": "id", "n": "n"}, KEYED, F.col)
+    skip = spark.createDataFrame([("f1", 3)], "file string, row_idx bigint")
+    fixes = spark.createDataFrame([("f2", 2, "n", "7", 1), ("f2", 2, "n", "8", 2), ("f2", 3, "m", "1", 1)], "file string, row_idx bigint, key string, value string, seq int")
+    checked = importing.check_rows(importing.apply_fixes(mapped, fixes, KEYED), KEYED, skip=skip)
+    errors = {(r.file, r.row_idx): r.reason for r in importing.error_report(checked).collect()}
+    assert errors == {
+        ("f2", 1): "duplicate key 'a' in file (also row 1 of f1)",
+        ("f10", 1): "duplicate key 'b' in file (also row 2 of f1)",
+        ("f2", 3): "not a schema column",
+    }
+    empty = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in importing.ROW_COLUMNS.items()))
+    table, _, counts = importing.commit_import(checked, KEYED, empty, "d", "u", F.current_timestamp())
+    made = table.orderBy("created_at").collect()
+    assert [r.row_key for r in made] == ["a", "b", "c"] and len({r.id for r in made}) == 3 and len({r.created_at for r in made}) == 3
+    assert made[2].data["n"] == "8" and [r.id for r in table.orderBy("created_at").collect()] == [r.id for r in made]
+    assert counts.first().skipped == 1
+    with pytest.raises(ValueError):
+        importing.check_rows(mapped, KEYED, skip=skip.select("row_idx"))
+    unordered = spark.createDataFrame([("f2", 2, "n", "7"), ("f2", 2, "n", "8")], "file string, row_idx bigint, key string, value string")
+    again = importing.check_rows(importing.apply_fixes(mapped, unordered, KEYED), KEYED)
+    assert ("f2", 2, "n", "several different fixes") in [tuple(r) for r in importing.error_report(again).collect()]
+
+
+def test_only_live_rows_hold_keys(spark):
+    from tests.test_changes import table
+
+    rows = table(spark, [("1", {"id": '"a"'}, "draft", 1, True), ("2", {"id": '"b"'}, "draft", 1, False)])
+    checked = imported(spark, [{"id": "a", "n": 1}, {"id": "b", "n": 1}], KEYED, existing=rows)
+    assert [r.row_idx for r in importing.error_report(checked).collect()] == [2]
+
+
+def test_preview(spark):
+    df = spark.createDataFrame([(1, " a ", "5", "z"), (2, "b", "many", "z"), (3, "b", "1", "z")], "row_idx bigint, ID string, n string, other string")
+    found = importing.preview(df, ["ID", "n", "other"], KEYED, F.col, limit=2)
+    assert {(r.source, r.key) for r in found.mapping.collect()} == {("ID", "id"), ("n", "n")}
+    assert [(r.row_idx, r.cells, r.outcome) for r in found.sample.collect()] == [(1, '{"id":" a ","n":5}', "errored"), (2, '{"id":"b","n":"many"}', "errored")]
+    assert found.counts.first().asDict() == {"total": 3, "created": 0, "skipped": 0, "errored": 3, "errors": 3}
+
+
 def test_fixes_cancel_failures(spark):
     lines = spark.createDataFrame([(1, "2024-01-02T03:00"), (2, "2024-01-02T03:00"), (3, "x")], "row_idx bigint, day string")
     contract = Contract.of(Field("day", "date", required=True))

@@ -88,6 +88,15 @@ def test_diff(spark):
     assert [tuple(r) for r in versions.status_changes(diff).collect()] == [("r002", "approved", "needs_review")]
 
 
+def test_diff_order(spark):
+    a = versions.snapshot(rows(spark, 30), CONTRACT, True)
+    later = rows(spark, 40).filter("id not in ('r009', 'r004')").withColumn("created_at", F.lit("2024-02-01").cast("timestamp") - F.make_dt_interval(days=F.substring("id", 2, 3).cast("int")))
+    later = later.withColumn("status", F.when(F.col("id").isin("r021", "r012"), "needs_review").otherwise(F.col("status")))
+    got = [(r.change, r.id) for r in versions.in_diff_order(versions.diff_rows(a, versions.snapshot(later, CONTRACT, True))).collect()]
+    added = [("added", f"r{i:03d}") for i in range(39, 29, -1)]  # newer ids were created earlier
+    assert got == added + [("removed", "r004"), ("removed", "r009"), ("modified", "r012"), ("modified", "r021")]
+
+
 def test_diff_compares_loosely(spark):
     a = versions.snapshot(rows(spark), CONTRACT, True)
     floats = rows(spark).withColumn("data", F.transform_values("data", lambda k, v: F.when(k == "score", F.concat(v, F.lit(".0"))).otherwise(v)))
