@@ -2,8 +2,10 @@
 
 A text is a bag of word shingles with weights ``(1 + ln tf) * idf``. Document frequencies
 come from all texts, counted in a table of fixed width, less what chance adds to a cell;
-idf runs from 1 (in every text) to 2 (in one). Consistent weighted samples agree with the
-probability of the weighted Jaccard similarity; they are cut into bands.
+idf runs from 1 (in every text) to ``1 + DAMPED`` (in one), a narrow range, as in a large
+group of near copies the shingles that all share would else count for too little.
+Consistent weighted samples agree with the probability of the weighted Jaccard
+similarity; they are cut into bands.
 
 Texts with the same bag are one node. Nodes that share a band are sorted by their other
 samples over the whole cluster, so like ones are neighbours: each is paired with its
@@ -34,6 +36,7 @@ from rowsmith.plans import durable
 
 SHINGLE = 5  # words
 THRESHOLD = 0.8  # weighted Jaccard similarity of a link
+DAMPED = 0.25  # what the rarest shingle weighs more than one in every text
 BANDS, ROWS = 9, 3  # a pair at the threshold is missed by all bands in 0.16 % of cases
 CELLS = 1 << 20  # of the frequency table
 BLOCKS = 64  # pieces in which it is summed up
@@ -110,7 +113,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     n = max(texts.count(), 2)
     by_chance = (counts.sum() - counts) / (CELLS - 1)
     df = np.clip(counts - by_chance, 1, n)
-    return (1 + np.log(n / df) / np.log(n)).astype(np.float32)
+    return (1 + DAMPED * np.log(n / df) / np.log(n)).astype(np.float32)
 
 
 def _weights(shingle: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:

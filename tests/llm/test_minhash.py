@@ -22,7 +22,7 @@ def classes(rows, threshold, slack=0.0):
     bags = [bag(t) for _, t in rows]
     n = max(len(rows), 2)
     df = Counter(s for b in bags for s in b)
-    w = [{s: (1 + math.log(c)) * (1 + math.log(n / df[s]) / math.log(n)) for s, c in b.items()} for b in bags]
+    w = [{s: (1 + math.log(c)) * (1 + 0.25 * math.log(n / df[s]) / math.log(n)) for s, c in b.items()} for b in bags]
     parent = list(range(len(rows)))
 
     def root(i):
