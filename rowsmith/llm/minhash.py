@@ -8,9 +8,9 @@ Consistent weighted samples agree with the probability of the weighted Jaccard
 similarity; they are cut into bands.
 
 Texts with the same bag are one node. Nodes that share a band are sorted by their other
-samples over the whole cluster, so like ones are neighbours: each is paired with its
-neighbour and with the first of its band in the partition, never with all. Pairs
-are verified by exact weighted Jaccard similarity: first each node's most promising one,
+samples over the whole cluster, so like ones are neighbours: each is paired with the few
+before it, the first of its band in the partition and the band's text of most copies, never
+with all. Pairs are verified by exact weighted Jaccard similarity: first each node's most promising one,
 then every other pair that still joins two groups. Groups are connected components.
 
 Nothing but the frequency table, which has a fixed size, reaches the driver.
@@ -40,6 +40,7 @@ DAMPED = 0.25  # what the rarest shingle weighs more than one in every text
 BANDS, ROWS = 9, 3  # a pair at the threshold is missed by all bands in 0.16 % of cases
 CELLS = 1 << 20  # of the frequency table
 BLOCKS = 64  # pieces in which it is summed up
+NEIGHBOURS = 4  # rows before it, in the order of a band, that a text is compared with
 UNLIKELY = 0.45  # share of equal samples; a link has less in fewer than one of 100,000 cases
 SEED = 81
 
@@ -169,7 +170,7 @@ PAIR, FIRST, LAST = 0, 1, 2
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted band rows to pairs with the neighbour and with the first row of the band in this partition.
+    """Sorted band rows to pairs with the rows before and with the first row of the band in this partition.
 
     The partition's own first and last row are given too, to pair them across partitions.
     """
@@ -186,49 +187,55 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["kind", "part", "band", "hash", "a", "b", "alike", "sign"],
         )
 
-    before = head = None  # (band, hash, bag, sign) of the row before, and of the first of its band
+    tail: list = []  # (band, hash, bag, sign) of the last rows, and of the first one of their band
+    head = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        band, hash, bag, sign = (batch.column(c).to_pylist() for c in ("band", "hash", "bag", "sign"))
-        if before is None:
-            yield rows(FIRST, band[:1], hash[:1], bag[:1], [None], [0.0], sign[:1])
-        carried = [] if before is None else [head, before]
-        k = len(carried)
-        drawn = np.frombuffer(b"".join([c[3] for c in carried] + sign), np.uint64).reshape(-1, width)
-        all_bags = [c[2] for c in carried] + bag
-        names = [(c[0], c[1]) for c in carried] + list(zip(band, hash, strict=True))
-        near, star, at = [], [], 0
-        heads = np.zeros(len(names), dtype=np.int64)
-        for i in range(len(names)):
-            if i == 0 or names[i] != names[i - 1]:
-                at = i
-            heads[i] = at
-        index = np.arange(max(k, 1), len(names))
-        index = index[heads[index] != index]
-        near, star = index - 1, heads[index]
-        left = np.concatenate([near, star[star != near]])
-        right = np.concatenate([index, index[star != near]])
+        new = list(zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "bag", "sign")), strict=True))
+        if not tail:
+            yield rows(FIRST, [new[0][0]], [new[0][1]], [new[0][2]], [None], [0.0], [new[0][3]])
+        carried = ([head] if head is not None else []) + tail
+        line, k = carried + new, len(carried)
+        skip = len(carried) - len(tail)  # the carried first row stands apart
+        drawn = np.frombuffer(b"".join(r[3] for r in line), np.uint64).reshape(-1, width)
+        first = np.zeros(len(line), dtype=np.int64)
+        for i in range(skip, len(line)):
+            same = i > skip and line[i][:2] == line[i - 1][:2]
+            joins_head = i == skip and skip and line[i][:2] == head[:2]
+            first[i] = first[i - 1] if same else (0 if joins_head else i)
+        index = np.arange(k, len(line))
+        left, right = [first[index]], [index]
+        for d in range(1, NEIGHBOURS + 1):
+            near = index[(index - d >= skip) & (first[np.maximum(index - d, 0)] == first[index])]
+            left.append(near - d)
+            right.append(near)
+        left, right = np.concatenate(left), np.concatenate(right)
+        other = np.flatnonzero(left != right)
+        left, right = np.unique(np.stack([left[other], right[other]]), axis=1) if len(other) else (left[:0], right[:0])
         alike = (drawn[left] == drawn[right]).mean(axis=1) if len(left) else np.zeros(0)
         keep = np.flatnonzero(alike >= UNLIKELY)
         if len(keep):
-            a, b = [all_bags[i] for i in left[keep]], [all_bags[i] for i in right[keep]]
+            a, b = [line[i][2] for i in left[keep]], [line[i][2] for i in right[keep]]
             yield rows(PAIR, [0] * len(keep), [None] * len(keep), a, b, alike[keep], [None] * len(keep))
-        h = int(heads[-1])
-        head = (names[h][0], names[h][1], all_bags[h], drawn[h].tobytes())
-        before = (band[-1], hash[-1], bag[-1], sign[-1])
-    if before is not None:
-        yield rows(LAST, [before[0]], [before[1]], [before[2]], [None], [0.0], [before[3]])
+        head, tail = line[first[-1]], line[skip:][-NEIGHBOURS:]
+    if tail:
+        last = tail[-1]
+        yield rows(LAST, [last[0]], [last[1]], [last[2]], [None], [0.0], [last[3]])
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b, alike)`` of nodes of ``signed`` (bag, sign) that share a band."""
+    """Distinct pairs ``(a, b, alike)`` of nodes of ``signed`` (bag, sign, n) that share a band."""
     step = 8 * ROWS
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sign", i * step + 1, step).alias("hash")) for i in range(BANDS)])
     rows = signed.select("bag", F.explode(bands).alias("x")).select("bag", "x.*")
     shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("band", "hash")
     rows = durable.written(rows.join(shared, ["band", "hash"], "left_semi"), "bands")
-    rows = rows.join(signed, "bag")
+    # The text of a band with the most copies is likely what the others were made from.
+    centres = rows.join(signed.filter("n > 1").select("bag", "n"), "bag").groupBy("band", "hash").agg(F.max_by("bag", F.struct("n", "bag")).alias("centre"))
+    spokes = rows.join(durable.written(centres, "centres"), ["band", "hash"])
+    spokes = spokes.select(F.col("bag").alias("a"), F.col("centre").alias("b"), F.lit(UNLIKELY).alias("alike"))
+    rows = rows.join(signed.select("bag", "sign"), "bag")
     rest = F.expr(f"concat(substring(sign, (band + 1) * {step} + 1), substring(sign, 1, band * {step}))")
     order = ["band", "hash", "rest", "bag"]
     rows = rows.withColumn("rest", rest).repartitionByRange(*order).sortWithinPartitions(*order).select("band", "hash", "bag", "sign")
@@ -241,6 +248,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     )
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "alike")
     pairs = pairs.unionByName(across.select("a", F.col("_next.a").alias("b"), F.lit(1.0).alias("alike")))
+    pairs = pairs.unionByName(spokes)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike").filter("a != b")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
@@ -310,7 +318,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", te
     nodes = bags.agg(F.min("key").alias("key"), F.first("sign").alias("sign"), F.min(F.struct(F.isnull("id"), "id", "key")).alias("least"), F.count("*").alias("n"))
     nodes = durable.written(nodes, "nodes")
 
-    pairs = durable.written(candidate_pairs(nodes.select("bag", "sign")), "candidates")
+    pairs = durable.written(candidate_pairs(nodes.select("bag", "sign", "n")), "candidates")
     ends = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct()
     wanted = durable.written(nodes.join(ends, "bag", "left_semi").select("bag", "key"), "wanted")
     once = rows.select("key", F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
