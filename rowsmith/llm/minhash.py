@@ -7,11 +7,14 @@ group of near copies the shingles that all share would else count for too little
 Consistent weighted samples agree with the probability of the weighted Jaccard
 similarity; they are cut into bands.
 
-Texts with the same bag are one node. Nodes that share a band are sorted by their other
-samples over the whole cluster, so like ones are neighbours: each is paired with the few
-before it, the first of its band in the partition and the band's text of most copies, never
-with all. Pairs are verified by exact weighted Jaccard similarity: first each node's most promising one,
-then every other pair that still joins two groups. Groups are connected components.
+Texts with the same bag are one node. Nodes that share a band of few nodes are all paired.
+Those of larger bands are sorted by their other samples over the whole cluster, so like
+ones are neighbours: each is paired with the few before it, the first of its band in the
+partition and the band's text of most copies. Pairs are verified by exact weighted Jaccard
+similarity: first each node's most promising one, then every other pair that still joins
+two groups. In larger bands that then hold several groups, all nodes of different groups
+are compared, block by block, so the outcome does not depend on which were neighbours.
+Groups are connected components.
 
 Nothing but the frequency table, which has a fixed size, reaches the driver.
 
@@ -41,6 +44,10 @@ BANDS, ROWS = 9, 3  # a pair at the threshold is missed by all bands in 0.16 % o
 CELLS = 1 << 20  # of the frequency table
 BLOCKS = 64  # pieces in which it is summed up
 NEIGHBOURS = 4  # rows before it, in the order of a band, that a text is compared with
+WHOLE = 6  # nodes of a band up to which all its pairs are candidates
+BLOCK = 1_024  # nodes of a block of a larger band; all pairs of two blocks are one task's work
+BLOCK_BYTES = 8 << 20  # text of a block
+COLUMNS = 2_048  # features multiplied at once
 UNLIKELY = 0.45  # share of equal samples; a link has less in fewer than one of 100,000 cases
 SEED = 81
 
@@ -224,13 +231,37 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(LAST, [last[0]], [last[1]], [last[2]], [None], [0.0], [last[3]])
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b, alike)`` of nodes of ``signed`` (bag, sign, n) that share a band."""
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the share of their samples that are equal, without unlikely ones."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BANDS * ROWS) for c in ("sign_a", "sign_b"))
+        alike = (a == b).mean(axis=1)
+        found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike)], names=["a", "b", "alike"])
+        yield found.filter(pa.array(alike >= UNLIKELY))
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """``(band, hash, bag, many)``: the bands of every node that it shares, and their sizes."""
     step = 8 * ROWS
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sign", i * step + 1, step).alias("hash")) for i in range(BANDS)])
     rows = signed.select("bag", F.explode(bands).alias("x")).select("bag", "x.*")
-    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("band", "hash")
-    rows = durable.written(rows.join(shared, ["band", "hash"], "left_semi"), "bands")
+    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("many")).filter("many > 1")
+    return durable.written(rows.join(shared, ["band", "hash"]).select("band", "hash", "bag", "many"), "bands")
+
+
+def candidate_pairs(signed: DataFrame, bands: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b, alike)`` of nodes of ``signed`` (bag, sign, n) that share a band.
+
+    All of bands of up to ``WHOLE`` nodes; of larger ones those likely to be links.
+    """
+    step = 8 * ROWS
+    few = bands.filter(F.col("many") <= WHOLE).join(signed.select("bag", "sign"), "bag")
+    few = few.groupBy("band", "hash").agg(F.sort_array(F.collect_list(F.struct("bag", "sign"))).alias("ms"))
+    later = F.expr("transform(sequence(1, size(ms) - 1), i -> transform(slice(ms, 1, i), m -> struct(m as a, ms[i] as b)))")
+    few = few.select(F.explode(F.flatten(later)).alias("p"))
+    few = few.select(F.col("p.a.bag").alias("a"), F.col("p.b.bag").alias("b"), F.col("p.a.sign").alias("sign_a"), F.col("p.b.sign").alias("sign_b"))
+    few = few.mapInArrow(_alike, "a binary, b binary, alike double")
+    rows = bands.filter(F.col("many") > WHOLE).select("band", "hash", "bag")
     # The text of a band with the most copies is likely what the others were made from.
     centres = rows.join(signed.filter("n > 1").select("bag", "n"), "bag").groupBy("band", "hash").agg(F.max_by("bag", F.struct("n", "bag")).alias("centre"))
     spokes = rows.join(durable.written(centres, "centres"), ["band", "hash"])
@@ -248,7 +279,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     )
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "alike")
     pairs = pairs.unionByName(across.select("a", F.col("_next.a").alias("b"), F.lit(1.0).alias("alike")))
-    pairs = pairs.unionByName(spokes)
+    pairs = pairs.unionByName(spokes).unionByName(few)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike").filter("a != b")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
@@ -288,6 +319,112 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
     return durable.written(rows.filter(F.col("similarity") >= threshold), "links")
 
 
+def _features(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, weight): the weights of features that two texts share sum up to their common weight.
+
+    A shingle that occurs c times is c features: the k-th weighs what the k-th occurrence adds.
+    """
+    found: tuple = ([], [], [])
+    for lo, _, words in word_parts(column):
+        text, shingle, count = shingles(words)
+        at = np.repeat(np.arange(len(count)), count)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        adds = np.where(k > 0, np.log1p(k) - np.log(np.maximum(k, 1)), 1.0)
+        found[0].append(text[at] + lo)
+        found[1].append(mixed(shingle[at] + k.astype(np.uint64) * _ODD[150]))
+        found[2].append(adds * idf[_cell(shingle[at])])
+    return tuple(np.concatenate(x) for x in found)
+
+
+def _similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of ``a`` with every one of ``b``."""
+    (ta, fa, wa), (tb, fb, wb) = _features(a, idf), _features(b, idf)
+    total = np.bincount(ta, wa, len(a))[:, None] + np.bincount(tb, wb, len(b))[None, :]
+    both = np.intersect1d(fa, fb)
+    lines = []
+    for text, feature, weight in ((ta, fa, wa), (tb, fb, np.ones(len(fb)))):
+        at = np.minimum(np.searchsorted(both, feature), max(len(both) - 1, 0))
+        some = np.flatnonzero(both[at] == feature) if len(both) else at[:0]
+        some = some[np.argsort(at[some], kind="stable")]
+        lines.append((text[some], at[some], weight[some]))
+    common = np.zeros(total.shape)
+    for lo in range(0, len(both), COLUMNS):
+        sides = []
+        for (text, at, weight), n in zip(lines, total.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            side = np.zeros((n, min(COLUMNS, len(both) - lo)))
+            side[text[i:j], at[i:j] - lo] = weight[i:j]
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    return common / np.maximum(total - common, 1e-12)
+
+
+def _joining(idf, threshold: float):
+    """All pairs of two blocks (or within one) to links that join groups, as few as do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("bag", "ascending")])
+        side = np.array(table.column("side").to_pylist())
+        n = int((side == 0).sum())
+        left, right = table.slice(0, n), table.slice(n) if n < len(side) else table
+        found: tuple = ([], [])
+        if left.num_rows and right.num_rows:
+            names: dict = {}
+            la, lb = (np.array([names.setdefault(x, len(names)) for x in t.column("label").to_pylist()]) for t in (left, right))
+            texts = [t.column("text").combine_chunks() for t in (left, right)]
+            i, j = np.nonzero((_similarities(*texts, idf.value) >= threshold) & (la[:, None] != lb[None, :]))
+            _, one = np.unique(la[i] * len(names) + lb[j], return_index=True)
+            parent = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            bags = [t.column("bag").to_pylist() for t in (left, right)]
+            for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
+                p, q = root(la[x]), root(lb[y])
+                if p != q:
+                    parent[p] = q
+                    found[0].append(bags[0][x])
+                    found[1].append(bags[1][y])
+        return pa.table([pa.array(x, pa.binary()) for x in found], names=["a", "b"])
+
+    return run
+
+
+def remaining_links(bands: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """Links ``(a, b)`` that join groups within bands of more than ``WHOLE`` nodes, from all pairs of different groups.
+
+    A group that fills a block has blocks of its own, which are not compared with each other;
+    the rest of a band is dealt to blocks by hash. ``labels`` is (node, label) of linked nodes.
+    """
+    key = ["band", "hash"]
+    rows = bands.filter(F.col("many") > WHOLE).join(labels.withColumnRenamed("node", "bag"), "bag", "left")
+    rows = rows.select(*key, "bag", F.coalesce("label", "bag").alias("label"))
+    several = rows.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(*key)
+    rows = durable.written(rows.join(several, key, "left_semi"), "undecided")
+    if rows.isEmpty():
+        return rows.select(F.col("bag").alias("a"), F.col("bag").alias("b"))
+    load = F.greatest(F.lit(1.0), F.col("size") * (BLOCK / BLOCK_BYTES))
+    loads = rows.join(texts.select("bag", "size"), "bag").groupBy(*key, "label").agg(F.sum(load).alias("load"))
+    loads = durable.written(loads.withColumn("own", F.when(F.col("load") >= BLOCK, F.col("label")).otherwise(F.lit(b""))), "loads")
+    counts = loads.groupBy(*key, "own").agg(F.ceil(F.sum("load") / BLOCK).cast("int").alias("count"))
+    counts = durable.written(counts, "counts")
+    dealt = rows.join(loads.select(*key, "label", "own"), [*key, "label"]).join(counts, [*key, "own"])
+    dealt = dealt.withColumn("block", F.struct("own", F.pmod(F.xxhash64("bag"), F.col("count")).cast("int").alias("nth")))
+    blocks = counts.select(*key, "own", F.explode(F.expr("sequence(0, count - 1)")).alias("nth")).select(*key, F.struct("own", "nth").alias("block"))
+    tasks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), key)
+    tasks = tasks.filter((F.col("x") <= F.col("y")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.own") == F.lit(b""))))
+    tasks = durable.written(tasks, "block-pairs")
+    left = tasks.select("*", F.col("x").alias("block"), F.lit(0).alias("side"))
+    right = tasks.filter("x != y").select("*", F.col("y").alias("block"), F.lit(1).alias("side"))
+    placed = dealt.select(*key, "block", "bag", "label").join(left.unionByName(right), [*key, "block"])
+    placed = placed.select(*key, "x", "y", "side", "bag", "label").join(texts.select("bag", "text"), "bag")
+    found = placed.groupBy(*key, "x", "y").applyInArrow(_joining(idf, threshold), "a binary, b binary")
+    return durable.written(found, "remaining")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)``: the least node of the component, by least labels and pointer jumps."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -318,11 +455,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", te
     nodes = bags.agg(F.min("key").alias("key"), F.first("sign").alias("sign"), F.min(F.struct(F.isnull("id"), "id", "key")).alias("least"), F.count("*").alias("n"))
     nodes = durable.written(nodes, "nodes")
 
-    pairs = durable.written(candidate_pairs(nodes.select("bag", "sign", "n")), "candidates")
-    ends = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct()
+    bands = shared_bands(nodes.select("bag", "sign"))
+    pairs = durable.written(candidate_pairs(nodes.select("bag", "sign", "n"), bands), "candidates")
+    ends = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag")))
+    ends = ends.unionByName(bands.filter(F.col("many") > WHOLE).select("bag")).distinct()
     wanted = durable.written(nodes.join(ends, "bag", "left_semi").select("bag", "key"), "wanted")
     once = rows.select("key", F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    texts = durable.written(once.join(wanted, "key").select("bag", "text"), "texts")
+    texts = durable.written(once.join(wanted, "key").select("bag", "text", F.octet_length("text").alias("size")), "texts")
     best = F.max_by(F.struct("a", "b"), F.struct("alike", "a"))
     first = pairs.groupBy(F.col("b").alias("_b")).agg(best.alias("p")).select("p.a", "p.b")
     links = verified(first, texts, idf, threshold)
@@ -332,8 +471,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", te
     rest = pairs.join(first, ["a", "b"], "left_anti").join(known, "a", "left").join(known_b, "b", "left")
     rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     more = verified(rest, texts, idf, threshold)
+    links = links.unionByName(more).select("a", "b")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(links)
+    last = remaining_links(bands, labels, texts, idf, threshold)
+    if not last.isEmpty():
+        labels = components(links.unionByName(last))
 
     member = nodes.join(labels, nodes["bag"] == labels["node"], "left").withColumn("label", F.coalesce("label", "bag"))
     member = member.select("bag", "label", "least", "n")

@@ -108,3 +108,29 @@ def test_odd_documents(spark):
     assert all(frozenset([str(i)]) in same for i in (0, 1, 2, 3, 4, 16, 17))
     assert minhash.groups(odd_documents(spark, empty=True)).count() == 0
     assert minhash.survivors(odd_documents(spark, empty=True)).count() == 0
+
+
+def star(rng, variants, words=110):
+    """A text that occurs once and is like each of its variants, which are less like each other."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+    rows = [" ".join(base)]
+    for _ in range(variants):
+        other = base[:]
+        for half in (0, words // 2):  # far apart, so that each change spoils five shingles
+            other[half + rng.randrange(5, words // 2 - 5)] = f"v{rng.randrange(10**9)}"
+        rows.append(" ".join(other))
+    return list(enumerate(rows))
+
+
+def test_star_around_a_text_that_occurs_once(spark):
+    rows = star(random.Random(4), 2_000)
+    bags = [bag(t) for _, t in rows]
+    df = Counter(s for b in bags for s in b)
+    idf = {s: 1 + 0.25 * math.log(len(rows) / c) / math.log(len(rows)) for s, c in df.items()}
+    like = lambda a, b: sum(idf[s] for s in a & b) / sum(idf[s] for s in a | b)
+    assert min(like(bags[0].keys(), b.keys()) for b in bags) > 0.804
+    among = [like(bags[i].keys(), bags[i + 1].keys()) for i in range(1, 500)]
+    assert sum(x < 0.75 for x in among) > 0.95 * len(among)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = minhash.groups(docs).groupBy("class_id").count().collect()
+    assert max(r["count"] for r in sizes) >= 0.99 * len(rows)
