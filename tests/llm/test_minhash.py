@@ -134,3 +134,19 @@ def test_star_around_a_text_that_occurs_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sizes = minhash.groups(docs).groupBy("class_id").count().collect()
     assert max(r["count"] for r in sizes) >= 0.99 * len(rows)
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    rows = star(random.Random(5), 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(got_classes(minhash.groups(docs.repartition(parts))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] and max(map(len, found[0])) >= 0.99 * len(rows)
