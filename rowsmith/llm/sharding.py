@@ -6,7 +6,8 @@ shuffles every bucket by Fisher-Yates. The buckets one after the other are a ran
 of all rows, and shards are equal pieces of it: row counts differ by one at most.
 
 Defined results: a null text weighs nothing beyond its frame, empty and repeated rows are
-rows like any other (rows equal in id and text share a bucket), a null id is scattered by
+rows like any other (rows equal in id and text share a bucket unless they outweigh a
+piece of one; then they are numbered and dealt to many), a null id is scattered by
 its text, an empty table gives no rows, and columns named ``shard`` or ``slot`` keep their
 name: the new column then gets an underscore.
 """
@@ -25,6 +26,7 @@ from rowsmith.plans import durable
 SHARDS = 24
 SEED = 20_241
 BUCKET_BYTES = 24 << 20  # text of a bucket, far below what a task may hold
+PIECES = 4  # equal rows of more than this part of a bucket are dealt to several
 FRAME = 8  # bytes of a record beside its text
 BROADCAST_BUCKETS = 200_000  # bucket offsets up to this count (16 bytes each) are broadcast
 
@@ -58,6 +60,21 @@ def _shuffled(seed: int, shards: int, total: int, names: list[str], shard: str,
     return run
 
 
+def _dealt(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows whose ``_h`` is in ``repeated`` (_h, pieces), with ``_h`` salted by their number modulo pieces.
+
+    How many rows get a salt depends on their count alone, not on partitions.
+    """
+    same = durable.written(rows.join(F.broadcast(repeated), "_h").withColumn("_at", F.monotonically_increasing_id()), "repeated")
+    same = same.withColumn("_part", F.shiftright("_at", 33))
+    parts = same.groupBy("_h", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_h").orderBy("_part")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_h", "_part").orderBy("_at")) - 1
+    same = same.withColumn("_inside", inside).join(parts, ["_h", "_part"])
+    salted = F.xxhash64("_h", F.pmod(F.col("_before") + F.col("_inside"), F.col("pieces")))
+    return durable.written(same.withColumn("_h", salted).select(*rows.columns), "dealt")
+
+
 def into_shards(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -75,6 +92,17 @@ def into_shards(
     if not all_rows["n"]:
         return docs.sparkSession.createDataFrame([], schema)
     buckets = -(-all_rows["bytes"] // bucket_bytes)
+    rows = docs.select("*", h.alias("_h"), record_size(col(text)).alias("_size"))
+    # Equal rows that outweigh a piece of a bucket: few, as each weighs that much.
+    piece = max(bucket_bytes // PIECES, 1)
+    repeated = sizes.groupBy(F.col("h").alias("_h")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    repeated = repeated.filter((F.col("bytes") > piece) & (F.col("n") > 1))
+    repeated = durable.written(repeated.select("_h", F.ceil(F.col("bytes") / piece).alias("pieces")), "repeats")
+    if not repeated.isEmpty():
+        few = F.broadcast(repeated)
+        same = _dealt(rows, repeated)
+        rows = rows.join(few, "_h", "left_anti").unionByName(same)
+        sizes = sizes.join(few, F.col("h") == F.col("_h"), "left_anti").unionByName(same.select(F.col("_h").alias("h"), F.col("_size").alias("size")))
     # Offsets of buckets: one row per bucket, summed up in blocks so that no task sees them all.
     block = 4_096
     counts = sizes.groupBy(F.pmod("h", F.lit(buckets)).alias("_bucket")).agg(F.count("*").alias("n"))
@@ -86,7 +114,7 @@ def into_shards(
     offsets = offsets.select(F.col("_bucket"), (F.col("before") + F.col("inside")).alias("_offset"))
     offsets = durable.written(offsets, "offsets")
 
-    rows = docs.select("*", h.alias("_h"), record_size(col(text)).alias("_size"), F.pmod(h, F.lit(buckets)).alias("_bucket"))
+    rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     rows = rows.join(F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets, "_bucket")
     run = _shuffled(seed, shards, all_rows["n"], docs.columns, shard, slot)
     return rows.groupBy("_bucket").applyInArrow(run, schema)

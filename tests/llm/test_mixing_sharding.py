@@ -117,6 +117,30 @@ def test_shards_hold_every_row_once(spark, bucket_bytes):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_repeated_rows_are_dealt_to_many_buckets(spark, monkeypatch):
+    largest = spark.sparkContext.accumulator(0)
+    plain = sharding._shuffled
+
+    def counted(*args):
+        run = plain(*args)
+
+        def both(part):
+            largest.add(part.num_rows**2)
+            return run(part)
+
+        return both
+
+    monkeypatch.setattr(sharding, "_shuffled", counted)
+    rows = [(None, "")] * 1_500 + [(i, "t") for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.into_shards(docs, 6, bucket_bytes=2_000).collect()
+    assert largest.value < 1_500**2 / 2  # sum of squares: no group holds most of the repeated rows
+    check_shards(out, 6, len(rows))
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows)
+    again = sharding.into_shards(docs.repartition(3), 6, bucket_bytes=2_000).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_order_is_shuffled(spark):
     docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     out = sharding.into_shards(docs, 1, bucket_bytes=2_000).orderBy("slot").collect()
