@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import chat, decontaminate, exact_dedup, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity
+from rowsmith.llm import centroids, chat, decontaminate, exact_dedup, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity
 from rowsmith.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,40 @@ def op6(spark, d):
     """The group of near copies of every document, and the one that stays."""
     found = minhash.groups(table(spark, d, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+# --- 13: centroid clustering ------------------------------------------------------
+
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
+
+
+def _round(n: int) -> str:
+    """SQL of one round: nearest centroids of m{n}, then the means m{n + 1}."""
+    return f"""
+    a{n} AS MATERIALIZED (
+      SELECT v.vec_id, v.rid, v.v, arg_min(c.c, d.d * 1000 + c.c) AS c, min(d.d) AS d
+      FROM q v, m{n} c, LATERAL (SELECT CAST({_DISTANCE} AS HUGEINT) AS d) d GROUP BY v.vec_id, v.rid, v.v),
+    s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY c, i),
+    m{n + 1} AS MATERIALIZED (
+      SELECT m.c, coalesce(t.v, m.v) AS v FROM m{n} m LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c) t ON m.c = t.c)"""
+
+
+@query(
+    "op13_centroid_clustering",
+    f"""
+    WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings),
+    k AS (SELECT * FROM x WHERE len(x) = 64 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    q AS MATERIALIZED (
+      SELECT vec_id, row_number() OVER () AS rid, list_transform(x, lambda e: CAST(floor(64 * e) AS BIGINT)) AS v FROM k),
+    m0 AS MATERIALIZED (
+      SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v
+      FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM q ORDER BY h, v LIMIT 16)),
+    {",".join(_round(n) for n in range(4))}
+    SELECT a.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m3.v, ',')) AS centroid_sha256
+    FROM a3 a JOIN m3 ON a.c = m3.c""",
+)
+def op13(spark, d):
+    """The cluster of every vector after three exact rounds."""
+    return centroids.clusters(table(spark, d, "embeddings"))
