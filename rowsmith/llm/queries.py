@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import centroids, chat, decontaminate, exact_dedup, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity
+from rowsmith.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    exact_dedup,
+    langid,
+    minhash,
+    mixing,
+    quality,
+    sharding,
+    spelling,
+    suffix_dedup,
+    toxicity,
+)
 from rowsmith.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,6 +221,59 @@ def op6(spark, d):
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+# --- 11: spelling variants ----------------------------------------------------------
+
+
+def _crc_table() -> str:
+    """The remainders of the 16 nibbles, for crc32 in SQL."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(str(n))
+    return f"[{', '.join(out)}]"
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+    WITH r AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    g AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM r WHERE length(run) >= 7 GROUP BY id, run),
+    h AS (
+      SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x)),
+        lambda i: CAST(strpos('0123456789ABCDEF', substr(x, xor(i, 1) + 1, 1)) - 1 AS BIGINT))),
+        lambda a, b: xor(a >> 4, CAST({_crc_table()}[(xor(a, b) & 15) + 1] AS BIGINT)))) AS h FROM g),
+    w AS (
+      SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+      FROM h),
+    v AS MATERIALIZED (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    d AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (
+      SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+      UNION SELECT v.word, d.word, d.n FROM v JOIN d ON v.word = d.k
+      UNION SELECT d.word, v.word, v.n FROM v JOIN d ON v.word = d.k),
+    b AS (
+      SELECT v.word, v.n, count(p.other) AS n_near, first(p.other ORDER BY p.n DESC, encode(p.other)) AS other,
+        max(p.n) AS other_n FROM v LEFT JOIN p ON v.word = p.word GROUP BY v.word, v.n),
+    f AS MATERIALIZED (
+      SELECT word, n, n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM b),
+    c AS (
+      WITH RECURSIVE c(word, root, next) AS (
+        SELECT word, word, form FROM f UNION ALL SELECT c.word, c.next, f.form FROM c JOIN f ON c.next = f.word)
+      SELECT word, root FROM c WHERE next IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c ON f.word = c.word""",
+)
+def op11(spark, d):
+    """Every word that occurs twice or more, the word it is a variant of, and the last of that chain."""
+    found = spelling.variants(table(spark, d, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 # --- 13: centroid clustering ------------------------------------------------------
 
 _DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
