@@ -15,6 +15,7 @@ from rowsmith.llm import (
     langid,
     minhash,
     mixing,
+    parsing,
     quality,
     sharding,
     spelling,
@@ -274,6 +275,15 @@ def op11(spark, d):
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+# --- 12: document fingerprints ------------------------------------------------------
+
+
+@query("op12_document_fingerprints")
+def op12(spark, d):
+    """The fingerprints of every document and of its edited text, and how alike they are."""
+    return parsing.fingerprints(table(spark, d, "documents"))
+
+
 # --- 13: centroid clustering ------------------------------------------------------
 
 _DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
