@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from rowsmith.functions import canon
 from rowsmith.operators.contracts import diff_contract
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
+from rowsmith.sources import store
 
 PREFIXES = (6, 4, 2, 0)  # hex digits of a leaf that name its node, level by level: the same tree at every size
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 VERSIONS_SCHEMA = (
     "dataset string, version int, content_hash string, row_count bigint, schema_snapshot string, "
     "notes string, created_by string, created_at timestamp"
@@ -98,46 +102,52 @@ def cut_version(
     include_unapproved: bool = False,
     created_at: str | None = None,
 ) -> DataFrame:
-    """Write one immutable version and return its manifest row.
+    """Store and publish one immutable version and return its manifest row.
 
-    The snapshot is written first; count and hash are then read back from what
-    was written, so the manifest describes exactly the stored rows. An empty
-    selection is found by that count and never gets a manifest, which is what
-    makes a version exist.
+    Rows are stored first, sharing the buckets that did not change since the newest
+    version, then the manifest is put if absent: of two writers of one number one wins,
+    and a cut that fails leaves nothing that a reader or a later cut would meet. An
+    empty selection is refused.
     """
-    from rowsmith.sources import snapshots
-
     spark = rows.sparkSession
-    # Rows are put in order first: range boundaries are sampled from a first pass,
-    # which then does not have to build the lines.
-    chosen = snapshot(in_snapshot_order(selection(rows, include_unapproved)), contract, include_unapproved)
-    snapshots.write_snapshot(chosen, root, name, version)
-    stored = snapshots.read_snapshot(spark, root, name, version)
-    found = tree_hash(stored, stored=True).first()
-    if found is None:
+    earlier = store.published(spark, root, name)
+    if version in earlier:
+        raise store.VersionExists(f"version {version} of {name!r} is already published")
+    parent = max(earlier, default=None)
+    snap = snapshot(rows, contract, include_unapproved)
+    leaves = durable.written(snap.select("id", "created_at", "leaf"), "leaves")
+    with ThreadPoolExecutor(1) as beside:  # the content hash needs the leaves only and runs beside the writes
+        hashed = beside.submit(lambda: tree_hash(leaves, stored=True).first())
+        home = store.write_version(snap, leaves, root, name, parent)
+        found = hashed.result()
+    if home is None:
         raise ValueError("no rows match the selection; a version cannot be empty")
     when = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    manifest = spark.range(1).select(
-        F.lit(name).alias("dataset"),
-        F.lit(version).alias("version"),
-        F.lit(found.content_hash).alias("content_hash"),
-        F.lit(found.row_count).cast("bigint").alias("row_count"),
-        F.lit(contract.snapshot_json()).alias("schema_snapshot"),
-        F.lit(notes).alias("notes"),
-        F.lit(created_by).alias("created_by"),
-        when.alias("created_at"),
-    )
-    snapshots.write_manifest(manifest, root, name, version)
-    return snapshots.read_manifest(spark, root, name, version)
+    manifest = {
+        "dataset": name,
+        "version": version,
+        "content_hash": found.content_hash,
+        "row_count": found.row_count,
+        "schema_snapshot": contract.snapshot_json(),
+        "notes": notes,
+        "created_by": created_by,
+        "created_at": spark.range(1).select(F.date_format(when, TIME_FORMAT)).first()[0],
+        "home": home,
+        "parent": parent,
+    }
+    try:
+        store.publish(spark, root, name, manifest)
+    except store.VersionExists:
+        store.discard(spark, root, name, home)
+        raise
+    return store.read_manifest(spark, root, name, version)
 
 
 def verify(spark: SparkSession, root: str, name: str, version: int) -> tuple[bool, str]:
     """Recompute a stored version's hash from its lines and compare it to the manifest."""
-    from rowsmith.sources import snapshots
-
-    manifest = snapshots.read_manifest(spark, root, name, version).first()
-    stored = snapshots.read_snapshot(spark, root, name, version)
-    actual = tree_hash(stored).first().content_hash
+    manifest = store.read_manifest(spark, root, name, version).first()
+    found = tree_hash(store.read_version(spark, root, name, version)).first()
+    actual = found.content_hash if found else ""
     return actual == manifest.content_hash, actual
 
 
@@ -207,6 +217,11 @@ def diff_stored(a: DataFrame, b: DataFrame) -> DataFrame:
     return diff_rows(a.join(differing, "id", "left_semi"), b.join(differing, "id", "left_semi"))
 
 
+def diff_published(spark: SparkSession, root: str, name: str, a: int, b: int) -> DataFrame:
+    """``diff_rows`` of two published versions; buckets whose hashes agree are not opened."""
+    return diff_stored(*store.differing_rows(spark, root, name, a, b))
+
+
 def field_changes(diff: DataFrame) -> DataFrame:
     """``(id, field, old, new)`` of modified rows, fields by name."""
     return diff.filter(F.col("change") == "modified").select("id", F.explode("changes").alias("_c")).select(

@@ -288,7 +288,7 @@ def review_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_rows(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """One version's rows: ``(id, status, data, created_at, line, ...)``."""
-    df = load(spark, folder, sql)
+    df = load(spark, folder, sql).repartition("id")  # the given file is one split; its cells are made by many tasks
     data = canon.as_map(
         {"priority": text.quote(F.col("priority")), "total": _money("total"), "as_of": text.quote(F.col("as_of"))}
     )

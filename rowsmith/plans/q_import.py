@@ -15,7 +15,7 @@ from rowsmith.plans.q_cells import MAPPED, REASONS, D, dirty, mapped_dirty
 from rowsmith.plans.q_sources import _KIND
 from rowsmith.plans.q_versions import R
 from rowsmith.plans.registry import query
-from rowsmith.sources import readers
+from rowsmith.sources import readers, store
 
 LINE_CONTRACT = Contract.of(
     Field("id", "text", "Id", required=True, is_key=True), Field("props", "json", "Props", required=True)
@@ -245,10 +245,9 @@ def _reviewed(spark: SparkSession, d: str) -> DataFrame:
     return table.join(given, "row_key").withColumn("status", F.col("_given")).select(*table.columns)
 
 
-def flagship_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(version 1, version 2, manifests): all rows, then the approved ones after more were approved."""
+def flagship_versions(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """(store, manifests) of version 1 with all rows and version 2 with the approved ones, after more were approved."""
     from rowsmith.plans.q_versions import folder_for
-    from rowsmith.sources import snapshots
 
     contract, root = inputs.REVIEW_CONTRACT, folder_for(spark, "flagship-versions")
     rows = durable.written(_reviewed(spark, d), "flagship-rows")
@@ -256,8 +255,7 @@ def flagship_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     later = rows.withColumn("status", F.when(more, "approved").otherwise(F.col("status")))
     first = versions.cut_version(rows, contract, "docs", root, 1, "u1", include_unapproved=True)
     second = versions.cut_version(later, contract, "docs", root, 2, "u1")
-    a, b = (snapshots.read_snapshot(spark, root, "docs", n) for n in (1, 2))
-    return a, b, first.unionByName(second)
+    return root, first.unionByName(second)
 
 
 _VALID = f"""WITH {R}, v AS (SELECT id, body, lang, source, n_chars, status, CASE WHEN status = 'draft' AND n_chars % 2 = 0 THEN 'approved' ELSE status END AS later
@@ -270,15 +268,16 @@ _VALID = f"""WITH {R}, v AS (SELECT id, body, lang, source, n_chars, status, CAS
      CASE WHEN later = 'approved' THEN later END AS new_status FROM v WHERE later <> 'approved' OR later <> status""",
 )
 def flagship(spark, d):
-    a, b, _ = flagship_versions(spark, d)
-    diff = versions.in_diff_order(versions.diff_stored(a, b))
+    root, _ = flagship_versions(spark, d)
+    diff = versions.in_diff_order(versions.diff_published(spark, root, "docs", 1, 2))
     return diff.select(text.unquote(F.col("data")["id"]).alias("id"), "change", "old_status", "new_status")
 
 
 @query("flagship_version_rows", f"{_VALID} SELECT 1 AS version, count(*) AS row_count, true AS matches FROM v UNION ALL SELECT 2, count(*) FILTER (later = 'approved'), true FROM v")
 def flagship_rows(spark, d):
     """Row counts of both manifests, and whether the stored lines still give their hashes."""
-    a, b, manifests = flagship_versions(spark, d)
+    root, manifests = flagship_versions(spark, d)
+    a, b = (store.read_version(spark, root, "docs", n) for n in (1, 2))
     hashes = versions.tree_hash(a).withColumn("version", F.lit(1)).unionByName(versions.tree_hash(b).withColumn("version", F.lit(2)))
     found = hashes.select("version", F.col("content_hash").alias("_now"))
     joined = manifests.select("version", "row_count", "content_hash").join(found, "version")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.functions import canon, checks
+from rowsmith.functions import canon, checks, text
 from rowsmith.operators import catalog, importing, versions
 from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.registry import query
-from rowsmith.sources import snapshots
+from rowsmith.sources import snapshots, store
 
 R = f"r AS ({plain(inputs.REVIEW)})"
 REVIEW_DATA = (
@@ -136,17 +136,74 @@ def cut_version(spark, d):
     return _cut(spark, d)[1].select("dataset", "version", "content_hash", "row_count")
 
 
-@query("m16_verify_version", _CUT + "SELECT true AS matches, content_hash AS actual FROM root")
+def _tree_of(name: str, lines: str) -> str:
+    """The tree of the query ``lines(line, created_seq, id)`` as the table ``name(h)``."""
+    return f"""{name}l AS (SELECT sha256(line) AS h, created_seq, id FROM ({lines})),
+ {name}6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY created_seq, id, h)) AS h FROM {name}l GROUP BY 1),
+ {name}4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}6 GROUP BY 1),
+ {name}2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}4 GROUP BY 1),
+ {name} AS (SELECT 'sha256:' || sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM {name}2)"""
+
+
+_LINES = f"SELECT {ORDER_LINE} AS line, created_seq, id FROM v"
+
+
+@query(
+    "m16_verify_version",
+    f"""WITH v AS ({plain(inputs.V0)}), {_tree_of("good", _LINES)},
+    {_tree_of("bad", f"{_LINES} UNION ALL SELECT line || ' ', created_seq, id FROM ({_LINES}) WHERE id LIKE '%7'")}
+    SELECT 'orders' AS dataset, true AS matches, good.h AS actual FROM good
+    UNION ALL SELECT 'tampered', false, bad.h FROM bad""",
+)
 def verify_version(spark, d):
+    """A version as it was cut, and one to which rows were added behind its back."""
     root, _ = _cut(spark, d)
-    matches, actual = versions.verify(spark, root, "orders", 1)
-    return spark.range(1).select(F.lit(matches).alias("matches"), F.lit(actual).alias("actual"))
+    versions.cut_version(inputs.order_rows(spark, d, inputs.V0), inputs.ORDER_CONTRACT, "tampered", root, 1, "u1", include_unapproved=True)
+    stored = store.read_version(spark, root, "tampered", 1)
+    forged = durable.written(stored.filter(F.col("id").like("%7")).withColumn("line", F.concat("line", F.lit(" "))), "forged")
+    bucket = stored.select(F.input_file_name()).first()[0].rsplit("/", 1)[0]
+    forged.write.mode("append").parquet(bucket)
+    found = []
+    for name in ("orders", "tampered"):
+        found.append((name, *versions.verify(spark, root, name, 1)))
+    return spark.createDataFrame(found, "dataset string, matches boolean, actual string")
+
+
+# Orders by the month they were made; later, those of the last two years have other priorities.
+_MONTHLY = "SELECT id, status, {priority} AS priority, total, as_of, epoch_us(CAST(concat(substr(as_of, 1, 7), '-01') AS TIMESTAMP)) AS created_seq FROM v"
+_LATER = "CASE WHEN as_of >= '1997-01-01' THEN '0-LATER' ELSE priority END"
+
+
+@query(
+    "s12_shared_buckets",
+    f"""WITH v AS ({plain(inputs.V0)}), x AS ({_MONTHLY.format(priority="priority")}), y AS ({_MONTHLY.format(priority=_LATER)}),
+    {_tree_of("one", f"SELECT {ORDER_LINE} AS line, created_seq, id FROM x")}, {_tree_of("two", f"SELECT {ORDER_LINE} AS line, created_seq, id FROM y")},
+    n AS (SELECT count(*) AS n, count(*) FILTER (as_of >= '1997-01-01') AS later FROM v)
+    SELECT 1 AS version, one.h AS content_hash, n.n AS row_count, n.n AS rows_written FROM one, n
+    UNION ALL SELECT 2, two.h, n.n, n.later FROM two, n""",
+)
+def shared_buckets(spark, d):
+    """Two cuts of one dataset: the second writes the months that changed, and both give the hash of a full cut."""
+    root = folder_for(spark, "shared")
+    rows = inputs.order_rows(spark, d, inputs.V0)
+    month = F.to_timestamp(F.concat(F.substring(text.unquote(F.col("data")["as_of"]), 1, 7), F.lit("-01")))
+    rows = durable.written(rows.withColumn("created_at", month), "monthly")
+    late = text.unquote(F.col("data")["as_of"]) >= "1997-01-01"
+    other = F.transform_values("data", lambda k, v: F.when((k == "priority") & late, F.lit('"0-LATER"')).otherwise(v))
+    found = []
+    for version, table in ((1, rows), (2, rows.withColumn("data", other))):
+        cut = versions.cut_version(table, inputs.ORDER_CONTRACT, "orders", root, version, "u1", include_unapproved=True).first()
+        written = spark.read.parquet(f"{store.dataset_dir(root, 'orders')}/objects/{cut.home}").count()
+        found.append((version, cut.content_hash, cut.row_count, written))
+    again = {v: versions.verify(spark, root, "orders", v)[1] for v in (1, 2)}
+    found = [(v, again[v], n, written) for v, _, n, written in found]
+    return spark.createDataFrame(found, "version int, content_hash string, row_count long, rows_written long")
 
 
 @query("s19_manifest", _CUT + "SELECT 'orders' AS dataset, content_hash, CAST(n.n AS BIGINT) AS row_count, 'first' AS notes, 'u1' AS created_by FROM root, n")
 def manifest(spark, d):
     root, _ = _cut(spark, d, "first")
-    stored = snapshots.read_manifest(spark, root, "orders", 1)
+    stored = store.read_manifest(spark, root, "orders", 1)
     return stored.select("dataset", "content_hash", "row_count", "notes", "created_by")
 
 
@@ -185,14 +242,18 @@ _DIFF_IDS = f"""WITH {AB} SELECT coalesce(a.id, b.id) AS id,
     FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR {_MODIFIED}"""
 
 
+def cut_pair(spark, d) -> str:
+    """A store that holds both versions."""
+    root = folder_for(spark, "diff")
+    for number, sql in enumerate((inputs.V1, inputs.V2), start=1):
+        versions.cut_version(inputs.order_rows(spark, d, sql), inputs.ORDER_CONTRACT, "orders", root, number, "u1", include_unapproved=True)
+    return root
+
+
 @query("m15_diff_stored", _DIFF_IDS)
 def diff_stored(spark, d):
-    """Two versions as stored: whole rows are read only where the leaves differ."""
-    root = folder_for(spark, "diff")
-    for number, snap in enumerate(_pair(spark, d), start=1):
-        snapshots.write_snapshot(snap, root, "orders", number)
-    a, b = (snapshots.read_snapshot(spark, root, "orders", n) for n in (1, 2))
-    return versions.diff_stored(a, b).select("id", "change")
+    """Two published versions: buckets whose hashes differ are opened, whole rows read only where lines differ."""
+    return versions.diff_published(spark, cut_pair(spark, d), "orders", 1, 2).select("id", "change")
 
 
 @query("j07_match_rows", f"WITH {AB} SELECT coalesce(a.id, b.id) AS id, a.status AS old_status, b.status AS new_status FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status <> b.status")

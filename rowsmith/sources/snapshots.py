@@ -1,4 +1,4 @@
-"""Version snapshots, manifests and exports on shared storage.
+"""Plain snapshots and exports on shared storage; published versions are kept by ``store``.
 
 Every path carries the version and is written once: a second write fails.
 """
@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNAPSHOT_SCHEMA = "id string, status string, data map<string,string>, created_at timestamp, line string, leaf string"
-MANIFEST_SCHEMA = (
-    "dataset string, version int, content_hash string, row_count bigint, "
-    "schema_snapshot string, notes string, created_by string, created_at timestamp"
-)
 
 
 def version_dir(root: str, name: str, version: int) -> str:
@@ -27,14 +23,6 @@ def read_snapshot(spark: SparkSession, root: str, name: str, version: int) -> Da
     return spark.read.schema(SNAPSHOT_SCHEMA).parquet(version_dir(root, name, version) + "/rows")
 
 
-def write_manifest(manifest: DataFrame, root: str, name: str, version: int) -> None:
-    manifest.coalesce(1).write.mode("errorifexists").json(version_dir(root, name, version) + "/manifest")
-
-
-def read_manifest(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).json(version_dir(root, name, version) + "/manifest")
-
-
 def export_jsonl(lines: DataFrame, path: str) -> None:
     """Export lines as text parts in (created_at, id) order."""
     ordered = lines.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id")

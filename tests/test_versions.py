@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract, Field
 from rowsmith.operators import versions
-from rowsmith.sources import snapshots
+from rowsmith.sources import snapshots, store
 from tests.test_changes import table
 
 CONTRACT = Contract.of(Field("input", required=True), Field("score", "number"))
@@ -63,16 +63,19 @@ def test_cut_verify_and_immutability(spark, tmp_path):
     assert manifest.row_count == 32 and versions.verify(spark, root, "d", 1)[0]
     again = versions.cut_version(rows(spark).repartition(7), CONTRACT, "d", root, 2, "u@x").first()
     assert again.content_hash == manifest.content_hash
-    with pytest.raises(AnalysisException):
+    with pytest.raises(store.VersionExists):
         versions.cut_version(rows(spark), CONTRACT, "d", root, 1, "u@x")
     with pytest.raises(ValueError):
         versions.cut_version(rows(spark).filter("id = 'none'"), CONTRACT, "d", root, 3, "u@x")
-    changed = snapshots.read_snapshot(spark, root, "d", 1).limit(10)
-    snapshots.write_snapshot(changed, root, "e", 1)
-    snapshots.write_manifest(snapshots.read_manifest(spark, root, "d", 1), root, "e", 1)
-    assert not versions.verify(spark, root, "e", 1)[0]
+    bucket = store.read_version(spark, root, "d", 2).select(F.input_file_name()).first()[0].rsplit("/", 1)[0]
+    store.read_version(spark, root, "d", 2).limit(1).write.mode("append").parquet(bucket)  # a row too many
+    assert not versions.verify(spark, root, "d", 2)[0]
+    assert [r[0] for r in store.read_manifest(spark, root, "d", 1).select("row_count").collect()] == [32]
+    with pytest.raises(AnalysisException):
+        store.read_version(spark, root, "d", 9).count()
+    snapshots.write_snapshot(versions.snapshot(rows(spark), CONTRACT), root, "e", 1)
     with pytest.raises(AnalysisException):
-        snapshots.read_snapshot(spark, root, "d", 9).count()
+        snapshots.write_snapshot(versions.snapshot(rows(spark), CONTRACT), root, "e", 1)
 
 
 def test_diff(spark):
