@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, text
+from rowsmith.operators import handover
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
 from rowsmith.plans.skew import attach_by_key, previous_in_group
 
 BLOCK = 64  # arrival numbers per block of a long chain
-AT_ONCE = 4_096  # patches of a row that are folded at once
+AT_ONCE = 512  # patches of a row that are folded at once; the fold copies what it has seen
 STEP = "struct<seq:bigint,expected:bigint,ok:boolean,has_data:boolean,covers:boolean>"
 SEEN = "array<struct<seq:bigint,accepted:boolean,rev:bigint,clean:bigint>>"
 
@@ -141,29 +142,6 @@ def _known_users(patches: DataFrame, users: DataFrame) -> DataFrame:
     return joined.withColumn("known_user", fine).drop("_known", "_n")
 
 
-def _keys_taken(claims: DataFrame, holders: DataFrame) -> DataFrame:
-    """``(id, seq)`` of claims of a key that another row holds at that moment.
-
-    ``claims(id, seq, wanted, accepted)`` take a key when accepted and give back the one
-    their row held; ``holders(id, key)`` held theirs from the start. What a key's holder is
-    at a claim is the last thing that happened to the key before it.
-    """
-    first = holders.select("id", F.col("key").alias("wanted"), F.lit(-1).cast("bigint").alias("seq"), F.lit(True).alias("accepted"))
-    takes = claims.filter("accepted").select("id", "wanted", "seq", "accepted").unionByName(first.select("id", "wanted", "seq", "accepted"))
-    own = Window.partitionBy("id").orderBy("seq")
-    released = takes.withColumn("_old", F.lag("wanted").over(own)).filter("_old is not null and _old <> wanted")
-    none = F.lit(None).cast("string")
-    events = takes.select(F.col("wanted").alias("key"), "seq", F.lit(1).alias("order"), F.struct(F.col("id").alias("by")).alias("holder"))
-    events = events.unionByName(
-        released.select(F.col("_old").alias("key"), "seq", F.lit(0).alias("order"), F.struct(none.alias("by")).alias("holder"))
-    )
-    asked = claims.select(F.col("wanted").alias("key"), "seq", F.lit(-1).alias("order"), F.lit(None).cast("struct<by:string>").alias("holder"), "id")
-    line = events.withColumn("id", none).unionByName(asked)
-    before = Window.partitionBy("key").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, -1)
-    held = line.withColumn("_held", F.last("holder", ignorenulls=True).over(before)).filter("id is not null")
-    return held.filter((F.col("_held.by").isNotNull()) & (F.col("_held.by") != F.col("id"))).select("id", "seq")
-
-
 def judge_patches(
     rows: DataFrame, patches: DataFrame, contract: Contract, users: DataFrame | None = None, width: int = BLOCK,
     at_once: int = AT_ONCE,
@@ -173,10 +151,8 @@ def judge_patches(
 
     ``patches(id, seq, expected_rev, data, status, set_assignee, assignee)``; ``seq``
     is the arrival number, unique in the batch. Keys change hands within a batch: a claim
-    meets whoever holds the key at its turn. Which claims are accepted and which keys are
-    held depend on each other, so they are settled in rounds; a round makes at least the
-    earliest open claim final, and one or two rounds are the rule. The result is a written
-    table, as rows, edits and reports all read it.
+    meets whoever holds the key at its turn (``handover``). The result is a written table, as
+    rows, edits and reports all read it.
     """
     current = live(rows).select("id", "rev", F.col("data").alias("row_data"), "row_key")
     cells = canon.cells_of("row_data")
@@ -208,24 +184,17 @@ def judge_patches(
         F.first("rev", ignorenulls=True).alias("rev"), F.first(F.size("broken") == 0, ignorenulls=True).cast("int").alias("clean")
     ).filter(F.col("rev").isNotNull())
     states = durable.written(states, "states")
-    claims = ready.filter(F.col("wanted").isNotNull()).select("id", "seq", "wanted")
+    sound = ready.withColumn("ok", (F.size("errors") == 0) & F.col("known_user"))
+    alone = contract.key_field is None or sound.filter(F.col("wanted").isNotNull()).isEmpty()
     holders = current.filter(F.col("row_key").isNotNull()).select("id", F.col("row_key").alias("key"))
-    wanted_keys = claims.select(F.col("wanted").alias("key")).distinct()
-    concerned = holders.join(wanted_keys, "key", "left_semi").unionByName(holders.join(claims.select("id").distinct(), "id", "left_semi"))
-    concerned = durable.written(concerned.distinct(), "holders")
-    taken = durable.written(claims.select("id", "seq").limit(0), "taken")
-    while True:
-        sound = ready.join(taken.withColumn("_taken", F.lit(True)), ["id", "seq"], "left")
-        sound = sound.withColumn("key_free", F.col("_taken").isNull()).drop("_taken")
-        sound = sound.withColumn("ok", (F.size("errors") == 0) & F.col("known_user") & F.col("key_free"))
-        done = durable.written(accept_patches(sound, states, width, at_once), "accepted")
-        if contract.key_field is None:
-            break
-        claimed = done.filter(F.col("wanted").isNotNull()).select("id", "seq", "wanted", "accepted")
-        again = durable.written(_keys_taken(claimed, concerned), "taken")
-        if again.exceptAll(taken).isEmpty() and taken.exceptAll(again).isEmpty():
-            break
-        taken = again
+    settled = None if alone else handover.settled_claims(sound, states, holders)
+    if settled is None:
+        done = accept_patches(sound, states, width, at_once).withColumn("key_free", F.lit(True))
+    else:
+        rest = sound.join(settled.select("id").distinct(), "id", "left_anti")
+        done = accept_patches(rest, states, width, at_once).withColumn("key_free", F.lit(True))
+        done = done.unionByName(sound.join(settled, ["id", "seq"]).select(*done.columns))
+    done = durable.written(done, "accepted")
     breaks = (F.size("errors") > 0) | (F.col("has_data") & (F.col("met_clean") == 0) & ~F.col("covers"))
     outcome = (
         F.when(F.col("rev").isNull(), "not_found")

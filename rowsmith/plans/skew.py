@@ -85,3 +85,16 @@ def previous_in_group(
         .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_prev")))
         .drop("_block", "_prev", "_first", "_carried")
     )
+
+
+def last_before(df: DataFrame, group: list[str], order: str, value: str, out: str, width: int = 65_536) -> DataFrame:
+    """The last non-null ``value`` of rows of the group that come earlier, cut into blocks as ``previous_in_group``."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = blocked.filter(F.col(value).isNotNull()).groupBy(*group, "_block").agg(F.max_by(value, order).alias("_end"))
+    there = blocked.select(*group, "_block").distinct().join(ends, [*group, "_block"], "left")
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = there.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    rows = blocked.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
+    rows = rows.join(carried.filter(F.col("_carried").isNotNull()), [*group, "_block"], "left")
+    return rows.withColumn(out, F.coalesce("_own", "_carried")).drop("_block", "_own", "_carried")
