@@ -100,8 +100,8 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK, at_
     """Add ``accepted``, and ``met_rev`` and ``met_clean`` (the state met), to
     ``patches(id, seq, expected_rev, ok, has_data, covers)``.
 
-    ``start(id, rev, clean)`` is the state of each row; ``(id, seq)`` is unique. Patches
-    without an expected rev or of no known row meet nothing.
+    ``start(id, rev, clean)`` is the state of each row; ``(id, seq)`` is unique; ``patches`` is read
+    more than once, so it should be a written table. Patches without an expected rev or of no known row meet nothing.
     """
     step = F.struct(
         F.col("seq").cast("bigint").alias("seq"),
@@ -112,7 +112,6 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK, at_
     ).cast(STEP)
     state = (F.col("rev").cast("bigint") * 2 + F.col("clean").cast("bigint")).alias("start")
     steps = patches.filter(F.col("expected_rev").isNotNull()).select("id", "seq", step.alias("step"))
-    steps = durable.written(steps, "steps")
     counts = steps.groupBy("id").agg(F.count("*").alias("n")).join(start.select("id", state), "id")
     counts = durable.written(counts, "chains")
     chain = F.array_sort(F.collect_list("step")).alias("steps")
@@ -183,18 +182,16 @@ def judge_patches(
     states = ready.groupBy("id").agg(
         F.first("rev", ignorenulls=True).alias("rev"), F.first(F.size("broken") == 0, ignorenulls=True).cast("int").alias("clean")
     ).filter(F.col("rev").isNotNull())
-    states = durable.written(states, "states")
     sound = ready.withColumn("ok", (F.size("errors") == 0) & F.col("known_user"))
     alone = contract.key_field is None or sound.filter(F.col("wanted").isNotNull()).isEmpty()
     holders = current.filter(F.col("row_key").isNotNull()).select("id", F.col("row_key").alias("key"))
-    settled = None if alone else handover.settled_claims(sound, states, holders)
+    settled = None if alone else handover.settled_claims(sound, durable.written(states, "states"), holders)
     if settled is None:
         done = accept_patches(sound, states, width, at_once).withColumn("key_free", F.lit(True))
     else:
         rest = sound.join(settled.select("id").distinct(), "id", "left_anti")
         done = accept_patches(rest, states, width, at_once).withColumn("key_free", F.lit(True))
         done = done.unionByName(sound.join(settled, ["id", "seq"]).select(*done.columns))
-    done = durable.written(done, "accepted")
     breaks = (F.size("errors") > 0) | (F.col("has_data") & (F.col("met_clean") == 0) & ~F.col("covers"))
     outcome = (
         F.when(F.col("rev").isNull(), "not_found")
@@ -238,8 +235,7 @@ def apply_patches(rows: DataFrame, judged: DataFrame, contract: Contract, user:
     last = took.groupBy("id", "field").agg(F.max_by(F.struct(F.col("new_value").alias("v")), "seq").alias("_last"))
     pairs = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "_last"))).alias("_set"))
     bumps = judged.filter(F.col("outcome") == "accepted").groupBy("id").agg(F.count("*").cast("int").alias("_bumps"))
-    updates = durable.written(bumps.join(pairs, "id", "left"), "patch-updates")
-    joined = rows.join(updates, "id", "left")
+    joined = rows.join(bumps.join(pairs, "id", "left"), "id", "left")
     fields = F.map_filter("_set", lambda k, _: k.startswith("data."))
     fields = F.transform_keys(fields, lambda k, _: F.substring(k, F.lit(6), F.length(k)))
     fields = F.transform_values(fields, lambda _, v: v["v"])
