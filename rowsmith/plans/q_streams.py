@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.plans import inputs
+from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.q_import import LINE_CONTRACT
 from rowsmith.plans.q_sources import _KIND, BAD, _files
@@ -34,15 +34,17 @@ def stream_import(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {R}, p AS ({plain(inputs.STREAM)}) SELECT p.id, CAST(p.seq AS BIGINT) AS seq, r.id IS NOT NULL AND NOT r.deleted AND p.k % 4 <> 0 AS accepted FROM p LEFT JOIN r ON p.id = r.id""",
 )
 def stream_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Patches that arrive in several files, each a micro-batch, with the revs kept in between."""
-    source, sink, state, progress = (folder_for(spark, n) for n in ("patch-in", "patch-out", "patch-state", "patch-progress"))
+    """Patches that arrive in two micro-batches, with the revs kept in the state store in between."""
+    source, sink, progress = (folder_for(spark, n) for n in ("patch-in", "patch-out", "patch-progress"))
     batch = load(spark, d, inputs.STREAM).select(
         "id", F.col("seq").cast("bigint").alias("seq"), F.col("expected_rev").cast("int").alias("expected_rev"), "status"
     )
+    batch = durable.written(batch, "stream-patches")
     middle = batch.agg(F.max("seq")).first()[0] // 2
-    batch.filter(F.col("seq") <= middle).coalesce(1).write.parquet(source)
-    batch.filter(F.col("seq") > middle).coalesce(1).write.mode("append").parquet(source)
     rows = inputs.review_rows(spark, d).filter(F.col("deleted_at").isNull()).select("id", "rev")
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    patches.start_patches(stream, rows, sink, state, progress, {"availableNow": True}).awaitTermination()
+    rows = durable.written(rows, "stream-rows")
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        batch.filter(half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        patches.start_patches(stream, rows, sink, progress, {"availableNow": True}).awaitTermination()
     return spark.read.parquet(sink).select("id", "seq", "accepted")
