@@ -18,7 +18,7 @@ OPTION_TYPES = ("select", "multi_select")
 
 COLUMNS_SCHEMA = (
     "dataset string, key string, label string, type string, options array<string>, "
-    "required boolean, ord int, archived boolean, json_schema string, is_key boolean"
+    "required boolean, ord int, archived boolean, json_schema string, is_key boolean, options_table boolean"
 )
 
 
@@ -35,6 +35,7 @@ class Field:
     archived: bool = False
     json_schema: str | None = None
     is_key: bool = False
+    options_table: bool = False  # the options are rows of a table, not listed here
 
     def __post_init__(self):
         if self.type not in TYPES:
@@ -67,6 +68,7 @@ class Contract:
                     archived=r.archived,
                     json_schema=r.json_schema,
                     is_key=r.is_key,
+                    options_table="options_table" in columns.columns and bool(r.options_table),
                 )
                 for r in sorted(rows, key=lambda r: (r.ord, r.key))
             )
@@ -76,7 +78,7 @@ class Contract:
         return spark.createDataFrame(
             [
                 (dataset, f.key, f.label, f.type, None if f.options is None else list(f.options),
-                 f.required, f.ord, f.archived, f.json_schema, f.is_key)
+                 f.required, f.ord, f.archived, f.json_schema, f.is_key, f.options_table)
                 for f in self.fields
             ],
             COLUMNS_SCHEMA,
@@ -118,6 +120,7 @@ class Contract:
                         "json_schema": None if f.json_schema is None else json.loads(f.json_schema),
                         "is_key": f.is_key,
                     }
+                    | ({"options_table": True} if f.options_table else {})
                     for f in self.active
                 ]
             },

@@ -24,15 +24,16 @@ def is_empty(t: Column, type_: str) -> Column:
 
 
 def options_text(field: Field) -> str:
-    return repr(list(field.options or ()))
+    return "the options" if field.options_table else repr(list(field.options or ()))
 
 
 def _select_error(field: Field, t: Column) -> Column:
     allowed = [text.quoted_literal(o) for o in field.options or ()]
     shown = F.lit(options_text(field))
-    return F.when(
-        ~text.is_string(t), F.concat(F.lit("expected one of "), shown, F.lit(", got "), text.kind(t))
-    ).when(
+    shape = F.when(~text.is_string(t), F.concat(F.lit("expected one of "), shown, F.lit(", got "), text.kind(t)))
+    if field.options_table:
+        return shape
+    return shape.when(
         ~t.isin(allowed),
         F.concat(F.lit("'"), text.unquote(t), F.lit("' is not one of "), shown),
     )
@@ -41,10 +42,10 @@ def _select_error(field: Field, t: Column) -> Column:
 def _multi_error(field: Field, t: Column) -> Column:
     listed = F.lit(options_text(field))
     bad = F.filter(text.string_array(t), lambda x: ~x.isin(list(field.options or ())))
-    not_strings = ~t.rlike(text.STRING_LIST)
-    return F.when(
-        not_strings, F.concat(F.lit("expected a list of strings from "), listed)
-    ).when(F.size(bad) > 0, F.concat(text.shown_list(bad), F.lit(" not in "), listed))
+    shape = F.when(~t.rlike(text.STRING_LIST), F.concat(F.lit("expected a list of strings from "), listed))
+    if field.options_table:
+        return shape
+    return shape.when(F.size(bad) > 0, F.concat(text.shown_list(bad), F.lit(" not in "), listed))
 
 
 def _json_error(field: Field, t: Column) -> Column:

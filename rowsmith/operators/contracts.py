@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from rowsmith.plans import durable
 LONG_TEXT_CHARS = 200
 NULLS_ONLY = "only nulls seen - check type"
 MAX_LISTED = 20
+MOST_OPTIONS = 10_000  # that a contract lists itself
 VERSION_FIELDS = ("type", "options", "required", "label")
 PUSH_FIELDS = ("label", "type", "options", "required", "is_key", "json_schema")
 OPTION_SEPARATOR = "\u001f"
@@ -105,11 +108,27 @@ def key_candidates(flat: DataFrame) -> DataFrame:
 
 
 def draft_contract(flat: DataFrame, key: str | None = None) -> tuple[Contract, list[str]]:
-    """A contract for the records, in first-seen order, and warnings.
+    """A contract for the records, in first-seen order, with its options listed, and warnings.
 
-    Columns and options become driver-side metadata here, whatever their number;
-    where they may grow with the data, use the rows of ``infer_types`` and
-    ``infer_options`` instead. The records are written once and read by each step.
+    Up to ``MOST_OPTIONS`` options become driver-side metadata; more are refused and belong
+    in a table (``draft_with_options``).
+    """
+    contract, options, warnings = draft_with_options(flat, key)
+    found: dict[str, list[str]] = {}
+    rows = options.orderBy("column", "option").limit(MOST_OPTIONS + 1).collect()
+    if len(rows) > MOST_OPTIONS:
+        raise ValueError(f"more than {MOST_OPTIONS} options: keep them as rows, see draft_with_options")
+    for r in rows:
+        found.setdefault(r["column"], []).append(r["option"])
+    fields = [replace(f, options=tuple(found.get(f.key, ())), options_table=False) if f.options_table else f for f in contract.fields]
+    return Contract(tuple(fields)), warnings
+
+
+def draft_with_options(flat: DataFrame, key: str | None = None) -> tuple[Contract, DataFrame, list[str]]:
+    """A contract for the records, its options as rows ``(column, option)``, and warnings.
+
+    Only paths and types come to the driver; the options are a written table of any size. The
+    records are written once and read by each step.
     """
     from rowsmith.operators.records import discover_paths
 
@@ -117,9 +136,7 @@ def draft_contract(flat: DataFrame, key: str | None = None) -> tuple[Contract, l
     order = [r.path for r in discover_paths(flat).collect()]
     types = {r.path: r for r in infer_types(flat).collect()}
     usable = {r.path for r in key_candidates(flat).filter("usable").select("path").collect()}
-    options: dict[str, list[str]] = {}
-    for r in infer_options(flat).orderBy("path", "option").collect():
-        options.setdefault(r.path, []).append(r.option)
+    options = durable.written(infer_options(flat).select(F.col("path").alias("column"), "option"), "options")
     warnings = []
     if key is not None and key not in types:
         raise ValueError(f"key '{key}' is not a field in the file")
@@ -134,14 +151,14 @@ def draft_contract(flat: DataFrame, key: str | None = None) -> tuple[Contract, l
             key=p,
             label=types[p].label,
             type="text" if p == key else types[p].type,
-            options=None if p == key or types[p].type != "multi_select" else tuple(options[p]),
+            options_table=p != key and types[p].type == "multi_select",
             required=p == key,
             is_key=p == key,
         )
         for p in order
     ]
     warnings += [f"{p}: {NULLS_ONLY}" for p in order if types[p].note]
-    return Contract.of(*fields), warnings
+    return Contract.of(*fields), options, warnings
 
 
 def empty_segment(key: Column) -> Column:

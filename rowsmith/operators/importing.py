@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract
 from rowsmith.functions import canon, checks, coerce, text
+from rowsmith.operators.options import with_option_errors
 from rowsmith.plans import durable
 from rowsmith.plans.fence import fenced
 from rowsmith.plans.skew import attach_by_key
@@ -183,10 +184,13 @@ def also_at(rows: DataFrame) -> Column:
 
 
 def check_rows(
-    mapped: DataFrame, contract: Contract, existing: DataFrame | None = None, skip: DataFrame | None = None
+    mapped: DataFrame, contract: Contract, existing: DataFrame | None = None, skip: DataFrame | None = None,
+    options: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``errors`` and ``outcome`` (created, skipped or errored) to every row.
 
+    ``options(column, option)`` holds the options of fields that keep them in a table.
+
     Skipped and problem rows claim no key; rows with other errors do. A repeated key is
     reported against its first row - of the first file, where several files are read -
     and not also as existing.
@@ -224,13 +228,18 @@ def check_rows(
     rule_errors = F.when(F.size("failures") == 0, rule_errors).otherwise(
         F.filter(rule_errors, lambda e: ~F.array_contains(failed, e["column"]))
     )
+    none = F.array().cast(checks.ERRORS_TYPE)
+    if options is not None:  # among the rules, so that reports keep the contract's order
+        checked = F.when(~F.col("_skip") & ~has_problem, F.lit(True))
+        rows = rows.withColumns({"errors": rule_errors, "_checked": checked})
+        rows = with_option_errors(rows, lambda k: F.when(F.col("_checked"), cell(k)), contract, options, place(rows)).drop("_checked")
+        rule_errors = F.col("errors")
     found = F.concat(F.col("failures"), rule_errors)
     if key is not None:
         found = F.concat(found, checks.collect([checks.error_entry(key.key, key_error)]))
     if "problem" in mapped.columns:
         whole = F.array(F.struct(F.lit("").alias("column"), F.col("problem").alias("reason")))
         found = F.when(has_problem, whole.cast(checks.ERRORS_TYPE)).otherwise(found)
-    none = F.array().cast(checks.ERRORS_TYPE)
     rows = rows.withColumn("errors", F.when(F.col("_skip"), none).otherwise(found))
     outcome = F.when(F.col("_skip"), "skipped").when(F.size("errors") > 0, "errored").otherwise("created")
     return rows.withColumn("outcome", outcome).drop("_skip", "_key", "_claim", "first_at", "claimants", "taken")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract, Field
 from rowsmith.functions import canon, checks, coerce, text
-from rowsmith.operators import contracts, importing
+from rowsmith.operators import contracts, importing, options
 from rowsmith.operators import records as record_ops
-from rowsmith.plans import inputs
+from rowsmith.plans import durable, inputs
 from rowsmith.plans.inputs import load, plain
 from rowsmith.plans.registry import query
 
@@ -334,6 +334,31 @@ def multi_options(spark, d):
     return reasons(spark, d, "tags")
 
 
+# Each line picks one of the twenty options made for it, or one of five that were not; suppliers are tags.
+_PICKS = """SELECT l_orderkey * 10 + l_linenumber AS row_idx, concat(l_orderkey, '-', l_linenumber, '-', 1 + min(l_partkey) % 25) AS pick,
+ concat('s', min(l_suppkey)) AS one, concat('s', min(l_suppkey) * 2) AS two FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+_PICK_OPTIONS = "SELECT l_orderkey, l_linenumber FROM {lineitem}"
+OPTION_CONTRACT = Contract.of(Field("pick", "select", options_table=True, required=True), Field("tags", "multi_select", options_table=True))
+
+
+@query(
+    "v06_options_table",
+    f"""WITH p AS ({plain(_PICKS)}), k AS (SELECT row_idx, pick, two, two NOT IN (SELECT concat('s', s_suppkey) FROM supplier) AS odd,
+     CAST(split_part(pick, '-', 3) AS INT) > 20 AS off FROM p)
+    SELECT row_idx, 'pick' AS "column", concat('''', pick, ''' is not one of the options') AS reason FROM k WHERE off
+    UNION ALL SELECT row_idx, 'tags', concat('[''', two, '''] not in the options') FROM k WHERE odd""",
+)
+def options_table(spark, d):
+    """Twenty times as many options as lines: more than a million from sf0.01 on."""
+    own = load(spark, d, _PICK_OPTIONS).select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("n"), "l_orderkey", "l_linenumber")
+    allowed = own.select(F.lit("pick").alias("column"), F.concat_ws("-", "l_orderkey", "l_linenumber", "n").alias("option"))
+    tags = inputs.table(spark, d, "supplier").select(F.lit("tags").alias("column"), F.concat(F.lit("s"), "s_suppkey").alias("option"))
+    rows = load(spark, d, _PICKS).select("row_idx", text.quote(F.col("pick")).alias("pick"), text.array_text(F.array("one", "two")).alias("tags"))
+    rows = durable.written(rows, "picks")
+    unknown = options.unknown_values(rows, F.col, OPTION_CONTRACT, allowed.unionByName(tags), ["row_idx"])
+    return options.option_errors(unknown, OPTION_CONTRACT, ["row_idx"])
+
+
 @query(
     "v08_json_cell_size",
     f"""WITH {RD} SELECT id, CAST(strlen(to_json([body])::VARCHAR) AS BIGINT) + 11 + strlen(source) AS bytes FROM r""",
