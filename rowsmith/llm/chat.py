@@ -44,8 +44,10 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    marked = F.replace(role, F.lit("\\\\"), F.lit("\x00"))
-    return unescaped(F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\")))
+    """Read back from left to right, so a spelled-out backslash never joins what follows it."""
+    parts = F.regexp_extract_all(role, F.lit(r"\\\\|\\n|[^\\]+|\\"), F.lit(0))
+    plain = F.transform(parts, lambda p: F.when(p == "\\\\", "\\").when(p == "\\n", "\n").otherwise(p))
+    return unescaped(F.array_join(plain, ""))
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -110,9 +112,11 @@ def read_loss(segments: Column) -> Column:
 def streamed(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """Final messages as the log a chat service would have kept of them.
 
-    Every row opens a message and streams its text in pieces; an assistant first streams
-    a draft (its first piece), which is then regenerated. Rows of the same turn follow
-    by role and text.
+    Every row opens a message and streams its text in pieces. By a hash of conversation and
+    message, some stream a draft of one or several pieces that is regenerated, and some a wrong
+    draft that an edit replaces before later pieces follow. The messages of a conversation
+    interleave: each event's step counts before its message. Rows of the same turn follow by
+    role and text.
     """
     order = Window.partitionBy(col(conv)).orderBy(col(turn), col(role), col(text))
     base = rows.select(
@@ -123,12 +127,20 @@ def streamed(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
     )
     event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
     deltas = F.transform("_pieces", lambda p: event("delta", p))
-    draft = F.when(
-        F.col("role") == LOSS_ROLE, F.concat(F.slice(deltas, 1, 1), F.array(event("regenerate", F.lit(""))))
-    ).otherwise(F.slice(deltas, 1, 0))
-    log = F.concat(F.array(event("start", F.lit(""))), draft, deltas)
+    kind = F.pmod(F.xxhash64("conv", "message"), F.lit(4))
+    again = F.array(event("regenerate", F.lit("")))
+    wrong = F.array(event("delta", F.concat(F.lit("no: "), F.reverse(F.coalesce(F.get("_pieces", F.lit(0)), F.lit(""))))))
+    edit = F.array(event("edit", F.coalesce(F.get("_pieces", F.lit(0)), F.lit(""))))
+    later = F.slice(deltas, 2, F.greatest(F.size("_pieces"), F.lit(1)))
+    body = (
+        F.when(kind == 0, F.concat(wrong, edit, later))
+        .when((kind == 1) & (F.col("role") == LOSS_ROLE), F.concat(F.slice(deltas, 1, 3), again, wrong, again, deltas))
+        .when(F.col("role") == LOSS_ROLE, F.concat(F.slice(deltas, 1, 1), again, deltas))
+        .otherwise(deltas)
+    )
+    log = F.concat(F.array(event("start", F.lit(""))), body)
     base = base.select("conv", "message", "role", F.posexplode(log).alias("_step", "_e"))
-    seq = F.struct(F.col("message").alias("message"), F.col("_step").alias("step"))
+    seq = F.struct(F.col("_step").alias("step"), F.col("message").alias("message"))
     return base.select(
         "conv",
         seq.alias("seq"),

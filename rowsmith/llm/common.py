@@ -34,6 +34,16 @@ def col(name: str) -> Column:
     return F.col(plain_name(name))
 
 
+def boxed(docs: DataFrame, *helpers: Column) -> DataFrame:
+    """The columns of ``docs`` as one struct ``_doc``, so that no helper column beside it meets one of theirs."""
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_doc"), *helpers)
+
+
+def unboxed(docs: DataFrame) -> list[Column]:
+    """The columns that ``boxed`` put away."""
+    return [F.col("_doc").getField(c).alias(c) for c in docs.columns]
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that name a text; null and empty are the same text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

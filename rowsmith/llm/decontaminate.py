@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import col, text_key
+from rowsmith.llm.common import boxed, col, text_key, unboxed
 from rowsmith.plans import durable
 
 WORDS = 13  # words of a window
@@ -157,12 +157,13 @@ def decontaminated(
     found = contamination(docs, items, n, rate, id, text, item_id).filter("contaminated")
     found = found.select(F.struct("id", "key").alias("_row"), F.col("spans").alias("spans_"))
     found = durable.written(found.dropDuplicates(["_row"]), "contaminated")
-    named = docs.withColumn("_row", F.struct(col(id).alias("id"), text_key(col(text)).alias("key")))
+    named = boxed(docs, F.struct(col(id).alias("id"), text_key(col(text)).alias("key")).alias("_row"))
     if remove == "documents":
-        return named.join(found, "_row", "left_anti").drop("_row")
+        return named.join(found, "_row", "left_anti").select(*unboxed(docs))
     joined = named.join(found, "_row", "left")
-    token = F.regexp_extract_all(col(text), F.lit(WORD_ANY_CASE), F.lit(0))
-    gaps = F.split(col(text), WORD_ANY_CASE)  # one more than there are words
+    whole = F.col("_doc").getField(text)
+    token = F.regexp_extract_all(whole, F.lit(WORD_ANY_CASE), F.lit(0))
+    gaps = F.split(whole, WORD_ANY_CASE)  # one more than there are words
     hit = lambda i: F.exists("spans_", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
     inner = lambda i: F.exists("spans_", lambda s: (i > s["start"]) & (i < s["start"] + s["length"]))
     word = F.transform(token, lambda w, i: F.when(hit(i), F.lit("")).otherwise(w))
@@ -170,5 +171,5 @@ def decontaminated(
     pieces = F.zip_with(gap, word, lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
     rebuilt = F.array_join(pieces, "")
     return joined.select(
-        *[F.when(F.col("spans_").isNull(), col(c)).otherwise(rebuilt).alias(c) if c == text else col(c) for c in docs.columns]
+        *[F.when(F.col("spans_").isNull(), whole).otherwise(rebuilt).alias(c) if c == text else kept for c, kept in zip(docs.columns, unboxed(docs), strict=True)]
     )

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import col, sha256_hex
+from rowsmith.llm.common import boxed, col, sha256_hex, unboxed
 from rowsmith.plans import durable
 
 MIN_CHARS = 1_024  # a chunk ends at the first cut after so many characters ...
@@ -107,5 +107,5 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` that stay, with all their columns."""
     kept = duplicates(docs, id, text).filter("kept")
     kept = kept.select(F.struct(col(id).alias("id"), F.col("text_sha256").alias("sha")).alias("_row")).distinct()
-    named = docs.withColumn("_row", F.struct(col(id).alias("id"), sha256_hex(normalised(col(text))).alias("sha")))
-    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    named = boxed(docs, F.struct(col(id).alias("id"), sha256_hex(normalised(col(text))).alias("sha")).alias("_row"))
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*unboxed(docs))

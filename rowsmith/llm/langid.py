@@ -99,15 +99,16 @@ def trigrams(words: Words) -> np.ndarray:
 def _sample(docs: DataFrame, lang: str, id: str, text: str) -> DataFrame:
     """``(text, lang)`` of at most ``SAMPLE`` training rows a language, those of least hash.
 
-    Ids are chosen without texts. They are first thinned per language to about four times
-    the bound by the same hash, so no task ranks more than that; a language below the
-    bound is read whole. The chosen ids, at most ``SAMPLE`` a language, are broadcast.
+    Ids are chosen without texts. Rows are counted per language first; then a language is thinned
+    to about four times the bound by the same hash, before anything is shuffled, so no task
+    ranks more than that; a language below the bound is read whole. The counts (one row a
+    language, as many as the model has) and the chosen ids, at most ``SAMPLE`` a language, are broadcast.
     """
     rows = docs.select(col(id).alias("id"), col(lang).alias("lang"), col(text).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     keys = rows.select("id", "lang").filter(F.col("id").isNotNull()).withColumn("_h", F.xxhash64("id"))
     sizes = keys.groupBy("lang").count().withColumnRenamed("lang", "_lang")
-    keys = keys.join(sizes, F.col("lang") == F.col("_lang"))
+    keys = keys.join(F.broadcast(sizes), F.col("lang") == F.col("_lang"))
     thin = F.pmod("_h", F.lit(1 << 30)) * F.col("count") < F.lit(4 * SAMPLE * (1 << 30))
     order = Window.partitionBy("lang").orderBy("_h", "id")
     few = keys.filter(thin).dropDuplicates(["id", "lang"]).withColumn("_n", F.row_number().over(order))

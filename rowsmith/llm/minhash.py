@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.llm.arrays import Words, mixed, word_parts
-from rowsmith.llm.common import col, text_key
+from rowsmith.llm.common import boxed, col, text_key, unboxed
 from rowsmith.plans import durable
 
 SHINGLE = 5  # words
@@ -501,5 +501,5 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", te
 def survivors(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, with all columns."""
     kept = groups(docs, threshold, id, text).filter("kept").select(F.struct("id", "key").alias("_row")).distinct()
-    named = docs.withColumn("_row", F.struct(col(id).alias("id"), text_key(col(text)).alias("key")))
-    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    named = boxed(docs, F.struct(col(id).alias("id"), text_key(col(text)).alias("key")).alias("_row"))
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*unboxed(docs))

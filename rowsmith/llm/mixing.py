@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import col, free_name
+from rowsmith.llm.common import boxed, col, free_name, unboxed
 from rowsmith.plans import durable
 
 MAX_REPETITION = 2.0  # epochs of a source at most
@@ -180,7 +180,7 @@ def mixed(
     steps = F.collect_list(F.struct("_epoch", "_rank", "_cut"))
     copies = copies.groupBy("_s", "_block").agg(F.sort_array(steps).alias("_steps"))
     copies = copies.join(facts, "_s")
-    rows = docs.withColumns({"_s": source_key(col(source)), "_h": _row_hash(docs, seed, id, text)})
+    rows = boxed(docs, source_key(col(source)).alias("_s"), _row_hash(docs, seed, id, text).alias("_h"))
     few = facts.select("_s", "_blocks")
     rows = rows.join(F.broadcast(few) if _is_small(few) else few, "_s")
     rows = rows.withColumn("_block", F.pmod("_h", F.col("_blocks")).cast("int")).drop("_blocks")
@@ -190,7 +190,7 @@ def mixed(
     inside = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
     done = (F.col("_step._epoch") + (F.col("_step._rank") + inside) / F.col("_blocks")) / F.col("epochs")
     return rows.select(
-        *[col(c) for c in docs.columns],
+        *unboxed(docs),
         F.col("_step._epoch").alias(epoch),
         F.col("_block").alias(block),
         F.least(done, F.lit(1.0)).alias(progress),

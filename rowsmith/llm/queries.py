@@ -209,6 +209,7 @@ def op7(spark, d):
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         "kept_sha256",
+        (F.col("n_bytes") - F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])).alias("kept_bytes"),
     )
 
 

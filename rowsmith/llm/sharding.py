@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.llm.common import col, free_name
+from rowsmith.llm.common import boxed, col, free_name
 from rowsmith.plans import durable
 
 SHARDS = 24
@@ -53,7 +53,8 @@ def _shuffled(seed: int, shards: int, total: int, names: list[str], shard: str,
         place = [offset + i for i in range(table.num_rows)]
         shard_of = [p * shards // total for p in place]
         start = [-(-s * total // shards) for s in shard_of]
-        table = table.select(names).take(pa.array(order))
+        docs = table.column("_doc").combine_chunks().take(pa.array(order))
+        table = pa.table(dict(zip(names, docs.flatten(), strict=True)))
         table = table.append_column(shard, pa.array(shard_of, pa.int32()))
         return table.append_column(slot, pa.array([p - s for p, s in zip(place, start, strict=True)], pa.int64()))
 
@@ -65,7 +66,7 @@ def _dealt(rows: DataFrame, repeated: DataFrame) -> DataFrame:
 
     How many rows get a salt depends on their count alone, not on partitions.
     """
-    same = durable.written(rows.join(F.broadcast(repeated), "_h").withColumn("_at", F.monotonically_increasing_id()), "repeated")
+    same = durable.written(rows.join(repeated, "_h").withColumn("_at", F.monotonically_increasing_id()), "repeated")
     same = same.withColumn("_part", F.shiftright("_at", 33))
     parts = same.groupBy("_h", "_part").agg(F.count("*").alias("_n"))
     parts = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_h").orderBy("_part")) - F.col("_n")).drop("_n")
@@ -92,15 +93,15 @@ def into_shards(
     if not all_rows["n"]:
         return docs.sparkSession.createDataFrame([], schema)
     buckets = -(-all_rows["bytes"] // bucket_bytes)
-    rows = docs.select("*", h.alias("_h"), record_size(col(text)).alias("_size"))
+    rows = boxed(docs, h.alias("_h"), record_size(col(text)).alias("_size"))
     # Equal rows that outweigh a piece of a bucket: few, as each weighs that much.
     piece = max(bucket_bytes // PIECES, 1)
     repeated = sizes.groupBy(F.col("h").alias("_h")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     repeated = repeated.filter((F.col("bytes") > piece) & (F.col("n") > 1))
     repeated = durable.written(repeated.select("_h", F.ceil(F.col("bytes") / piece).alias("pieces")), "repeats")
     if not repeated.isEmpty():
-        few = F.broadcast(repeated)
-        same = _dealt(rows, repeated)
+        few = F.broadcast(repeated) if repeated.count() <= BROADCAST_BUCKETS else repeated
+        same = _dealt(rows, few)
         rows = rows.join(few, "_h", "left_anti").unionByName(same)
         sizes = sizes.join(few, F.col("h") == F.col("_h"), "left_anti").unionByName(same.select(F.col("_h").alias("h"), F.col("_size").alias("size")))
     # Offsets of buckets: one row per bucket, summed up in blocks so that no task sees them all.

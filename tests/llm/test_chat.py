@@ -13,7 +13,7 @@ def test_round_trip_of_any_text(spark):
     for conv in range(60):
         for turn in range(rng.randint(1, 5)):
             text = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 12)))
-            rows.append((conv, turn, rng.choice(["user", "assistant", "system", "a\\n\nb", "<|x", None]), rng.choice([text, text, None])))
+            rows.append((conv, turn, rng.choice(["user", "assistant", "system", "a\\n\nb", "<|x", "a\x00b", "\\", "\\\\n", "\x00\\n\x00", None]), rng.choice([text, text, None])))
     rows.append(rows[0])
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_log(chat.streamed(df, "conv_id", "turn", "role", "text"))
