@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -380,6 +382,35 @@ def cascade_delete(spark, d):
     return catalog.cascade(child, removed, "dataset").select("o_orderkey", "dataset")
 
 
+@query(
+    "j15_cascade_levels",
+    f"""WITH {VER}, {DS}, gone AS (SELECT dataset FROM d WHERE dataset NOT IN (SELECT dataset FROM v)),
+    kept AS (SELECT o_orderkey FROM orders WHERE concat('cust-', o_custkey) NOT IN (SELECT dataset FROM gone))
+    SELECT 'datasets' AS tab, count(*) AS n, CAST(0 AS HUGEINT)::BIGINT AS checksum FROM d WHERE dataset NOT IN (SELECT dataset FROM gone)
+    UNION ALL SELECT 'rows', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM kept
+    UNION ALL SELECT 'edits', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kept)
+    UNION ALL SELECT 'comments', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM kept))""",
+)
+def cascade_levels(spark, d):
+    """Datasets go with their rows, and those with their edits and comments."""
+    removed = catalog.deletable(_datasets(spark, d), _versions(spark, d)).select(F.col("dataset").alias("id"))
+    tables = {
+        "datasets": _datasets(spark, d),
+        "rows": inputs.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("cust-"), F.col("o_custkey")).alias("dataset")),
+        "edits": inputs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"),
+        "comments": inputs.table(spark, d, "events").select("event_id", "user_id"),
+    }
+    relations = [
+        catalog.Relation("datasets", "rows", "dataset", "dataset"),
+        catalog.Relation("rows", "edits", "l_orderkey", "o_orderkey"),
+        catalog.Relation("rows", "comments", "user_id", "o_orderkey"),
+    ]
+    left = catalog.cascade_all(tables, relations, "datasets", removed)
+    sums = {"datasets": F.lit(0), "rows": F.col("o_orderkey"), "edits": F.col("l_orderkey"), "comments": F.col("event_id")}
+    parts = [left[t].agg(F.count("*").alias("n"), F.sum(v).cast("long").alias("checksum")).select(F.lit(t).alias("tab"), "n", "checksum") for t, v in sums.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("f07_datasets_by_feature", f"WITH {DS} SELECT dataset, name, feature_id FROM d WHERE feature_id = 'BUILDING'")
 def datasets_by_feature(spark, d):
     return catalog.datasets_by(_datasets(spark, d), feature="BUILDING")
