@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +48,20 @@ def _fisher_yates(n: int, seed: np.ndarray) -> np.ndarray:
 
 def _shuffled(seed: int, shards: int, total: int, names: list[str], shard: str, slot: str):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_h", "ascending"), ("_size", "ascending")])  # whatever order the rows came in
+        given = pc.sort_indices(table.select(["_h", "_size"]), [("_h", "ascending"), ("_size", "ascending")])  # whatever order the rows came in
         bucket, offset = table.column("_bucket")[0].as_py(), table.column("_offset")[0].as_py()
-        order = _fisher_yates(table.num_rows, np.array([seed, bucket]))
-        place = [offset + i for i in range(table.num_rows)]
+        n = table.num_rows
+        order = _fisher_yates(n, np.array([seed, bucket]))
+        place = [offset + i for i in range(n)]
         shard_of = [p * shards // total for p in place]
         start = [-(-s * total // shards) for s in shard_of]
-        docs = table.column("_doc").combine_chunks().take(pa.array(order))
-        table = pa.table(dict(zip(names, docs.flatten(), strict=True)))
+        # Fields of the struct are taken one by one, so a bucket is copied once.
+        chunks = [c.flatten() for c in table.column("_doc").chunks]
+        kinds = [f.type for f in table.schema.field("_doc").type]
+        fields = [pa.chunked_array([c[i] for c in chunks], kind) for i, kind in enumerate(kinds)]
+        del table, chunks
+        order = given.take(pa.array(order))
+        table = pa.table([f.take(order) for f in fields], names=names)
         table = table.append_column(shard, pa.array(shard_of, pa.int32()))
         return table.append_column(slot, pa.array([p - s for p, s in zip(place, start, strict=True)], pa.int64()))
 
