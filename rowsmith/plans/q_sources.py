@@ -47,6 +47,19 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(header)])
 
 
+_LINED = r"""SELECT CAST(doc_id AS STRING) AS doc, source, replace(text, '. ', concat('.', chr(10), '"', chr(10), '",')) AS body FROM {documents}"""
+
+
+@query("s01_csv_quoted_lines", f"WITH d AS ({plain(_LINED)}) SELECT doc, coalesce(source, '') AS source, coalesce(body, '') AS body FROM d")
+def csv_quoted_lines(spark, d):
+    path = folder_for(spark, "csv-lines")
+    load(spark, d, _LINED).write.options(header=True, escape='"', quoteAll=True, nullValue="").option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+    header, rows = readers.read_csv(spark, path, multi_line=True)
+    return rows.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(header)])
+
+
 @query("s02_jsonl_scan", f"WITH {BAD} SELECT (row_idx - 1) // {PER_FILE} AS block, 1 + (row_idx - 1) % {PER_FILE} AS row_idx, line, {_KIND} AS problem FROM b")
 def jsonl_scan(spark, d):
     path = _files(load(spark, d, inputs.BAD), folder_for(spark, "jsonl"))

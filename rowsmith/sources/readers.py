@@ -6,24 +6,27 @@ the record's JSON text; ``operators.records`` flattens it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+import csv
+import io
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.functions import records, text
 from rowsmith.plans import durable
+from rowsmith.sources import quoted
 from rowsmith.sources.numbering import file_columns, with_row_idx
 
 BOM = "\ufeff"
 BOM_AT_START = "\\A\ufeff"
 
 
-def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
-    """Cells as written: no type guesses, no trimming, no null words."""
-    options = {
-        "multiLine": multi_line, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False,
-        "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE",
-    }
-    return spark.read.options(**options)
+_CSV = {
+    # Cells as written: no type guesses, no trimming, no null words.
+    "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE",
+}
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[list[str], DataFrame]:
@@ -31,23 +34,16 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[
 
     Cells are raw strings: short rows are padded with ``""`` and surplus cells
     dropped. Columns are named ``_c0 ...`` by position, so a repeated or odd
-    header cannot rename them. Files are split among tasks; ``multi_line=True`` reads
-    cells that hold line ends, one task per file. A fully blank line is not a row.
+    header cannot rename them. Files are split among tasks, also with ``multi_line=True``,
+    which reads cells that hold line ends (see ``quoted``). A fully blank line is not a row.
 
     A file whose header is another one is not read by position: each of its rows is a
     ``problem`` row, so that no cell lands in a wrong column.
     """
-    scan = _csv(spark, multi_line).csv(path)
-    width = len(scan.columns)
-    first = scan.limit(1).collect()
-    header = [cell or "" for cell in first[0]] if first else []
-    if header:
-        header[0] = header[0].lstrip(BOM)
-    schema = ", ".join(f"_c{i} string" for i in range(max(width, 1)))
-    # Headers are the first rows of their files; the reader leaves them in, so that they can be compared.
-    lines = _csv(spark, multi_line).schema(schema).option("header", False).csv(path)
-    cells = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(len(header))]
-    numbered = with_row_idx(lines.select(*cells, *file_columns()))
+    if multi_line:
+        numbered, header = _quoted_cells(spark, path)
+    else:
+        numbered, header = _plain_cells(spark, path)
     as_read = F.concat_ws("\u001f", F.regexp_replace("_c0", BOM_AT_START, ""), *[F.col(f"_c{i}") for i in range(1, len(header))])
     heads = numbered.filter(F.col("row_idx") == 1).select("file", as_read.alias("_head"))
     other = heads.filter(F.col("_head") != "\u001f".join(header)).select(
@@ -58,6 +54,38 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[
     return header, rows.join(other, "file", "left")
 
 
+def _schema(width: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(max(width, 1)))
+
+
+def _plain_cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The cells of single-line records, headers among them, and the first header."""
+    reader = spark.read.options(**_CSV)
+    scan = reader.csv(path)
+    first = scan.limit(1).collect()
+    header = _unmarked(first[0]) if first else []
+    # Headers are the first rows of their files; the reader leaves them in, so that they can be compared.
+    lines = reader.schema(_schema(len(scan.columns))).option("header", False).csv(path)
+    cells = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(max(len(header), 1))]
+    return with_row_idx(lines.select(*cells, *file_columns())), header
+
+
+def _quoted_cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The cells of records that may span lines, headers among them, and the header of the first file by name."""
+    records = quoted.csv_records(spark, path)
+    first = records.filter(F.col("row_idx") == 1).orderBy("file").limit(1).collect()
+    header = _unmarked(next(csv.reader(io.StringIO(first[0].line, newline="")))) if first else []
+    cells = F.from_csv("line", _schema(len(header)), _CSV | {"multiLine": "true"})
+    parsed = records.select("file", "row_idx", cells.alias("_cells"))
+    named = [F.coalesce(F.col(f"_cells._c{i}"), F.lit("")).alias(f"_c{i}") for i in range(max(len(header), 1))]
+    return parsed.select("file", "row_idx", *named), header
+
+
+def _unmarked(cells: Iterable[str | None]) -> list[str]:
+    first, *rest = [cell or "" for cell in cells]
+    return [first.lstrip(BOM), *rest]
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One record per non-blank line; a bad line is a problem row.
 
