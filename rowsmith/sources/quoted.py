@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,9 +26,9 @@ _FROM_QUOTED = re.compile(rf"{_QUOTED_REST}(?:,{_CELL})*+")
 _BATCH_CHARS = 4 << 20
 
 _SPLIT = "file string, _start bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint"
-_PIECE = "file string, row_idx bigint, part bigint, piece string, whole boolean"
+_PIECE = "file string, row_idx bigint, part bigint, piece string"
 _PIECE_ARROW = pa.schema(
-    [("file", pa.string()), ("row_idx", pa.int64()), ("part", pa.int64()), ("piece", pa.string()), ("whole", pa.bool_())]
+    [("file", pa.string()), ("row_idx", pa.int64()), ("part", pa.int64()), ("piece", pa.string())]
 )
 
 
@@ -44,14 +45,17 @@ def _begins(line: str, is_open: bool) -> bool:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of the scan; refuses any order but that of the file."""
-    last = None
+    """The rows of the scan, each after whether a split begins; refuses any order but that of the file."""
+    file = start = last = None
     for batch in batches:
         for row in zip(*(column.to_pylist() for column in batch.columns)):
-            if last and row[:2] == last[:2] and row[2] <= last[2]:
-                raise RuntimeError(f"lines of {row[0]} are out of order")
-            last = row
-            yield row
+            begins = row[1] != start or row[0] != file
+            if begins:
+                file, start = row[:2]
+            elif row[2] <= last:
+                raise RuntimeError(f"lines of {file} are out of order")
+            last = row[2]
+            yield begins, *row
 
 
 def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +66,8 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [at[0]], [at[1]], [ends[0]], [ends[1]], [begun[0]], [begun[1]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "_start", "open0", "open1", "n0", "n1"])
 
-    for file, start, _, line in _lines(batches):
-        if (file, start) != at:
+    for begins, file, start, _, line in _lines(batches):
+        if begins:
             if at:
                 yield row()
             at, ends, begun = (file, start), [False, True], [0, 0]
@@ -76,23 +80,32 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of each split; one that crosses a split's border comes in pieces, one a split."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
+    """The records of each split.
+
+    ``inner`` gives those that lie in one split and do not begin a file; else come the first record of
+    each file and the pieces, one a split, of records that cross a split's border.
+    """
     out, chars, at = [], 0, None
     lines, is_open, row_idx, entered = [], False, 0, False
 
     def cut(whole: bool) -> None:
         nonlocal lines, chars
-        text = "\n".join(lines)
-        out.append((at[0], row_idx, at[1], text, whole))
-        chars += len(text) + 100
+        if (whole and row_idx > 1) == inner:
+            text = "\n".join(lines)
+            out.append((at[0], row_idx, at[1], text))
+            chars += len(text) + 100
         lines = []
 
-    for file, start, _, line, entry, before in _lines(batches):
-        if (file, start) != at:
+    for begins, file, start, _, line, entry, before in _lines(batches):
+        if begins:
             if lines:
                 cut(False)
-            at, lines, is_open, entered, row_idx = (file, start), [], entry, entry, before
+            at, is_open, entered, row_idx = (file, start), entry, entry, before
         if is_open or _begins(line, is_open):
             row_idx += not is_open
             lines.append(line)
@@ -101,12 +114,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut(not entered)
                 entered = False
         if chars > _BATCH_CHARS:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE_ARROW)], schema=_PIECE_ARROW)
+            yield _packed(out)
             out, chars = [], 0
     if lines:
         cut(False)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE_ARROW)], schema=_PIECE_ARROW)
+        yield _packed(out)
 
 
 def _entries(maps: DataFrame) -> DataFrame:
@@ -132,13 +145,13 @@ def _entries(maps: DataFrame) -> DataFrame:
     )
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, row_idx, line)``: one row a CSV record, ``line`` its text with the line ends of its cells.
+def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(first records, records), each ``(file, row_idx, line)``: ``line`` is a CSV record's text with the line ends of its cells.
 
     Lines end at ``\\n`` or ``\\r\\n``. ``row_idx`` counts the records of a file from 1, blank lines
-    left out. The lines are read twice and the records written once; only the pieces of records
-    that cross a split's border are shuffled. A quote that is never closed makes all that follows
-    one record, which must fit in a task.
+    left out; the first frame holds the records of number 1. Lines are read for the states, for the pieces
+    of records that cross a split's border (written; only they are shuffled) and for all other records.
+    A quote that is never closed makes all that follows one record, which must fit in a task.
     """
     scan = spark.read.text(path, lineSep="\n").select(*file_columns(), F.col("value").alias("line"))
     scan = scan.select("file", "_start", "_at", "line")
@@ -148,8 +161,10 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     else:
         placed = scan.join(entries, ["file", "_start"]).repartition("file", "_start").sortWithinPartitions("file", "_start", "_at")
     placed = placed.select("file", "_start", "_at", "line", "entry", "before")
-    pieces = durable.written(placed.mapInArrow(_pieces, _PIECE), "records")
+    edges = durable.written(placed.mapInArrow(partial(_pieces, inner=False), _PIECE), "edges")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"])
-    crossing = pieces.filter(~F.col("whole")).groupBy("file", "row_idx").agg(F.array_join(in_order, "\n").alias("line"))
-    records = pieces.filter("whole").select("file", "row_idx", F.col("piece").alias("line")).unionByName(crossing)
-    return records.withColumn("line", F.regexp_replace("line", r"\r\z", ""))
+    edges = edges.groupBy("file", "row_idx").agg(F.array_join(in_order, "\n").alias("line"))
+    inner = placed.mapInArrow(partial(_pieces, inner=True), _PIECE).select("file", "row_idx", F.col("piece").alias("line"))
+    line = F.regexp_replace("line", r"\r\z", "").alias("line")
+    first = durable.written(edges.filter(F.col("row_idx") == 1).select("file", "row_idx", line), "first-records")
+    return first, inner.unionByName(edges).select("file", "row_idx", line)

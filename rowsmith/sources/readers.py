@@ -41,11 +41,12 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[
     ``problem`` row, so that no cell lands in a wrong column.
     """
     if multi_line:
-        numbered, header = _quoted_cells(spark, path)
+        firsts, numbered, header = _quoted_cells(spark, path)
     else:
         numbered, header = _plain_cells(spark, path)
+        firsts = numbered.filter(F.col("row_idx") == 1)
     as_read = F.concat_ws("\u001f", F.regexp_replace("_c0", BOM_AT_START, ""), *[F.col(f"_c{i}") for i in range(1, len(header))])
-    heads = numbered.filter(F.col("row_idx") == 1).select("file", as_read.alias("_head"))
+    heads = firsts.select("file", as_read.alias("_head"))
     other = heads.filter(F.col("_head") != "\u001f".join(header)).select(
         "file", F.concat(F.lit("the header differs from the first file's: "), F.replace("_head", F.lit("\u001f"), F.lit(","))).alias("problem")
     )
@@ -70,15 +71,15 @@ def _plain_cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return with_row_idx(lines.select(*cells, *file_columns())), header
 
 
-def _quoted_cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """The cells of records that may span lines, headers among them, and the header of the first file by name."""
-    records = quoted.csv_records(spark, path)
-    first = records.filter(F.col("row_idx") == 1).orderBy("file").limit(1).collect()
+def _quoted_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(first records' cells, all records' cells, header of the first file by name); records may span lines."""
+    firsts, records = quoted.csv_records(spark, path)
+    first = firsts.orderBy("file").limit(1).collect()
     header = _unmarked(next(csv.reader(io.StringIO(first[0].line, newline="")))) if first else []
-    cells = F.from_csv("line", _schema(len(header)), _CSV | {"multiLine": "true"})
-    parsed = records.select("file", "row_idx", cells.alias("_cells"))
+    cells = F.from_csv("line", _schema(len(header)), _CSV | {"multiLine": "true"}).alias("_cells")
     named = [F.coalesce(F.col(f"_cells._c{i}"), F.lit("")).alias(f"_c{i}") for i in range(max(len(header), 1))]
-    return parsed.select("file", "row_idx", *named), header
+    firsts, records = (r.select("file", "row_idx", cells).select("file", "row_idx", *named) for r in (firsts, records))
+    return firsts, records, header
 
 
 def _unmarked(cells: Iterable[str | None]) -> list[str]:
