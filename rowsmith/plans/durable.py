@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +31,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_scope = threading.local()
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder; false if there is none."""
+    at, files = _at(spark, path)
+    return files.delete(at, True)
 
 
 def clean(spark: SparkSession) -> int:
     """Delete the tables this process has written, once their results are stored; returns how many."""
     done = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done += delete(spark, _written.pop())
     return done
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes inside are deleted at the end; store their results before."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table: later plans read it and lost executors cost nothing.
 
-    Tables stay until ``clean``, as plans that read them may not have run yet.
+    Tables stay until ``clean`` or the end of the ``scope``, as plans that read them may not have run yet.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowsmith/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    inside = getattr(_scope, "paths", None)
+    (_written if inside is None else inside).append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

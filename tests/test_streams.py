@@ -4,7 +4,13 @@ import json
 import os
 import random
 
-from rowsmith.streaming import patches
+from pyspark.sql import functions as F
+
+from rowsmith.contract import Contract, Field
+from rowsmith.operators import importing
+from rowsmith.operators.records import known_cell, known_cells
+from rowsmith.sources import readers
+from rowsmith.streaming import imports, patches
 
 PATCH = "id string, seq bigint, expected_rev int, status string"
 
@@ -88,3 +94,100 @@ def test_a_batch_that_fails_is_judged_again_once(spark, tmp_path):
     run(spark, folder, start, tmp_path / "out", checkpoint)
     got = {r.seq: (r.accepted, r.rev) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == by_loop(start, batch) and spark.read.parquet(str(tmp_path / "out")).count() == len(batch)
+
+
+KEYED = Contract.of(Field("key", "text", required=True, is_key=True), Field("n", "number"))
+
+
+def key_files(folder, seed):
+    """Files of lines: keys repeated in and between files, one with a third of all; blank and broken lines, bad cells."""
+    rng = random.Random(seed)
+    folder.mkdir()
+
+    def write(i):
+        lines = ["\ufeff" + json.dumps({"key": f"bom{i}"})]
+        for _ in range(25):
+            key = "hot" if rng.random() < 0.33 else f"k{rng.randrange(60)}"
+            value = rng.choice([1, 2.5, "x", None])  # a row with a bad cell claims its key all the same
+            lines.append(rng.choice([json.dumps({"key": key, "n": value})] * 6 + ["", "{", json.dumps({"n": 1}), json.dumps({"key": " "})]))
+        path = folder / f"{i:03d}.jsonl"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+
+    return write
+
+
+def run_import(spark, folder, tmp_path, existing=None, per=1):
+    good, bad, state = (str(tmp_path / n) for n in ("good", "bad", "state"))
+    query = imports.start_import(spark, str(folder), KEYED, good, bad, state, {"availableNow": True}, existing, per)
+    query.awaitTermination()
+
+
+def place(row):
+    return row["file"].rsplit("/", 1)[1], row["line_number"]
+
+
+def streamed(spark, tmp_path):
+    good = [place(r) for r in spark.read.parquet(str(tmp_path / "good")).collect()]
+    bad = [(*place(r), r["column"], r.reason) for r in spark.read.parquet(str(tmp_path / "bad")).collect()]
+    return sorted(good), sorted(bad)
+
+
+def at_once(spark, folder, existing):
+    """The batch import of the same files."""
+    read = known_cells(readers.read_jsonl(spark, str(folder)), KEYED)
+    mapped = importing.map_rows(read, {k: k for k in KEYED.active_keys}, KEYED, known_cell, structured=True)
+    checked = importing.check_rows(mapped, KEYED, existing)
+    good = [place(r) for r in checked.filter("outcome = 'created'").collect()]
+    bad = importing.report(checked, "file", "line_number").withColumn("reason", F.regexp_replace("reason", r"\Aline [0-9]+: ", ""))
+    return sorted(good), sorted((*place(r), r["column"], r.reason) for r in bad.collect())
+
+
+def test_import_claims_keys_over_batches_and_restarts(spark, tmp_path):
+    folder = tmp_path / "in"
+    write = key_files(folder, 21)
+    rows = [("k1", None), ("k2", "2024-01-01"), ("hot", None), (None, None)]
+    existing = spark.createDataFrame(rows, "row_key string, deleted_at string")
+    done = 0
+    for upto in (1, 2, 4):  # three runs on one checkpoint, a file a micro-batch
+        for i in range(done, upto):
+            write(i)
+        run_import(spark, folder, tmp_path, existing)
+        done = upto
+    good, bad = streamed(spark, tmp_path)
+    assert (good, bad) == at_once(spark, folder, existing)
+    reasons = " ".join(b[3] for b in bad)
+    assert "already exists" in reasons and " of file" in reasons and "invalid JSON" in reasons
+    left = tmp_path / "state" / "import"
+    assert sorted(p.name for p in (left / "checked").iterdir()) == ["3", "existing"]  # earlier batches are deleted
+    assert [p.name for p in (left / "held").iterdir()] == ["3"]
+
+
+def test_import_of_several_files_a_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    write = key_files(folder, 22)
+    for i in range(4):
+        write(i)
+    run_import(spark, folder, tmp_path, per=2)
+    assert streamed(spark, tmp_path) == at_once(spark, folder, None)
+
+
+def test_an_import_batch_that_fails_claims_its_keys_once(spark, tmp_path):
+    """The outputs of the second batch cannot be written at first, after its claims were counted."""
+    folder = tmp_path / "in"
+    write = key_files(folder, 23)
+    write(0)
+    run_import(spark, folder, tmp_path)
+    write(1)
+    good, bad, state = (str(tmp_path / n) for n in ("good", "bad", "state"))
+    blocked = tmp_path / "file"
+    blocked.write_text("")
+    try:
+        imports.start_import(spark, str(folder), KEYED, f"{blocked}/good", bad, state, {"availableNow": True}, None, 1).awaitTermination()
+    except Exception:  # noqa: BLE001
+        pass
+    else:
+        raise AssertionError("the output should have failed")
+    write(2)
+    run_import(spark, folder, tmp_path)
+    assert streamed(spark, tmp_path) == at_once(spark, folder, None)
