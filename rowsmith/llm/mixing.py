@@ -10,6 +10,8 @@ Which rows a partial epoch takes follows from hashes and from sums over (source,
 so no row is looked up and any source may hold most of the rows. Without a budget the
 smallest one is taken that spends every source once; no row is left out then.
 
+The blocks of a source are put in order by one task an epoch: one short row for every ``block_tokens`` tokens.
+
 Defined results: null sources are one source, a source without tokens gives each row once,
 rows without tokens go with their block, rows equal in id and text are taken together, an
 empty table gives no rows, and a clashing column name gets an underscore for the new one.
@@ -24,13 +26,12 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.common import boxed, col, free_name, unboxed
 from rowsmith.plans import durable
+from rowsmith.plans.skew import is_small
 
 MAX_REPETITION = 2.0  # epochs of a source at most
 BLOCK_TOKENS = 1_000_000
-MOST_BLOCKS = 4_096  # of a source; beyond, its blocks get larger
 SEED = 4_711
 POINTS, ROUNDS = 32, 8  # the exponent's interval shrinks 32-fold a round: five bisections in one pass
-BROADCAST_ROWS = 200_000  # plan rows up to this count are broadcast
 
 
 def token_count(text: Column) -> Column:
@@ -115,11 +116,11 @@ def plan(
     sources = sources.withColumn("budget", spend)
     once = F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(F.lit(1.0))
     sources = sources.withColumn("epochs", once)
-    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("int")
     sources = durable.written(sources.withColumn("_blocks", blocks), "mix")
 
     few = sources.select("_s", "tokens", "budget", "epochs", "_blocks")
-    hashed = rows.join(F.broadcast(few) if _is_small(few) else few, "_s")
+    hashed = rows.join(_broadcast_if_small(few), "_s")
     hashed = hashed.withColumn("_block", F.pmod("_h", F.col("_blocks")).cast("int"))
     sizes = hashed.groupBy("_s", "_block").agg(F.sum("n").alias("size"))
     full = F.floor("epochs").cast("int")
@@ -137,7 +138,7 @@ def plan(
     copies = durable.written(copies.select("_s", "_block", "_epoch", "_rank", "_split", "_room"), "copies")
     # At most one block a source is split: its rows of least hash are taken while they fit.
     split = copies.filter("_split").select("_s", "_block", "_room")
-    inside = hashed.select("_s", "_block", "_h", "n").join(F.broadcast(split) if _is_small(split) else split, ["_s", "_block"])
+    inside = hashed.select("_s", "_block", "_h", "n").join(_broadcast_if_small(split), ["_s", "_block"])
     inside = inside.groupBy("_s", "_block", "_room", "_h").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("_s", "_block").orderBy("_h"))
     cuts = inside.withColumn("_sum", upto).filter("_sum <= _room").groupBy("_s", "_block").agg(F.max("_h").alias("_cut"))
@@ -153,9 +154,9 @@ def _row_hash(docs: DataFrame, seed: int, id: str, text: str) -> Column:
     return F.xxhash64(F.lit(seed), col(id), col(text))
 
 
-def _is_small(df: DataFrame) -> bool:
-    """Counted, not estimated; the columns are a source name and numbers."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Measured in rows and bytes; ``df`` reads a written table."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def mixed(
@@ -177,21 +178,16 @@ def mixed(
     sources, copies = plan(docs, max_repetition, entropy, budget, seed, block_tokens, id, source, text)
     epoch, block, progress = (free_name(docs, n) for n in ("epoch", "block", "progress"))
     facts = sources.select("_s", "epochs", "_blocks")
-    steps = F.collect_list(F.struct("_epoch", "_rank", "_cut"))
-    copies = copies.groupBy("_s", "_block").agg(F.sort_array(steps).alias("_steps"))
-    copies = copies.join(facts, "_s")
     rows = boxed(docs, source_key(col(source)).alias("_s"), _row_hash(docs, seed, id, text).alias("_h"))
-    few = facts.select("_s", "_blocks")
-    rows = rows.join(F.broadcast(few) if _is_small(few) else few, "_s")
-    rows = rows.withColumn("_block", F.pmod("_h", F.col("_blocks")).cast("int")).drop("_blocks")
-    copies = durable.written(copies, "steps")
-    rows = rows.join(F.broadcast(copies) if _is_small(copies) else copies, ["_s", "_block"])
-    rows = rows.withColumn("_step", F.explode(F.filter("_steps", lambda x: F.col("_h") <= x["_cut"])))
+    rows = rows.join(_broadcast_if_small(facts), "_s")
+    rows = rows.withColumn("_block", F.pmod("_h", F.col("_blocks")).cast("int"))
+    # A row meets its block once an epoch.
+    rows = rows.join(_broadcast_if_small(copies), ["_s", "_block"]).filter("_h <= _cut")
     inside = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    done = (F.col("_step._epoch") + (F.col("_step._rank") + inside) / F.col("_blocks")) / F.col("epochs")
+    done = (F.col("_epoch") + (F.col("_rank") + inside) / F.col("_blocks")) / F.col("epochs")
     return rows.select(
         *unboxed(docs),
-        F.col("_step._epoch").alias(epoch),
+        F.col("_epoch").alias(epoch),
         F.col("_block").alias(block),
         F.least(done, F.lit(1.0)).alias(progress),
     )
