@@ -245,6 +245,16 @@ def load(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
 
 
+def load_spread(spark: SparkSession, folder: str, sql: str, key: str) -> DataFrame:
+    """``load`` with the rows dealt out by ``key``, unique in each table that ``sql`` names.
+
+    A row group of a given file is read by one task and may hold a million rows. The raw columns are
+    shuffled, so that what is made of them is made by many tasks.
+    """
+    names = set(_TABLE.findall(sql))
+    return spark.sql(sql, **{n: table(spark, folder, n).repartition(key) for n in names})
+
+
 def _at(seq: Column) -> Column:
     return F.timestamp_micros(seq.cast("bigint"))
 

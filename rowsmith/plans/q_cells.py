@@ -80,7 +80,7 @@ def dirty(spark, d) -> DataFrame:
 
 
 def mapped_dirty(spark: SparkSession, d: str) -> DataFrame:
-    return importing.map_rows(dirty(spark, d), MAPPING, inputs.DIRTY_CONTRACT, F.col)
+    return importing.map_rows(inputs.load_spread(spark, d, inputs.DIRTY, "event_id"), MAPPING, inputs.DIRTY_CONTRACT, F.col)
 
 
 def reason_sql(key: str) -> str:

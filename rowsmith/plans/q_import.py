@@ -138,7 +138,7 @@ _LINES = f"""b AS ({plain(inputs.BAD)}), k AS (SELECT row_idx, line, {_KIND} AS
 )
 def import_jsonl(spark, d):
     """JSON Lines records read, mapped and checked inside the engine."""
-    lines = load(spark, d, inputs.BAD)
+    lines = inputs.load_spread(spark, d, inputs.BAD, "event_id")
     read = known_cells(readers.check_lines(lines, F.col("line"), F.col("row_idx")), LINE_CONTRACT)
     mapped = importing.map_rows(read, {"id": "id", "props": "props"}, LINE_CONTRACT, known_cell, structured=True)
     checked = importing.check_rows(mapped, LINE_CONTRACT)
@@ -201,7 +201,7 @@ def import_folder(spark, d):
 
 
 def _previewed(spark, d):
-    source = dirty(spark, d).drop("blob").withColumnRenamed("name", "Name ")
+    source = inputs.load_spread(spark, d, inputs.DIRTY, "event_id").drop("blob").withColumnRenamed("name", "Name ")
     return importing.preview(source, ["Name ", "kind", "score", "flagged", "tags", "as_of", "unmapped"], inputs.DIRTY_CONTRACT, lambda c: F.col(f"`{c}`"), existing=existing(spark, d))
 
 

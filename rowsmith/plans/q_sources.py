@@ -130,7 +130,7 @@ def all_export_lines(spark, d):
 
 
 def _checked_bad(spark, d) -> DataFrame:
-    return readers.check_lines(load(spark, d, inputs.BAD), F.col("line"), F.col("row_idx"))
+    return readers.check_lines(inputs.load_spread(spark, d, inputs.BAD, "event_id"), F.col("line"), F.col("row_idx"))
 
 
 @query("s07_duplicate_keys", f"WITH {BAD} SELECT row_idx, {_KIND} AS problem FROM b WHERE {_KIND} LIKE 'duplicate key%'")
