@@ -325,12 +325,15 @@ def key_problems(rows: DataFrame, key: str) -> DataFrame:
 
     Missing and untrimmed values are row predicates; a shared value names each of
     its rows, joined back with salting so one value may hold any share of them.
+
+    The values are written once: filters would be moved below the projection that makes them
+    and build each row's cells again for every test.
     """
     from rowsmith.plans.skew import attach_by_key
 
     live = rows.filter(F.col("deleted_at").isNull())
     value = text.unquote(F.col("data").getItem(key))
-    keyed = live.select("id", value.alias("_value"))
+    keyed = durable.written(live.select("id", value.alias("_value")), "key-values")
     missing = F.col("_value").isNull() | (text.strip(F.col("_value")) == "")
     padded = F.col("_value") != text.strip(F.col("_value"))
     flagged = keyed.select(
