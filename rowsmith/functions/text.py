@@ -29,6 +29,9 @@ STRING_LIST = rf"\A\[(?:{STRING}(?:,{STRING})*+)?\]\z"
 NUMBER = r"\A-?[0-9]"
 _COMMON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 _RARE_CONTROL = "[\\x00-\\x07\\x0b\\x0e-\\x1f]"
+_ESCAPED = r'["\\\x00-\x1f]'
+# Decimals that are their own canonical text: at most 14 digits, so a double gives them back, and no zeros to cut.
+_OWN_TEXT = r"\A-?(?:0|[1-9][0-9]{0,9})\.(?:[0-9]|[0-9]{1,3}[1-9])\z"
 
 
 def strip(c: Column) -> Column:
@@ -48,8 +51,8 @@ def _swap(c: Column, old: str, new: str) -> Column:
 def quote(c: Column) -> Column:
     """A string column as JSON string text; NULL stays NULL.
 
-    The engine's own writer does it in one pass. It spells rare control characters
-    with capital hex digits, so only texts that hold one are escaped piecewise.
+    Most texts need no escapes. For others the engine's own writer does it in one pass. It spells rare
+    control characters with capital hex digits, so only texts that hold one are escaped piecewise.
     """
     common = c
     for raw, escaped in _COMMON_ESCAPES.items():
@@ -59,7 +62,9 @@ def quote(c: Column) -> Column:
         lambda ch: F.when(ch.rlike(_RARE_CONTROL), F.concat(F.lit("\\u00"), F.lower(F.hex(ch)))).otherwise(ch),
     )
     piecewise = F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"'))
-    return F.when(c.rlike(_RARE_CONTROL), piecewise).otherwise(F.to_json(c.cast("variant")))
+    simple = F.concat(F.lit('"'), c, F.lit('"'))
+    escaped = F.when(c.rlike(_RARE_CONTROL), piecewise).otherwise(F.to_json(c.cast("variant")))
+    return F.when(~c.rlike(_ESCAPED), simple).otherwise(escaped)
 
 
 def quoted_literal(text: str) -> str:
@@ -168,7 +173,7 @@ def number_text(token: Column) -> Column:
     whole = F.regexp_replace(F.ltrim(token, F.lit("+")), r"\A(-?)0+(?=[0-9])", "$1")
     real = F.when(token.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), token).try_cast("double")
     finite = F.when(F.abs(real) < float("inf"), real)
-    return F.when(
+    return F.when(token.rlike(_OWN_TEXT), token).when(
         token.rlike(r"\A[+-]?[0-9]+\z"), F.when(token.rlike(r"\A-0+\z"), "0").otherwise(whole)
     ).otherwise(float_text(finite))
 

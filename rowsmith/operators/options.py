@@ -30,27 +30,37 @@ def listed(spark: SparkSession, contract: Contract) -> DataFrame:
 
 
 def _values(field: Field, t: Column) -> Column:
-    """The values of a cell that need an option, with their places in it; null where the cell breaks other rules."""
+    """The values of a cell that need an option; null where the cell breaks other rules."""
     if field.type == "select":
         value = F.array(text.unquote(t))
         shaped = text.is_string(t)
     else:
-        value = text.string_array(t)
+        plain = F.split(F.substring(t, F.lit(3), F.length(t) - 4), '","')  # without escapes, quotes only end strings
+        plain = F.when(t == "[]", F.array().cast("array<string>")).otherwise(plain)
+        value = F.when(F.contains(t, F.lit("\\")), text.string_array(t)).otherwise(plain)
         shaped = t.rlike(text.STRING_LIST)
     filled = ~checks.is_empty(t, field.type) & shaped
-    made = F.transform(value, lambda v, i: F.struct(F.lit(field.key).alias("column"), i.alias("at"), v.alias("value")))
-    return F.when(F.coalesce(filled, F.lit(False)), made)
+    return F.when(F.coalesce(filled, F.lit(False)), value)
+
+
+def _pair(value: str) -> Column:
+    """Column and value in one text; the length keeps apart pairs that run together alike."""
+    return F.concat(F.length("column"), F.lit(":"), "column", value)
 
 
 def unknown_values(rows: DataFrame, cells: Cells, contract: Contract, options: DataFrame, place: list[str]) -> DataFrame:
     """``(*place, column, values)``: the values of each cell that are no option, in their order."""
     fields = open_fields(contract)
-    used = F.flatten(F.array_compact(F.array(*[_values(f, cells(f.key)) for f in fields])))
-    asked = rows.select(*place, F.explode(used).alias("_v")).select(*place, "_v.*")
-    asked = durable.written(asked.withColumn("pair", F.concat_ws("\x00", "column", "value")), "option-values")
-    distinct = asked.groupBy("pair", "column", "value").agg(F.count("*").alias("_n"))
-    allowed = options.select("column", F.col("option").alias("value"))
-    missing = distinct.join(allowed, ["column", "value"], "left_anti").select("pair", "_n")
+    used = F.array(*[F.struct(F.lit(f.key).alias("column"), _values(f, cells(f.key)).alias("values")) for f in fields])
+    asked = rows.select(*place, F.explode(used).alias("_v"))
+    asked = asked.select(*place, "_v.column", F.posexplode("_v.values").alias("at", "value"))
+    asked = durable.written(asked, "option-values").withColumn("pair", _pair("value"))
+    distinct = asked.groupBy("pair").agg(F.count("*").alias("_n"))
+    allowed = options.select(_pair("option").alias("_option")).filter(F.col("_option").isNotNull())
+    # Both sides are sorted by one number, as texts of one column begin alike; the texts are compared where it agrees.
+    same = (F.xxhash64("pair") == F.xxhash64("_option")) & F.col("pair").between(F.col("_option"), F.col("_option"))
+    # Options made by an explode are estimated far too small, so the planner must not broadcast them.
+    missing = distinct.join(allowed.hint("merge"), same, "left_anti").select("pair", "_n")
     bad = skew.attach_by_key(asked, missing, "pair", "_n", F.xxhash64(*place), how="inner")
     found = bad.groupBy(*place, "column").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_b"))
     return found.select(*place, "column", F.col("_b.value").alias("values"))

@@ -61,6 +61,25 @@ def test_a_hot_value_and_many_options(spark):
     assert {(r.row_idx, r.reason) for r in found.collect()} == {(i, "'gone' is not one of the options") for i in range(0, 3_000, 3)}
 
 
+def test_options_are_sorted_by_a_number(spark, monkeypatch):
+    """Texts of one column begin alike, so sorting 20 options a value by them compared whole rows."""
+    plans, kept = [], options.skew.attach_by_key
+
+    def attach(rows, facts, *rest, **more):
+        plans.append(facts._jdf.queryExecution().executedPlan().toString())
+        return kept(rows, facts, *rest, **more)
+
+    monkeypatch.setattr(options.skew, "attach_by_key", attach)
+    monkeypatch.setattr(options.skew, "is_small", lambda _: False)
+    rows = spark.createDataFrame([(1, '["a","b,c"]'), (2, '[]'), (3, '["q\\"","x"]'), (4, '["1:a"]')], "row_idx long, tags string")
+    contract = Contract.of(Field("tags", "multi_select", options_table=True))
+    allowed = spark.createDataFrame([("tags", "a"), ("tags", "x"), ("tags", "x"), (None, "b,c"), ("tags", None), ("other", "1:a")], options.SCHEMA)
+    found = options.unknown_values(rows, F.col, contract, allowed, ["row_idx"]).collect()
+    assert {r.row_idx: r["values"] for r in found} == {1: ["b,c"], 3: ['q"'], 4: ["1:a"]}
+    sorts = [line for line in plans[0].splitlines() if "Sort [" in line]
+    assert len(sorts) == 2 and all("Sort [xxhash64(" in line for line in sorts)
+
+
 def test_drafting_keeps_options_as_rows(spark, monkeypatch):
     records = [{"id": f"{i}", "tags": [f"t{i}", f"t{i % 3}"]} for i in range(20)]
     contract, rows, _ = contracts.draft_with_options(flat(spark, records))
