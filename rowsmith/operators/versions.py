@@ -59,13 +59,13 @@ def tree_hash(snap: DataFrame, by: tuple[str, ...] = (), stored: bool = False) -
     leaf = F.col("leaf") if stored else F.sha2("line", 256)
     leaves = snap.select(*by, "created_at", "id", leaf.alias("h"))
     level = leaves.groupBy(*by, F.substring("h", 1, PREFIXES[0]).alias("node")).agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "id", "h"))).alias("_l"), F.count("*").alias("n")
+        F.sort_array(F.collect_list(F.struct("created_at", "id", "h"))).alias("_l"), F.count("*").alias("n")
     )
     level = level.select(*by, "node", F.sha2(F.array_join(F.col("_l.h"), ""), 256).alias("h"), "n")
     for digits in PREFIXES[1:]:
         child = F.struct("node", F.concat("node", "h").alias("named"))
         level = level.groupBy(*by, F.substring("node", 1, digits).alias("parent")).agg(
-            F.array_sort(F.collect_list(child)).alias("_l"), F.sum("n").alias("n")
+            F.sort_array(F.collect_list(child)).alias("_l"), F.sum("n").alias("n")
         )
         level = level.select(*by, F.col("parent").alias("node"), F.sha2(F.array_join(F.col("_l.named"), ""), 256).alias("h"), "n")
     root = F.concat(F.lit(canon.HASH_PREFIX), F.col("h")).alias("content_hash")
@@ -115,11 +115,16 @@ def cut_version(
         raise store.VersionExists(f"version {version} of {name!r} is already published")
     parent = max(earlier, default=None)
     snap = snapshot(rows, contract, include_unapproved)
-    leaves = durable.written(snap.select("id", "created_at", "leaf"), "leaves")
     with ThreadPoolExecutor(1) as beside:  # the content hash needs the leaves only and runs beside the writes
-        hashed = beside.submit(lambda: tree_hash(leaves, stored=True).first())
-        home = store.write_version(snap, leaves, root, name, parent)
-        found = hashed.result()
+        if parent is None:
+            home, leaves = store.write_rows(snap, root, name)
+            hashed = beside.submit(lambda: tree_hash(leaves, stored=True).first())
+            home = home if store.write_tree(leaves, root, name, home) else None
+        else:
+            leaves = durable.written(snap.select("id", "created_at", "leaf"), "leaves")
+            hashed = beside.submit(lambda: tree_hash(leaves, stored=True).first())
+            home = store.write_version(snap, leaves, root, name, parent)
+        found = hashed.result() if home else None
     if home is None:
         raise ValueError("no rows match the selection; a version cannot be empty")
     when = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")

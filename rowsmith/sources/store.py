@@ -122,8 +122,8 @@ def _day(created_at: Column) -> Column:
 
 
 def _placed(rows: DataFrame, days: DataFrame) -> DataFrame:
-    """``rows`` with ``day``, ``digits`` and ``node``, the bucket they belong to."""
-    rows = rows.withColumn("day", _day(F.col("created_at"))).join(days, "day")
+    """``rows`` with ``day``, ``digits`` and ``node``, the bucket they belong to; a day that ``days`` lacks is one bucket."""
+    rows = rows.withColumn("day", _day(F.col("created_at"))).join(days, "day", "left").withColumn("digits", F.coalesce("digits", F.lit(0)))
     return rows.withColumn("node", F.concat("day", F.lit("_"), F.substring(F.sha2("id", 256), F.lit(1), F.col("digits"))))
 
 
@@ -131,7 +131,7 @@ def _bucket_hashes(placed: DataFrame) -> DataFrame:
     """``(node, day, digits, hash, n)``: a bucket's hash names its lines and when they were created."""
     item = F.concat("leaf", F.lit("@"), F.coalesce(F.unix_micros("created_at").cast("string"), F.lit("")))
     return placed.groupBy("node", "day", "digits").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("hash"), F.count("*").alias("n")
+        F.sha2(F.array_join(F.sort_array(F.collect_list(item)), "\n"), 256).alias("hash"), F.count("*").alias("n")
     )
 
 
@@ -139,7 +139,7 @@ def _parents(nodes: DataFrame, level: int) -> DataFrame:
     """The level above: one node a day (1), or the root (0)."""
     by = [F.col("day").alias("node"), "day", "digits"] if level == 1 else [F.lit("").alias("node")]
     child = F.struct("node", F.concat("node", F.lit(":"), "hash").alias("named"))
-    up = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(child)).alias("c"), F.sum("n").alias("n"))
+    up = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(child)).alias("c"), F.sum("n").alias("n"))
     none = F.lit(None).cast("string").alias("home")
     rest = ["day", "digits"] if level == 1 else [F.lit(None).cast("string").alias("day"), F.lit(None).cast("int").alias("digits")]
     return up.select("node", *rest, F.sha2(F.array_join("c.named", "\n"), 256).alias("hash"), "n", none, F.lit(level).alias("level"))
@@ -167,6 +167,44 @@ def _days(leaves: DataFrame, prior: DataFrame | None, bucket_rows: int) -> DataF
     return F.broadcast(days) if skew.is_small(days) else days
 
 
+def _store(rows: DataFrame, objects: str) -> DataFrame:
+    """Write placed rows into their buckets; what was stored as ``(node, leaf, created_at, id)``."""
+    rows = rows.withColumnRenamed("node", "bucket").repartition("bucket").sortWithinPartitions("bucket", "created_at", "id")
+    columns = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+    rows.select(*columns, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(objects)
+    stored = rows.sparkSession.read.schema(ROW_SCHEMA + ", bucket string").parquet(objects)
+    return stored.select(F.col("bucket").alias("node"), "leaf", "created_at", "id")
+
+
+def _write_tree(nodes: DataFrame, root: str, name: str, home: str) -> None:
+    day_nodes = _parents(nodes, 1)
+    tree = nodes.unionByName(day_nodes).unionByName(_parents(day_nodes, 0))
+    tree.repartition("level").sortWithinPartitions("node").write.mode("errorifexists").partitionBy("level").parquet(_tree_dir(root, name, home))
+
+
+def write_rows(snap: DataFrame, root: str, name: str, bucket_rows: int = BUCKET_ROWS) -> tuple[str, DataFrame]:
+    """Store all rows of ``snap``; returns their home and ``(node, leaf, created_at, id)`` of what was stored.
+
+    Rows that share no bucket with an earlier version are made once: all hashes come from what was
+    stored, and only the days are counted before.
+    """
+    days = _days(snap.select("created_at"), None, bucket_rows)
+    home = uuid.uuid4().hex
+    return home, _store(_placed(snap, days), f"{dataset_dir(root, name)}/objects/{home}")
+
+
+def write_tree(stored: DataFrame, root: str, name: str, home: str) -> bool:
+    """The tree of the rows that ``write_rows`` stored; false if there are none."""
+    parts = {"day": F.substring_index("node", "_", 1), "digits": F.length(F.substring_index("node", "_", -1))}
+    nodes = _bucket_hashes(stored.withColumns(parts)).withColumn("home", F.lit(home))
+    nodes = durable.written(nodes.select("node", "day", "digits", "hash", "n", "home", F.lit(2).alias("level")), "nodes")
+    if nodes.isEmpty():
+        discard(stored.sparkSession, root, name, home)
+        return False
+    _write_tree(nodes, root, name, home)
+    return True
+
+
 def write_version(
     snap: DataFrame, leaves: DataFrame, root: str, name: str, parent: int | None = None, bucket_rows: int = BUCKET_ROWS
 ) -> str | None:
@@ -197,17 +235,11 @@ def write_version(
         if sizes["fresh"] < sizes["all"]:
             names = fresh.select("node")
             rows = rows.join(F.broadcast(names) if skew.is_small(names) else names, "node", "left_semi")
-        rows = rows.withColumnRenamed("node", "bucket").repartition("bucket").sortWithinPartitions("bucket", "created_at", "id")
-        columns = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
-        rows.select(*columns, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(objects)
-        stored = spark.read.schema(ROW_SCHEMA + ", bucket string").parquet(objects)
-        stored = _bucket_hashes(stored.select("leaf", "created_at", F.col("bucket").alias("node"), F.lit("").alias("day"), F.lit(0).alias("digits")))
+        stored = _bucket_hashes(_store(rows, objects).select("leaf", "created_at", "node", F.lit("").alias("day"), F.lit(0).alias("digits")))
         wrong = fresh.join(stored.select("node", F.col("hash").alias("_now")), "node", "full_outer")
         if not wrong.filter(~F.col("hash").eqNullSafe(F.col("_now"))).isEmpty():
             raise RuntimeError("the rows changed while they were stored; nothing was published")
-    day_nodes = _parents(nodes, 1)
-    tree = nodes.unionByName(day_nodes).unionByName(_parents(day_nodes, 0))
-    tree.repartition("level").sortWithinPartitions("node").write.mode("errorifexists").partitionBy("level").parquet(_tree_dir(root, name, home))
+    _write_tree(nodes, root, name, home)
     return home
 
 

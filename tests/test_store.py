@@ -1,6 +1,7 @@
 """Published versions: shared buckets, tree diffs, one winner a number, leftovers."""
 
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,20 @@ def test_a_row_that_changes_its_day(spark, tmp_path):
     assert {r.id: r.change for r in versions.diff_published(spark, root, "d", 1, 2).collect()} == {"r005": "modified"}
 
 
+def test_a_first_cut_makes_its_rows_once(spark, tmp_path):
+    """Values that every run of the source makes anew: a cut that made them twice met other hashes."""
+    root = str(tmp_path)
+    fresh = F.udf(lambda: f'"{uuid.uuid4().hex}"').asNondeterministic()
+    made = rows(spark, 40, 4).withColumn("data", F.create_map(F.lit("input"), fresh()))
+    first = cut(made, root, 1)
+    assert first.row_count == 40 and versions.verify(spark, root, "d", 1) == (True, first.content_hash)
+    tree = store._tree(spark, root, "d", first.home)
+    assert sorted((r.node, r.day, r.digits, r.n) for r in tree.filter("level = 2").collect()) == [(f"{d}_", f"{d}", 0, 10) for d in range(4)]
+    with pytest.raises(ValueError, match="cannot be empty"):
+        cut(made.filter("id = 'none'"), str(tmp_path / "none"), 1)
+    assert not list((tmp_path / "none").glob("datasets/d/objects/*"))
+
+
 def test_buckets_of_a_day_follow_its_size(spark, tmp_path):
     root = str(tmp_path)
     leaves = lambda df: versions.snapshot(df, CONTRACT).select("id", "created_at", "leaf")
