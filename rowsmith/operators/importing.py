@@ -195,12 +195,15 @@ def check_rows(
     reported against its first row - of the first file, where several files are read -
     and not also as existing.
 
-    With a key column the source is read twice: the claim pass only maps the key, and
-    what it finds - keys that are repeated or taken - comes back to the rows by broadcast
-    when it is measured to be small, else by a salted join. Rows are not shuffled then.
+    With a key column the source is read twice: the claim pass only maps the key. Records that
+    were parsed, which costs more than a table does, are written first. What the claim pass
+    finds - keys that are repeated or taken - comes back to the rows by broadcast when it is
+    measured to be small, else by a salted join. Rows are not shuffled then.
     """
     cell = mapped_cells(mapped)
     has_problem = F.col("problem").isNotNull() if "problem" in mapped.columns else F.lit(False)
+    if contract.key_field is not None and "problem" in mapped.columns:
+        mapped = durable.written(mapped, "mapped")
     rows = mapped
     if skip is not None:
         on = _same_place(mapped, skip, "a skip list")

@@ -175,10 +175,10 @@ def import_folder(spark, d):
     path = folder_for(spark, "import")
     placed = events.select(F.floor(n / per).alias("block"), n.alias("at"), line.alias("line")).repartition("block").sortWithinPartitions("block", "at")
     placed.select("block", "line").write.partitionBy("block").text(path)
-    read = known_cells(readers.read_jsonl(spark, path), contract)
-    mapped = importing.map_rows(read, {"key": "key", "note": "note"}, contract, known_cell, structured=True)
+    read = readers.read_jsonl(spark, path)
+    lines = read.select("file", "row_idx")
+    mapped = importing.map_rows(known_cells(read, contract), {"key": "key", "note": "note"}, contract, known_cell, structured=True)
     event = _block_of() * per + F.col("row_idx") - 1
-    lines = readers.read_jsonl(spark, path).select("file", "row_idx")
     skip = lines.filter(event % 100 == 13)
     fixes = lines.filter(event % 90 == 5).withColumns({"key": F.lit("note"), "value": F.lit('"fixed"')})
     checked = durable.written(importing.check_rows(importing.apply_fixes(mapped, fixes, contract), contract, skip=skip), "folder")
@@ -237,7 +237,7 @@ def _reviewed(spark: SparkSession, d: str) -> DataFrame:
     path = folder_for(spark, "flagship")
     review.filter(~F.col("deleted")).select(line.alias("line")).write.text(path)
     read = known_cells(readers.read_jsonl(spark, path), contract)
-    mapped = importing.map_rows(read, {k: k for k in contract.active_keys}, contract, known_cell, structured=True)
+    mapped = importing.map_rows(read, {k: k for k in contract.active_keys}, contract, known_cell, structured=True).drop("line")
     empty = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in importing.ROW_COLUMNS.items()))
     started = F.lit("2024-06-01").cast("timestamp")
     table, _, _ = importing.commit_import(importing.check_rows(mapped, contract), contract, empty, "docs", "u1", started)

@@ -1,6 +1,7 @@
 """Coercion and validation tables with literal inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,15 @@ def test_rules_agree_with_the_document(spark):
     df = spark.createDataFrame([(r,) for r in rows], "data map<string,string>")
     got = df.select(F.size(checks.row_errors(canon.cells_of("data"), contract)).alias("a"), F.size(checks.document_errors(F.col("data"), contract)).alias("b")).collect()
     assert [(r.a > 0, r.b > 0) for r in got] == [(i >= 4, i >= 4) for i in range(len(rows))]
+
+
+def test_parsed_records_are_made_once(spark):
+    """A source that gives other keys each time it is read: claims and rows must see the same ones."""
+    any_key = F.udf(lambda: f'"{random.randrange(4)}"').asNondeterministic()
+    mapped = spark.range(200).select(F.col("id").alias("row_idx"), F.lit(None).cast("string").alias("problem"), any_key().alias("cell:id"))
+    mapped = mapped.withColumn("failures", F.array().cast(checks.ERRORS_TYPE))
+    rows = importing.check_rows(mapped, Contract.of(Field("id", required=True, is_key=True))).select("row_idx", "cell:id", "outcome").collect()
+    firsts = {}
+    for r in sorted(rows, key=lambda r: r.row_idx):
+        firsts.setdefault(r["cell:id"], r.row_idx)
+    assert len(rows) == 200 and {r.row_idx for r in rows if r.outcome == "created"} == set(firsts.values())
