@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.plans import durable
 from rowsmith.plans.components import components
-from rowsmith.plans.skew import attach_by_key, last_before
+from rowsmith.plans.skew import attach_by_key, join_by_key, last_before
 
 TOGETHER = 100_000  # patches up to this count are one component without looking for smaller ones
 _OUT = "id string, seq bigint, accepted boolean, met_rev bigint, met_clean bigint, key_free boolean"
@@ -35,7 +35,7 @@ _OUT = "id string, seq bigint, accepted boolean, met_rev bigint, met_clean bigin
 def _contested(claims: DataFrame, holders: DataFrame) -> DataFrame:
     """``(key, n, holder)`` of keys whose claims depend on more than one row."""
     asked = claims.groupBy(F.col("wanted").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-    held = asked.join(holders.select("key", F.col("id").alias("holder")), "key", "left")
+    held = join_by_key(asked, holders.select("key", F.col("id").alias("holder")), "key", "left")
     return held.filter((F.col("a") != F.col("b")) | (F.col("holder") != F.col("a"))).select("key", "n", "holder")
 
 
@@ -82,7 +82,7 @@ def _with_components(rows: DataFrame) -> DataFrame:
     kept = rows.filter("keeps").select(node, F.concat(F.lit("k"), "own").alias("v"))
     found = components(shared.unionByName(kept)).filter(F.col("node").startswith("r"))
     sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    facts = sizes.join(found.select(F.substring("node", 2, 1 << 30).alias("id"), "component"), "id", "left")
+    facts = join_by_key(sizes, found.select(F.substring("node", 2, 1 << 30).alias("id"), "component"), "id", "left")
     facts = facts.select("id", "n", F.coalesce("component", F.concat(F.lit("r"), "id")).alias("component"))
     return attach_by_key(rows, facts, "id", "n", F.col("seq")).drop("n")
 
@@ -101,14 +101,15 @@ def settled_claims(patches: DataFrame, states: DataFrame, holders: DataFrame) ->
     keys = contested.select(F.col("key").alias("wanted"), "n", "holder")
     shared = attach_by_key(claims, keys, "wanted", "n", F.col("seq"), how="inner")
     shared = durable.written(shared.select("id", "seq", "wanted", "holder"), "shared-claims")
-    held = holders.join(contested.select("key"), "key", "left_semi").select("id", F.col("key").alias("kept"))
+    held = join_by_key(holders, contested.select("key"), "key", "left_semi").select("id", F.col("key").alias("kept"))
     # Rows that claim a contested key, and those that may give one back.
-    movers = held.join(claims.select("id").distinct(), "id", "left_semi").select("id")
+    movers = join_by_key(held, claims.select("id").distinct(), "id", "left_semi").select("id")
     concerned = durable.written(shared.select("id").unionByName(movers).distinct(), "concerned")
     slim = patches.select("id", F.col("seq").cast("bigint").alias("seq"), F.col("expected_rev").cast("bigint").alias("expected_rev"), "ok", "has_data", "covers", "wanted")
-    rows = slim.join(concerned, "id", "left_semi").join(states.select("id", F.col("rev").cast("bigint").alias("rev"), F.col("clean").cast("bigint").alias("clean")), "id", "left")
-    rows = rows.join(holders.select("id", F.col("key").alias("own")), "id", "left").join(held, "id", "left")
-    rows = rows.join(shared.select("id", "seq", "holder", F.lit(True).alias("_shares")), ["id", "seq"], "left")
+    known = states.select("id", F.col("rev").cast("bigint").alias("rev"), F.col("clean").cast("bigint").alias("clean"))
+    rows = join_by_key(join_by_key(slim, concerned, "id", "left_semi"), known, "id", "left")
+    rows = join_by_key(join_by_key(rows, holders.select("id", F.col("key").alias("own")), "id", "left"), held, "id", "left")
+    rows = join_by_key(rows, shared.select("id", "seq", "holder", F.lit(True).alias("_shares")), ["id", "seq"], "left")
     rows = rows.withColumns({"shares": F.coalesce("_shares", F.lit(False)), "keeps": F.col("kept").isNotNull()}).drop("_shares", "kept")
     counts = rows.groupBy("id").agg(F.count("*").alias("_n"))
     rows = attach_by_key(rows, counts, "id", "_n", F.col("seq"))
@@ -120,24 +121,24 @@ def settled_claims(patches: DataFrame, states: DataFrame, holders: DataFrame) ->
     claiming = others.filter(F.col("wanted").isNotNull())
     took = others.filter("shares").select("id", F.col("wanted").alias("key"))
     took = took.unionByName(others.filter("keeps").select("id", F.col("own").alias("key"))).distinct()
-    went = claiming.select("id", "seq", "wanted").join(took, "id").filter(F.col("key") != F.col("wanted")).select("key", "seq")
+    went = join_by_key(claiming.select("id", "seq", "wanted"), took, "id").filter(F.col("key") != F.col("wanted")).select("key", "seq")
     events = came.unionByName(went).distinct().select("key", F.col("seq").alias("at"), F.col("seq").alias("event"))
     none = F.lit(None).cast("bigint")
     asked = simple.select(F.col("wanted").alias("key"), F.col("seq").alias("at"), none.alias("event"))
     placed = last_before(events.unionByName(asked), ["key"], "at", "event", "after").filter(F.col("event").isNull())
     placed = placed.select(F.col("key").alias("wanted"), F.col("at").alias("seq"), F.coalesce("after", F.lit(-1)).alias("after"))
-    simple = durable.written(simple.join(placed, ["wanted", "seq"]), "simple-claims")
+    simple = durable.written(join_by_key(simple, placed, ["wanted", "seq"]), "simple-claims")
     fits = (F.col("rev") == F.col("expected_rev")) & F.col("ok") & (~F.col("has_data") | (F.col("clean") == 1) | F.col("covers"))
     sound = F.coalesce(fits, F.lit(False))
     chosen = simple.groupBy("wanted", "after").agg(
         F.coalesce(F.min(F.when(sound, F.col("seq"))), F.min("seq")).alias("first"), F.count("*").alias("n")
     )
     chosen = durable.written(chosen.withColumn("stretch", F.concat_ws(":", "after", "wanted")), "stretches")
-    first = simple.join(chosen.select("wanted", F.col("first").alias("seq")), ["wanted", "seq"], "left_semi").drop("after")
+    first = join_by_key(simple, chosen.select("wanted", F.col("first").alias("seq")), ["wanted", "seq"], "left_semi").drop("after")
 
     folded = _with_components(others.unionByName(first)).repartition("component").sortWithinPartitions("component", "seq")
     found = durable.written(folded.drop("shares", "keeps", "simple").mapInArrow(_fold, _OUT), "folded")
-    ahead = chosen.join(found.select(F.col("seq").alias("first"), "accepted", "key_free"), "first")
+    ahead = join_by_key(chosen, found.select(F.col("seq").alias("first"), "accepted", "key_free"), "first")
     late = simple.withColumn("stretch", F.concat_ws(":", "after", "wanted")).drop("n")
     late = attach_by_key(late, ahead.select("stretch", "n", "first", "accepted", "key_free"), "stretch", "n", F.col("seq"))
     late = late.filter(F.col("seq") != F.col("first"))

@@ -24,7 +24,7 @@ from rowsmith.functions import canon, checks, text
 from rowsmith.operators import handover
 from rowsmith.operators.rows import live
 from rowsmith.plans import durable
-from rowsmith.plans.skew import attach_by_key, previous_in_group
+from rowsmith.plans.skew import attach_by_key, join_by_key, previous_in_group
 
 BLOCK = 64  # arrival numbers per block of a long chain
 AT_ONCE = 512  # patches of a row that are folded at once; the fold copies what it has seen
@@ -112,11 +112,11 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK, at_
     ).cast(STEP)
     state = (F.col("rev").cast("bigint") * 2 + F.col("clean").cast("bigint")).alias("start")
     steps = patches.filter(F.col("expected_rev").isNotNull()).select("id", "seq", step.alias("step"))
-    counts = steps.groupBy("id").agg(F.count("*").alias("n")).join(start.select("id", state), "id")
+    counts = join_by_key(steps.groupBy("id").agg(F.count("*").alias("n")), start.select("id", state), "id")
     counts = durable.written(counts, "chains")
     chain = F.array_sort(F.collect_list("step")).alias("steps")
     few = counts.filter(F.col("n") <= at_once).select("id", "start")
-    seen = steps.join(few, "id").groupBy("id", "start").agg(chain).select("id", _seen_in(F.col("steps"), F.col("start")).alias("_s"))
+    seen = join_by_key(steps, few, "id").groupBy("id", "start").agg(chain).select("id", _seen_in(F.col("steps"), F.col("start")).alias("_s"))
     many = counts.filter(F.col("n") > at_once).select("id", "start")
     if not many.isEmpty():
         long = steps.join(F.broadcast(many.select("id")) if many.count() <= 100_000 else many.select("id"), "id")
@@ -128,7 +128,7 @@ def accept_patches(patches: DataFrame, start: DataFrame, width: int = BLOCK, at_
     met = seen.select("id", F.explode("_s").alias("_m")).select(
         "id", "_m.seq", F.col("_m.accepted").alias("_yes"), F.col("_m.rev").alias("met_rev"), F.col("_m.clean").alias("met_clean")
     )
-    joined = patches.join(met, ["id", "seq"], "left")
+    joined = join_by_key(patches, met, ["id", "seq"], "left")
     return joined.withColumn("accepted", F.coalesce("_yes", F.lit(False))).drop("_yes")
 
 
@@ -167,7 +167,7 @@ def judge_patches(
             for f in contract.active
         ]
     )
-    judged = patches.join(start, "id", "left")
+    judged = join_by_key(patches, start, "id", "left")
     has_data = F.col("data").isNotNull()
     bad = F.when(has_data, bad).otherwise(F.array().cast(checks.ERRORS_TYPE))
     judged = judged.withColumns({"errors": bad, "has_data": has_data, "known_user": F.lit(True)})
@@ -189,9 +189,9 @@ def judge_patches(
     if settled is None:
         done = accept_patches(sound, states, width, at_once).withColumn("key_free", F.lit(True))
     else:
-        rest = sound.join(settled.select("id").distinct(), "id", "left_anti")
+        rest = join_by_key(sound, settled.select("id").distinct(), "id", "left_anti")
         done = accept_patches(rest, states, width, at_once).withColumn("key_free", F.lit(True))
-        done = done.unionByName(sound.join(settled, ["id", "seq"]).select(*done.columns))
+        done = done.unionByName(join_by_key(sound, settled, ["id", "seq"]).select(*done.columns))
     breaks = (F.size("errors") > 0) | (F.col("has_data") & (F.col("met_clean") == 0) & ~F.col("covers"))
     outcome = (
         F.when(F.col("rev").isNull(), "not_found")

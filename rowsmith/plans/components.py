@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.plans import durable
-from rowsmith.plans.skew import attach_by_key
+from rowsmith.plans.skew import attach_by_key, join_by_key
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -39,4 +39,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return alone.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return join_by_key(alone, found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -19,6 +19,15 @@ def is_small(facts: DataFrame) -> bool:
     return size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES
 
 
+def join_by_key(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the rows: shuffled, never broadcast.
+
+    The files of a written table of ids are a tenth of its rows, so that the planner takes a large one for small and
+    sends it through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def attach_by_key(
     rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left"
 ) -> DataFrame:
@@ -54,9 +63,9 @@ def attach_salted(
         salt = F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")
         salted = present.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt)
         each = F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))
-        joined = salted.drop("_hot", "_copies").join(facts.withColumn("_salt", each), [key, "_salt"], how).drop("_salt")
+        joined = join_by_key(salted.drop("_hot", "_copies"), facts.withColumn("_salt", each), [key, "_salt"], how).drop("_salt")
     else:
-        joined = present.join(facts, key, how)
+        joined = join_by_key(present, facts, key, how)
     if how != "left":
         return joined
     return joined.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
@@ -92,9 +101,9 @@ def last_before(df: DataFrame, group: list[str], order: str, value: str, out: st
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
     inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ends = blocked.filter(F.col(value).isNotNull()).groupBy(*group, "_block").agg(F.max_by(value, order).alias("_end"))
-    there = blocked.select(*group, "_block").distinct().join(ends, [*group, "_block"], "left")
+    there = join_by_key(blocked.select(*group, "_block").distinct(), ends, [*group, "_block"], "left")
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = there.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     rows = blocked.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
-    rows = rows.join(carried.filter(F.col("_carried").isNotNull()), [*group, "_block"], "left")
+    rows = join_by_key(rows, carried.filter(F.col("_carried").isNotNull()), [*group, "_block"], "left")
     return rows.withColumn(out, F.coalesce("_own", "_carried")).drop("_block", "_own", "_carried")

@@ -241,6 +241,17 @@ def test_large_fact_sets_are_not_broadcast(spark, monkeypatch):
     assert attach_by_key(df, facts, "k", "n", F.col("id")).filter("n = 3").count() == 300
 
 
+def test_facts_past_the_bound_stay_off_the_driver(spark):
+    from rowsmith.plans import durable
+
+    df = spark.range(300).select("id", F.concat(F.lit("k"), F.col("id") % 100).alias("k"))
+    facts = durable.written(df.groupBy("k").agg(F.count("*").alias("n")), "facts")
+    joined = attach_salted(df, facts, "k", "n", F.col("id"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan  # the heavy keys alone are broadcast
+    assert joined.filter("n = 3").count() == 300
+
+
 @pytest.mark.parametrize("width", [1, 4, 1000])
 def test_previous_in_group(spark, width):
     rng = random.Random(width)

@@ -129,3 +129,16 @@ def test_components(spark):
     want = {x: root(x) for x in parent if x != "x"}
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u string, v string").repartition(4)).collect()}
     assert found == want
+
+
+def test_claims_are_joined_off_the_driver(spark, monkeypatch):
+    plans, written = {}, patches.durable.written
+
+    def record(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(patches.durable, "written", record)
+    assert outcomes(spark, rows_of(30), [patch(f"r{i}", i, 1, {"id": f'"k{i + 1}"'}) for i in range(29)])
+    for name in ("patches", "contested", "concerned", "simple-claims", "chains"):
+        assert "Join" in plans[name] and "BroadcastHashJoin" not in plans[name]
