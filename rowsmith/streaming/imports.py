@@ -120,7 +120,9 @@ def start_import(
             rows = check(batch, batch_id)
             if key is not None:
                 rows = attach_by_key(rows, hold_keys(spark, work, batch_id), "_claim", "claimants", F.col("row_idx"))
-                rows = rows.withColumn("errors", F.concat("errors", checks.collect([checks.error_entry(key.key, key_error(rows))])))
+                errors = F.concat("errors", checks.collect([checks.error_entry(key.key, key_error(rows))])).alias("errors")
+                # Both tables read these rows: they meet their keys once.
+                rows = durable.written(rows.select("file", "line_number", "line", "data", errors), "judged-lines")
             valid = rows.filter(F.size("errors") == 0).select("file", "line_number", "line", "data")
             valid.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
             bad = rows.filter(F.size("errors") > 0).select("file", "line_number", "line", F.explode("errors").alias("_e"))

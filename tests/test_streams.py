@@ -191,3 +191,24 @@ def test_an_import_batch_that_fails_claims_its_keys_once(spark, tmp_path):
     write(2)
     run_import(spark, folder, tmp_path)
     assert streamed(spark, tmp_path) == at_once(spark, folder, None)
+
+
+def test_streamed_rows_meet_their_keys_once(spark, tmp_path, monkeypatch):
+    """Valid rows and quarantined lines come from one pass over the rows and the holders of their keys."""
+    folder, met, attach = tmp_path / "in", spark.sparkContext.accumulator(0), imports.attach_by_key
+    key_files(folder, 5)(0)
+
+    def counted(*args):
+        joined = attach(*args)
+
+        def count(batches):
+            for batch in batches:
+                met.add(batch.num_rows)
+                yield batch
+
+        return joined.mapInArrow(count, joined.schema)
+
+    monkeypatch.setattr(imports, "attach_by_key", counted)
+    run_import(spark, folder, tmp_path)
+    lines = [line for path in folder.glob("*") for line in path.read_text().splitlines() if line.strip()]
+    assert met.value == len(lines) > 0
