@@ -11,8 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,6 @@ _QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+"[^,]*+'  # to the closing quote; what foll
 _CELL = rf'(?:"{_QUOTED_REST}|[^",][^,]*+|)'
 _FROM_BEGIN = re.compile(rf"{_CELL}(?:,{_CELL})*+")
 _FROM_QUOTED = re.compile(rf"{_QUOTED_REST}(?:,{_CELL})*+")
-_BATCH_CHARS = 4 << 20
 
 _SPLIT = "file string, _start bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint"
 _PIECE = "file string, row_idx bigint, part bigint, piece string"
@@ -39,23 +41,79 @@ def open_after(line: str, is_open: bool) -> bool:
     return (_FROM_QUOTED if is_open else _FROM_BEGIN).fullmatch(line) is None
 
 
-def _begins(line: str, is_open: bool) -> bool:
-    """Whether a record begins with this line; blank lines between records are none."""
-    return not is_open and line not in ("", "\r")
+def _flat(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each line starts."""
+    _, offsets, data = lines.buffers()
+    kind = np.int64 if pa.types.is_large_string(lines.type) else np.int32
+    at = np.frombuffer(offsets, kind)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of the scan, each after whether a split begins; refuses any order but that of the file."""
-    file = start = last = None
+class _Batch:
+    """The states around the lines of a batch, without a look at each line.
+
+    A line with an odd number of quotes swaps the states, another one keeps them, as long as each quote
+    that stands outside a quoted cell begins one: it follows a comma, another quote or nothing. The few
+    lines with any other quote are strange and walked one by one; which are depends on the state at their start.
+    """
+
+    def __init__(self, lines: pa.Array):
+        self.data, self.offsets = _flat(lines)
+        size = np.diff(self.offsets)
+        self.blank = size == 0
+        one = np.flatnonzero(size == 1)
+        self.blank[one] = self.data[self.offsets[one]] == ord("\r")
+        quotes = np.flatnonzero(self.data == ord('"'))
+        first = np.searchsorted(quotes, self.offsets)
+        many = np.diff(first)
+        line = np.repeat(np.arange(len(many)), many)
+        rank = np.arange(len(quotes)) - first[line]
+        before = self.data[quotes - 1]
+        after_text = (quotes != self.offsets[line]) & (before != ord(",")) & (before != ord('"'))
+        strange = np.zeros((2, len(many)), dtype=bool)  # by the state at the line's start
+        strange[rank[after_text] % 2, line[after_text]] = True
+        self.swapped = np.append(0, np.cumsum(many) % 2) == 1
+        self.strange = [
+            np.flatnonzero(np.where(self.swapped[:-1] != base, strange[1], strange[0])) for base in (False, True)
+        ]
+
+    def states(self, lo: int, hi: int, is_open: bool) -> np.ndarray:
+        """The state before each of the lines ``lo`` to ``hi - 1`` and after the last."""
+        out, at = np.empty(hi - lo + 1, dtype=bool), lo
+        while True:
+            base = bool(is_open != self.swapped[at])
+            strange = self.strange[base]
+            i = np.searchsorted(strange, at)
+            stop = min(strange[i], hi) if i < len(strange) else hi
+            out[at - lo : stop - lo + 1] = self.swapped[at : stop + 1] != base
+            if stop == hi:
+                return out
+            line = self.data[self.offsets[stop] : self.offsets[stop + 1]].tobytes().decode("utf-8", "replace")
+            is_open, at = open_after(line, bool(out[stop - lo])), stop + 1
+
+    def begins(self, states: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Whether a record begins with each line; blank lines between records are none."""
+        return ~states[:-1] & ~self.blank[lo:hi]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The runs of lines of one split in each batch, each after whether a split begins; refuses any order but that of the file."""
+    at = last = None
     for batch in batches:
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
-            begins = row[1] != start or row[0] != file
-            if begins:
-                file, start = row[:2]
-            elif row[2] <= last:
-                raise RuntimeError(f"lines of {file} are out of order")
-            last = row[2]
-            yield begins, *row
+        if not batch.num_rows:
+            continue
+        file, start, order = batch.column("file"), batch.column("_start").to_numpy(), batch.column("_at").to_numpy()
+        other = pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)).to_numpy(zero_copy_only=False)
+        borders = np.flatnonzero(other | (np.diff(start) != 0)) + 1
+        lines = _Batch(batch.column("line"))
+        for lo, hi in pairwise([0, *borders.tolist(), len(file)]):
+            split = file[lo].as_py(), int(start[lo])
+            begins = split != at
+            if (not begins and order[lo] <= last) or (np.diff(order[lo:hi]) <= 0).any():
+                raise RuntimeError(f"lines of {split[0]} are out of order")
+            at, last = split, order[hi - 1]
+            yield begins, split, batch, lines, lo, hi
 
 
 def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,22 +124,26 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [at[0]], [at[1]], [ends[0]], [ends[1]], [begun[0]], [begun[1]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "_start", "open0", "open1", "n0", "n1"])
 
-    for begins, file, start, _, line in _lines(batches):
+    for begins, split, _, lines, lo, hi in _runs(batches):
         if begins:
             if at:
                 yield row()
-            at, ends, begun = (file, start), [False, True], [0, 0]
-        for entry in (0, 1):
-            begun[entry] += _begins(line, ends[entry])
+            at, ends, begun = split, [False, True], [0, 0]
         merged = ends[0] == ends[1]
-        ends[0] = open_after(line, ends[0])
-        ends[1] = ends[0] if merged else open_after(line, ends[1])
+        for entry in (0, 1):
+            if not (entry and merged):
+                states = lines.states(lo, hi, ends[entry])
+                many = int(lines.begins(states, lo, hi).sum())
+            ends[entry] = bool(states[-1])
+            begun[entry] += many
     if at:
         yield row()
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE_ARROW)], schema=_PIECE_ARROW)
+def _packed(split: tuple, row_idx: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
+    n = len(pieces)
+    columns = [pa.repeat(split[0], n), pa.array(row_idx, pa.int64()), pa.repeat(split[1], n), pieces.view(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=_PIECE_ARROW)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
@@ -90,36 +152,52 @@ def _pieces(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[pa.Recor
     ``inner`` gives those that lie in one split and do not begin a file; else come the first record of
     each file and the pieces, one a split, of records that cross a split's border.
     """
-    out, chars, at = [], 0, None
-    lines, is_open, row_idx, entered = [], False, 0, False
-
-    def cut(whole: bool) -> None:
-        nonlocal lines, chars
-        if (whole and row_idx > 1) == inner:
-            text = "\n".join(lines)
-            out.append((at[0], row_idx, at[1], text))
-            chars += len(text) + 100
-        lines = []
-
-    for begins, file, start, _, line, entry, before in _lines(batches):
+    at, is_open, row_idx, entered = None, False, 0, False
+    kept: list[bytes] = []  # of the record that a batch leaves open
+
+    def left_open() -> Iterator[pa.RecordBatch]:
+        if kept and not inner:
+            yield _packed(at, np.array([row_idx]), pa.array([b"\n".join(kept)], pa.binary()))
+
+    for begins, split, batch, lines, lo, hi in _runs(batches):
         if begins:
-            if lines:
-                cut(False)
-            at, is_open, entered, row_idx = (file, start), entry, entry, before
-        if is_open or _begins(line, is_open):
-            row_idx += not is_open
-            lines.append(line)
-            is_open = open_after(line, is_open)
-            if not is_open:
-                cut(not entered)
-                entered = False
-        if chars > _BATCH_CHARS:
-            yield _packed(out)
-            out, chars = [], 0
-    if lines:
-        cut(False)
-    if out:
-        yield _packed(out)
+            yield from left_open()
+            is_open = entered = batch.column("entry")[lo].as_py()
+            at, kept, row_idx = split, [], batch.column("before")[lo].as_py()
+        states = lines.states(lo, hi, is_open)
+        begin = lines.begins(states, lo, hi)
+        record = np.cumsum(begin) - (not is_open)  # of each line; the first may go on from before
+        many = int(record[-1]) + 1
+        if not many:
+            continue
+        number = row_idx + np.arange(many) + (not is_open)
+        done = np.ones(many, dtype=bool)
+        done[-1] = not states[-1]
+        is_inner = number > 1
+        is_inner[0] &= not entered
+        give = done & (is_inner == inner)
+        asked = give | ~done
+        used = np.flatnonzero((states[:-1] | begin) & asked[record])
+        cut = np.append(np.searchsorted(record[used], np.flatnonzero(asked)), len(used))
+        taken = batch.column("line").slice(lo, hi - lo).cast(pa.binary()).take(pa.array(used))
+        pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), taken), b"\n")
+        numbers = number[asked]
+        if is_open:
+            if asked[0]:
+                kept.append(pieces[0].as_py())
+                pieces, numbers = pieces[1:], numbers[1:]
+            if give[0]:
+                yield _packed(at, number[:1], pa.array([b"\n".join(kept)], pa.binary()))
+            if done[0]:
+                kept = []
+        if not done[-1] and not (is_open and many == 1):
+            kept = [pieces[-1].as_py()]
+            pieces, numbers = pieces[:-1], numbers[:-1]
+        if len(pieces):
+            yield _packed(at, numbers, pieces)
+        entered &= not done[0]
+        is_open, row_idx = bool(states[-1]), int(number[-1])
+    yield from left_open()
 
 
 def _entries(maps: DataFrame) -> DataFrame:
@@ -165,6 +243,6 @@ def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"])
     edges = edges.groupBy("file", "row_idx").agg(F.array_join(in_order, "\n").alias("line"))
     inner = placed.mapInArrow(partial(_pieces, inner=True), _PIECE).select("file", "row_idx", F.col("piece").alias("line"))
-    line = F.regexp_replace("line", r"\r\z", "").alias("line")
+    line = F.when(F.endswith("line", F.lit("\r")), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")).alias("line")
     first = durable.written(edges.filter(F.col("row_idx") == 1).select("file", "row_idx", line), "first-records")
     return first, inner.unionByName(edges).select("file", "row_idx", line)

@@ -5,6 +5,7 @@ import io
 import random
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,32 @@ def _walk(line, is_open):
         else:
             state = "plain"
     return state == "quoted"
+
+
+def _batch(lines):
+    columns = [pa.array(["f"] * len(lines)), pa.array([0] * len(lines)), pa.array(range(len(lines))), pa.array(lines)]
+    return pa.RecordBatch.from_arrays(columns, ["file", "_start", "_at", "line"])
+
+
+def test_regular_lines_are_not_walked(monkeypatch):
+    """Lines of plain records need no call each, whichever state a split starts in."""
+    walked = []
+    walk = quoted.open_after
+    monkeypatch.setattr(quoted, "open_after", lambda line, is_open: walked.append(line) or walk(line, is_open))
+    lines = [x for i in range(200) for x in (f'"{i}","a', '""b"",', '"",c', f'd","{i}"', "", f"{i},e")]
+    (found,) = quoted._split_maps(iter([_batch(lines)]))
+    assert (found.column("open0")[0].as_py(), found.column("n0")[0].as_py()) == (False, 400)
+    assert len(walked) <= 2  # the wrong state meets the right one
+
+
+def test_states_of_batches_as_walked():
+    rng = random.Random(13)
+    for _ in range(400):
+        lines = ["".join(rng.choice('",a\ré') for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 12))]
+        some = quoted._Batch(pa.array(["x", *lines, '"']).slice(1, len(lines)))
+        lo = rng.randrange(len(lines))
+        for is_open in (False, True):
+            want = [is_open]
+            for line in lines[lo:]:
+                want.append(_walk(line, want[-1]))
+            assert some.states(lo, len(lines), is_open).tolist() == want, lines
