@@ -28,10 +28,8 @@ _FROM_BEGIN = re.compile(rf"{_CELL}(?:,{_CELL})*+")
 _FROM_QUOTED = re.compile(rf"{_QUOTED_REST}(?:,{_CELL})*+")
 
 _SPLIT = "file string, _start bigint, open0 boolean, open1 boolean, n0 bigint, n1 bigint"
-_PIECE = "file string, row_idx bigint, part bigint, piece string"
-_PIECE_ARROW = pa.schema(
-    [("file", pa.string()), ("row_idx", pa.int64()), ("part", pa.int64()), ("piece", pa.string())]
-)
+_PIECE = "split bigint, row_idx bigint, piece string"
+_PIECE_ARROW = pa.schema([("split", pa.int64()), ("row_idx", pa.int64()), ("piece", pa.string())])
 
 
 def open_after(line: str, is_open: bool) -> bool:
@@ -97,21 +95,24 @@ class _Batch:
         return ~states[:-1] & ~self.blank[lo:hi]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The runs of lines of one split in each batch, each after whether a split begins; refuses any order but that of the file."""
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The runs of lines of one split, named by ``names``, in each batch, each after whether a split begins.
+
+    Refuses any order but that of the file.
+    """
     at = last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        file, start, order = batch.column("file"), batch.column("_start").to_numpy(), batch.column("_at").to_numpy()
-        other = pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)).to_numpy(zero_copy_only=False)
-        borders = np.flatnonzero(other | (np.diff(start) != 0)) + 1
+        named, order = [batch.column(name) for name in names], batch.column("_at").to_numpy()
+        other = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in named]
+        borders = np.flatnonzero(np.logical_or.reduce(other)) + 1
         lines = _Batch(batch.column("line"))
-        for lo, hi in pairwise([0, *borders.tolist(), len(file)]):
-            split = file[lo].as_py(), int(start[lo])
+        for lo, hi in pairwise([0, *borders.tolist(), batch.num_rows]):
+            split = tuple(c[lo].as_py() for c in named)
             begins = split != at
             if (not begins and order[lo] <= last) or (np.diff(order[lo:hi]) <= 0).any():
-                raise RuntimeError(f"lines of {split[0]} are out of order")
+                raise RuntimeError(f"lines of split {split} are out of order")
             at, last = split, order[hi - 1]
             yield begins, split, batch, lines, lo, hi
 
@@ -124,7 +125,7 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [at[0]], [at[1]], [ends[0]], [ends[1]], [begun[0]], [begun[1]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "_start", "open0", "open1", "n0", "n1"])
 
-    for begins, split, _, lines, lo, hi in _runs(batches):
+    for begins, split, _, lines, lo, hi in _runs(batches, "file", "_start"):
         if begins:
             if at:
                 yield row()
@@ -141,8 +142,7 @@ def _split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(split: tuple, row_idx: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
-    n = len(pieces)
-    columns = [pa.repeat(split[0], n), pa.array(row_idx, pa.int64()), pa.repeat(split[1], n), pieces.view(pa.string())]
+    columns = [pa.repeat(split[0], len(pieces)), pa.array(row_idx, pa.int64()), pieces.view(pa.string())]
     return pa.RecordBatch.from_arrays(columns, schema=_PIECE_ARROW)
 
 
@@ -159,7 +159,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], inner: bool) -> Iterator[pa.Recor
         if kept and not inner:
             yield _packed(at, np.array([row_idx]), pa.array([b"\n".join(kept)], pa.binary()))
 
-    for begins, split, batch, lines, lo, hi in _runs(batches):
+    for begins, split, batch, lines, lo, hi in _runs(batches, "split"):
         if begins:
             yield from left_open()
             is_open = entered = batch.column("entry")[lo].as_py()
@@ -233,16 +233,22 @@ def csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     scan = spark.read.text(path, lineSep="\n").select(*file_columns(), F.col("value").alias("line"))
     scan = scan.select("file", "_start", "_at", "line")
-    entries = durable.written(_entries(scan.mapInArrow(_split_maps, _SPLIT)), "splits")
-    if entries.count() <= MAX_BROADCAST_SPLITS:
-        placed = scan.join(F.broadcast(entries), ["file", "_start"])
-    else:
-        placed = scan.join(entries, ["file", "_start"]).repartition("file", "_start").sortWithinPartitions("file", "_start", "_at")
-    placed = placed.select("file", "_start", "_at", "line", "entry", "before")
-    edges = durable.written(placed.mapInArrow(partial(_pieces, inner=False), _PIECE), "edges")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"])
+    entries = _entries(scan.mapInArrow(_split_maps, _SPLIT)).withColumn("split", F.monotonically_increasing_id())
+    entries = durable.written(entries, "splits")
+    # Lines go to Python with the number of their split, which is far shorter than a file's name.
+    if few := entries.count() <= MAX_BROADCAST_SPLITS:
+        entries = F.broadcast(entries)
+    placed = scan.join(entries, ["file", "_start"]).select("split", "_at", "line", "entry", "before")
+    if not few:
+        placed = placed.repartition("split").sortWithinPartitions("split", "_at")
+
+    def pieces(inner: bool) -> DataFrame:
+        return placed.mapInArrow(partial(_pieces, inner=inner), _PIECE).join(entries.select("split", "file", "_start"), "split")
+
+    edges = durable.written(pieces(inner=False), "edges")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_start", "piece"))), lambda x: x["piece"])
     edges = edges.groupBy("file", "row_idx").agg(F.array_join(in_order, "\n").alias("line"))
-    inner = placed.mapInArrow(partial(_pieces, inner=True), _PIECE).select("file", "row_idx", F.col("piece").alias("line"))
+    inner = pieces(inner=True).select("file", "row_idx", F.col("piece").alias("line"))
     line = F.when(F.endswith("line", F.lit("\r")), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")).alias("line")
     first = durable.written(edges.filter(F.col("row_idx") == 1).select("file", "row_idx", line), "first-records")
     return first, inner.unionByName(edges).select("file", "row_idx", line)
