@@ -145,3 +145,14 @@ def test_states_of_batches_as_walked():
             for line in lines[lo:]:
                 want.append(_walk(line, want[-1]))
             assert some.states(lo, len(lines), is_open).tolist() == want, lines
+
+
+def test_many_splits_are_shuffled(spark, tmp_path, monkeypatch):
+    """Lines of more splits than are broadcast come back in order by the number of their split."""
+    monkeypatch.setattr(quoted, "MAX_BROADCAST_SPLITS", 0)
+    for f in "ab":
+        (tmp_path / f"{f}.csv").write_text("id,t\n" + "".join(f'{f}{i},"x\n""{i}"",\ny"\n' for i in range(30)))
+    with split_bytes(spark, 97):
+        header, rows = readers.read_csv(spark, str(tmp_path), multi_line=True)
+        got = rows_of(rows, header)
+    assert got == {f"{f}.csv": [[f"{f}{i}", f'x\n"{i}",\ny'] for i in range(30)] for f in "ab"}
