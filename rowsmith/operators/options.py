@@ -3,18 +3,21 @@
 An options table has the columns ``(column, option)``. A contract field with ``options_table``
 allows the values that the table lists for it. The values of the rows are made distinct before
 they meet the options, whatever their number; what comes back to the rows are only the values
-that no option allows.
+that no option allows. Options may be many times as many as the values, so only those that pass a
+sieve of the values are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.contract import OPTION_TYPES, Contract, Field
 from rowsmith.functions import checks, text
 from rowsmith.functions.canon import Cells
-from rowsmith.plans import durable, skew
+from rowsmith.plans import durable, sieve, skew
 
 SCHEMA = "column string, option string"
 
@@ -54,14 +57,23 @@ def unknown_values(rows: DataFrame, cells: Cells, contract: Contract, options: D
     used = F.array(*[F.struct(F.lit(f.key).alias("column"), _values(f, cells(f.key)).alias("values")) for f in fields])
     asked = rows.select(*place, F.explode(used).alias("_v"))
     asked = asked.select(*place, "_v.column", F.posexplode("_v.values").alias("at", "value"))
-    asked = durable.written(asked, "option-values").withColumn("pair", _pair("value"))
-    distinct = asked.groupBy("pair").agg(F.count("*").alias("_n"))
-    allowed = options.select(_pair("option").alias("_option")).filter(F.col("_option").isNotNull())
+    asked = durable.written(asked, "option-values", free=True)
+    distinct = durable.written(asked.groupBy("column", "value").agg(F.count("*").alias("_n")), "distinct-values", free=True)
+    count = distinct.count()
     # Both sides are sorted by one number, as texts of one column begin alike; the texts are compared where it agrees.
     same = (F.xxhash64("pair") == F.xxhash64("_option")) & F.col("pair").between(F.col("_option"), F.col("_option"))
-    # Options made by an explode are estimated far too small, so the planner must not broadcast them.
-    missing = distinct.join(allowed.hint("merge"), same, "left_anti").select("pair", "_n")
-    bad = skew.attach_by_key(asked, missing, "pair", "_n", F.xxhash64(*place), how="inner")
+    of = sieve.parts(count)
+    found = []
+    for at in range(of):
+        values = sieve.part(distinct, ["column", "value"], at, of)
+        held = sieve.made(values, ["column", "value"], count // of)
+        near = sieve.passed(sieve.part(options.select("column", "option"), ["column", "option"], at, of), ["column", "option"], held)
+        # Options made by an explode are estimated far too small, so the planner must not broadcast them.
+        allowed = near.select(_pair("option").alias("_option")).hint("merge")
+        missing = values.select(_pair("value").alias("pair"), "_n").join(allowed, same, "left_anti")
+        found.append(missing if of == 1 else durable.written(missing, "missing-values", free=True))
+    missing = reduce(DataFrame.unionByName, found)
+    bad = skew.attach_by_key(asked.withColumn("pair", _pair("value")), missing, "pair", "_n", F.xxhash64(*place), how="inner", sift=True)
     found = bad.groupBy(*place, "column").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_b"))
     return found.select(*place, "column", F.col("_b.value").alias("values"))
 

@@ -350,11 +350,12 @@ OPTION_CONTRACT = Contract.of(Field("pick", "select", options_table=True, requir
 )
 def options_table(spark, d):
     """Twenty times as many options as lines: more than a million from sf0.01 on."""
-    own = load(spark, d, _PICK_OPTIONS).select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("n"), "l_orderkey", "l_linenumber")
-    allowed = own.select(F.lit("pick").alias("column"), F.concat_ws("-", "l_orderkey", "l_linenumber", "n").alias("option"))
+    line = F.when(F.coalesce("l_orderkey", "l_linenumber").isNotNull(), F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    own = load(spark, d, _PICK_OPTIONS).select(line.alias("line")).select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("n"), "line")
+    allowed = own.select(F.lit("pick").alias("column"), F.concat_ws("-", "line", "n").alias("option"))
     tags = inputs.table(spark, d, "supplier").select(F.lit("tags").alias("column"), F.concat(F.lit("s"), "s_suppkey").alias("option"))
     rows = load(spark, d, _PICKS).select("row_idx", text.quote(F.col("pick")).alias("pick"), text.array_text(F.array("one", "two")).alias("tags"))
-    rows = durable.written(rows, "picks")
+    rows = durable.written(rows, "picks", free=True)
     unknown = options.unknown_values(rows, F.col, OPTION_CONTRACT, allowed.unionByName(tags), ["row_idx"])
     return options.option_errors(unknown, OPTION_CONTRACT, ["row_idx"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.plans import durable
+from rowsmith.plans import durable, sieve
 
 ROWS_PER_TASK = 100_000  # rows of one key that stay together
 BROADCAST_ROWS = 200_000  # facts up to this count ...
@@ -29,17 +29,20 @@ def join_by_key(left: DataFrame, right: DataFrame, on: str | list[str], how: str
 
 
 def attach_by_key(
-    rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left"
+    rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, how: str = "left", sift: bool = False
 ) -> DataFrame:
     """Join ``facts`` (one short row per key, ``weight`` = rows of that key) onto ``rows``.
 
     The facts are written first and measured. A small set is broadcast, and the
     rows are not shuffled at all. A larger one is joined by key with its heavy
-    keys salted, which holds when one key has any share of the rows.
+    keys salted, which holds when one key has any share of the rows. ``sift`` is for inner
+    joins that few rows outlast: rows that meet no fact are left out before the shuffle.
     """
-    facts = durable.written(facts, "facts")
+    facts = durable.written(facts, "facts", free=sift)
     if is_small(facts):
         return rows.join(F.broadcast(facts), key, how)
+    if sift:
+        rows = sieve.sifted(rows, facts, key)
     return attach_salted(rows, facts, key, weight, spread, how)
 
 
