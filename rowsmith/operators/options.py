@@ -20,6 +20,7 @@ from rowsmith.functions.canon import Cells
 from rowsmith.plans import durable, sieve, skew
 
 SCHEMA = "column string, option string"
+VALUE = ["column", "value"]
 
 
 def open_fields(contract: Contract) -> list[Field]:
@@ -51,29 +52,36 @@ def _pair(value: str) -> Column:
     return F.concat(F.length("column"), F.lit(":"), "column", value)
 
 
-def unknown_values(rows: DataFrame, cells: Cells, contract: Contract, options: DataFrame, place: list[str]) -> DataFrame:
-    """``(*place, column, values)``: the values of each cell that are no option, in their order."""
-    fields = open_fields(contract)
-    used = F.array(*[F.struct(F.lit(f.key).alias("column"), _values(f, cells(f.key)).alias("values")) for f in fields])
-    asked = rows.select(*place, F.explode(used).alias("_v"))
-    asked = asked.select(*place, "_v.column", F.posexplode("_v.values").alias("at", "value"))
-    asked = durable.written(asked, "option-values", free=True)
-    distinct = durable.written(asked.groupBy("column", "value").agg(F.count("*").alias("_n")), "distinct-values", free=True)
+def _missing(distinct: DataFrame, options: DataFrame) -> DataFrame:
+    """``distinct`` values that no option allows, with their ``pair``; ``distinct`` is a written table."""
     count = distinct.count()
     # Both sides are sorted by one number, as texts of one column begin alike; the texts are compared where it agrees.
-    same = (F.xxhash64("pair") == F.xxhash64("_option")) & F.col("pair").between(F.col("_option"), F.col("_option"))
+    pair = _pair("value")
+    same = (F.xxhash64(pair) == F.xxhash64("_option")) & pair.between(F.col("_option"), F.col("_option"))
     of = sieve.parts(count)
     found = []
     for at in range(of):
-        values = sieve.part(distinct, ["column", "value"], at, of)
-        held = sieve.made(values, ["column", "value"], count // of)
-        near = sieve.passed(sieve.part(options.select("column", "option"), ["column", "option"], at, of), ["column", "option"], held)
+        values = sieve.part(distinct, VALUE, at, of)
+        near = sieve.part(options.select("column", "option"), ["column", "option"], at, of)
+        near = sieve.passed(near, ["column", "option"], sieve.made(values, VALUE, count // of))
         # Options made by an explode are estimated far too small, so the planner must not broadcast them.
         allowed = near.select(_pair("option").alias("_option")).hint("merge")
-        missing = values.select(_pair("value").alias("pair"), "_n").join(allowed, same, "left_anti")
-        found.append(missing if of == 1 else durable.written(missing, "missing-values", free=True))
-    missing = reduce(DataFrame.unionByName, found)
-    bad = skew.attach_by_key(asked.withColumn("pair", _pair("value")), missing, "pair", "_n", F.xxhash64(*place), how="inner", sift=True)
+        missing = values.join(allowed, same, "left_anti").withColumn("pair", pair)
+        found.append(missing if of == 1 else durable.written(missing, "missing-values", lean=True))
+    return reduce(DataFrame.unionByName, found)
+
+
+def unknown_values(rows: DataFrame, cells: Cells, contract: Contract, options: DataFrame, place: list[str]) -> DataFrame:
+    """``(*place, column, values)``: the values of each cell that are no option, in their order."""
+    fields = open_fields(contract)
+    used = F.array(*[F.struct(F.lit(f.key).alias("column"), _values(f, cells(f.key)).alias("values")) for f in fields])
+    asked = rows.select(*place, F.explode(used).alias("_v"))
+    asked = asked.select(*place, "_v.column", F.posexplode("_v.values").alias("at", "value"))
+    asked = durable.written(asked, "option-values", lean=True)
+    with durable.briefly(asked.groupBy(*VALUE).agg(F.count("*").alias("_n")), "distinct-values") as distinct:
+        # The facts bring column and value back, so that the rows are shuffled with the pair alone.
+        asked = asked.select(*place, "at", _pair("value").alias("pair"))
+        bad = skew.attach_by_key(asked, _missing(distinct, options), "pair", "_n", F.xxhash64(*place), how="inner", sift=True)
     found = bad.groupBy(*place, "column").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_b"))
     return found.select(*place, "column", F.col("_b.value").alias("values"))
 

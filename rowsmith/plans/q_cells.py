@@ -355,8 +355,8 @@ def options_table(spark, d):
     allowed = own.select(F.lit("pick").alias("column"), F.concat_ws("-", "line", "n").alias("option"))
     tags = inputs.table(spark, d, "supplier").select(F.lit("tags").alias("column"), F.concat(F.lit("s"), "s_suppkey").alias("option"))
     rows = load(spark, d, _PICKS).select("row_idx", text.quote(F.col("pick")).alias("pick"), text.array_text(F.array("one", "two")).alias("tags"))
-    rows = durable.written(rows, "picks", free=True)
-    unknown = options.unknown_values(rows, F.col, OPTION_CONTRACT, allowed.unionByName(tags), ["row_idx"])
+    with durable.briefly(rows, "picks") as rows:
+        unknown = options.unknown_values(rows, F.col, OPTION_CONTRACT, allowed.unionByName(tags), ["row_idx"])
     return options.option_errors(unknown, OPTION_CONTRACT, ["row_idx"])
 
 

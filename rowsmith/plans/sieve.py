@@ -57,7 +57,7 @@ def made(keys: DataFrame, key: str | list[str], count: int) -> tuple[DataFrame,
     words = words.unionByName(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     at = F.col("word").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     lines = words.groupBy(F.shiftrightunsigned("word", LINE_BITS).alias("_line")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "bits"))).alias("_w"))
-    return durable.written(lines.select("_line", F.col("_w.bits").alias("_bits")), "sieve", free=True), bits
+    return durable.written(lines.select("_line", F.col("_w.bits").alias("_bits")), "sieve", lean=True), bits
 
 
 def passed(rows: DataFrame, key: str | list[str], sieve: tuple[DataFrame, int]) -> DataFrame:
@@ -80,5 +80,5 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     for at in range(of):
         sieve = made(part(keys, key, at, of), key, count // of)
         met = passed(part(rows, key, at, of), key, sieve)
-        found.append(met if of == 1 else durable.written(met, "sifted", free=True))
+        found.append(met if of == 1 else durable.written(met, "sifted", lean=True))
     return reduce(DataFrame.unionByName, found)

@@ -1,12 +1,14 @@
 """Options kept as rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from rowsmith.contract import Contract, Field
 from rowsmith.operators import contracts, importing, options
 from rowsmith.operators.records import known_cell, known_cells
-from rowsmith.plans import skew
+from rowsmith.plans import durable, sieve, skew
 from rowsmith.sources import readers
 from tests.test_records import flat
 
@@ -80,6 +82,63 @@ def test_options_are_sorted_by_a_number(spark, monkeypatch):
     assert len(sorts) == 2 and all("Sort [xxhash64(" in line for line in sorts)
 
 
+def shuffles(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for i in range(blocks.size()) if (b := blocks.apply(i).name()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("keys", [1 << 26, 100])
+@pytest.mark.parametrize("small", [True, False])
+def test_only_options_near_a_value_are_shuffled(spark, monkeypatch, keys, small):
+    """Twenty options a value, as rows of a join, filled the disk."""
+    met, kept = [], sieve.passed
+
+    def passed(rows, key, held):
+        out = kept(rows, key, held)
+        if key == ["column", "option"]:
+            met.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(sieve, "passed", passed)
+    monkeypatch.setattr(sieve, "KEYS", keys)
+    monkeypatch.setattr(skew, "is_small", lambda _: small)
+    contract = Contract.of(Field("kind", "select", options_table=True), Field("tags", "multi_select", options_table=True))
+    rows = spark.range(500).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit('"o'), F.col("id") % 400 * 21, F.lit('"')).alias("kind"), F.lit('["o0","t","u","t"]').alias("tags")
+    )
+    allowed = spark.range(8_000).select(F.lit("kind").alias("column"), F.concat(F.lit("o"), "id").alias("option"))
+    allowed = allowed.unionByName(spark.createDataFrame([("tags", "u"), ("tags", None), (None, "t")], options.SCHEMA))
+    found = options.unknown_values(rows, F.col, contract, allowed, ["row_idx"]).collect()
+    wanted = {(i, "tags"): ["o0", "t", "t"] for i in range(500)} | {(i, "kind"): [f"o{i % 400 * 21}"] for i in range(500) if i % 400 * 21 >= 8_000}
+    assert {(r.row_idx, r["column"]): r["values"] for r in found} == wanted and len(found) == len(wanted)
+    assert len(met) == (1 if keys > 1000 else 5) and sum(a for a, _ in met) == 8_003
+    assert 380 <= sum(b for _, b in met) < 1_600
+
+
+def test_a_sieve_keeps_every_key(spark):
+    keys = spark.range(0, 60_000, 3).select(F.concat(F.lit("k"), "id").alias("k"))
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), "id")).alias("k"))
+    through = {r.id for r in sieve.sifted(rows, keys, "k").collect()}
+    hit = {i for i in range(0, 60_000, 3) if i % 7}
+    assert hit <= through and all(i % 7 for i in through)
+    assert len(through) < len(hit) + 0.2 * 40_000
+
+
+def test_lean_tables_leave_no_shuffles(spark):
+    rows = spark.range(5_000).groupBy((F.col("id") % 1_000).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffles(spark)
+    with durable.briefly(rows, "brief") as table:
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.agg(F.sum("n")).first()[0] == 5_000 and durable.exists(spark, path)
+    assert not durable.exists(spark, path)
+    assert durable.written(rows, "lean", lean=True).count() == 1_000
+    assert spark.conf.get(durable.FREE_SETTING, "false") == "false"
+    until = time.time() + 20
+    while (left := {b.split("_")[1] for b in shuffles(spark) - before}) and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 2  # of the sum and the count, which are not written
+
+
 def test_drafting_keeps_options_as_rows(spark, monkeypatch):
     records = [{"id": f"{i}", "tags": [f"t{i}", f"t{i % 3}"]} for i in range(20)]
     contract, rows, _ = contracts.draft_with_options(flat(spark, records))
