@@ -38,7 +38,7 @@ def attach_by_key(
     keys salted, which holds when one key has any share of the rows. ``sift`` is for inner
     joins that few rows outlast: rows that meet no fact are left out before the shuffle.
     """
-    facts = durable.written(facts, "facts", lean=sift)
+    facts = durable.written(facts, "facts", lean=True) if sift else durable.written(facts, "facts")
     if is_small(facts):
         return rows.join(F.broadcast(facts), key, how)
     if sift:
